@@ -14,6 +14,9 @@ DEFAULT_THRESHOLD = 0.3
 DEFAULT_PER_TAG = 8
 NO_TAG_CLUSTER = "Similar"
 
+# Boosted scores and means have more than six digits; rounding there would tie them by accident.
+EXACT_DIGITS = 9
+
 def _no_tags() -> Column:
     return F.expr("cast(array() as array<string>)")
 
@@ -42,7 +45,7 @@ def vector_hits(requests: DataFrame, found: DataFrame, flags: DataFrame) -> Data
         .join(flagged, "dst", "left")
         .withColumn("score", S.boost(base, F.col("flagged"), F.col("boost")))
         .filter(F.col("score") >= F.col("threshold"))
-        .withColumn("score", F.round("score", S.ROUND_DIGITS))
+        .withColumn("score", F.round("score", EXACT_DIGITS))
         .withColumn("base_score", F.col("score"))
         .withColumn("shared_tags", _no_tags())
         .withColumn("from_vector", F.lit(True))
@@ -119,7 +122,7 @@ def merge_thin(clustered: DataFrame, min_size: int = MIN_CLUSTER) -> DataFrame:
         clustered.groupBy("req_id", "cluster")
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.round(F.avg("score"), S.ROUND_DIGITS).alias("mean"),
+            F.round(F.avg("score"), EXACT_DIGITS).alias("mean"),
             F.bool_or(F.array_contains("src_tags", F.col("cluster"))).alias("core"),
         )
         .withColumn("thin", ~F.col("core") & (F.col("n") < min_size))

@@ -22,7 +22,7 @@ def _nearest(cell: pd.DataFrame) -> pd.DataFrame:
     if left.empty or right.empty:
         return pd.DataFrame(columns=["query_id", "item_id", "distance"])
     cos = blocks.unit_rows(left["vec"]) @ blocks.unit_rows(right["vec"]).T
-    distance = np.round(1.0 - cos, S.ROUND_DIGITS)
+    distance = np.round(1.0 - cos, S.ROUND_DIGITS) + 0.0  # no negative zero
     fetch = int(left["fetch"].max())
     rows, cols = blocks.best_per_row(-distance, np.ones_like(distance, dtype=bool), fetch)
     return pd.DataFrame(

@@ -332,9 +332,9 @@ CTE: dict[str, tuple[tuple[str, ...], str]] = {
         FROM etags t LEFT JOIN esc a ON a.item_id = t.item_id AND a.tag = t.tag AND a.scorer = 's0'
         LEFT JOIN esc b ON b.item_id = t.item_id AND b.tag = t.tag AND b.scorer = 's1'"""),
     "decided": (("al",), """SELECT *, CASE WHEN score_a <= 2 AND score_b <= 2 THEN 'removed' WHEN abs(score_a - score_b) >= 3 THEN 'flagged' ELSE 'kept' END AS action FROM al"""),
-    "both": (("esc",), "SELECT a.item_id, a.tag FROM esc a JOIN esc b ON a.item_id = b.item_id AND a.tag = b.tag WHERE a.scorer = 's0' AND b.scorer = 's1' AND a.suggested AND b.suggested"),
-    "changes": (("decided", "both"), """SELECT item_id, tag, score_a, score_b, action FROM decided
-        UNION ALL SELECT item_id, tag, NULL, NULL, 'added' FROM both WHERE tag <> 'error'
+    "agreed": (("esc",), "SELECT a.item_id, a.tag FROM esc a JOIN esc b ON a.item_id = b.item_id AND a.tag = b.tag WHERE a.scorer = 's0' AND b.scorer = 's1' AND a.suggested AND b.suggested"),
+    "changes": (("decided", "agreed"), """SELECT item_id, tag, score_a, score_b, action FROM decided
+        UNION ALL SELECT item_id, tag, NULL, NULL, 'added' FROM agreed WHERE tag <> 'error'
         AND (item_id, tag) NOT IN (SELECT (item_id, tag) FROM decided WHERE action <> 'removed')"""),
     "sample": (("eitems",), "SELECT * FROM eitems ORDER BY md5(item_id || '-42'), item_id LIMIT 500"),
     "osets": ((), """SELECT o_custkey AS set_id, o_orderkey AS item_id, o_orderdate AS at,

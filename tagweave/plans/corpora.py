@@ -1 +1,548 @@
-"""Queries."""
+"""Line, refrain, search, collection and annotator-pass queries."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tagweave.functions import text as X
+from tagweave.operators import collection, corpus, passes, search, vectors
+from tagweave.operators.graph import item_meta, item_tags, tag_sizes
+from tagweave.plans import bindings as B
+from tagweave.plans.bindings import sql
+from tagweave.plans.registry import query
+from tagweave.scale import staged_path
+from tagweave.sources import incremental, tables
+
+# Patterns that fit the driver's prose: a boundary ends in "ion.", a marker contains "tion".
+BOUNDARY = r"ion\.$"
+MARKER = "tion"
+NO_TITLES = ("#",)
+
+
+# ---- lines and items -------------------------------------------------------------------------
+
+
+def _payloads(spark, sf):
+    """Page payloads: the lines of a hundred documents as nested JSON."""
+    line = F.struct(
+        F.col("item_id").alias("shabadId"),
+        F.struct(F.col("body").alias("unicode")).alias("verse"),
+        F.struct(F.col("translit").alias("en")).alias("transliteration"),
+        F.struct(F.struct(F.lit("").alias("bdb"), F.col("translation").alias("ms")).alias("en")).alias("translation"),
+        F.struct(F.col("category").alias("english")).alias("raag"),
+    )
+    pages = B.lines(spark, sf).groupBy("page").agg(
+        F.sort_array(F.collect_list(F.struct("item_id", "line_no", line.alias("v")))).alias("rows")
+    )
+    content = F.struct(F.transform("rows", lambda r: r["v"]).alias("page"))
+    return pages.select("page", F.to_json(content).alias("payload"))
+
+
+@query(sql("lines", "SELECT item_id, page::BIGINT AS page, line_no::BIGINT AS line_no, category, '' AS author, body, translit, translation FROM lines WHERE item_id <> 0"))
+def flattened_pages(spark, sf):
+    """Nested page payloads flattened to lines; a zero item id counts as missing."""
+    return corpus.flatten_pages(_payloads(spark, sf))
+
+
+@query(sql("lines", """SELECT item_id, arg_min(page, line_no)::BIGINT AS page, arg_min(category, line_no) AS category, arg_min(author, line_no) AS author,
+    string_agg(translit, ' ' ORDER BY line_no) FILTER (WHERE translit <> '') AS translit,
+    string_agg(translation, ' ' ORDER BY line_no) FILTER (WHERE translation <> '') AS translation,
+    string_agg(body, chr(10) ORDER BY line_no) FILTER (WHERE body <> '') AS body FROM lines GROUP BY 1"""))
+def assembled_items(spark, sf):
+    return corpus.assemble_items(B.lines(spark, sf))
+
+
+SPAN_SQL = """m AS (SELECT item_id, min(line_no) AS marker FROM lines WHERE contains(lower(translit), 'tion') GROUP BY 1),
+    st AS (SELECT item_id, marker, max(line_no) FILTER (WHERE line_no < marker AND (regexp_matches(translit, 'ion\\.$') OR length(trim(translit)) < 5)) AS stop
+      FROM m JOIN lines USING (item_id) GROUP BY 1, 2),
+    sp AS (SELECT item_id, coalesce(stop + 1, 0) AS start, marker AS "end" FROM st),
+    spans AS (SELECT item_id, string_agg(body, chr(10) ORDER BY line_no) FILTER (WHERE body <> '') AS body,
+        string_agg(translation, ' ' ORDER BY line_no) FILTER (WHERE translation <> '') AS translation, start::BIGINT AS start, "end"::BIGINT AS "end"
+      FROM sp JOIN lines USING (item_id) WHERE line_no BETWEEN start AND "end" GROUP BY item_id, start, "end")"""
+
+
+def _spans(spark, sf):
+    return corpus.refrain_spans(B.lines(spark, sf), MARKER, BOUNDARY, NO_TITLES)
+
+
+@query(sql("lines", f"+{SPAN_SQL} SELECT * FROM spans"))
+def refrain_spans(spark, sf):
+    """Refrain of every document, from the last boundary through the first marker line."""
+    return _spans(spark, sf)
+
+
+@query(sql("lines", f"""+{SPAN_SQL} SELECT 'found' AS metric, count(*)::DOUBLE AS value FROM spans UNION ALL SELECT 'multi_line', count(*)::DOUBLE FROM spans WHERE start <> "end"
+    UNION ALL SELECT 'single_line', count(*)::DOUBLE FROM spans WHERE start = "end" UNION ALL SELECT 'without', ((SELECT count(*) FROM documents) - count(*))::DOUBLE FROM spans"""))
+def refrain_stats(spark, sf):
+    return corpus.refrain_stats(_spans(spark, sf), B.lines(spark, sf).select("item_id").distinct())
+
+
+@query(sql("lines", """+ m AS (SELECT item_id, min(line_no) FILTER (WHERE contains(lower(translit), 'tion')) AS mk FROM lines GROUP BY 1)
+    SELECT item_id, line_no::BIGINT AS line_no, contains(lower(translit), 'tion') AS is_marker, coalesce(mk, -1)::BIGINT AS marker_index FROM lines JOIN m USING (item_id)"""))
+def marked_lines(spark, sf):
+    """Every line with the plain marker test and its item's first marked line."""
+    marked = corpus.mark_lines(B.lines(spark, sf), MARKER)
+    return marked.select("item_id", "line_no", "is_marker", "marker_index")
+
+
+@query(sql("lines", "SELECT item_id, arg_min(translation, line_no) AS seed_line FROM lines WHERE contains(lower(translit), 'tion') GROUP BY 1"))
+def seed_lines(spark, sf):
+    """Query text of each seed: the translation of its first marked line."""
+    return corpus.pick_seed_line(corpus.mark_lines(B.lines(spark, sf), MARKER))
+
+
+@query(sql("lines", """+ c AS (SELECT item_id, line_no, trim(body) AS b, regexp_replace(trim(body), '\\s*[ .]*$', '') AS bare FROM lines),
+    k AS (SELECT * FROM c WHERE NOT (b = '' OR b IN ('Et.', 'De la.') OR starts_with(b, 'The ') OR bare IN ('Et', 'De la')
+      OR (length(bare) < 50 AND len(list_intersect(regexp_split_to_array(bare, '\\s+')[1:6], ['la', 'the', 'der'])) > 0)))
+    SELECT item_id, arg_min(b, line_no) AS line FROM k GROUP BY 1"""))
+def first_content_line(spark, sf):
+    """First line that is no skip line, invocation or heading, with words of the driver's prose."""
+    return corpus.first_content_line(
+        B.lines(spark, sf), skip_lines=("Et.", "De la."), invocation="The ", heading_words=("la", "the", "der"), delimiter=".",
+        digits="0123456789",
+    )
+
+
+@query(sql("lines", """SELECT item_id, arg_min(trim(body), line_no) AS line FROM lines
+    WHERE NOT (length(trim(body)) < 5 OR regexp_matches(lower(trim(body)), '^(nat|jap|so)')) AND length(trim(body)) > 8 GROUP BY 1"""))
+def first_untitled_line(spark, sf):
+    """First longer line that is no section title."""
+    title = X.is_title_line(F.col("body"), ("nat", "jap", "so"))
+    return corpus.first_untitled_line(B.lines(spark, sf), title)
+
+
+@query(sql("lines", """SELECT item_id, line_no::BIGINT AS line_no, regexp_matches(body, '\\|\\|\\d+\\|\\|\\s*$') AS boundary, regexp_matches(lower(body), '\\|\\|.*rahaau.*\\|\\|') AS marker,
+    length(trim(body)) < 5 OR regexp_matches(lower(trim(body)), '^(' || $$raag|siree|aasaa|soohee|bilaaval|gauree|dhanaasaree|todee|bairaaree|tilang|sorath|maajh|vaddhans|jaitsaree|kedhaaraa|bhairo|basant|maaroo|malaar|kaanarre|prabhaatee|salok|mahalaa|goojaree|raamkalee|nat|maalee gaurraa|gond|tukhaari|suhi|devagadharee|devagandharee|wadhahas|wadhahans|saarang|nut|aasaavaree|kaliyaan|bihaagraa|jap|so dhar|so purakh$$ || ')') AS title FROM lines"""))
+def line_predicates(spark, sf):
+    """Default boundary, marker and title tests on every line."""
+    body = F.col("body")
+    return B.lines(spark, sf).select(
+        "item_id", "line_no", X.is_boundary(body).alias("boundary"), X.is_marker(body).alias("marker"),
+        X.is_title_line(body).alias("title"),
+    )
+
+
+@query("""SELECT p_partkey AS item_id, CASE WHEN p_partkey % 3 = 2 AND length(p_name) <= 5 THEN p_name || ' ' || p_size ELSE p_name END AS cleaned FROM part""")
+def stripped_numbers(spark, sf):
+    """Trailing numbers in both spellings removed from part names."""
+    p = B.table(spark, sf, "part")
+    n, k = F.col("p_size").cast("string"), F.col("p_partkey") % 3
+    text = (
+        F.when(k == 0, F.col("p_name"))
+        .when(k == 1, F.concat("p_name", F.lit(" |"), n, F.lit("| ")))
+        .otherwise(F.concat("p_name", F.lit(" "), n))
+    )
+    cleaned = X.strip_trailing_number(text, "|", "0123456789")
+    return p.select(F.col("p_partkey").alias("item_id"), cleaned.alias("cleaned"))
+
+
+@query(sql("lines", f"""+{SPAN_SQL},
+    u AS (SELECT item_id, arg_min(trim(body), line_no) AS line FROM lines WHERE length(trim(body)) > 8 GROUP BY 1),
+    h AS (SELECT item_id, arg_min(body, line_no) AS display FROM lines GROUP BY 1)
+    SELECT item_id, CASE WHEN display <> '' AND length(trim(display)) < 5 THEN coalesce(
+      CASE WHEN length(trim(split_part(s.body, chr(10), 1))) >= 5 THEN trim(split_part(s.body, chr(10), 1)) END, line, display) ELSE display END AS display
+    FROM h LEFT JOIN u USING (item_id) LEFT JOIN spans s USING (item_id)"""))
+def repaired_displays(spark, sf):
+    """Displays that are section titles replaced by refrain or content lines."""
+    lines = B.lines(spark, sf)
+    heads = lines.groupBy("item_id").agg(F.min_by("body", "line_no").alias("display"))
+    return corpus.repair_title_display(heads, _spans(spark, sf), corpus.first_untitled_line(lines)).select("item_id", "display")
+
+
+# ---- search ----------------------------------------------------------------------------------
+
+
+def _search_words(spark, sf):
+    """Queries from the part names: each first word, each word pair reversed, each type in lower case."""
+    p = B.table(spark, sf, "part")
+    word = F.split("p_name", " ")
+    texts = F.array(word.getItem(0), F.concat_ws(" ", word.getItem(1), F.substring(word.getItem(0), 1, 3)), F.lower("p_type"), F.lower("p_brand"))
+    q = p.select(F.explode(texts).alias("q")).distinct()
+    return q.withColumn("query_id", F.col("q"))
+
+
+WORDS = """q AS (SELECT DISTINCT unnest([split_part(p_name, ' ', 1), split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1)[1:3], lower(p_type), lower(p_brand)]) AS q FROM part)"""
+
+
+@query(sql("f1", f"""+{WORDS}, t AS (SELECT q, item_id FROM q JOIN f1 ON len(list_filter(string_split(q, ' '), lambda w: NOT contains(lower(display), w))) = 0),
+    g AS (SELECT q, item_id FROM q JOIN f1 ON contains(lower(array_to_string(tags, ' ')), q) OR contains(lower(theme), q) WHERE q NOT IN (SELECT q FROM t))
+    SELECT q AS query_id, item_id, rank, 'title' AS tier FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY item_id) AS rank FROM t) WHERE rank <= 12
+    UNION ALL SELECT q, item_id, rank, 'tag' FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY item_id) AS rank FROM g) WHERE rank <= 8"""))
+def two_tier_search(spark, sf):
+    """Words in titles, or else tags and themes, for many queries at once."""
+    return search.search_items(_search_words(spark, sf), item_meta(B.tagged_items(spark, sf)))
+
+
+INITIALS = r"""ini AS (SELECT item_id, line_no, array_to_string(list_transform(list_filter(regexp_split_to_array(lower(trim(translit)), '\s+'), lambda w: w <> ''), lambda w: w[1:1]), '') AS i FROM lines),
+    q AS (SELECT DISTINCT lower(replace(q, ' ', '')) AS q FROM (SELECT substr(i, 3, 5) AS q FROM ini WHERE line_no = 1 UNION SELECT i[1:1] || ' ' || i[2:3] FROM ini WHERE line_no = 0) WHERE length(replace(q, ' ', '')) >= 2)"""
+
+
+def _initial_queries(spark, sf):
+    ini = B.lines(spark, sf).select("line_no", X.initials(F.col("translit")).alias("i"))
+    middle = ini.filter("line_no = 1").select(F.substring("i", 3, 5).alias("q"))
+    start = ini.filter("line_no = 0").select(F.concat(F.substring("i", 1, 1), F.lit(" "), F.substring("i", 2, 2)).alias("q"))
+    q = middle.union(start).select(F.lower(F.replace("q", F.lit(" "), F.lit(""))).alias("query_id"), "q")
+    return q.groupBy("query_id").agg(F.min("q").alias("q"))
+
+
+def _initials_sql(test: str) -> str:
+    return sql("lines", f"""+{INITIALS}, h AS (SELECT q, item_id, min(line_no) AS line_no FROM q JOIN ini ON {test} GROUP BY 1, 2)
+    SELECT q AS query_id, item_id, line_no::BIGINT AS line_no, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY item_id) AS rank FROM h) WHERE rank <= 30""")
+
+
+@query(_initials_sql("starts_with(i, q)"))
+def initials_search_prefix(spark, sf):
+    """First-letter search from the start of the line."""
+    return search.search_initials(_initial_queries(spark, sf), B.lines(spark, sf), "prefix")
+
+
+@query(_initials_sql("contains(i, q)"))
+def initials_search_anywhere(spark, sf):
+    """First-letter search anywhere in the line."""
+    return search.search_initials(_initial_queries(spark, sf), B.lines(spark, sf), "anywhere")
+
+
+KEYWORDS = r"""tok AS (SELECT item_id, line_no, translit, list_filter(regexp_split_to_array(lower(translit), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS words FROM lines),
+    kq AS (SELECT item_id AS query_id, list_distinct(words[2:4]) AS words FROM tok WHERE line_no = 0 AND len(words) >= 4)"""
+
+
+@query(sql("lines", f"""+{KEYWORDS}, qw AS (SELECT query_id, len(words) AS k, unnest(words) AS w FROM kq), lw AS (SELECT DISTINCT item_id, line_no, unnest(words) AS w FROM tok),
+    h AS (SELECT query_id, item_id, line_no FROM qw JOIN lw USING (w) GROUP BY query_id, item_id, line_no HAVING count(*) = max(k)),
+    f AS (SELECT query_id, item_id, min(line_no) AS line_no FROM h WHERE query_id <> item_id GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY item_id) AS rank FROM f)
+    SELECT query_id, item_id, line_no::BIGINT AS line_no, rank, array_to_string(regexp_split_to_array(trim(translit), '\\s+')[1:6], ' ') AS title
+    FROM r JOIN lines USING (item_id, line_no) WHERE rank <= 10"""))
+def keyword_search(spark, sf):
+    """Lines that hold three words of another document's first line."""
+    lines = B.lines(spark, sf)
+    words = X.word_array(F.col("translit"))
+    q = lines.filter("line_no = 0").select(F.col("item_id").alias("query_id"), words.alias("words"))
+    q = q.filter(F.size("words") >= 4).select("query_id", F.array_distinct(F.slice("words", 2, 3)).alias("words"))
+    own = q.select("query_id", F.col("query_id").alias("item_id"))
+    return search.search_keywords(q, lines, own)
+
+
+@query(sql("f1", """SELECT item_id, array_to_string(list_sort(list_distinct(list_filter(
+      list_concat(string_split(lower(display), ' '), string_split(lower(theme), ' ')), lambda w: length(w) > 3 AND w NOT IN ('with', 'from', 'that', 'this', 'than', 'into', 'upon')))), ',') AS keywords FROM f1"""))
+def seed_keywords(spark, sf):
+    f1 = B.tagged_items(spark, sf)
+    return f1.select("item_id", F.sort_array(X.seed_keywords(F.col("display"), F.col("theme"))).alias("keywords"))
+
+
+@query(sql("lines", "SELECT source, item_id, line_no::BIGINT AS line_no, body FROM (SELECT author AS source, item_id, min(line_no) AS line_no FROM lines WHERE contains(body, 'e') GROUP BY 1, 2) JOIN lines USING (item_id, line_no)"))
+def first_hit(spark, sf):
+    """First matching line of each item, over all hits."""
+    hits = B.lines(spark, sf).filter(F.contains("body", F.lit("e"))).select(
+        F.col("author").alias("source"), "item_id", "line_no", "body"
+    )
+    return search.first_hit(hits, ["source"], "item_id", F.col("line_no"))
+
+
+@query(sql("ts", "map", "SELECT tag, n, CASE WHEN tag IN (SELECT tag FROM map) THEN 'about ' || tag ELSE '' END AS description, '' AS native_term FROM ts"))
+def tag_list(spark, sf):
+    """Tags with counts and descriptions."""
+    return search.list_tags(tag_sizes(item_tags(B.tagged_items(spark, sf))), B.vocabulary(spark, sf))
+
+
+@query(sql("it", "f1", "SELECT item_id, display AS title, theme FROM f1 WHERE item_id IN (SELECT item_id FROM it WHERE tag = 'widget' ORDER BY item_id LIMIT 10 OFFSET 5)"))
+def tag_page(spark, sf):
+    """One page of the items of a tag."""
+    items = B.tagged_items(spark, sf)
+    page = search.tag_page(item_tags(items), item_meta(items), "widget", 10, 5)
+    return page.select("item_id", "title", "theme")
+
+
+@query(sql("ts", "SELECT tag, n FROM ts WHERE contains(lower(tag), 'br') AND tag <> 'Repertoire'"))
+def filtered_tags(spark, sf):
+    return search.filter_tags(tag_sizes(item_tags(B.tagged_items(spark, sf))), " BR ")
+
+
+def _keyboard_sql() -> str:
+    quoted = lambda s: s.replace("'", "''")
+    c = "body"
+    for k, v in X.KEYBOARD_MAP.items():
+        if len(v) != 1:
+            c = f"replace({c}, '{quoted(k)}', '{v}')"
+    single = {k: v for k, v in X.KEYBOARD_MAP.items() if len(v) == 1}
+    return f"translate({c}, '{quoted(''.join(single))}', '{''.join(single.values())}')"
+
+
+@query(sql("lines", f"SELECT item_id, line_no::BIGINT AS line_no, {_keyboard_sql()} AS native FROM lines"))
+def keyboard_mapping(spark, sf):
+    """Keyboard keys of every line mapped to the native script."""
+    return B.lines(spark, sf).select("item_id", "line_no", X.map_keyboard(F.col("body")).alias("native"))
+
+
+def _bucket_sql() -> str:
+    arms = " ".join(
+        f"WHEN {' OR '.join(f'contains(t, {chr(39)}{n}{chr(39)})' for n in needles)} THEN '{group}'" for group, needles in X.THEME_GROUPS
+    )
+    return f"CASE {arms} ELSE 'other' END"
+
+
+@query(f"SELECT doc_id AS item_id, {_bucket_sql()} AS bucket FROM (SELECT doc_id, lower(text) AS t FROM documents)")
+def theme_buckets(spark, sf):
+    """Theme group of every document's text."""
+    d = B.table(spark, sf, "documents")
+    return d.select(F.col("doc_id").alias("item_id"), X.theme_bucket(F.col("text")).alias("bucket"))
+
+
+def _translit_sql(c: str) -> str:
+    c = f"trim(lower(regexp_replace({c}, '[^a-zA-Z\\s]', '', 'g')))"
+    for a, b in (("aa+", "a"), ("ee+", "i"), ("oo+", "u"), ("ai", "e"), ("au", "o")):
+        c = f"regexp_replace({c}, '{a}', '{b}', 'g')"
+    for ch in "abcdefghijklmnopqrstuvwxyz":
+        c = f"regexp_replace({c}, '{ch}{ch}+', '{ch}', 'g')"
+    return f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
+
+
+@query(f"""SELECT item_id, lower(trim(regexp_replace(regexp_replace(text, '\\(.*?\\)', '', 'g'), '[^a-zA-Z\\s]', '', 'g'))) AS clean,
+    {_translit_sql("text")} AS folded FROM benchmark""")
+def cleaned_titles(spark, sf):
+    """Clean and folded forms of the benchmark texts."""
+    b = B.table(spark, sf, "benchmark")
+    return b.select("item_id", X.clean_title(F.col("text")).alias("clean"), X.normalize_translit(F.col("text")).alias("folded"))
+
+
+# ---- collection and incremental state --------------------------------------------------------
+
+
+@query("""SELECT l_partkey AS item_id, true AS flagged, array_to_string(list_sort(list_distinct(list(l_suppkey))), ',') AS chapters, count(*) AS n_entries
+    FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1""")
+def collection_index(spark, sf):
+    return collection.collection_index(B.entries(spark, sf), "R")
+
+
+@query("""SELECT 'flagged_items' AS metric, count(DISTINCT l_partkey)::DOUBLE AS value FROM lineitem WHERE l_returnflag = 'R'
+    UNION ALL SELECT 'chapters', count(DISTINCT l_suppkey)::DOUBLE FROM lineitem WHERE l_returnflag = 'R'""")
+def collection_coverage(spark, sf):
+    return collection.collection_coverage(collection.collection_index(B.entries(spark, sf), "R"))
+
+
+@query(sql("flags", """+ old AS (SELECT p_partkey AS item_id, CASE WHEN p_partkey % 4 = 0 THEN p_brand END AS other FROM part WHERE p_partkey % 2 = 0)
+    SELECT coalesce(o.item_id, f.item_id) AS item_id, other, flagged, n_entries FROM (SELECT * FROM old WHERE other IS NOT NULL) o FULL JOIN flags f ON f.item_id = o.item_id"""))
+def merged_flags(spark, sf):
+    """Fresh flags merged into a table that holds stale ones and another source's column."""
+    p = B.table(spark, sf, "part").filter(F.col("p_partkey") % 2 == 0)
+    old = p.select(
+        F.col("p_partkey").alias("item_id"), F.when(F.col("p_partkey") % 4 == 0, F.col("p_brand")).alias("other"),
+        F.lit(True).alias("flagged"), F.array(F.lit(1)).alias("chapters"), F.lit(9).cast("bigint").alias("n_entries"),
+    )
+    return collection.merge_flags(old, B.item_flags(spark, sf)).drop("chapters")
+
+
+@query(sql("f1", "flags", """SELECT 'flagged' AS mode, item_id FROM f1 WHERE item_id IN (SELECT item_id FROM flags)
+    UNION ALL SELECT 'unflagged', item_id FROM f1 WHERE item_id NOT IN (SELECT item_id FROM flags) UNION ALL SELECT 'all', item_id FROM f1"""))
+def items_by_flag(spark, sf):
+    items, flags = B.tagged_items(spark, sf).select("item_id"), B.item_flags(spark, sf)
+    parts = [collection.by_flag(items, flags, m).select(F.lit(m).alias("mode"), "item_id") for m in ("flagged", "unflagged", "all")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("SELECT user_id, event_type, arg_max(value, ts) AS value, arg_max(event_id, ts) AS event_id, max(ts) AS ts FROM events GROUP BY 1, 2")
+def latest_rows(spark, sf):
+    """Insert-or-replace by key: the latest event of each user and type."""
+    ev = B.table(spark, sf, "events").select("user_id", "event_type", "ts", "value", "event_id")
+    return incremental.latest_wins(ev, ["user_id", "event_type"], "ts", "event_id")
+
+
+@query("""SELECT vec_id AS item_id, CASE WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END::BIGINT AS label, round(embedding[1]::DOUBLE, 6) AS x FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 3 = 0""")
+def upserted_vectors(spark, sf):
+    """Known ids replaced, new ids added."""
+    e = B.table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vec"), "label")
+    old, new = e.filter("item_id % 2 = 0"), e.filter("item_id % 3 = 0").withColumn("label", F.col("label") + 100)
+    merged = incremental.upsert_vectors(old, new)
+    return merged.select("item_id", "label", F.round(F.col("vec").getItem(0).cast("double"), 6).alias("x"))
+
+
+@query(sql("lib", "SELECT rec_id, title FROM lib WHERE status = 'complete'"))
+def complete_records(spark, sf):
+    return incremental.complete_records(B.library(spark, sf)).select("rec_id", "title")
+
+
+@query(sql("f1", "SELECT item_id, display, theme, array_to_string(tags, ',') AS tags FROM f1"))
+def items_json_roundtrip(spark, sf):
+    """Items written as JSON documents and read back with the explicit schema."""
+    path = staged_path(spark, "items")
+    B.tagged_items(spark, sf).select("item_id", "display", "theme", "tags").write.json(path)
+    return tables.read_items(spark, path).select("item_id", "display", "theme", "tags")
+
+
+# ---- annotator passes ------------------------------------------------------------------------
+
+
+def _order_items(spark, sf):
+    """Orders as items; every tenth lacks a translation."""
+    o = B.table(spark, sf, "orders")
+    return o.select(
+        F.col("o_orderkey").alias("item_id"), (F.col("o_custkey") % 90).cast("int").alias("page"),
+        F.when(F.col("o_orderkey") % 10 == 0, F.lit(" ")).otherwise(F.concat_ws(" ", "o_orderpriority", "o_orderstatus")).alias("translation"),
+        F.when(F.col("o_orderkey") % 3 != 0, F.struct(F.col("o_orderpriority").alias("translation"))).alias("refrain"),
+    )
+
+
+PENDING = """items AS (SELECT o_orderkey AS item_id, (o_custkey % 90)::BIGINT AS page, o_orderpriority || ' ' || o_orderstatus AS translation, o_orderpriority AS prio FROM orders WHERE o_orderkey % 10 <> 0),
+    pend AS (SELECT * FROM items WHERE item_id NOT IN (SELECT item_id FROM ann WHERE annotator = 'm1' AND tags IS NOT NULL AND error IS NULL))"""
+
+
+@query(sql("ann", "flags", f"+{PENDING} SELECT item_id, page, CASE WHEN item_id IN (SELECT item_id FROM flags) THEN 0 ELSE 1 END::BIGINT AS turn FROM pend"))
+def pending_work(spark, sf):
+    """Orders one annotator still has to answer, flagged ones first."""
+    done = B.annotations(spark, sf).filter(F.col("annotator") == "m1")
+    flags = B.item_flags(spark, sf)
+    return passes.work_order(passes.pending(_order_items(spark, sf), done, flags), flags).select("item_id", "page", "turn")
+
+
+@query(sql("ann", "flags", f"+{PENDING} SELECT item_id, page, 0::BIGINT AS turn FROM pend WHERE item_id IN (SELECT item_id FROM flags) ORDER BY page, item_id LIMIT 50"))
+def pending_flagged(spark, sf):
+    """The first fifty flagged orders of the work order."""
+    done = B.annotations(spark, sf).filter(F.col("annotator") == "m1")
+    flags = B.item_flags(spark, sf)
+    todo = passes.pending(_order_items(spark, sf), done, flags, "flagged")
+    return passes.work_order(todo, flags, 50).select("item_id", "page", "turn")
+
+
+@query(sql("ann", """+ d AS (SELECT DISTINCT item_id FROM ann WHERE annotator = 'm1' AND tags IS NOT NULL AND error IS NULL)
+    SELECT 'items' AS metric, count(*)::DOUBLE AS value FROM orders UNION ALL SELECT 'answered', count(*)::DOUBLE FROM d WHERE item_id IN (SELECT o_orderkey FROM orders)
+    UNION ALL SELECT 'reusable', CASE WHEN (SELECT count(*) FROM d) >= 0.9 * (SELECT count(*) FROM orders) THEN 1.0 ELSE 0.0 END::DOUBLE"""))
+def pass_coverage(spark, sf):
+    return passes.pass_coverage(_order_items(spark, sf), B.annotations(spark, sf).filter(F.col("annotator") == "m1"))
+
+
+@query(sql("ts", """+ v AS (SELECT array_to_string(list(tag ORDER BY tag), ', ') AS v FROM (SELECT tag FROM ts ORDER BY tag LIMIT 20))
+    SELECT o_orderkey AS item_id, 'Translation: ' || CASE WHEN o_orderkey % 10 = 0 THEN ' ' ELSE o_orderpriority || ' ' || o_orderstatus END || chr(10) ||
+      'Core line: ' || CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority ELSE '(no refrain)' END || chr(10) || 'Vocabulary: ' || v || chr(10) ||
+      'Answer in JSON with primary_theme, mood, brief_meaning, tags and reasoning.' AS request, true AS constrained FROM orders, v"""))
+def rendered_requests(spark, sf):
+    """Request text per order with the first twenty tags of the vocabulary."""
+    vocabulary = passes.vocabulary_text(tables.derive_vocabulary(B.tagged_items(spark, sf)), 20)
+    return passes.render_request(_order_items(spark, sf), vocabulary).select("item_id", "request", "constrained")
+
+
+@query("""SELECT o_orderkey AS item_id, o_orderkey // 12 AS batch_id, row_number() OVER (PARTITION BY o_orderkey // 12 ORDER BY o_orderkey) AS place FROM orders""")
+def request_batches(spark, sf):
+    return passes.batched(_order_items(spark, sf).select("item_id"), 12)
+
+
+def _answers(spark, sf):
+    """Answer texts of many kinds: fenced, plain, with a tag list or text, unreadable."""
+    o = B.table(spark, sf, "orders")
+    k = F.col("o_orderkey") % 4
+    body = F.to_json(F.struct(
+        F.col("o_orderpriority").alias("primary_theme"), F.col("o_orderstatus").alias("mood"),
+        F.when(k != 1, F.array("o_orderstatus", "o_orderpriority")).alias("tags"),
+    ))
+    text = (
+        F.when(k == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+        .when(k == 1, F.replace(body, F.lit("}"), F.lit(',"tags":"none"}')))
+        .when(k == 2, body)
+        .otherwise(F.lit("sorry, no answer"))
+    )
+    return o.select(F.col("o_orderkey").alias("item_id"), text.alias("answer"))
+
+
+@query("""SELECT o_orderkey AS item_id, CASE WHEN k < 3 THEN o_orderpriority ELSE '' END AS theme, CASE WHEN k < 3 THEN o_orderstatus ELSE '' END AS mood,
+    '' AS summary, CASE WHEN k IN (0, 2) THEN o_orderstatus || ',' || o_orderpriority WHEN k = 1 THEN '' END AS tags, '' AS reasoning,
+    CASE WHEN k = 3 THEN 'unreadable answer' END AS error FROM (SELECT *, o_orderkey % 4 AS k FROM orders)""")
+def parsed_annotations(spark, sf):
+    """Annotation columns from answer texts; bad ones keep an error."""
+    return passes.parse_annotation(_answers(spark, sf))
+
+
+def _batch_answers(spark, sf):
+    """Batched answers; every fifth batch is one result short."""
+    members = passes.batched(_order_items(spark, sf).select("item_id"), 12)
+    kept = members.withColumn("size", F.max("place").over(Window.partitionBy("batch_id"))).filter(
+        (F.col("batch_id") % 5 != 0) | (F.col("place") < F.col("size"))
+    )
+    result = F.struct(
+        F.col("place").alias("index"), F.col("item_id").cast("string").alias("id"),
+        F.concat(F.lit("t"), F.col("item_id").cast("string")).alias("primary_theme"),
+    )
+    rows = kept.groupBy("batch_id").agg(F.sort_array(F.collect_list(F.struct("place", result.alias("r")))).alias("rows"))
+    answer = F.to_json(F.struct(F.transform("rows", lambda r: r["r"]).alias("results")))
+    return rows.select("batch_id", answer.alias("answer")), members
+
+
+@query("""SELECT 'aligned' AS part, o_orderkey AS item_id, 't' || o_orderkey AS theme FROM orders WHERE (o_orderkey // 12) % 5 <> 0
+    UNION ALL SELECT 'redo', o_orderkey, NULL FROM orders WHERE (o_orderkey // 12) % 5 = 0""")
+def realigned_by_position(spark, sf):
+    """Batched answers matched by position; short batches are redone as a whole."""
+    aligned, redo = passes.realign(*_batch_answers(spark, sf), by="position")
+    return aligned.select(F.lit("aligned").alias("part"), "item_id", "theme").unionByName(
+        redo.select(F.lit("redo").alias("part"), "item_id", F.lit(None).cast("string").alias("theme"))
+    )
+
+
+@query("""WITH b AS (SELECT *, o_orderkey // 12 AS b, max(o_orderkey) OVER (PARTITION BY o_orderkey // 12) AS last FROM orders)
+    SELECT 'aligned' AS part, o_orderkey AS item_id, 't' || o_orderkey AS theme FROM b WHERE b % 5 <> 0 OR o_orderkey < last
+    UNION ALL SELECT 'redo', o_orderkey, NULL FROM b WHERE b % 5 = 0 AND o_orderkey = last""")
+def realigned_by_id(spark, sf):
+    """Batched answers matched by id; only the missing items are redone."""
+    aligned, redo = passes.realign(*_batch_answers(spark, sf), by="id")
+    return aligned.select(F.lit("aligned").alias("part"), "item_id", "theme").unionByName(
+        redo.select(F.lit("redo").alias("part"), "item_id", F.lit(None).cast("string").alias("theme"))
+    )
+
+
+def _stub_annotator(request: str) -> str:
+    """Deterministic stand-in for a model: echoes the core line, fails on one priority."""
+    core = request.split("Core line: ", 1)[1].split("\n", 1)[0]
+    if core.startswith("1-"):
+        raise ValueError("busy")
+    return json.dumps({"primary_theme": core, "tags": [core.lower()]})
+
+
+@query(sql("ann", f"""+{PENDING} SELECT item_id, 'stub' AS annotator, CASE WHEN core LIKE '1-%' THEN '' ELSE core END AS theme, CASE WHEN core NOT LIKE '1-%' THEN lower(core) END AS tags,
+    CASE WHEN core LIKE '1-%' THEN 'busy' END AS error FROM (SELECT item_id, CASE WHEN item_id % 3 <> 0 THEN prio ELSE '(no refrain)' END AS core FROM pend)"""))
+def annotator_pass(spark, sf):
+    """A whole pass with a stub annotator; failing calls become error rows."""
+    done = B.annotations(spark, sf).filter(F.col("annotator") == "m1")
+    out = passes.annotator_pass(_order_items(spark, sf), done, B.item_flags(spark, sf), _stub_annotator, "stub")
+    return out.select("item_id", "annotator", "theme", "tags", "error")
+
+
+@query(sql("f1", "SELECT item_id, 'Theme: ' || theme || ' | Mood: ' || mood || ' | ' || summary || ' | ' || translit AS text FROM f1"))
+def corpus_embed_text(spark, sf):
+    f1 = B.tagged_items(spark, sf)
+    text = X.embed_text_corpus(F.col("theme"), F.col("mood"), F.col("summary"), F.lit(None).cast("string"), F.col("translit"))
+    return f1.select("item_id", text.alias("text"))
+
+
+@query(sql("lib", """SELECT rec_id, title || ' | ' || translation || coalesce(' | Theme: ' || theme, '') || ' | Themes: ' || category || ', ' || contributor || ' | Mood: calm' AS text FROM lib"""))
+def library_embed_text(spark, sf):
+    lib = B.library(spark, sf)
+    text = X.embed_text_library(
+        F.col("title"), F.col("translation"), F.col("theme"), F.array("category", "contributor"), F.col("mood"), F.lit("")
+    )
+    return lib.select("rec_id", text.alias("text"))
+
+
+@query("SELECT doc_id AS item_id, 64 AS dim, len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> ''))::DOUBLE AS mass FROM documents WHERE len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) > 0")
+def hashed_vectors(spark, sf):
+    """Model-free vectors of all documents: their size and the number of words they count."""
+    d = B.table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), "text")
+    v = passes.hashed_vectors(d, "text")
+    mass = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)
+    return v.select("item_id", F.size("vec").cast("bigint").alias("dim"), mass.alias("mass"))
+
+
+def _letter_counts(texts):
+    return [[float(t.count(c)) for c in "aeiou"] for t in texts]
+
+
+@query("""SELECT doc_id AS item_id, array_to_string([length(text) - length(replace(text, v, '')) FOR v IN ['a', 'e', 'i', 'o', 'u']], ',') AS vec FROM documents""")
+def embedded_texts(spark, sf):
+    """Vectors from an injected function, here vowel counts."""
+    d = B.table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), "text")
+    return passes.embed_texts(d, "text", _letter_counts).select("item_id", F.col("vec").cast("array<int>").alias("vec"))
+
+
+@query("""SELECT o_orderkey AS item_id FROM orders WHERE o_orderkey % 10 <> 0 OR o_orderkey % 20 = 0""")
+def embeddable_items(spark, sf):
+    """Items with a translation or a transliteration."""
+    items = _order_items(spark, sf).withColumn("translit", F.when(F.col("item_id") % 20 == 0, "x"))
+    return vectors.embeddable(items).select("item_id")

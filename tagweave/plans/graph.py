@@ -142,7 +142,7 @@ CLUSTER_SQL = """
       WHEN NOT from_vector AND (len(shared_tags) = len(src_tags) OR len(fresh) = 0) THEN shared_tags
       ELSE [rarest] END) AS cluster FROM freshened LEFT JOIN rare USING (req_id, dst)),
   capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY req_id, cluster ORDER BY score DESC, dst) AS rk FROM assigned) WHERE rk <= per_tag),
-  stats AS (SELECT req_id, cluster, count(*) AS n, round(avg(score), 6) AS mean, bool_or(list_contains(src_tags, cluster)) AS core FROM capped GROUP BY 1, 2),
+  stats AS (SELECT req_id, cluster, count(*) AS n, round(avg(score), 9) AS mean, bool_or(list_contains(src_tags, cluster)) AS core FROM capped GROUP BY 1, 2),
   best_core AS (SELECT req_id, cluster AS target FROM (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY mean DESC, cluster) AS o FROM stats WHERE core) WHERE o = 1),
   best_size AS (SELECT req_id, cluster AS target FROM (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY n DESC, cluster) AS o FROM stats WHERE core OR n >= 2) WHERE o = 1),
   moved AS (SELECT c.req_id, c.src, c.dst, c.score, c.per_tag, c.from_vector,
@@ -156,7 +156,7 @@ WITH_VECTOR = """
     FROM req a JOIN nt0 an ON an.item_id = a.req_id, f1 b JOIN nt0 bn ON bn.item_id = b.item_id
     WHERE a.vec IS NOT NULL AND b.vec IS NOT NULL AND a.req_id <> b.item_id AND a.req_id % 3 = 0),
   vk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY distance, dst) AS o FROM vd) WHERE o <= 30),
-  vh AS (SELECT r.req_id, r.src, k.dst, r.src_tags, r.per_tag, CAST([] AS VARCHAR[]) AS shared_tags, round(s, 6) AS score, round(s, 6) AS base_score, true AS from_vector
+  vh AS (SELECT r.req_id, r.src, k.dst, r.src_tags, r.per_tag, CAST([] AS VARCHAR[]) AS shared_tags, round(s, 9) AS score, round(s, 9) AS base_score, true AS from_vector
     FROM (SELECT k.*, CASE WHEN r.boost AND f.flagged THEN least(1.0, 1.3 * greatest(0.0, least(1.0, 1 - k.distance))) ELSE greatest(0.0, least(1.0, 1 - k.distance)) END AS s
       FROM vk k JOIN req r USING (req_id) LEFT JOIN flags f ON f.item_id = k.dst) k JOIN req r USING (req_id) WHERE s >= r.threshold),"""
 NT0 = "nt0 AS (SELECT item_id, sqrt(list_dot_product(vec, vec)) AS norm FROM f1),"
@@ -167,7 +167,7 @@ def _cluster_sql(body: str, threshold="0.3::DOUBLE", per_tag=8, boost="false", v
     return sql("f1", "ts", "edges", "flags", f"+{NT0}{ctes} {body}")
 
 
-CLUSTERED = "SELECT req_id, src, cluster, dst, round(score, 6) AS score, from_vector, rank FROM clustered"
+CLUSTERED = "SELECT req_id, src, cluster, dst, round(score, 9) AS score, from_vector, rank FROM clustered"
 
 
 def _requests(spark, sf, threshold=clusters.DEFAULT_THRESHOLD, per_tag=clusters.DEFAULT_PER_TAG, boost=False):
@@ -185,7 +185,7 @@ def _clustered(spark, sf, vector=False, **request):
     out = clusters.neighbor_clusters(
         _requests(spark, sf, **request), edges, graph.item_meta(items), sizes, B.item_flags(spark, sf), found
     )
-    return out.withColumn("score", F.round("score", 6))
+    return out.withColumn("score", F.round("score", 9))
 
 
 def _own_vector_hits(items):
@@ -261,7 +261,7 @@ def vector_knn(spark, sf):
     return vectors.knn(q, e, 10, exclude=q.select("query_id", F.col("query_id").alias("item_id")))
 
 
-@query(f"""WITH {UNIT}, d AS (SELECT a.item_id AS query_id, b.item_id, a.label, round(1.0 - list_dot_product(a.vec, b.vec) / (a.norm * b.norm), 6) AS distance
+@query(f"""WITH {UNIT}, d AS (SELECT a.item_id AS query_id, b.item_id, a.label, round(1.0 - list_dot_product(a.vec, b.vec) / (a.norm * b.norm), 6) + 0.0 AS distance
       FROM u a JOIN u b ON a.label = b.label)
     SELECT query_id, item_id, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, item_id) AS rank FROM d) WHERE rank <= 5""")
 def vector_knn_where(spark, sf):
