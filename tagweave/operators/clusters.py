@@ -58,20 +58,25 @@ def blend(vector: DataFrame | None, graph: DataFrame) -> DataFrame:
     kept = graph.filter(F.col("score") >= F.col("threshold"))
     if vector is None:
         return kept
-    rest = kept.join(vector.select("req_id", "dst"), ["req_id", "dst"], "left_anti")
-    return vector.unionByName(rest.select(*vector.columns))
-
-
-def rarest_tag(hits: DataFrame, tag_sizes: DataFrame, tags: str = "fresh") -> DataFrame:
-    """Add ``rarest``: the tag of the array carried by the fewest items, ties by name."""
-    counted = (
-        hits.select("req_id", "dst", F.explode(tags).alias("tag"))
-        .join(tag_sizes, "tag", "left")
-        .groupBy("req_id", "dst")
-        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "tag")).alias("_least"))
-        .select("req_id", "dst", F.col("_least.tag").alias("rarest"))
+    keys = ["req_id", "dst"]
+    rest = [c for c in kept.columns if c not in keys]
+    both = kept.unionByName(vector).groupBy(*keys).agg(
+        F.max_by(F.struct(*rest), "from_vector").alias("h")
     )
-    return hits.join(counted, ["req_id", "dst"], "left")
+    return both.select(*keys, "h.*")
+
+
+def ranked_tags(meta: DataFrame, tag_sizes: DataFrame) -> DataFrame:
+    """(item_id, tags, theme, by_size): the item's tags also ordered from rarest to most common."""
+    tags = meta.select("item_id", F.explode("tags").alias("tag")).join(tag_sizes, "tag", "left")
+    order = F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "tag")))
+    by_size = tags.groupBy("item_id").agg(F.transform(order, lambda t: t["tag"]).alias("by_size"))
+    return meta.select("item_id", "tags", "theme").join(by_size, "item_id", "left")
+
+
+def rarest_tag(by_size: Column, mine: Column) -> Column:
+    """First tag of a rarest-first list that the item does not carry itself; null if none."""
+    return F.get(F.filter(by_size, lambda t: ~F.array_contains(mine, t)), 0)
 
 
 def assign_clusters(hits: DataFrame, meta: DataFrame, tag_sizes: DataFrame) -> DataFrame:
@@ -82,25 +87,27 @@ def assign_clusters(hits: DataFrame, meta: DataFrame, tag_sizes: DataFrame) -> D
     item carries, else its rarest new tag; without tags it goes to its theme.
     """
     src = meta.select(F.col("item_id").alias("src"), F.col("tags").alias("src_tags"))
-    dst = meta.select(F.col("item_id").alias("dst"), F.col("tags").alias("dst_tags"), F.col("theme").alias("dst_theme"))
-    fallback = F.array(F.coalesce(F.nullif(F.trim("dst_theme"), F.lit("")), F.lit(NO_TAG_CLUSTER)))
-    theirs = F.coalesce("dst_tags", _no_tags())
-    mine = F.coalesce("src_tags", _no_tags())
+    dst = ranked_tags(meta, tag_sizes).select(
+        F.col("item_id").alias("dst"), F.col("tags").alias("dst_tags"), F.col("theme").alias("dst_theme"), "by_size"
+    )
     joined = (
         hits.join(src, "src", "left").join(dst, "dst", "left")
-        .withColumn("src_tags", mine)
-        .withColumn("dst_tags", F.when(F.col("from_vector") & (F.size(theirs) == 0), fallback).otherwise(theirs))
-        .withColumn("fresh", F.array_except("dst_tags", "src_tags"))
+        .withColumn("src_tags", F.coalesce("src_tags", _no_tags()))
+        .withColumn("dst_tags", F.coalesce("dst_tags", _no_tags()))
+        .withColumn("by_size", F.coalesce("by_size", _no_tags()))
+        .withColumn("rarest", rarest_tag(F.col("by_size"), F.col("src_tags")))
     )
-    ranked = rarest_tag(joined, tag_sizes)
+    theme = F.coalesce(F.nullif(F.trim("dst_theme"), F.lit("")), F.lit(NO_TAG_CLUSTER))
     matching = F.array_intersect("dst_tags", "src_tags")
     all_shared = F.size(F.array_except("src_tags", "shared_tags")) == 0
+    from_vector = F.col("from_vector")
     clusters = (
-        F.when(F.col("from_vector") & (F.size(matching) > 0), F.slice(matching, 1, 1))
-        .when(~F.col("from_vector") & (all_shared | (F.size("fresh") == 0)), F.col("shared_tags"))
+        F.when(from_vector & (F.size("dst_tags") == 0), F.array(theme))
+        .when(from_vector & (F.size(matching) > 0), F.slice(matching, 1, 1))
+        .when(~from_vector & (all_shared | F.col("rarest").isNull()), F.col("shared_tags"))
         .otherwise(F.array("rarest"))
     )
-    return ranked.select(
+    return joined.select(
         "req_id", "src", "dst", "score", "per_tag", "from_vector", "src_tags",
         F.explode(clusters).alias("cluster"),
     )
@@ -116,33 +123,25 @@ def merge_thin(clustered: DataFrame, min_size: int = MIN_CLUSTER) -> DataFrame:
 
     The target is the core cluster with the highest mean score, else the largest cluster that is
     not thin, measured once before merging; ties go to the first name. With no target, thin
-    clusters stay as they are.
+    clusters stay as they are. A request has few rows, so all of this runs over one shuffle.
     """
-    stats = (
-        clustered.groupBy("req_id", "cluster")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.round(F.avg("score"), EXACT_DIGITS).alias("mean"),
-            F.bool_or(F.array_contains("src_tags", F.col("cluster"))).alias("core"),
-        )
-        .withColumn("thin", ~F.col("core") & (F.col("n") < min_size))
-    )
-    core_rank = F.struct(-F.col("mean"), F.col("cluster"))
-    size_rank = F.struct(-F.col("n"), F.col("cluster"))
-    targets = stats.groupBy("req_id").agg(
-        F.coalesce(
-            F.min_by("cluster", F.when(F.col("core"), core_rank)),
-            F.min_by("cluster", F.when(~F.col("thin"), size_rank)),
-        ).alias("target")
+    cluster, request = Window.partitionBy("req_id", "cluster"), Window.partitionBy("req_id")
+    core = F.array_contains("src_tags", F.col("cluster"))
+    measured = (
+        clustered.withColumn("_n", F.count(F.lit(1)).over(cluster))
+        .withColumn("_mean", F.round(F.avg("score").over(cluster), EXACT_DIGITS))
+        .withColumn("_thin", ~core & (F.col("_n") < min_size))
     )
-    moves = (
-        stats.filter("thin").join(targets, "req_id").filter(F.col("target").isNotNull())
-        .select("req_id", "cluster", "target")
+    core_rank = F.struct(-F.col("_mean"), F.col("cluster"))
+    size_rank = F.struct(-F.col("_n"), F.col("cluster"))
+    target = F.coalesce(
+        F.min_by("cluster", F.when(core, core_rank)).over(request),
+        F.min_by("cluster", F.when(~F.col("_thin"), size_rank)).over(request),
     )
-    moved = clustered.join(moves, ["req_id", "cluster"], "left").withColumn(
-        "cluster", F.coalesce("target", "cluster")
+    moved = measured.withColumn("_target", target).withColumn(
+        "cluster", F.when(F.col("_thin"), F.coalesce("_target", "cluster")).otherwise(F.col("cluster"))
     )
-    return _cap(moved.drop("target", "rank"))
+    return _cap(moved.drop("_n", "_mean", "_thin", "_target", "rank"))
 
 
 def neighbor_clusters(
@@ -160,8 +159,10 @@ def neighbor_clusters(
     """
     graph = graph_hits(requests, edges, flags)
     vector = None if vector_found is None else vector_hits(requests, vector_found, flags)
-    clustered = _cap(assign_clusters(blend(vector, graph), meta, tag_sizes))
-    return merge_thin(clustered).select("req_id", "src", "cluster", "dst", "score", "from_vector", "rank")
+    assigned = assign_clusters(blend(vector, graph), meta, tag_sizes).repartition("req_id")
+    return merge_thin(_cap(assigned)).select(
+        "req_id", "src", "cluster", "dst", "score", "from_vector", "rank"
+    )
 
 
 def shown_totals(clustered: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ def _connected(items: DataFrame, marker: str) -> DataFrame:
     return items.select("item_id", tags.alias("tags"), "vec").filter(F.size("tags") > 0)
 
 
-_CANDIDATE = "src long, tag string, core boolean, dst long, score double"
+_CANDIDATE = "src long, tag string, core boolean, dst long, score double, n_tags int"
 
 
 def _cell_candidates(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -84,12 +84,13 @@ def _cell_candidates(pdf: pd.DataFrame) -> pd.DataFrame:
                         "core": is_core,
                         "dst": ids[dst][cols],
                         "score": score[rows, cols],
+                        "n_tags": n_tags[src][rows].astype(int),
                     }
                 )
             )
-    out = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=["src", "core", "dst", "score"])
-    out.insert(1, "tag", pdf["tag"].iat[0])
-    return out
+    if not parts:
+        return pd.DataFrame(columns=["src", "tag", "core", "dst", "score", "n_tags"])
+    return pd.concat(parts, ignore_index=True).assign(tag=pdf["tag"].iat[0])
 
 
 def tag_candidates(
@@ -99,10 +100,12 @@ def tag_candidates(
 
     Core candidates share all of the item's tags, branch candidates only some. Tags are split into
     bounded blocks (see ``blocks``), so a tag carried by a third of all items runs as many cells.
+    The result is laid out by item, which every later step of the graph reuses.
     """
     exploded = _connected(items, marker).withColumn("tag", F.explode("tags"))
     cells = blocks.pair_cells(exploded, ["tag"], "item_id", block_rows)
-    return cells.groupBy("tag", "cell_a", "cell_b").applyInPandas(_cell_candidates, _CANDIDATE)
+    found = cells.groupBy("tag", "cell_a", "cell_b").applyInPandas(_cell_candidates, _CANDIDATE)
+    return found.repartition("src")
 
 
 def pool_topk(candidates: DataFrame) -> DataFrame:
@@ -120,19 +123,14 @@ def pool_topk(candidates: DataFrame) -> DataFrame:
 
 
 def allocate_slots(
-    pooled: DataFrame, n_tags: DataFrame, k_max: int = S.K_MAX, per_tag_min: int = S.PER_TAG_MIN
+    pooled: DataFrame, k_max: int = S.K_MAX, per_tag_min: int = S.PER_TAG_MIN
 ) -> DataFrame:
     """Give every tag of an item its share of the neighbour slots, best scores first."""
     w = Window.partitionBy("src", "tag").orderBy(
         F.desc("score"), F.desc("core"), F.asc("dst")
     )
     slots = F.greatest(F.lit(per_tag_min), F.floor(F.lit(k_max) / F.col("n_tags")))
-    return (
-        pooled.join(n_tags, "src")
-        .withColumn("slot", F.row_number().over(w))
-        .filter(F.col("slot") <= slots)
-        .drop("n_tags")
-    )
+    return pooled.withColumn("slot", F.row_number().over(w)).filter(F.col("slot") <= slots)
 
 
 def finalize_edges(allocated: DataFrame, k: int = S.K_MAX) -> DataFrame:
@@ -158,9 +156,8 @@ def similarity_graph(
     rounded to six digits before ranking; ties prefer core over branch, then the lower id.
     """
     tags = _connected(items, marker).select("item_id", "tags")
-    n_tags = tags.select(F.col("item_id").alias("src"), F.size("tags").alias("n_tags"))
     pooled = pool_topk(tag_candidates(items, marker, block_rows))
-    edges = finalize_edges(allocate_slots(pooled, n_tags, k_max, per_tag_min), k_max)
+    edges = finalize_edges(allocate_slots(pooled, k_max, per_tag_min), k_max)
     src = tags.select(F.col("item_id").alias("src"), F.col("tags").alias("src_tags"))
     dst = tags.select(F.col("item_id").alias("dst"), F.col("tags").alias("dst_tags"))
     return (

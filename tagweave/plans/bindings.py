@@ -73,7 +73,7 @@ def entries(spark: SparkSession, sf: str, condition=None) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines of the documents; the body doubles as transliteration and, upper-cased, translation."""
+    """Lines of the documents; the body doubles as transliteration and, marked, as translation."""
     d = table(spark, sf, "documents")
     rows = d.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "body"))
     return rows.select(
@@ -84,7 +84,7 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
         F.col("source").alias("author"),
         "body",
         F.col("body").alias("translit"),
-        F.substring("body", 1, 40).alias("translation"),
+        F.when(F.col("body") == "", "").otherwise(F.concat(F.lit("~"), "body")).alias("translation"),
     )
 
 
@@ -294,7 +294,7 @@ CTE: dict[str, tuple[tuple[str, ...], str]] = {
     "flags": ((), """SELECT l_partkey AS item_id, true AS flagged, count(*) AS n_entries FROM lineitem
         WHERE l_returnflag = 'R' AND l_quantity >= 45 GROUP BY 1"""),
     "lines": ((), """SELECT doc_id AS item_id, CAST(doc_id // 100 AS INT) AS page, CAST(i - 1 AS INT) AS line_no,
-        lang AS category, source AS author, parts[i] AS body, parts[i] AS translit, parts[i][1:40] AS translation
+        lang AS category, source AS author, parts[i] AS body, parts[i] AS translit, CASE WHEN parts[i] = '' THEN '' ELSE '~' || parts[i] END AS translation
         FROM (SELECT doc_id, lang, source, parts, unnest(range(1, len(parts) + 1)) AS i
           FROM (SELECT doc_id, lang, source, string_split(text, chr(10)) AS parts FROM documents))"""),
     "ann": ((), """SELECT item_id, annotator, r.theme AS theme, r.mood AS mood, r.summary AS summary, r.tags AS tags, r.error AS error FROM (
@@ -337,7 +337,7 @@ CTE: dict[str, tuple[tuple[str, ...], str]] = {
         UNION ALL SELECT item_id, tag, NULL, NULL, 'added' FROM agreed WHERE tag <> 'error'
         AND (item_id, tag) NOT IN (SELECT (item_id, tag) FROM decided WHERE action <> 'removed')"""),
     "sample": (("eitems",), "SELECT * FROM eitems ORDER BY md5(item_id || '-42'), item_id LIMIT 500"),
-    "osets": ((), """SELECT o_custkey AS set_id, o_orderkey AS item_id, o_orderdate AS at,
+    "osets": ((), """SELECT o_custkey AS set_id, o_orderkey AS item_id, o_orderdate AS happened,
         list_sort([o_orderstatus, o_orderpriority, 'q' || quarter(o_orderdate)]) AS tags,
         CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS INT) AS pos FROM orders"""),
     "pre": ((), "SELECT o_custkey AS item_id, list_sort(list_distinct(flatten(list([o_orderpriority, 'y' || year(o_orderdate)])))) AS tags, min(o_orderstatus) AS theme FROM orders WHERE o_orderdate < TIMESTAMP '1998-04-01' GROUP BY 1"),

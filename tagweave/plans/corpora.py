@@ -322,13 +322,13 @@ def collection_coverage(spark, sf):
     return collection.collection_coverage(collection.collection_index(B.entries(spark, sf), "R"))
 
 
-@query(sql("flags", """+ old AS (SELECT p_partkey AS item_id, CASE WHEN p_partkey % 4 = 0 THEN p_brand END AS other FROM part WHERE p_partkey % 2 = 0)
+@query(sql("flags", """+ old AS (SELECT p_partkey AS item_id, CASE WHEN p_type <> 'PROMO' THEN p_brand END AS other FROM part)
     SELECT coalesce(o.item_id, f.item_id) AS item_id, other, flagged, n_entries FROM (SELECT * FROM old WHERE other IS NOT NULL) o FULL JOIN flags f ON f.item_id = o.item_id"""))
 def merged_flags(spark, sf):
     """Fresh flags merged into a table that holds stale ones and another source's column."""
-    p = B.table(spark, sf, "part").filter(F.col("p_partkey") % 2 == 0)
+    p = B.table(spark, sf, "part")
     old = p.select(
-        F.col("p_partkey").alias("item_id"), F.when(F.col("p_partkey") % 4 == 0, F.col("p_brand")).alias("other"),
+        F.col("p_partkey").alias("item_id"), F.when(F.col("p_type") != "PROMO", F.col("p_brand")).alias("other"),
         F.lit(True).alias("flagged"), F.array(F.lit(1)).alias("chapters"), F.lit(9).cast("bigint").alias("n_entries"),
     )
     return collection.merge_flags(old, B.item_flags(spark, sf)).drop("chapters")
@@ -349,11 +349,11 @@ def latest_rows(spark, sf):
     return incremental.latest_wins(ev, ["user_id", "event_type"], "ts", "event_id")
 
 
-@query("""SELECT vec_id AS item_id, CASE WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END::BIGINT AS label, round(embedding[1]::DOUBLE, 6) AS x FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 3 = 0""")
+@query("""SELECT vec_id AS item_id, CASE WHEN label > 3 THEN label + 100 ELSE label END::BIGINT AS label, round(embedding[1]::DOUBLE, 6) AS x FROM embeddings""")
 def upserted_vectors(spark, sf):
     """Known ids replaced, new ids added."""
     e = B.table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vec"), "label")
-    old, new = e.filter("item_id % 2 = 0"), e.filter("item_id % 3 = 0").withColumn("label", F.col("label") + 100)
+    old, new = e.filter("label < 7"), e.filter("label > 3").withColumn("label", F.col("label") + 100)
     merged = incremental.upsert_vectors(old, new)
     return merged.select("item_id", "label", F.round(F.col("vec").getItem(0).cast("double"), 6).alias("x"))
 
@@ -521,7 +521,7 @@ def library_embed_text(spark, sf):
     return lib.select("rec_id", text.alias("text"))
 
 
-@query("SELECT doc_id AS item_id, 64 AS dim, len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> ''))::DOUBLE AS mass FROM documents WHERE len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) > 0")
+@query("SELECT doc_id AS item_id, 64::BIGINT AS dim, len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> ''))::DOUBLE AS mass FROM documents WHERE len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) > 0")
 def hashed_vectors(spark, sf):
     """Model-free vectors of all documents: their size and the number of words they count."""
     d = B.table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), "text")

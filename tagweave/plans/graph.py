@@ -46,14 +46,13 @@ def tag_pairs_scored(spark, sf):
 @query(sql("pooled", "SELECT src, tag, core, dst, score, pool_rank FROM pooled"))
 def candidate_pools(spark, sf):
     """Core and branch pools per (item, tag)."""
-    return graph.pool_topk(graph.tag_candidates(B.tagged_items(spark, sf)))
+    return graph.pool_topk(graph.tag_candidates(B.tagged_items(spark, sf))).drop("n_tags")
 
 
 @query(sql("slotted", "SELECT src, tag, core, dst, score, slot FROM slotted"))
 def slot_allocation(spark, sf):
-    items = B.tagged_items(spark, sf)
-    n_tags = items.select(F.col("item_id").alias("src"), F.size(X.connector_tags(F.col("tags"))).alias("n_tags"))
-    return graph.allocate_slots(graph.pool_topk(graph.tag_candidates(items)), n_tags).drop("pool_rank")
+    pooled = graph.pool_topk(graph.tag_candidates(B.tagged_items(spark, sf)))
+    return graph.allocate_slots(pooled).drop("pool_rank", "n_tags")
 
 
 @query(sql("f1", "ts", "edges", """+ vts AS (SELECT tag, count(*) AS n, count(vec) AS v FROM it JOIN f1 USING (item_id) GROUP BY 1)
@@ -154,7 +153,7 @@ NO_VECTOR = "vh AS (SELECT req_id, src, dst, src_tags, per_tag, shared_tags, sco
 WITH_VECTOR = """
   vd AS (SELECT a.req_id, b.item_id AS dst, round(1.0 - list_dot_product(a.vec, b.vec) / (an.norm * bn.norm), 6) AS distance
     FROM req a JOIN nt0 an ON an.item_id = a.req_id, f1 b JOIN nt0 bn ON bn.item_id = b.item_id
-    WHERE a.vec IS NOT NULL AND b.vec IS NOT NULL AND a.req_id <> b.item_id AND a.req_id % 3 = 0),
+    WHERE a.vec IS NOT NULL AND b.vec IS NOT NULL AND a.req_id <> b.item_id),
   vk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY distance, dst) AS o FROM vd) WHERE o <= 30),
   vh AS (SELECT r.req_id, r.src, k.dst, r.src_tags, r.per_tag, CAST([] AS VARCHAR[]) AS shared_tags, round(s, 9) AS score, round(s, 9) AS base_score, true AS from_vector
     FROM (SELECT k.*, CASE WHEN r.boost AND f.flagged THEN least(1.0, 1.3 * greatest(0.0, least(1.0, 1 - k.distance))) ELSE greatest(0.0, least(1.0, 1 - k.distance)) END AS s
@@ -179,7 +178,7 @@ def _requests(spark, sf, threshold=clusters.DEFAULT_THRESHOLD, per_tag=clusters.
 
 def _clustered(spark, sf, vector=False, **request):
     items = B.tagged_items(spark, sf)
-    edges = durable(graph.similarity_graph(items))
+    edges = graph.similarity_graph(items)
     sizes = graph.tag_sizes(graph.item_tags(items))
     found = _own_vector_hits(items) if vector else None
     out = clusters.neighbor_clusters(
@@ -189,8 +188,8 @@ def _clustered(spark, sf, vector=False, **request):
 
 
 def _own_vector_hits(items):
-    """Nearest items of every third item's own vector, itself left out."""
-    q = items.filter(F.col("item_id") % 3 == 0).select(F.col("item_id").alias("query_id"), "vec")
+    """Nearest items of every item's own vector, itself left out."""
+    q = items.select(F.col("item_id").alias("query_id"), "vec")
     own = q.select("query_id", F.col("query_id").alias("item_id"))
     found = vectors.knn(q, items.select("item_id", "vec"), clusters.VECTOR_HITS, exclude=own)
     return found.select(F.col("query_id").alias("req_id"), F.col("item_id").alias("dst"), "distance")
@@ -210,7 +209,7 @@ def boosted_clusters(spark, sf):
 
 @query(_cluster_sql(CLUSTERED, "0.2::DOUBLE", 6, "true", WITH_VECTOR))
 def blended_clusters(spark, sf):
-    """Vector hits of every third item blended with its graph neighbours."""
+    """Vector hits of every item blended with its graph neighbours."""
     return _clustered(spark, sf, vector=True, threshold=0.2, per_tag=6, boost=True)
 
 
@@ -354,9 +353,9 @@ def theme_summary(spark, sf):
 
 
 VEC_SQL = f"""WITH {UNIT}, rq AS (SELECT item_id AS req_id, vec, norm, item_id AS seed FROM u),
-    recs AS (SELECT item_id + 1000000 AS rec_id, item_id, vec, norm FROM u WHERE item_id % 5 = 0),
+    recs AS (SELECT item_id + 1000000 AS rec_id, item_id, vec, norm FROM u WHERE label < 3),
     ld AS (SELECT req_id, rec_id AS item_id, round(1.0 - list_dot_product(rq.vec, recs.vec) / (rq.norm * recs.norm), 6) AS distance FROM rq JOIN recs ON recs.item_id <> seed),
-    cd AS (SELECT req_id, u.item_id, round(1.0 - list_dot_product(rq.vec, u.vec) / (rq.norm * u.norm), 6) AS distance FROM rq JOIN u ON u.item_id <> seed WHERE u.item_id % 5 <> 0),
+    cd AS (SELECT req_id, u.item_id, round(1.0 - list_dot_product(rq.vec, u.vec) / (rq.norm * u.norm), 6) AS distance FROM rq JOIN u ON u.item_id <> seed WHERE u.label >= 3),
     al AS (SELECT * FROM (SELECT *, 'library' AS source, row_number() OVER (PARTITION BY req_id ORDER BY distance, item_id) AS o FROM ld) WHERE o <= 20
       UNION ALL SELECT * FROM (SELECT *, 'corpus' AS source, row_number() OVER (PARTITION BY req_id ORDER BY distance, item_id) AS o FROM cd) WHERE o <= 20)
     SELECT req_id, item_id, source, distance, rank, round(greatest(1.0, least(10.0, (1 - distance) * 10)), 1) AS connection_score
@@ -368,7 +367,7 @@ def vector_suggestions(spark, sf):
     """Vector answers from library and corpus in one ranked list; every vector asks."""
     e = _embeddings(spark, sf)
     queries = e.select(F.col("item_id").alias("req_id"), "vec")
-    recs = e.filter(F.col("item_id") % 5 == 0).select((F.col("item_id") + 1000000).alias("rec_id"), "item_id", "vec")
+    recs = e.filter(F.col("label") < 3).select((F.col("item_id") + 1000000).alias("rec_id"), "item_id", "vec")
     seeds = e.select(F.col("item_id").alias("req_id"), "item_id")
     out = suggest.vector_suggestions(queries, e.select("item_id", "vec"), recs, seeds)
     return out.select("req_id", "item_id", "source", "distance", "rank", "connection_score")
