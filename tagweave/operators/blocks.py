@@ -2,7 +2,7 @@
 
 A group (a tag, a vector partition) is split by hash into blocks of about ``block_rows`` rows.
 Each pair of blocks is one cell, small enough for one task, where numpy scores every row against
-every row and keeps only the best few per row. Cells of one large group spread over the cluster,
+every row, a strip of rows at a time, and keeps only the best few per row. Cells of one large group spread over the cluster,
 nothing emits the pairs themselves, and merging the cells' winners gives the exact top-k.
 """
 
@@ -15,38 +15,52 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 4096
+STRIP_ROWS = 256
 
 
 def _block_count(n: Column, block_rows: int) -> Column:
     return F.greatest(F.lit(1), F.ceil(n / F.lit(block_rows))).cast("int")
 
 
-def _with_block(df: DataFrame, keys: Sequence[str], id_col: str, block_rows: int) -> DataFrame:
-    sizes = df.groupBy(*keys).agg(
-        _block_count(F.count(F.lit(1)), block_rows).alias("n_blocks")
-    )
-    return df.join(sizes, list(keys)).withColumn(
-        "block", F.expr(f"pmod(xxhash64({id_col}), n_blocks)").cast("int")
-    )
+def _own_block(id_col: str, n: str) -> Column:
+    return F.expr(f"pmod(xxhash64({id_col}), {n})").cast("int")
+
+
+def _by_cell(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Lay rows out by cell.
+
+    Explicit, because grouping alone would accept rows already laid out by the group key, which
+    puts all cells of a large group into one task.
+    """
+    return df.repartition(*keys, "cell_a", "cell_b")
 
 
 def pair_cells(
-    df: DataFrame, keys: Sequence[str], id_col: str, block_rows: int = BLOCK_ROWS
+    members: DataFrame, payload: DataFrame, key: str, id_col: str, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Rows keyed for an all-against-all comparison inside each group.
 
-    A row of block b goes to the cells (min(b, o), max(b, o)) for every block o, so each unordered
-    pair of blocks meets exactly once.
+    ``members`` holds (id, key) pairs, ``payload`` the wide columns per id. A row of block b goes to
+    the cells (min(b, o), max(b, o)) for every block o, so each unordered pair of blocks meets
+    exactly once. Group sizes are joined to the narrow pairs; the payload moves once by id and once
+    to its cells.
     """
-    placed = _with_block(df, keys, id_col, block_rows)
-    other = placed.withColumn("other", F.explode(F.expr("sequence(0, n_blocks - 1)")))
-    return other.select(
-        *df.columns,
+    sizes = members.groupBy(key).agg(_block_count(F.count(F.lit(1)), block_rows).alias("n_blocks"))
+    placed = (
+        members.join(sizes, key)
+        .withColumn("block", _own_block(id_col, "n_blocks"))
+        .join(payload, id_col)
+        .withColumn("other", F.explode(F.expr("sequence(0, n_blocks - 1)")))
+    )
+    cells = placed.select(
+        key,
+        *payload.columns,
         "block",
         F.least("block", "other").alias("cell_a"),
         F.greatest("block", "other").alias("cell_b"),
     )
+    return _by_cell(cells, [key])
 
 
 def grid_cells(
@@ -56,28 +70,37 @@ def grid_cells(
 
     Both tables have the same columns; the result tells them apart by ``is_query``. Each query block
     meets each corpus block in one cell. With few queries there is one query block, so the corpus is
-    not repeated at all.
+    not repeated at all. Without keys the block counts are two scalars; with keys they are joined
+    to narrow rows only.
     """
-    def block_counts(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*keys).agg(_block_count(F.count(F.lit(1)), block_rows).alias(name))
-
-    sizes = block_counts(queries, "n_query").join(block_counts(corpus, "n_corpus"), list(keys))
+    is_query = F.col("is_query")
     both = queries.withColumn("is_query", F.lit(True)).unionByName(
         corpus.withColumn("is_query", F.lit(False))
     )
-    is_query = F.col("is_query")
+
+    def counts(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*keys).agg(_block_count(F.count(F.lit(1)), block_rows).alias(name))
+
+    if keys:
+        sizes = counts(queries, "n_query").join(counts(corpus, "n_corpus"), list(keys))
+        narrow = both.select(id_col, "is_query", *keys).join(sizes, list(keys)).drop(*keys)
+        sized = both.join(narrow, [id_col, "is_query"])
+    else:
+        sized = both.withColumn("n_query", counts(queries, "n").scalar()).withColumn(
+            "n_corpus", counts(corpus, "n").scalar()
+        )
     placed = (
-        both.join(sizes, list(keys))
-        .withColumn("n_own", F.when(is_query, F.col("n_query")).otherwise(F.col("n_corpus")))
+        sized.withColumn("n_own", F.when(is_query, F.col("n_query")).otherwise(F.col("n_corpus")))
         .withColumn("n_other", F.when(is_query, F.col("n_corpus")).otherwise(F.col("n_query")))
-        .withColumn("own", F.expr(f"pmod(xxhash64({id_col}), n_own)").cast("int"))
+        .withColumn("own", _own_block(id_col, "n_own"))
         .withColumn("other", F.explode(F.expr("sequence(0, n_other - 1)")))
     )
-    return placed.select(
+    cells = placed.select(
         *both.columns,
         F.when(is_query, F.col("own")).otherwise(F.col("other")).alias("cell_a"),
         F.when(is_query, F.col("other")).otherwise(F.col("own")).alias("cell_b"),
     )
+    return _by_cell(cells, keys)
 
 
 # ---- numpy helpers used inside one cell ------------------------------------------------------
@@ -94,30 +117,55 @@ def unit_rows(vectors: pd.Series) -> np.ndarray:
     return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 
 
-def tag_matrix(tags: pd.Series) -> np.ndarray:
-    """Multi-hot rows over the tags that occur more than once in this cell.
+class SharedTags:
+    """Counts the tags that rows of a cell have in common, strip by strip.
 
-    A tag that occurs once cannot be shared, so it needs no column.
+    Works on lists of rows per tag, not on a rows × tags matrix, because a cell may see any number
+    of rare tags.
     """
-    sizes = tags.map(len).to_numpy()
-    flat = np.concatenate([np.asarray(t, dtype=object) for t in tags]) if sizes.sum() else []
-    codes, uniques = pd.factorize(np.asarray(flat, dtype=object))
-    counts = np.bincount(codes, minlength=len(uniques))
-    column = np.full(len(uniques), -1)
-    shared = counts > 1
-    column[shared] = np.arange(shared.sum())
-    out = np.zeros((len(tags), int(shared.sum())), dtype=np.float32)
-    rows = np.repeat(np.arange(len(tags)), sizes)
-    cols = column[codes] if len(codes) else np.array([], dtype=int)
-    out[rows[cols >= 0], cols[cols >= 0]] = 1.0
-    return out
+
+    def __init__(self, tags: pd.Series, src: np.ndarray, dst: np.ndarray) -> None:
+        sizes = tags.map(len).to_numpy()
+        row = np.repeat(np.arange(len(tags)), sizes)
+        code, _ = pd.factorize(np.concatenate([np.asarray(t, dtype=object) for t in tags]))
+        self.src_row, self.src_code = self._side(row, code, src, len(tags))
+        cols, codes = self._side(row, code, dst, len(tags))
+        order = np.argsort(codes, kind="stable")
+        self.dst_col, self.dst_code = cols[order], codes[order]
+        self.width = len(dst)
+
+    @staticmethod
+    def _side(row: np.ndarray, code: np.ndarray, index: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        place = np.full(n, -1)
+        place[index] = np.arange(len(index))
+        mine = place[row] >= 0
+        return place[row][mine], code[mine]
+
+    def strip(self, low: int, high: int) -> np.ndarray:
+        """Shared tag counts of source rows ``low`` to ``high`` against all target rows."""
+        out = np.zeros((high - low, self.width))
+        first, last = np.searchsorted(self.src_row, [low, high])
+        rows, codes = self.src_row[first:last] - low, self.src_code[first:last]
+        for c in np.unique(codes):
+            left, right = np.searchsorted(self.dst_code, [c, c + 1])
+            out[np.ix_(rows[codes == c], self.dst_col[left:right])] += 1
+        return out
+
+
+def strips(n: int, size: int = STRIP_ROWS) -> list[tuple[int, int]]:
+    """Row ranges that bound the score matrix held at a time."""
+    return [(low, min(low + size, n)) for low in range(0, n, size)]
 
 
 def best_per_row(scores: np.ndarray, keep: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of each row's ``k`` best kept scores; equal scores go to the lower column."""
-    masked = np.where(keep, -scores, np.inf)
-    order = np.argsort(masked, axis=1, kind="stable")[:, :k]
-    rows = np.repeat(np.arange(scores.shape[0]), order.shape[1])
-    cols = order.ravel()
-    found = np.isfinite(masked[rows, cols])
-    return rows[found], cols[found]
+    cost = np.where(keep, -scores, np.inf)
+    if k < cost.shape[1]:
+        worst = np.partition(cost, k - 1, axis=1)[:, k - 1 : k]
+        rows, cols = np.nonzero((cost <= worst) & np.isfinite(cost))
+    else:
+        rows, cols = np.nonzero(np.isfinite(cost))
+    order = np.lexsort((cols, cost[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    return rows[place < k], cols[place < k]

@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from tagweave.functions import text as X
 from tagweave.scale import metric_rows
 
-# Defaults of the vote and the order in which annotators are trusted for fields.
+# Defaults of the vote.
 MIN_VOTES = 2
-PRIORITY = ("claude-sonnet-4-5", "qwen3:14b", "gemma2:27b", "deepseek-r1:14b", "llama3.1:8b")
 CONSENSUS_SOURCE = "multi_llm_consensus_v1"
 
 
@@ -122,7 +121,7 @@ def consensus(
     )
 
 
-def preferred_annotation(annotations: DataFrame, priority: Sequence[str] = PRIORITY) -> DataFrame:
+def preferred_annotation(annotations: DataFrame, priority: Sequence[str]) -> DataFrame:
     """Theme, mood and summary, all three from the first trusted annotator that has a theme."""
     place = F.array_position(F.array(*[F.lit(p) for p in priority]), F.col("annotator"))
     rows = annotations.filter(X.blank_to_null(F.col("theme")).isNotNull()).withColumn("place", place)
@@ -139,9 +138,9 @@ def run_consensus(
     items: DataFrame,
     annotations: DataFrame,
     synonyms: DataFrame,
+    priority: Sequence[str],
     min_votes: int = MIN_VOTES,
     lineup: Sequence[str] | None = None,
-    priority: Sequence[str] = PRIORITY,
     flags: DataFrame | None = None,
 ) -> DataFrame:
     """Items with agreed tags and preferred fields; items below the gate keep what they had.

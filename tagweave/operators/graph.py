@@ -49,45 +49,43 @@ def _cell_candidates(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("item_id").reset_index(drop=True)
     ids = pdf["item_id"].to_numpy()
     n_tags = pdf["tags"].map(len).to_numpy(dtype=float)
-    hot = blocks.tag_matrix(pdf["tags"])
     unit = blocks.unit_rows(pdf["vec"])
     block = pdf["block"].to_numpy()
-    sides = [(np.arange(len(pdf)), np.arange(len(pdf)))]
+    everyone = np.arange(len(pdf))
+    sides = [(everyone, everyone)]
     if pdf["cell_a"].iat[0] != pdf["cell_b"].iat[0]:
         a, b = (np.flatnonzero(block == pdf[c].iat[0]) for c in ("cell_a", "cell_b"))
-        sides = [(a, b), (b, a)]
+        sides = [(a, b), (b, a)] if len(a) and len(b) else []
 
     parts = []
     for src, dst in sides:
-        if len(src) == 0 or len(dst) == 0:
-            continue
-        n_shared = hot[src] @ hot[dst].T
-        cos = unit[src] @ unit[dst].T
-        mine, theirs = n_tags[src][:, None], n_tags[dst][None, :]
-        # A tag alone in its cell has no column; two rows of a cell always share the cell's tag.
-        other = ids[src][:, None] != ids[dst][None, :]
-        core = n_shared == mine
-        core_score = S.TAG_WEIGHT * (n_shared / (mine + theirs - n_shared)) + S.VECTOR_WEIGHT * cos
-        bonus = np.minimum((theirs - n_shared) * S.BRANCH_NEW_TAG_BONUS, S.BRANCH_BONUS_CAP)
-        branch_score = cos * S.BRANCH_VECTOR_WEIGHT + bonus + S.BRANCH_BASE
-        pools = (
-            (True, core_score, other & core & (core_score > S.CORE_MIN), S.CORE_PER_TAG),
-            (False, branch_score, other & ~core & (branch_score > S.BRANCH_MIN), S.POOL_PER_TAG),
-        )
-        for is_core, score, keep, k in pools:
-            score = np.round(score, S.ROUND_DIGITS)
-            rows, cols = blocks.best_per_row(score, keep, k)
-            parts.append(
-                pd.DataFrame(
-                    {
-                        "src": ids[src][rows],
-                        "core": is_core,
-                        "dst": ids[dst][cols],
-                        "score": score[rows, cols],
-                        "n_tags": n_tags[src][rows].astype(int),
-                    }
+        shared = blocks.SharedTags(pdf["tags"], src, dst)
+        for low, high in blocks.strips(len(src)):
+            rows = src[low:high]
+            n_shared, cos = shared.strip(low, high), unit[rows] @ unit[dst].T
+            mine, theirs = n_tags[rows][:, None], n_tags[dst][None, :]
+            other, core = ids[rows][:, None] != ids[dst][None, :], n_shared == mine
+            jac = n_shared / (mine + theirs - n_shared)
+            core_score = S.TAG_WEIGHT * jac + S.VECTOR_WEIGHT * cos
+            bonus = np.minimum((theirs - n_shared) * S.BRANCH_NEW_TAG_BONUS, S.BRANCH_BONUS_CAP)
+            branch_score = cos * S.BRANCH_VECTOR_WEIGHT + bonus + S.BRANCH_BASE
+            for is_core, score, keep, k in (
+                (True, core_score, other & core & (core_score > S.CORE_MIN), S.CORE_PER_TAG),
+                (False, branch_score, other & ~core & (branch_score > S.BRANCH_MIN), S.POOL_PER_TAG),
+            ):
+                score = np.round(score, S.ROUND_DIGITS)
+                r, c = blocks.best_per_row(score, keep, k)
+                parts.append(
+                    pd.DataFrame(
+                        {
+                            "src": ids[rows][r],
+                            "core": is_core,
+                            "dst": ids[dst][c],
+                            "score": score[r, c],
+                            "n_tags": n_tags[rows][r].astype(int),
+                        }
+                    )
                 )
-            )
     if not parts:
         return pd.DataFrame(columns=["src", "tag", "core", "dst", "score", "n_tags"])
     return pd.concat(parts, ignore_index=True).assign(tag=pdf["tag"].iat[0])
@@ -102,8 +100,9 @@ def tag_candidates(
     bounded blocks (see ``blocks``), so a tag carried by a third of all items runs as many cells.
     The result is laid out by item, which every later step of the graph reuses.
     """
-    exploded = _connected(items, marker).withColumn("tag", F.explode("tags"))
-    cells = blocks.pair_cells(exploded, ["tag"], "item_id", block_rows)
+    rows = _connected(items, marker)
+    members = rows.select("item_id", F.explode("tags").alias("tag"))
+    cells = blocks.pair_cells(members, rows, "tag", "item_id", block_rows)
     found = cells.groupBy("tag", "cell_a", "cell_b").applyInPandas(_cell_candidates, _CANDIDATE)
     return found.repartition("src")
 
@@ -170,24 +169,8 @@ def similarity_graph(
     )
 
 
-def tag_pairs(tags: DataFrame) -> DataFrame:
-    """Ordered item pairs that share at least one tag, with the number of shared tags.
-
-    The plain equi self-join, for inspection and small inputs: its size is quadratic in the items
-    of a tag. ``similarity_graph`` does not use it.
-    """
-    other = tags.select("tag", F.col("item_id").alias("dst"))
-    return (
-        tags.select("tag", F.col("item_id").alias("src"))
-        .join(other, "tag")
-        .filter(F.col("src") != F.col("dst"))
-        .groupBy("src", "dst")
-        .agg(F.count(F.lit(1)).alias("n_shared"))
-    )
-
-
 def with_vectors(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Cosine of each (src, dst) pair; 0 when either item has no vector."""
+    """Cosine of each given (src, dst) pair; 0 when either item has no vector."""
     a = vectors.select(F.col("item_id").alias("src"), F.col("vec").alias("_a"))
     b = vectors.select(F.col("item_id").alias("dst"), F.col("vec").alias("_b"))
     cos = F.coalesce(S.cosine(F.col("_a"), F.col("_b")), F.lit(0.0))

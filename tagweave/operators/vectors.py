@@ -21,17 +21,23 @@ def _nearest(cell: pd.DataFrame) -> pd.DataFrame:
     right = cell[~cell["is_query"]].sort_values("id")
     if left.empty or right.empty:
         return pd.DataFrame(columns=["query_id", "item_id", "distance"])
-    cos = blocks.unit_rows(left["vec"]) @ blocks.unit_rows(right["vec"]).T
-    distance = np.round(1.0 - cos, S.ROUND_DIGITS) + 0.0  # no negative zero
+    mine, theirs = blocks.unit_rows(left["vec"]), blocks.unit_rows(right["vec"]).T
+    query_ids, item_ids = left["id"].to_numpy(), right["id"].to_numpy()
     fetch = int(left["fetch"].max())
-    rows, cols = blocks.best_per_row(-distance, np.ones_like(distance, dtype=bool), fetch)
-    return pd.DataFrame(
-        {
-            "query_id": left["id"].to_numpy()[rows],
-            "item_id": right["id"].to_numpy()[cols],
-            "distance": distance[rows, cols],
-        }
-    )
+    parts = []
+    for low, high in blocks.strips(len(left)):
+        distance = np.round(1.0 - mine[low:high] @ theirs, S.ROUND_DIGITS) + 0.0  # no negative zero
+        rows, cols = blocks.best_per_row(-distance, np.ones_like(distance, dtype=bool), fetch)
+        parts.append(
+            pd.DataFrame(
+                {
+                    "query_id": query_ids[low:high][rows],
+                    "item_id": item_ids[cols],
+                    "distance": distance[rows, cols],
+                }
+            )
+        )
+    return pd.concat(parts, ignore_index=True)
 
 
 def knn(
@@ -53,9 +59,6 @@ def knn(
     q = queries.filter(F.col("vec").isNotNull()).select(F.col("query_id").alias("id"), vec, *where)
     c = corpus.filter(F.col("vec").isNotNull()).select(F.col("item_id").alias("id"), vec, *where)
     keys = list(where)
-    if not keys:
-        keys = ["_all"]
-        q, c = q.withColumn("_all", F.lit(0)), c.withColumn("_all", F.lit(0))
     fetch = F.lit(n)
     if exclude is not None:
         exclude = exclude.select("query_id", "item_id").distinct()

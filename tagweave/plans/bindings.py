@@ -156,7 +156,7 @@ def tag_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def order_sets(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders of a customer as an ordered set; numbered year by year."""
+    """Orders of a customer as an ordered set; numbered month by month."""
     from tagweave.scale import positions
 
     o = table(spark, sf, "orders")
@@ -166,7 +166,7 @@ def order_sets(spark: SparkSession, sf: str) -> DataFrame:
             F.array("o_orderstatus", "o_orderpriority", F.concat(F.lit("q"), F.quarter("o_orderdate").cast("string")))
         ).alias("tags"),
     )
-    return positions(rows, ["set_id"], F.year("at"), [F.asc("at"), F.asc("item_id")])
+    return positions(rows, ["set_id"], F.trunc("at", "month"), [F.asc("at"), F.asc("item_id")])
 
 
 def snapshots(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

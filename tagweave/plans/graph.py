@@ -31,16 +31,18 @@ def tag_index(spark, sf):
     return graph.tag_index(graph.item_tags(B.tagged_items(spark, sf)))
 
 
-@query(sql("pc", "SELECT src, dst, n AS n_shared, round(n / (na + nb - n)::DOUBLE, 6) AS jaccard, round(cos, 6) AS cos FROM pc"))
-def tag_pairs_scored(spark, sf):
-    """Pairs sharing a tag with Jaccard and cosine; the plain form, for inspection."""
+@query(sql("edges", "pc", """SELECT src, dst, e.score, len(e.shared_tags) AS n_shared, round(n / (na + nb - n)::DOUBLE, 6) AS jaccard, round(cos, 6) AS cos
+    FROM edges e JOIN pc USING (src, dst)"""))
+def edge_similarities(spark, sf):
+    """Jaccard and cosine of every edge, recomputed from tags and vectors."""
     items = B.tagged_items(spark, sf)
-    tags = graph.item_tags(items)
-    sizes = tags.groupBy("item_id").agg(F.count(F.lit(1)).alias("k"))
-    pairs = graph.with_vectors(graph.tag_pairs(tags), items.select("item_id", "vec"))
-    pairs = pairs.join(sizes.toDF("src", "na"), "src").join(sizes.toDF("dst", "nb"), "dst")
-    jac = S.jaccard_from_counts(F.col("n_shared"), F.col("na"), F.col("nb"))
-    return pairs.select("src", "dst", "n_shared", F.round(jac, 6).alias("jaccard"), F.round("cos", 6).alias("cos"))
+    edges = graph.with_vectors(graph.similarity_graph(items), items.select("item_id", "vec"))
+    tags = items.select("item_id", "tags")
+    joined = edges.join(tags.toDF("src", "_a"), "src").join(tags.toDF("dst", "_b"), "dst")
+    jac = S.jaccard(F.col("_a"), F.col("_b"))
+    return joined.select(
+        "src", "dst", "score", F.size("shared_tags").alias("n_shared"), F.round(jac, 6).alias("jaccard"), F.round("cos", 6).alias("cos")
+    )
 
 
 @query(sql("pooled", "SELECT src, tag, core, dst, score, pool_rank FROM pooled"))
