@@ -135,7 +135,7 @@ def title_candidates(titles: DataFrame, lines: DataFrame) -> DataFrame:
     split = clean.withColumn("words", F.split("clean", r"\s+")).withColumn("n", F.size("words"))
     base = F.slice("words", 1, 2)
     rows = lines.select("item_id", "line_no", X.word_array(X.clean_title(F.col("translit"))).alias("words"))
-    found = keyword_hits(split.select(F.col("clean").alias("query_id"), base.alias("words")), rows)
+    found = keyword_hits(split.select(F.col("clean").alias("query_id"), base.alias("words")), rows, 2)
     held = (
         found.withColumnRenamed("query_id", "clean")
         .join(split.withColumnRenamed("words", "title_words"), "clean")

@@ -1,8 +1,10 @@
 """Tables of search queries answered in one job each.
 
-Substring conditions are answered through a gram index: a text can contain a needle only if it
-contains every three-letter piece of it, so query and text meet in an equi-join on the needle's
-rarest piece and ``contains`` settles the rest.
+Substring conditions are answered through an index of short substrings: a needle of up to six
+letters meets the texts that contain it in one equi-join, a longer one meets the texts that contain
+its rarest six-letter piece, and ``contains`` settles the rest. Word conditions start from each
+query's rarest word and check the others against the word index. Index rows are narrow: a text's
+words or substrings never travel together with the text.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.functions import text as X
-from tagweave.scale import top_per
+from tagweave.scale import staged, top_per
 
 # Result limits of the search boxes.
 TITLE_LIMIT = 12
@@ -23,16 +25,26 @@ KEYWORD_LIMIT = 10
 MAX_KEYWORDS = 3
 TITLE_WORDS = 6
 
-GRAM = 3
+GRAM = 6
+PIECE = 256
 
 
-def _grams(c: Column, n: Column) -> Column:
-    """Distinct substrings of length ``n``."""
-    last = F.length(c) - n + 1
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(
-        F.expr("cast(array() as array<int>)")
+def _gram_rows(df: DataFrame, text: str, size: str, keep: list[str]) -> DataFrame:
+    """One row per substring of length ``size`` (a column), as ``gram``; repeats included.
+
+    The text is first cut into overlapping pieces, because finding a place in a long string takes
+    time proportional to the place; all steps are plain generated code.
+    """
+    starts = F.when(
+        F.length(text) >= F.col(size), F.sequence(F.lit(1), F.length(text) - F.col(size) + 1, F.lit(PIECE))
+    )
+    cut = df.select(*keep, size, F.explode(starts).alias("_at"), text).select(
+        *keep, size, F.substring(text, F.col("_at"), F.lit(PIECE - 1) + F.col(size)).alias("_piece")
+    )
+    places = F.sequence(F.lit(1), F.length("_piece") - F.col(size) + 1)
+    return cut.select(*keep, size, "_piece", F.explode(places).alias("_at")).select(
+        *keep, F.substring("_piece", F.col("_at"), F.col(size)).alias("gram")
     )
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(c, i, n)))
 
 
 def substring_pairs(queries: DataFrame, texts: DataFrame) -> DataFrame:
@@ -43,12 +55,14 @@ def substring_pairs(queries: DataFrame, texts: DataFrame) -> DataFrame:
     """
     wanted = queries.filter(F.length("needle") > 0).select("query_id", "needle")
     size = F.least(F.lit(GRAM), F.length("needle"))
-    pieces = wanted.select("query_id", "needle", F.explode(_grams(F.col("needle"), size)).alias("gram"))
-    gram_set = pieces.select("gram").distinct()
-    own = F.flatten(F.array(*[_grams(F.col("haystack"), F.lit(k)) for k in range(1, GRAM + 1)]))
-    index = texts.select("text_id", "haystack", F.explode(own).alias("gram")).join(
-        gram_set, "gram", "left_semi"
-    )
+    pieces = _gram_rows(wanted.withColumn("size", size), "needle", "size", ["query_id", "needle"])
+    # At most GRAM different lengths; only those in use are cut from the texts.
+    sizes = wanted.agg(F.collect_set(size).alias("s")).scalar()
+    sized = texts.select("text_id", "haystack", F.explode(sizes).alias("size"))
+    index = _gram_rows(sized, "haystack", "size", ["text_id"]).join(
+        pieces.select("gram").distinct(), "gram", "left_semi"
+    ).distinct()
+    index = staged(index, "grams")
     counts = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     keyed = (
         pieces.join(counts, "gram", "left")
@@ -57,7 +71,15 @@ def substring_pairs(queries: DataFrame, texts: DataFrame) -> DataFrame:
         .filter(F.col("k.n") > 0)
         .select("query_id", "needle", F.col("k.gram").alias("gram"))
     )
-    return index.join(keyed, "gram").filter(F.contains("haystack", "needle")).select("query_id", "text_id")
+    short = F.length("needle") <= GRAM
+    exact = index.join(keyed.filter(short), "gram").select("query_id", "text_id")
+    longer = (
+        index.join(keyed.filter(~short), "gram")
+        .join(texts, "text_id")
+        .filter(F.contains("haystack", "needle"))
+        .select("query_id", "text_id")
+    )
+    return exact.unionByName(longer)
 
 
 def search_titles(queries: DataFrame, meta: DataFrame) -> DataFrame:
@@ -83,6 +105,7 @@ def search_items(queries: DataFrame, meta: DataFrame) -> DataFrame:
     ``queries``: query_id, q. Answers in item order, at most twelve title or eight fallback rows.
     """
     by_title = top_per(search_titles(queries, meta), ["query_id"], [F.asc("item_id")], TITLE_LIMIT)
+    by_title = staged(by_title, "title-hits")
     open_queries = queries.join(by_title.select("query_id").distinct(), "query_id", "left_anti")
     needles = open_queries.select("query_id", F.lower(F.trim("q")).alias("needle"))
     def texts(c: Column) -> DataFrame:
@@ -128,30 +151,33 @@ def search_initials(queries: DataFrame, lines: DataFrame, mode: str, limit: int
     return top_per(firsts, ["query_id"], [F.asc("item_id")], limit)
 
 
-def keyword_hits(queries: DataFrame, lines: DataFrame) -> DataFrame:
+def keyword_hits(queries: DataFrame, lines: DataFrame, max_words: int) -> DataFrame:
     """(query_id, item_id, line_no) of lines that contain every word of a query.
 
-    ``queries``: query_id, words ARRAY. ``lines``: item_id, line_no, words ARRAY. Joins on each
-    query's rarest word only, then checks the others.
+    ``queries``: query_id, words ARRAY of at most ``max_words`` words. ``lines``: item_id, line_no,
+    words ARRAY. Each query starts from the lines of its rarest word; the lines of its next words
+    filter them one after the other, each keyed by word and line, so that no word is a hot key.
     """
-    wanted = queries.filter(F.size("words") > 0).select("query_id", F.array_distinct("words").alias("wanted"))
-    by_word = wanted.select("query_id", "wanted", F.explode("wanted").alias("word"))
-    index = lines.select("item_id", "line_no", "words", F.explode(F.array_distinct("words")).alias("word")).join(
-        by_word.select("word").distinct(), "word", "left_semi"
+    wanted = queries.select("query_id", F.explode(F.array_distinct("words")).alias("word"))
+    index = lines.select("item_id", "line_no", F.explode(F.array_distinct("words")).alias("word")).join(
+        wanted.select("word").distinct(), "word", "left_semi"
     )
+    index = staged(index, "words")
     counts = index.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    rarest = (
-        by_word.join(counts, "word", "left")
-        .groupBy("query_id", "wanted")
-        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("r"))
-        .filter(F.col("r.n") > 0)
-        .select("query_id", "wanted", F.col("r.word").alias("word"))
-    )
-    return (
-        index.join(rarest, "word")
-        .filter(F.size(F.array_except("wanted", "words")) == 0)
-        .select("query_id", "item_id", "line_no")
+    by_rarity = F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")))
+    ordered = (
+        wanted.join(counts, "word", "left")
+        .groupBy("query_id")
+        .agg(by_rarity.alias("w"))
+        .filter(F.col("w")[0]["n"] > 0)
+        .select("query_id", F.transform("w", lambda x: x["word"]).alias("wanted"))
     )
+    hits = index.join(ordered.withColumn("word", F.get("wanted", 0)), "word")
+    for i in range(1, max_words):
+        # A query with fewer words checks its first word again, which always holds.
+        word = F.coalesce(F.get("wanted", i), F.get("wanted", 0))
+        hits = hits.withColumn("word", word).join(index, ["word", "item_id", "line_no"], "left_semi")
+    return hits.select("query_id", "item_id", "line_no")
 
 
 def search_keywords(
@@ -164,7 +190,7 @@ def search_keywords(
     """
     q = queries.select("query_id", F.slice("words", 1, MAX_KEYWORDS).alias("words"))
     rows = lines.select("item_id", "line_no", X.word_array(F.col("translit")).alias("words"))
-    hits = keyword_hits(q, rows)
+    hits = keyword_hits(q, rows, MAX_KEYWORDS)
     firsts = hits.groupBy("query_id", "item_id").agg(F.min("line_no").alias("line_no"))
     if exclude is not None:
         on = [c for c in ("query_id", "item_id") if c in exclude.columns]

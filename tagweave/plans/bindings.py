@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagweave.scale import spread
+
 NO_TAGS = "cast(array() as array<string>)"
 
 
@@ -74,7 +76,7 @@ def entries(spark: SparkSession, sf: str, condition=None) -> DataFrame:
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of the documents; the body doubles as transliteration and, marked, as translation."""
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"))
     rows = d.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "body"))
     return rows.select(
         F.col("doc_id").alias("item_id"),

@@ -66,6 +66,26 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a table that comes in fewer files than there are cores.
+
+    Large tables have more splits than that and pass through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write a table several later steps read to the shared folder and go on from the files.
+
+    Cuts the lineage like a checkpoint; the file sizes also let Spark choose joins well.
+    """
+    spark = df.sparkSession
+    path = staged_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def chunk_of(position: Column, size: int = CHUNK_LINES) -> Column:
     return F.floor(position / F.lit(size)).cast("bigint")
 
