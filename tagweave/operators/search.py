@@ -53,7 +53,7 @@ def substring_pairs(queries: DataFrame, texts: DataFrame) -> DataFrame:
     ``queries``: query_id, needle. ``texts``: text_id, haystack. Both sides compare as given, so
     lowercase them first. Empty needles match nothing here.
     """
-    wanted = queries.filter(F.length("needle") > 0).select("query_id", "needle")
+    wanted = staged(queries.filter(F.length("needle") > 0).select("query_id", "needle"), "needles")
     size = F.least(F.lit(GRAM), F.length("needle"))
     pieces = _gram_rows(wanted.withColumn("size", size), "needle", "size", ["query_id", "needle"])
     # At most GRAM different lengths; only those in use are cut from the texts.
@@ -158,7 +158,7 @@ def keyword_hits(queries: DataFrame, lines: DataFrame, max_words: int) -> DataFr
     words ARRAY. Each query starts from the lines of its rarest word; the lines of its next words
     filter them one after the other, each keyed by word and line, so that no word is a hot key.
     """
-    wanted = queries.select("query_id", F.explode(F.array_distinct("words")).alias("word"))
+    wanted = staged(queries.select("query_id", F.explode(F.array_distinct("words")).alias("word")), "query-words")
     index = lines.select("item_id", "line_no", F.explode(F.array_distinct("words")).alias("word")).join(
         wanted.select("word").distinct(), "word", "left_semi"
     )
