@@ -31,6 +31,25 @@ def merge_seeds(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     )
 
 
+def top_from_seeds(edges: DataFrame, seeds: DataFrame, n: int = MAX_RESULTS) -> DataFrame:
+    """Best neighbours of each seed set, seeds left out, with display score and explanation.
+
+    Ranks on scores alone and collects shared tags only for the winners, so the wide arrays of all
+    other candidates are never grouped. Reads ``edges`` twice; give it a saved graph.
+    """
+    seed = seeds.select("req_id", F.col("item_id").alias("src")).distinct()
+    joined = edges.select("src", "dst", "score", "shared_tags").join(seed, "src")
+    scored = exclude(joined.groupBy("req_id", "dst").agg(F.max("score").alias("score")), seeds)
+    best = top_per(scored, ["req_id"], [F.desc("score"), F.asc("dst")], n)
+    tags = F.sort_array(F.array_distinct(F.flatten(F.collect_list("shared_tags"))))
+    merged = (
+        joined.drop("score").join(best, ["req_id", "dst"])
+        .groupBy("req_id", "dst", "score", "rank")
+        .agg(tags.alias("shared_tags"))
+    )
+    return _described(merged)
+
+
 def exclude(cands: DataFrame, listed: DataFrame, item: str = "dst") -> DataFrame:
     """Drop candidates listed as (req_id, item_id), or as item_id alone for every request."""
     on = [c for c in ("req_id",) if c in listed.columns]
@@ -61,7 +80,10 @@ def filter_source(
 
 def top_suggestions(cands: DataFrame, n: int = MAX_RESULTS) -> DataFrame:
     """Best candidates per request with display score and explanation."""
-    best = top_per(cands, ["req_id"], [F.desc("score"), F.asc("dst")], n)
+    return _described(top_per(cands, ["req_id"], [F.desc("score"), F.asc("dst")], n))
+
+
+def _described(best: DataFrame) -> DataFrame:
     return best.withColumn(
         "connection_score", S.graph_connection_score(F.col("score"), F.col("shared_tags"))
     ).withColumn("explanation", S.connection_text(F.col("shared_tags")))

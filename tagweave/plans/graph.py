@@ -10,7 +10,7 @@ from tagweave.operators import clusters, graph, suggest, vectors
 from tagweave.plans import bindings as B
 from tagweave.plans.bindings import sql
 from tagweave.plans.registry import query
-from tagweave.scale import durable, staged_path
+from tagweave.scale import durable, staged, staged_path
 from tagweave.sources import tables
 
 R6 = "round({}, 6)"
@@ -326,9 +326,8 @@ def merged_seed_neighbours(spark, sf):
 @query(sql("edges", "+" + MERGED_SQL + "," + TOP_SQL.format(source="cand") + " SELECT req_id, dst, score, rank, connection_score, explanation FROM shown"))
 def seed_suggestions(spark, sf):
     """Ten best neighbours per seed set with display score and explanation."""
-    seeds = _seeds(spark, sf)
-    cands = suggest.exclude(suggest.merge_seeds(B.edge_rows(spark, sf), seeds), seeds)
-    return suggest.top_suggestions(cands).drop("shared_tags")
+    edges = staged(B.edge_rows(spark, sf), "edges")
+    return suggest.top_from_seeds(edges, _seeds(spark, sf)).drop("shared_tags")
 
 
 LIB_SQL = """linked AS (SELECT item_id AS dst, max(rec_id) AS rec_id FROM lib WHERE item_id IS NOT NULL GROUP BY 1),
@@ -349,9 +348,8 @@ def library_suggestions(spark, sf):
     tr AS (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY n DESC, tag) AS o FROM tc)
     SELECT req_id, 'Themes: ' || array_to_string(list(tag ORDER BY o), ', ') AS summary FROM tr WHERE o <= 5 GROUP BY 1"""))
 def theme_summary(spark, sf):
-    seeds = _seeds(spark, sf)
-    cands = suggest.exclude(suggest.merge_seeds(B.edge_rows(spark, sf), seeds), seeds)
-    return suggest.theme_summary(suggest.top_suggestions(cands))
+    edges = staged(B.edge_rows(spark, sf), "edges")
+    return suggest.theme_summary(suggest.top_from_seeds(edges, _seeds(spark, sf)))
 
 
 VEC_SQL = f"""WITH {UNIT}, rq AS (SELECT item_id AS req_id, vec, norm, item_id AS seed FROM u),
