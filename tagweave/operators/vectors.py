@@ -76,48 +76,6 @@ def knn(
     return top_per(found, ["query_id"], [F.asc("distance"), F.asc("item_id")], n)
 
 
-def unit_vectors(vectors: DataFrame) -> DataFrame:
-    """Vectors scaled to length one, zero vectors dropped; input for approximate search."""
-    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
-    return (
-        vectors.withColumn("_norm", norm)
-        .filter(F.col("_norm") > 0)
-        .withColumn("vec", F.transform("vec", lambda x: x / F.col("_norm")))
-        .drop("_norm")
-    )
-
-
-def approximate_knn(
-    queries: DataFrame, corpus: DataFrame, n: int, max_distance: float = 0.6,
-    bucket_length: float = 0.5, tables: int = 8, seed: int = 42,
-) -> DataFrame:
-    """Approximate search by random-projection hashing on unit vectors.
-
-    The option for corpora where exact search costs too much; like any approximate index it may
-    miss neighbours. Distances of the rows it finds are exact.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    def features(df: DataFrame, id_col: str) -> DataFrame:
-        return unit_vectors(df).select(id_col, array_to_vector("vec").alias("features"))
-
-    c = features(corpus, "item_id")
-    model = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=bucket_length,
-        numHashTables=tables, seed=seed,
-    ).fit(c)
-    # On unit vectors the euclidean distance e and the cosine distance d satisfy d = e² / 2.
-    limit = (2.0 * max_distance) ** 0.5
-    pairs = model.approxSimilarityJoin(features(queries, "query_id"), c, limit, "euclid")
-    found = pairs.select(
-        F.col("datasetA.query_id").alias("query_id"),
-        F.col("datasetB.item_id").alias("item_id"),
-        F.round(F.col("euclid") * F.col("euclid") / 2, S.ROUND_DIGITS).alias("distance"),
-    )
-    return top_per(found, ["query_id"], [F.asc("distance"), F.asc("item_id")], n)
-
-
 def matching(df: DataFrame, conditions: dict[str, object]) -> DataFrame:
     """AND of equality conditions; pushed into the Parquet scan."""
     for column, value in conditions.items():

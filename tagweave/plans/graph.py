@@ -271,13 +271,6 @@ def vector_knn_where(spark, sf):
     return vectors.knn(e.withColumnRenamed("item_id", "query_id"), e, 5, where=["label"])
 
 
-@query()
-def vector_knn_approximate(spark, sf):
-    """Random-projection hashing, the approximate option for very large corpora."""
-    e = _embeddings(spark, sf)
-    return vectors.approximate_knn(e.withColumnRenamed("item_id", "query_id"), e, 5)
-
-
 @query("SELECT vec_id AS item_id, label::BIGINT AS label FROM embeddings WHERE label = 3")
 def vectors_matching(spark, sf):
     """Equality predicate, pushed into the scan."""
