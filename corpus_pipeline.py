@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tagweave.llm import jaccard_join, mixing, quality_rules
+from tagweave.llm import jaccard_join, mixing, piece_samples, private_data, quality_rules
 from tagweave.llm.jobs import prepare, table
+from tagweave.llm.queries import TOKENIZERS
 from tagweave.scale import staged
 
 #: Near copies share at least this part of their five-word shingles.
@@ -23,18 +25,40 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the least id.
 
-    Texts without words are linked with nothing and stay. Of rows that repeat an id the one with the
-    least text hash stays.
+    Texts without words are linked with nothing and stay, as do rows without an id, which no group can
+    name. Of rows that repeat an id the one with the least text hash stays.
     """
     prepare(spark)
     groups = jaccard_join.near_groups(docs, WORDS, *SIMILAR)
-    heads = groups.where("n_shingles > 0 AND component_id <=> doc_id").select(F.col("doc_id").alias("_id"))
-    return docs.join(heads.distinct(), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    heads = groups.where("component_id = doc_id").select("doc_id").distinct()
+    named = docs.join(heads, "doc_id", "left_semi")
+    same_id = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    first = named.withColumn("_nr", F.row_number().over(same_id)).where("_nr = 1").drop("_nr")
+    return first.union(docs.where("doc_id IS NULL"))
+
+
+def hide_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same documents, personal data in their texts replaced by its kind; n_chars follows."""
+    hidden = docs.withColumn("text", private_data.redact(prepare(spark), docs))
+    return hidden.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.emitted(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled segmentations of every text, as piece ids."""
+    return piece_samples.sampled(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", keep_good),
     ("near copies", drop_near_copies),
+    ("private data", hide_private_data),
+    ("source mix", mix_sources),
+    ("piece samples", encode),
 ]
 
 ORACLE_SQL = None

@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagweave.llm import jaccard_join, mixing, quality_model, quality_rules, token_counts, url_filter
+from tagweave.llm import (
+    html_main,
+    jaccard_join,
+    mixing,
+    order_minhash,
+    piece_samples,
+    private_data,
+    quality_model,
+    quality_rules,
+    token_counts,
+    url_filter,
+)
 from tagweave.llm.jobs import prepare, table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -55,6 +66,21 @@ def op1_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf, "pages"), URL_RULES)
 
 
+@query()
+def op2_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    return html_main.extract(table(spark, sf, "pages"))
+
+
+@query()
+def op3_piece_samples(spark: SparkSession, sf: str) -> DataFrame:
+    return piece_samples.sampled(table(spark, sf, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
+@query()
+def op4_private_data(spark: SparkSession, sf: str) -> DataFrame:
+    return private_data.find(table(spark, sf, "documents"))
+
+
 @query(mixing.ORACLE)
 def op5_source_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf, "documents"))
@@ -68,6 +94,11 @@ def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query()
+def op7_order_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    return order_minhash.fingerprints(table(spark, sf, "documents"))
+
+
 @query()
 def op8_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
