@@ -1,7 +1,7 @@
 """Quality classifier on supervised subword embeddings.
 
-Words and byte n-grams are hashed to rows of an embedding table; a document is the average of its
-rows, a softmax over it gives the class. Table and output weights are learned by stochastic gradient
+Words, word pairs and byte n-grams are hashed to rows of an embedding table (a word followed by itself
+has one row, whatever the word); a document is the average of its rows, a softmax over it gives the class. Table and output weights are learned by stochastic gradient
 descent on a bounded sample of labelled documents. Averaging and the output are linear, so scoring
 needs only one number per table row.
 """
@@ -20,11 +20,13 @@ from tagweave.llm.words import IS_SPACE, constants, mix, text_bytes, slices, wor
 
 #: Documents learned from at most: those with the least hash of their id.
 SAMPLE_ROWS = 4000
-WORD_ROWS, GRAM_ROWS = 1 << 14, 1 << 15
+WORD_ROWS, PAIR_ROWS, GRAM_ROWS = 1 << 14, 1 << 14, 1 << 15
+ROWS = WORD_ROWS + PAIR_ROWS + GRAM_ROWS
 GRAMS = (2, 3, 4)
-DIM, EPOCHS, RATE, SEED = 16, 12, 1.0, 17
+DIM, EPOCHS, RATE, SEED = 16, 6, 1.0, 17
 FOLDS, HELD_OUT, CUT = 5, 0, 0.3
 _U = np.uint64
+_PAIR = constants(1, 47)[0]
 
 
 def _gram_rows(data: np.ndarray, n: int) -> np.ndarray:
@@ -35,17 +37,29 @@ def _gram_rows(data: np.ndarray, n: int) -> np.ndarray:
     total = table[: len(data) - n + 1] * factors[0]
     for j in range(1, n):
         total = total + table[j : len(data) - n + 1 + j] * factors[j]
-    return (mix(total + _U(n)) % _U(GRAM_ROWS)).astype(np.int64) + WORD_ROWS
+    return (mix(total + _U(n)) % _U(GRAM_ROWS)).astype(np.int64) + WORD_ROWS + PAIR_ROWS
+
+
+def _pair_rows(words: np.ndarray) -> np.ndarray:
+    """Table row of each word with the next; the first of these rows is for a word with itself."""
+    pairs = mix(words[:-1] + words[1:] * _PAIR) % _U(PAIR_ROWS - 1) + _U(1)
+    return np.where(words[:-1] == words[1:], 0, pairs.astype(np.int64)) + WORD_ROWS
 
 
 def feature_rows(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first document, table rows, bounds by document) of each slice, words before n-grams."""
+    """(first document, table rows, bounds by document) of each slice: words, pairs, n-grams."""
     raw, at = text_bytes(column)
     words = word_slices(column)
     for (first, last), w in zip(slices(at), words):
         data = raw[at[first] : at[last]]
         ends = at[first : last + 1] - at[first]
         yield first, (w.hashes % _U(WORD_ROWS)).astype(np.int64), w.bounds
+        if len(w.hashes) > 1:
+            inside = np.ones(len(w.hashes) - 1, bool)
+            cut = w.bounds[1:-1] - 1
+            inside[cut[(cut >= 0) & (cut < len(inside))]] = False
+            starts = np.flatnonzero(inside)
+            yield first, _pair_rows(w.hashes)[starts], np.searchsorted(starts, w.bounds)
         for n in GRAMS:
             if len(data) < n:
                 continue
@@ -88,7 +102,7 @@ def train(
 ) -> tuple[np.ndarray, float]:
     """Value of each table row and the bias: their mean over a document is the logit of label 1."""
     rng = np.random.default_rng(seed)
-    table = rng.uniform(-1 / DIM, 1 / DIM, (WORD_ROWS + GRAM_ROWS, DIM)).astype(np.float32)
+    table = rng.uniform(-1 / DIM, 1 / DIM, (ROWS, DIM)).astype(np.float32)
     out = np.zeros((DIM, 2), np.float32)
     bias = np.zeros(2, np.float32)
     done, total = 0, max(1, EPOCHS * len(examples))
