@@ -49,15 +49,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, _dot(a, b) / norm).when(norm == 0, F.lit(0.0))
 
 
-def core_score(jac: Column, cos: Column) -> Column:
-    return F.lit(TAG_WEIGHT) * jac + F.lit(VECTOR_WEIGHT) * cos
-
-
-def branch_score(cos: Column, n_new: Column) -> Column:
-    bonus = F.least(n_new * F.lit(BRANCH_NEW_TAG_BONUS), F.lit(BRANCH_BONUS_CAP))
-    return cos * F.lit(BRANCH_VECTOR_WEIGHT) + bonus + F.lit(BRANCH_BASE)
-
-
 def boost(score: Column, flagged: Column, enabled: Column) -> Column:
     """Lift the score of flagged items, never above 1."""
     on = F.coalesce(flagged, F.lit(False)) & F.coalesce(enabled, F.lit(False))

@@ -74,9 +74,14 @@ KEYBOARD_MAP = {
 # ---- end of fixed values ------------------------------------------------------------------
 
 
+def strip(c: Column | str) -> Column:
+    """Without white space of any kind at either end; Spark's trim removes spaces only."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def blank_to_null(c: Column) -> Column:
     """Empty and whitespace-only strings count as missing."""
-    return F.nullif(F.trim(c), F.lit(""))
+    return F.nullif(strip(c), F.lit(""))
 
 
 def first_present(*cols: Column) -> Column:
@@ -91,7 +96,7 @@ def normalize_tag(c: Column) -> Column:
 
 def value_key(c: Column) -> Column:
     """Lower-trim key used for raw theme and mood strings."""
-    return F.trim(F.lower(c))
+    return strip(F.lower(c))
 
 
 def connector_tags(tags: Column, marker: str = MARKER_TAG) -> Column:
@@ -118,24 +123,24 @@ def display_title(name: Column, translit: Column) -> Column:
 
 
 def first_body_line(body: Column) -> Column:
-    return F.trim(F.split(F.coalesce(body, F.lit("")), "\n").getItem(0))
+    return strip(F.split(F.coalesce(body, F.lit("")), "\n").getItem(0))
 
 
 def clean_title(c: Column) -> Column:
     """Drop parenthesised parts, keep letters and whitespace, trim, lowercase."""
     no_parens = F.regexp_replace(c, r"\(.*?\)", "")
-    return F.lower(F.trim(F.regexp_replace(no_parens, r"[^a-zA-Z\s]", "")))
+    return F.lower(strip(F.regexp_replace(no_parens, r"[^a-zA-Z\s]", "")))
 
 
 def normalize_translit(c: Column) -> Column:
     """Fold long vowels, diphthongs and doubled letters; the order of the steps matters."""
-    t = F.trim(F.lower(F.regexp_replace(c, r"[^a-zA-Z\s]", "")))
+    t = strip(F.lower(F.regexp_replace(c, r"[^a-zA-Z\s]", "")))
     for pattern, repl in (
         ("aa+", "a"), ("ee+", "i"), ("oo+", "u"), ("ai", "e"), ("au", "o"),
         (r"(.)\1+", "$1"), (r"\s+", " "),
     ):
         t = F.regexp_replace(t, pattern, repl)
-    return F.trim(t)
+    return strip(t)
 
 
 def strip_trailing_number(c: Column, delimiter: str = DELIMITER, digits: str = NATIVE_DIGITS) -> Column:
@@ -144,7 +149,7 @@ def strip_trailing_number(c: Column, delimiter: str = DELIMITER, digits: str = N
     Each step applies only when more than five characters stay in front of it.
     """
     d, n = re.escape(delimiter), f"[{digits}]+"
-    text = F.trim(c)
+    text = strip(c)
     text = F.regexp_replace(text, rf"(?s)^(.{{5,}}\S)\s*{d}{n}{d}\s*$", "$1")
     bare = rf"(?s)^(.{{5,}}\S)\s+{n}\s*[ {d}]*$"
     body = F.regexp_replace(F.regexp_replace(text, bare, "$1"), rf"\s*[ {d}]*$", "")
@@ -157,13 +162,13 @@ def _starts_with_any(c: Column, prefixes: Sequence[str]) -> Column:
 
 def is_title_line(c: Column, prefixes: Sequence[str] = TITLE_PREFIXES) -> Column:
     """Section titles (Latin script) and lines shorter than five characters."""
-    clean = F.lower(F.trim(c))
+    clean = F.lower(strip(c))
     return _starts_with_any(clean, prefixes) | (F.length(clean) < 5)
 
 
 def is_native_title_line(c: Column, prefixes: Sequence[str] = NATIVE_TITLE_PREFIXES) -> Column:
     """Section titles in the native script, and short delimiter-marked lines."""
-    clean = F.trim(c)
+    clean = strip(c)
     return (
         (F.length(clean) < 5)
         | _starts_with_any(clean, prefixes)
@@ -187,7 +192,7 @@ def is_heading(
     Both sides of the skip-list test lose their trailing delimiter before they are compared.
     """
     d = re.escape(delimiter)
-    clean = F.regexp_replace(F.trim(c), rf"\s*[ {d}]*$", "")
+    clean = F.regexp_replace(strip(c), rf"\s*[ {d}]*$", "")
     bare_skips = sorted({_bare(s, delimiter) for s in skip_lines})
     first_words = F.slice(F.split(clean, r"\s+"), 1, 6)
     listed = F.array(*[F.lit(w) for w in heading_words])
@@ -233,7 +238,7 @@ def map_keyboard(c: Column, table: dict[str, str] | None = None) -> Column:
 
 def initials(c: Column) -> Column:
     """First letters of the words of a line, lowercase, without spaces."""
-    words = F.filter(F.split(F.lower(F.trim(c)), r"\s+"), lambda w: w != "")
+    words = F.filter(F.split(F.lower(strip(c)), r"\s+"), lambda w: w != "")
     return F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "")
 
 

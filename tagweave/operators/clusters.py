@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tagweave.functions import scores as S
+from tagweave.functions import text as X
 
 VECTOR_HITS = 30
 MIN_CLUSTER = 2
@@ -97,7 +98,7 @@ def assign_clusters(hits: DataFrame, meta: DataFrame, tag_sizes: DataFrame) -> D
         .withColumn("by_size", F.coalesce("by_size", _no_tags()))
         .withColumn("rarest", rarest_tag(F.col("by_size"), F.col("src_tags")))
     )
-    theme = F.coalesce(F.nullif(F.trim("dst_theme"), F.lit("")), F.lit(NO_TAG_CLUSTER))
+    theme = F.coalesce(F.nullif(X.strip("dst_theme"), F.lit("")), F.lit(NO_TAG_CLUSTER))
     matching = F.array_intersect("dst_tags", "src_tags")
     all_shared = F.size(F.array_except("src_tags", "shared_tags")) == 0
     from_vector = F.col("from_vector")
@@ -194,7 +195,7 @@ def with_meta(df: DataFrame, meta: DataFrame, items: DataFrame, key: str = "dst"
     """Per-field fallback: graph metadata first, then the item itself."""
     fields = ["title", "category", "author", "theme", "mood", "summary"]
     m = meta.select(F.col("item_id").alias(key), *[F.col(f).alias(f"_m_{f}") for f in fields], F.col("page").alias("_m_page"), "tags", "is_marker")
-    source = {"title": F.coalesce(F.nullif(F.trim("display"), F.lit("")), F.substring("translit", 1, 80))}
+    source = {"title": F.coalesce(F.nullif(X.strip("display"), F.lit("")), F.substring("translit", 1, 80))}
     i = items.select(
         F.col("item_id").alias(key),
         *[source.get(f, F.col(f)).alias(f"_i_{f}") for f in fields],
@@ -202,7 +203,7 @@ def with_meta(df: DataFrame, meta: DataFrame, items: DataFrame, key: str = "dst"
     )
     joined = df.join(m, key, "left").join(i, key, "left")
     for f in fields:
-        present = [F.nullif(F.trim(F.col(f"_{s}_{f}")), F.lit("")) for s in ("m", "i")]
+        present = [F.nullif(X.strip(F.col(f"_{s}_{f}")), F.lit("")) for s in ("m", "i")]
         joined = joined.withColumn(f, F.coalesce(*present, F.lit("")))
     page = F.coalesce(F.nullif("_m_page", F.lit(0)), F.col("_i_page"), F.lit(0))
     return joined.withColumn("page", page).withColumn(

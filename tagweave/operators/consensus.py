@@ -55,7 +55,7 @@ def fold_synonyms(tags: DataFrame, synonyms: DataFrame) -> DataFrame:
 
     Rows whose tag has no letters or digits are dropped.
     """
-    keyed = tags.withColumn("tag", F.trim("tag")).withColumn("raw_key", X.normalize_tag(F.col("tag")))
+    keyed = tags.withColumn("tag", X.strip("tag")).withColumn("raw_key", X.normalize_tag(F.col("tag")))
     keyed = keyed.filter(F.col("raw_key") != "")
     return (
         keyed.join(synonym_map(synonyms), "raw_key", "left")

@@ -145,7 +145,7 @@ def first_content_line(
     digits: str = X.NATIVE_DIGITS,
 ) -> DataFrame:
     """First line per item that is no blank, skip line, invocation or heading; numbers stripped."""
-    clean = F.trim("body")
+    clean = X.strip("body")
     skipped = (
         (clean == "")
         | clean.isin(list(skip_lines))
@@ -161,7 +161,7 @@ def first_untitled_line(
     lines: DataFrame, is_title: Column | None = None, min_length: int = MIN_CONTENT_LENGTH
 ) -> DataFrame:
     """First line per item that is no section title and longer than ``min_length``."""
-    clean = F.trim("body")
+    clean = X.strip("body")
     title = X.is_native_title_line(F.col("body")) if is_title is None else is_title
     rows = lines.filter(~title & (F.length(clean) > min_length))
     return rows.groupBy("item_id").agg(F.min_by(clean, F.col("line_no")).alias("line"))
@@ -169,7 +169,7 @@ def first_untitled_line(
 
 def repair_generic_display(items: DataFrame, content: DataFrame) -> DataFrame:
     """Replace skip-line and invocation displays by the content line, then strip line numbers."""
-    shown = F.trim(F.coalesce("display", F.lit("")))
+    shown = X.strip(F.coalesce("display", F.lit("")))
     generic = shown.isin(list(X.SKIP_LINES)) | (
         shown.startswith(X.INVOCATION_PREFIX) & (F.length(shown) < GENERIC_DISPLAY_MAX)
     )

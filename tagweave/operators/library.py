@@ -47,7 +47,7 @@ def clean_tracks(df: DataFrame) -> DataFrame:
     return rows.select(
         (F.col("row_index") + 1).cast("bigint").alias("rec_id"),
         "title",
-        F.trim(F.coalesce("contributor", F.lit(""))).alias("contributor"),
+        X.strip(F.coalesce("contributor", F.lit(""))).alias("contributor"),
         *[clean_field(F.col(c)).alias(c) for c in optional],
         F.coalesce(clean_field(F.col("confidence")), F.lit(DEFAULT_CONFIDENCE)).alias("confidence"),
         F.lit("pending").alias("status"),
@@ -112,7 +112,7 @@ def title_similarity(title: Column, line: Column) -> Column:
     keyword join.
     """
     clean = X.clean_title(title)
-    text = F.trim(F.lower(F.regexp_replace(line, r"[^a-zA-Z\s]", "")))
+    text = X.strip(F.lower(F.regexp_replace(line, r"[^a-zA-Z\s]", "")))
     def words(c: Column) -> Column:
         kept = F.filter(F.split(c, r"\s+"), lambda w: w != "")
         return F.transform(kept, X.normalize_translit)

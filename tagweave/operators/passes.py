@@ -20,6 +20,7 @@ from tagweave.scale import metric_rows
 TRANSLATION_CHARS = 1200
 REFRAIN_CHARS = 400
 REUSE_SHARE = 0.9
+ERROR_CHARS = 200
 
 TEMPLATE = (
     "Translation: {translation}\nCore line: {refrain}\nVocabulary: {vocabulary}\n"
@@ -104,15 +105,15 @@ def batched(items: DataFrame, size: int) -> DataFrame:
 
 def strip_fence(c: Column) -> Column:
     """Drop a Markdown code fence around an answer."""
-    text = F.trim(c)
+    text = X.strip(c)
     inner = F.regexp_replace(F.regexp_replace(text, r"(?s)^```[^\n]*\n", ""), r"(?s)```\s*$", "")
-    return F.when(text.startswith("```"), F.trim(inner)).otherwise(text)
+    return F.when(text.startswith("```"), X.strip(inner)).otherwise(text)
 
 
 def _tag_list(c: Column) -> Column:
     """JSON list to array; anything that is not a list becomes an empty one."""
     parsed = F.from_json(c, "array<string>")
-    return F.when(F.startswith(F.trim(c), F.lit("[")), parsed).otherwise(
+    return F.when(F.startswith(X.strip(c), F.lit("[")), parsed).otherwise(
         F.expr("cast(array() as array<string>)")
     )
 
@@ -180,9 +181,12 @@ def realign(answers: DataFrame, members: DataFrame, by: str = "position") -> tup
 
 
 def call_annotator(
-    requests: DataFrame, annotate: Callable[[str], str], annotator: str
+    requests: DataFrame, annotate: Callable[[str], str], annotator: str, error_chars: int = ERROR_CHARS
 ) -> DataFrame:
-    """Answers of an annotator function, one per request; a failing call fills ``error`` only."""
+    """Answers of an annotator function, one per request; a failing call fills ``error`` only.
+
+    Every evaluation calls the function again; ``run_pass`` writes the answers down first.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -193,7 +197,7 @@ def call_annotator(
                 try:
                     answer = annotate(request)
                 except Exception as problem:  # one bad call must not fail the partition
-                    error = str(problem)[:200]
+                    error = str(problem)[:error_chars]
                 out.append((item_id, annotator, answer, error, round(time.time() - started, 2), constrained))
             yield pd.DataFrame(
                 out, columns=["item_id", "annotator", "answer", "error", "elapsed_s", "constrained"]
@@ -215,11 +219,36 @@ def annotator_pass(
     vocabulary: Column | None = None,
     limit: int | None = None,
 ) -> DataFrame:
-    """One pass of one annotator over everything still open, as annotation rows."""
+    """One pass of one annotator over everything still open, as annotation rows, not yet stored."""
     todo = work_order(pending(items, done, flags, mode), flags, limit)
     return parse_annotation(call_annotator(render_request(todo, vocabulary), annotate, annotator))
 
 
+def run_pass(
+    items: DataFrame,
+    flags: DataFrame,
+    annotate: Callable[[str], str],
+    annotator: str,
+    path: str,
+    done: DataFrame | None = None,
+    **options,
+) -> DataFrame:
+    """Run a pass, append its answers to the annotator's shard under ``path`` and return the shard.
+
+    ``done`` are the rows stored before (none on the first run); what they answer is not asked again.
+    The answers are read back from the files, so using the result never calls the annotator. A task
+    that is tried again asks again for its own requests; only the last try's files are kept.
+    """
+    spark = items.sparkSession
+    if done is None:
+        done = spark.createDataFrame([], schemas.ANNOTATIONS)
+    own = done.filter(F.col("annotator") == annotator)
+    found = annotator_pass(items, own, flags, annotate, annotator, **options)
+    found.write.mode("append").partitionBy("annotator").parquet(path)
+    stored = spark.read.schema(schemas.ANNOTATIONS).parquet(path)
+    return stored.filter(F.col("annotator") == annotator)
+
+
 def embed_texts(
     df: DataFrame, text: str, embed: Callable[[Sequence[str]], Sequence[Sequence[float]]]
 ) -> DataFrame:

@@ -84,7 +84,7 @@ def substring_pairs(queries: DataFrame, texts: DataFrame) -> DataFrame:
 
 def search_titles(queries: DataFrame, meta: DataFrame) -> DataFrame:
     """(query_id, item_id) where the title contains every word of the query."""
-    words = queries.select("query_id", F.explode(F.array_distinct(F.split(F.lower(F.trim("q")), r"\s+"))).alias("word"))
+    words = queries.select("query_id", F.explode(F.array_distinct(F.split(F.lower(X.strip("q")), r"\s+"))).alias("word"))
     words = words.filter(F.col("word") != "")
     titles = meta.select(F.col("item_id").alias("text_id"), F.lower(F.coalesce("title", F.lit(""))).alias("haystack"))
     # The longest word leads; the others are checked on the rows it finds.
@@ -107,7 +107,7 @@ def search_items(queries: DataFrame, meta: DataFrame) -> DataFrame:
     by_title = top_per(search_titles(queries, meta), ["query_id"], [F.asc("item_id")], TITLE_LIMIT)
     by_title = staged(by_title, "title-hits")
     open_queries = queries.join(by_title.select("query_id").distinct(), "query_id", "left_anti")
-    needles = open_queries.select("query_id", F.lower(F.trim("q")).alias("needle"))
+    needles = open_queries.select("query_id", F.lower(X.strip("q")).alias("needle"))
     def texts(c: Column) -> DataFrame:
         return meta.select(F.col("item_id").alias("text_id"), F.lower(c).alias("haystack"))
 
@@ -140,10 +140,11 @@ def search_initials(queries: DataFrame, lines: DataFrame, mode: str, limit: int
     needles = needles.filter(F.length("needle") >= INITIALS_MIN)
     rows = lines.select("item_id", "line_no", X.initials(F.col("translit")).alias("initials"))
     if mode == "prefix":
-        short = F.substring("initials", 1, INITIALS_MIN)
-        hits = rows.withColumn("_key", short).join(
-            needles.withColumn("_key", F.substring("needle", 1, INITIALS_MIN)), "_key"
-        ).filter(F.startswith("initials", "needle")).drop("_key", "needle")
+        # Each line gives its beginnings of the lengths that needles have; they join by equality.
+        lengths = needles.agg(F.collect_set(F.length("needle")).alias("n")).scalar()
+        starts = rows.withColumn("_n", F.explode(lengths)).filter(F.col("_n") <= F.length("initials"))
+        starts = starts.select("item_id", "line_no", F.substring("initials", F.lit(1), F.col("_n")).alias("needle"))
+        hits = starts.join(needles, "needle").drop("needle")
     else:
         texts = rows.select(F.struct("item_id", "line_no").alias("text_id"), F.col("initials").alias("haystack"))
         hits = substring_pairs(needles, texts).select("query_id", "text_id.*")
@@ -196,7 +197,7 @@ def search_keywords(
         on = [c for c in ("query_id", "item_id") if c in exclude.columns]
         firsts = firsts.join(exclude.select(*on), on, "left_anti")
     best = top_per(firsts, ["query_id"], [F.asc("item_id")], limit)
-    title = F.array_join(F.slice(F.split(F.trim("translit"), r"\s+"), 1, TITLE_WORDS), " ")
+    title = F.array_join(F.slice(F.split(X.strip("translit"), r"\s+"), 1, TITLE_WORDS), " ")
     return best.join(lines.select("item_id", "line_no", title.alias("title")), ["item_id", "line_no"])
 
 
@@ -209,7 +210,7 @@ def typeahead(
     """
     fields = [F.lower(F.coalesce(c, F.lit(""))) for c in ("title", "contributor", "theme")]
     texts = library.select(F.col("rec_id").alias("text_id"), F.concat_ws("\n", *fields).alias("haystack"))
-    found = substring_pairs(queries.select("query_id", F.lower(F.trim("q")).alias("needle")), texts)
+    found = substring_pairs(queries.select("query_id", F.lower(X.strip("q")).alias("needle")), texts)
     open_rows = found.select("query_id", F.col("text_id").alias("rec_id")).join(
         chosen, ["query_id", "rec_id"], "left_anti"
     )
@@ -230,9 +231,14 @@ def list_tags(sizes: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def tag_page(tags: DataFrame, meta: DataFrame, tag: str, limit: int = 50, offset: int = 0) -> DataFrame:
-    """One page of the items of a tag, by id; only this page's rows meet the metadata."""
-    ids = tags.filter(F.col("tag") == tag).select("item_id").orderBy("item_id").offset(offset).limit(limit)
-    return ids.join(meta, "item_id", "left")
+    """One page of the items of a tag, by id, with the tag's number of items in all as ``total``.
+
+    Only this page's rows meet the metadata.
+    """
+    tagged = tags.filter(F.col("tag") == tag).select("item_id")
+    total = tagged.agg(F.count(F.lit(1)).alias("total")).scalar()
+    ids = tagged.orderBy("item_id").offset(offset).limit(limit)
+    return ids.join(meta, "item_id", "left").withColumn("total", total)
 
 
 def filter_tags(sizes: DataFrame, q: str, marker: str = X.MARKER_TAG) -> DataFrame:

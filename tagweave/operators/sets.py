@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from tagweave.functions import scores as S
 from tagweave.functions import text as X
-from tagweave.scale import next_in_sequence, top_per
+from tagweave.scale import next_in_sequence, positions, top_per
 
 # Texts of automatic names.
 NAME_TAGS = 2
 NAME_FALLBACK = ("Set (", " items)")
+# Additions numbered together: a range of so many sequence numbers.
+SEQ_RANGE = 4096
 
 
 def transitions(sets: DataFrame) -> DataFrame:
@@ -74,14 +76,16 @@ def list_sets(sets: DataFrame) -> DataFrame:
 def add_to_set(sets: DataFrame, additions: DataFrame) -> DataFrame:
     """Append (set_id, seq, item_id) to sets; an item already in the set is skipped.
 
-    New positions continue after the set's last one, in the order of ``seq``; gaps that skipped
-    items leave are kept, so no set has to be renumbered in one task.
+    New positions continue after the set's last one without gaps, in the order of ``seq``. Accepted
+    additions are numbered range by range of ``seq``, so no set is ordered in one task.
     """
     last = sets.groupBy("set_id").agg((F.max("pos") + 1).alias("_base"))
     fresh = additions.groupBy("set_id", "item_id").agg(F.min("seq").alias("seq")).join(
         sets.select("set_id", "item_id"), ["set_id", "item_id"], "left_anti"
     )
-    placed = fresh.join(last, "set_id", "left").select(
-        "set_id", (F.coalesce("_base", F.lit(0)) + F.col("seq")).cast("int").alias("pos"), "item_id"
+    order = [F.asc("seq"), F.asc("item_id")]
+    numbered = positions(fresh, ["set_id"], F.floor(F.col("seq") / SEQ_RANGE), order, "_nr")
+    placed = numbered.join(last, "set_id", "left").select(
+        "set_id", (F.coalesce("_base", F.lit(0)) + F.col("_nr")).cast("bigint").alias("pos"), "item_id"
     )
-    return sets.select("set_id", "pos", "item_id").unionByName(placed)
+    return sets.select("set_id", F.col("pos").cast("bigint").alias("pos"), "item_id").unionByName(placed)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tagweave.functions import scores as S
 from tagweave.functions import text as X
-from tagweave.operators.vectors import knn
+from tagweave.operators.vectors import knn, matching
 from tagweave.scale import top_per
 
 # Result sizes.
@@ -133,13 +133,6 @@ def query_text(seeds: DataFrame) -> DataFrame:
     return parts.select("req_id", F.array_join(chosen, " | ").alias("query_text"))
 
 
-def union_candidates(library: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Library and corpus candidates as one table with their source."""
-    return library.withColumn("source", F.lit("library")).unionByName(
-        corpus.withColumn("source", F.lit("corpus")), allowMissingColumns=True
-    )
-
-
 def rank_vector(cands: DataFrame, n: int = MAX_RESULTS) -> DataFrame:
     """Nearest candidates per request with their display score."""
     order = [F.asc(F.coalesce("distance", F.lit(1.0))), F.asc("source"), F.asc("item_id")]
@@ -154,26 +147,34 @@ def vector_suggestions(
     seeds: DataFrame,
     source: str = "all",
     n: int = MAX_RESULTS,
+    category: str | None = None,
+    contributor: str | None = None,
+    confidence: str | None = None,
 ) -> DataFrame:
     """Vector answers for requests (req_id, vec) from the library, the corpus or both.
 
     ``library``: rec_id, item_id, vec. With both sources the corpus side leaves out items that a
-    library record is linked to, before ranking. Seeds (req_id, item_id) never answer.
+    library record is linked to, before ranking. Seeds (req_id, item_id) never answer. The category
+    holds for both sides, contributor and confidence for library records; a side must carry the
+    columns asked for. Each side is searched for ``n`` answers, 20 at least.
     """
+    fetch = max(n, VECTOR_FETCH)
+    asked = {"category": category, "contributor": contributor, "confidence": confidence}
+    own_conditions = {k: v for k, v in asked.items() if v is not None}
     q = queries.select(F.col("req_id").alias("query_id"), "vec")
     seed = seeds.select(F.col("req_id").alias("query_id"), "item_id")
     parts = []
     if source in ("library", "all"):
-        records = library.select(F.col("rec_id").alias("item_id"), "vec")
+        records = matching(library, own_conditions).select(F.col("rec_id").alias("item_id"), "vec")
         own = seed.join(library.select("rec_id", "item_id"), "item_id").select(
             "query_id", F.col("rec_id").alias("item_id")
         )
-        parts.append(knn(q, records, VECTOR_FETCH, exclude=own).withColumn("source", F.lit("library")))
+        parts.append(knn(q, records, fetch, exclude=own).withColumn("source", F.lit("library")))
     if source in ("corpus", "all"):
-        rows = corpus
+        rows = corpus if category is None else matching(corpus, {"category": category})
         if source == "all":
             rows = rows.join(library.select("item_id").distinct(), "item_id", "left_anti")
-        parts.append(knn(q, rows, VECTOR_FETCH, exclude=seed).withColumn("source", F.lit("corpus")))
+        parts.append(knn(q, rows, fetch, exclude=seed).withColumn("source", F.lit("corpus")))
     cands = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return rank_vector(cands.withColumnRenamed("query_id", "req_id").drop("rank"), n)
 
@@ -189,14 +190,17 @@ def seed_suggestions(
     category: str | None = None,
     n: int = MAX_RESULTS,
 ) -> DataFrame:
-    """Suggestions per request: from the graph, or by vector for requests the graph leaves empty."""
+    """Suggestions per request: from the graph, or by vector for requests the graph leaves empty.
+
+    The category holds for either way; with one, ``corpus`` and ``library`` carry a category column.
+    """
     cands = exclude(merge_seeds(edges, seeds), seeds)
     graph = top_suggestions(filter_source(cands, source, library, meta, category), n).select(
         "req_id", F.col("dst").alias("item_id"), "rank", "connection_score", "explanation",
         F.lit("graph").alias("method"),
     )
     unanswered = query_vectors.join(graph.select("req_id").distinct(), "req_id", "left_anti")
-    vector = vector_suggestions(unanswered, corpus, library, seeds, source, n).select(
+    vector = vector_suggestions(unanswered, corpus, library, seeds, source, n, category).select(
         "req_id", "item_id", "rank", "connection_score", F.lit("").alias("explanation"),
         F.lit("vector").alias("method"),
     )

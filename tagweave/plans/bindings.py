@@ -22,7 +22,7 @@ def tagged_items(spark: SparkSession, sf: str) -> DataFrame:
     """Items with zero or two to six tags, metadata and a vector that some of them lack."""
     e = table(spark, sf, "embeddings")
     p = table(spark, sf, "part")
-    item, word = F.col("vec_id"), F.split("p_name", " ")
+    item, word = F.col("p_partkey"), F.split("p_name", " ")
     every_fourth = item % 4 == 0
     tags = F.array_compact(
         F.array(
@@ -34,7 +34,7 @@ def tagged_items(spark: SparkSession, sf: str) -> DataFrame:
             F.when(every_fourth, F.concat(F.lit("price"), (F.floor("p_retailprice") % 5).cast("string"))),
         )
     )
-    return e.join(p, e.vec_id == p.p_partkey).select(
+    return p.join(e, e.vec_id == p.p_partkey, "left").select(
         item.alias("item_id"),
         F.when(item % 50 == 49, F.expr(NO_TAGS)).otherwise(tags).alias("tags"),
         F.when(item % 29 != 0, F.col("embedding").cast("array<double>")).alias("vec"),
@@ -57,19 +57,14 @@ def edge_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def item_flags(spark: SparkSession, sf: str) -> DataFrame:
-    """Flag rows of the collection; entries with a large quantity."""
+    """Flag rows of the collection: the returned entries."""
     from tagweave.operators.collection import collection_index
 
-    return collection_index(
-        entries(spark, sf, F.col("l_quantity") >= 45), source="R"
-    )
+    return collection_index(entries(spark, sf), source="R")
 
 
-def entries(spark: SparkSession, sf: str, condition=None) -> DataFrame:
-    rows = table(spark, sf, "lineitem")
-    if condition is not None:
-        rows = rows.filter(condition)
-    return rows.select(
+def entries(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "lineitem").select(
         F.col("l_partkey").alias("item_id"), F.col("l_suppkey").alias("header_id"), F.col("l_returnflag").alias("source")
     )
 
@@ -254,19 +249,19 @@ def library(spark: SparkSession, sf: str) -> DataFrame:
 
 CTE: dict[str, tuple[tuple[str, ...], str]] = {
     "f1": ((), """
-        SELECT vec_id AS item_id,
-          CASE WHEN vec_id % 50 = 49 THEN CAST([] AS VARCHAR[]) ELSE list_filter([
+        SELECT p_partkey AS item_id,
+          CASE WHEN p_partkey % 50 = 49 THEN CAST([] AS VARCHAR[]) ELSE list_filter([
             split_part(p_name, ' ', 1), p_type,
-            CASE WHEN vec_id % 3 <> 0 THEN split_part(p_name, ' ', 2) END,
-            CASE WHEN vec_id % 2 = 0 THEN p_brand END,
-            CASE WHEN vec_id % 4 = 0 THEN 'size' || (p_size // 10) END,
-            CASE WHEN vec_id % 4 = 0 THEN 'price' || (CAST(floor(p_retailprice) AS BIGINT) % 5) END
+            CASE WHEN p_partkey % 3 <> 0 THEN split_part(p_name, ' ', 2) END,
+            CASE WHEN p_partkey % 2 = 0 THEN p_brand END,
+            CASE WHEN p_partkey % 4 = 0 THEN 'size' || (p_size // 10) END,
+            CASE WHEN p_partkey % 4 = 0 THEN 'price' || (CAST(floor(p_retailprice) AS BIGINT) % 5) END
           ], lambda t: t IS NOT NULL) END AS tags,
-          CASE WHEN vec_id % 29 <> 0 THEN CAST(embedding AS DOUBLE[]) END AS vec,
+          CASE WHEN p_partkey % 29 <> 0 THEN CAST(embedding AS DOUBLE[]) END AS vec,
           p_name AS display, p_type || ' ' || p_brand AS translit, p_brand AS category,
           'maker ' || p_size AS author, p_size::BIGINT AS page, p_type AS theme, split_part(p_name, ' ', 1) AS mood,
           p_name || ' / ' || p_brand AS summary, label
-        FROM embeddings JOIN part ON vec_id = p_partkey"""),
+        FROM part LEFT JOIN embeddings ON vec_id = p_partkey"""),
     "it": (("f1",), "SELECT item_id, unnest(list_distinct(tags)) AS tag FROM f1"),
     "ts": (("it",), "SELECT tag, count(*) AS n FROM it GROUP BY tag"),
     "nt": (("f1",), """SELECT item_id, list_sort(list_distinct(tags)) AS tags, len(list_distinct(tags)) AS nt, vec,
@@ -294,7 +289,7 @@ CTE: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, core DESC, dst) AS rank FROM merged)
         JOIN nt a ON a.item_id = src JOIN nt b ON b.item_id = dst WHERE rank <= 40"""),
     "flags": ((), """SELECT l_partkey AS item_id, true AS flagged, count(*) AS n_entries FROM lineitem
-        WHERE l_returnflag = 'R' AND l_quantity >= 45 GROUP BY 1"""),
+        WHERE l_returnflag = 'R' GROUP BY 1"""),
     "lines": ((), """SELECT doc_id AS item_id, CAST(doc_id // 100 AS INT) AS page, CAST(i - 1 AS INT) AS line_no,
         lang AS category, source AS author, parts[i] AS body, parts[i] AS translit, CASE WHEN parts[i] = '' THEN '' ELSE '~' || parts[i] END AS translation
         FROM (SELECT doc_id, lang, source, parts, unnest(range(1, len(parts) + 1)) AS i

@@ -247,12 +247,12 @@ def tag_list(spark, sf):
     return search.list_tags(tag_sizes(item_tags(B.tagged_items(spark, sf))), B.vocabulary(spark, sf))
 
 
-@query(sql("it", "f1", "SELECT item_id, display AS title, theme FROM f1 WHERE item_id IN (SELECT item_id FROM it WHERE tag = 'widget' ORDER BY item_id LIMIT 10 OFFSET 5)"))
+@query(sql("it", "ts", "f1", "SELECT item_id, display AS title, theme, (SELECT n FROM ts WHERE tag = 'widget') AS total FROM f1 WHERE item_id IN (SELECT item_id FROM it WHERE tag = 'widget' ORDER BY item_id LIMIT 10 OFFSET 5)"))
 def tag_page(spark, sf):
     """One page of the items of a tag."""
     items = B.tagged_items(spark, sf)
     page = search.tag_page(item_tags(items), item_meta(items), "widget", 10, 5)
-    return page.select("item_id", "title", "theme")
+    return page.select("item_id", "title", "theme", "total")
 
 
 @query(sql("ts", "SELECT tag, n FROM ts WHERE contains(lower(tag), 'br') AND tag <> 'Repertoire'"))

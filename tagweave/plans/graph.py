@@ -31,8 +31,9 @@ def tag_index(spark, sf):
     return graph.tag_index(graph.item_tags(B.tagged_items(spark, sf)))
 
 
-@query(sql("edges", "pc", """SELECT src, dst, e.score, len(e.shared_tags) AS n_shared, round(n / (na + nb - n)::DOUBLE, 6) AS jaccard, round(cos, 6) AS cos
-    FROM edges e JOIN pc USING (src, dst)"""))
+@query(sql("edges", "nt", """SELECT src, dst, score, n AS n_shared, round(n / (a.nt + b.nt - n)::DOUBLE, 6) AS jaccard,
+    round(CASE WHEN a.norm * b.norm > 0 THEN list_dot_product(a.vec, b.vec) / (a.norm * b.norm) ELSE 0 END, 6) AS cos
+    FROM (SELECT src, dst, score, len(shared_tags) AS n FROM edges) JOIN nt a ON a.item_id = src JOIN nt b ON b.item_id = dst"""))
 def edge_similarities(spark, sf):
     """Jaccard and cosine of every edge, recomputed from tags and vectors."""
     items = B.tagged_items(spark, sf)
@@ -366,6 +367,36 @@ def vector_suggestions(spark, sf):
     return out.select("req_id", "item_id", "source", "distance", "rank", "connection_score")
 
 
+@query(VEC_SQL.replace("o <= 20", "o <= 25").replace("rank <= 10", "rank <= 25"))
+def many_vector_suggestions(spark, sf):
+    """More answers than a side is searched for by default."""
+    e = _embeddings(spark, sf)
+    queries = e.select(F.col("item_id").alias("req_id"), "vec")
+    recs = e.filter(F.col("label") < 3).select((F.col("item_id") + 1000000).alias("rec_id"), "item_id", "vec")
+    seeds = e.select(F.col("item_id").alias("req_id"), "item_id")
+    out = suggest.vector_suggestions(queries, e.select("item_id", "vec"), recs, seeds, n=25)
+    return out.select("req_id", "item_id", "source", "distance", "rank", "connection_score")
+
+
+@query(f"""WITH {UNIT},
+    d AS (SELECT a.item_id AS req_id, u.item_id, round(1.0 - list_dot_product(a.vec, u.vec) / (a.norm * u.norm), 6) AS distance
+      FROM u a JOIN u ON u.item_id <> a.item_id WHERE u.label = 3),
+    v AS (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY distance, item_id) AS rank FROM d)
+    SELECT req_id, item_id, rank, round(greatest(1.0, least(10.0, (1 - distance) * 10)), 1) AS connection_score, 'vector' AS method FROM v WHERE rank <= 10""")
+def category_fallback(spark, sf):
+    """Requests of a category that no graph edge answers: the vector way stays within it."""
+    e = _embeddings(spark, sf)
+    corpus = e.select("item_id", "vec", F.col("label").cast("string").alias("category"))
+    seeds = e.select(F.col("item_id").alias("req_id"), "item_id")
+    edges = e.select(
+        F.col("item_id").alias("src"), (F.col("item_id") + 1).alias("dst"), F.lit(0.5).alias("score"), F.array(F.lit("t")).alias("shared_tags")
+    )
+    meta = corpus.select("item_id", F.when(F.col("category") != "3", F.col("category")).alias("category"))
+    asked = e.select(F.col("item_id").alias("req_id"), "vec")
+    out = suggest.seed_suggestions(seeds, edges, B.library(spark, sf), meta, asked, corpus, "corpus", "3")
+    return out.select("req_id", "item_id", "rank", "connection_score", "method")
+
+
 @query(sql("edges", "f1", "+" + UNIT + """,
     seeds AS (SELECT item_id AS req_id, item_id FROM f1),
     cand AS (SELECT src AS req_id, dst, score, shared_tags FROM edges), """ + TOP_SQL.format(source="cand") + """,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tagweave.functions import text as X
 from tagweave.operators import audit, library, search, sets
 from tagweave.plans import bindings as B
 from tagweave.plans.bindings import sql
@@ -194,12 +195,14 @@ def set_details(spark, sf):
     return sets.set_details(rows, item_meta(items), full).select("set_id", "pos", "item_id", "title", "theme", "tags")
 
 
-@query(sql("osets", """+ old AS (SELECT set_id, pos, item_id FROM osets WHERE year(happened) < 1998),
-    adds AS (SELECT o_custkey AS set_id, o_orderkey AS item_id, o_orderkey AS seq FROM orders),
-    fresh AS (SELECT * FROM adds WHERE (set_id, item_id) NOT IN (SELECT (set_id, item_id) FROM old))
-    SELECT set_id, pos::BIGINT AS pos, item_id FROM old UNION ALL SELECT set_id, coalesce(b, 0) + seq, item_id FROM fresh LEFT JOIN (SELECT set_id, max(pos) + 1 AS b FROM old GROUP BY 1) USING (set_id)"""))
-def grown_sets(spark, sf):
-    """All orders added to sets that hold the earlier ones; known items are skipped."""
+GROWN = """old AS (SELECT set_id, pos, item_id FROM osets WHERE year(happened) < 1998),
+    fresh AS (SELECT o_custkey AS set_id, o_orderkey AS item_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS nr
+      FROM orders WHERE (o_custkey, o_orderkey) NOT IN (SELECT (set_id, item_id) FROM old)),
+    grown AS (SELECT set_id, pos::BIGINT AS pos, item_id FROM old UNION ALL SELECT set_id, coalesce(b, 0) + nr, item_id
+      FROM fresh LEFT JOIN (SELECT set_id, max(pos) + 1 AS b FROM old GROUP BY 1) USING (set_id))"""
+
+
+def _grown(spark, sf):
     rows = B.order_sets(spark, sf)
     adds = B.table(spark, sf, "orders").select(
         F.col("o_custkey").alias("set_id"), F.col("o_orderkey").alias("item_id"), F.col("o_orderkey").alias("seq")
@@ -207,6 +210,36 @@ def grown_sets(spark, sf):
     return sets.add_to_set(rows.filter(F.year("at") < 1998).select("set_id", "pos", "item_id"), adds)
 
 
+@query(sql("osets", f"+ {GROWN} SELECT set_id, pos, item_id FROM grown"))
+def grown_sets(spark, sf):
+    """All orders added to sets that hold the earlier ones; known items are skipped, positions stay dense."""
+    return _grown(spark, sf)
+
+
+@query(sql("osets", f"""+ {GROWN}, n AS (SELECT grown.*, o.tags, lead(grown.item_id) OVER w AS next_id, lead(o.tags) OVER w AS next_tags
+      FROM grown JOIN osets o ON o.item_id = grown.item_id WINDOW w AS (PARTITION BY grown.set_id ORDER BY grown.pos))
+    SELECT set_id, pos, item_id, next_id, array_to_string(list_sort(list_intersect(tags, next_tags)), ',') AS shared_tags FROM n WHERE next_id IS NOT NULL"""))
+def grown_transitions(spark, sf):
+    """Transitions of the grown sets: none is lost where additions were skipped."""
+    tags = B.order_sets(spark, sf).select("item_id", "tags")
+    found = sets.transitions(_grown(spark, sf).join(tags, "item_id"))
+    return found.select("set_id", "pos", "item_id", "next_id", "shared_tags")
+
+
+@query("SELECT p_partkey AS item_id, lower(p_name) AS key, p_name AS first_line, true AS blank FROM part")
+def stripped_values(spark, sf):
+    """Tabs, line ends and no-break spaces around values count as white space."""
+    p = B.table(spark, sf, "part")
+    pads = F.array(*[F.lit(x) for x in ("\t", "\r\n", "\u00a0 ", " \x0b", "\u2003")])
+    pad = F.element_at(pads, (F.col("p_partkey") % 5 + 1).cast("int"))
+    return p.select(
+        F.col("p_partkey").alias("item_id"),
+        X.value_key(F.concat(pad, F.upper("p_name"), pad)).alias("key"),
+        X.first_body_line(F.concat("p_name", F.lit("\r\nsecond line"))).alias("first_line"),
+        X.blank_to_null(pad).isNull().alias("blank"),
+    )
+
+
 # ---- audit -----------------------------------------------------------------------------------
 
 COUNTS = """a AS (SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM pre) GROUP BY 1), b AS (SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM post) GROUP BY 1),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -12,15 +14,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 CHUNK_LINES = 4096
+BROADCAST_BYTES = "10m"
 
 
 def tune(spark: SparkSession) -> SparkSession:
     """Runtime settings the jobs rely on; all of them are session-level SQL settings.
 
-    Adaptive execution decides broadcasts from measured sizes and splits skewed join partitions,
-    also where that costs one more shuffle.
+    Nothing is broadcast on an estimate: files compress well and ``explode`` multiplies rows. Adaptive
+    execution broadcasts a side once its shuffled size is measured below BROADCAST_BYTES, and splits
+    skewed join partitions, also where that costs one more shuffle.
     """
     for key, value in {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": BROADCAST_BYTES,
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
@@ -47,11 +53,21 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints and staged tables: the cluster's setting, else one of our own."""
+    """Folder for checkpoints and staged tables, from ``spark.checkpoint.dir``.
+
+    Without that setting a temporary folder serves a local session, whose executors all see it, and is
+    removed at exit; on a cluster the setting is required.
+    """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-"))
+        if configured is None:
+            if not re.match(r"local(\[|$)", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            own = tempfile.mkdtemp(prefix="spark-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            configured = own
+        context.setCheckpointDir(configured)
     return configured or context.getCheckpointDir()
 
 
@@ -124,7 +140,7 @@ def positions(
     )
     return (
         ranked.join(offsets, [*keys, "_bucket"])
-        .withColumn(name, (F.col("_rank") + F.col("_offset")).cast("int"))
+        .withColumn(name, (F.col("_rank") + F.col("_offset")).cast("bigint"))
         .drop("_bucket", "_rank", "_offset")
     )
 

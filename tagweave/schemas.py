@@ -17,8 +17,7 @@ LIBRARY = (
     "secondary_themes ARRAY<STRING>, occasions ARRAY<STRING>, mood STRING, summary STRING, "
     "match_confidence DOUBLE, status STRING"
 )
-CONTRIBUTORS = "id BIGINT, name STRING, era STRING, lineage STRING, link STRING"
-SYNONYMS = "ordinal INT, canonical STRING, variant STRING"
+SYNONYMS = "ordinal BIGINT, canonical STRING, variant STRING"
 ANNOTATIONS = (
     "item_id BIGINT, annotator STRING, theme STRING, mood STRING, summary STRING, "
     "tags ARRAY<STRING>, reasoning STRING, elapsed_s DOUBLE, constrained BOOLEAN, error STRING"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave import schemas
-from tagweave.functions.text import MARKER_TAG
+from tagweave.functions.text import MARKER_TAG, strip
 from tagweave.operators.graph import GraphBundle
 
 
@@ -23,19 +23,6 @@ def read_items(spark: SparkSession, path: str, multiline: bool = False) -> DataF
     return read_json_table(spark, path, schemas.ITEMS, multiline)
 
 
-def read_library(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    return read_json_table(spark, path, schemas.LIBRARY, multiline)
-
-
-def read_tracks(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Track list from CSV; the schema must name the explicit ``row_index`` column."""
-    return spark.read.schema(schema).option("header", True).csv(path)
-
-
-def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-
-
 def write_annotations(df: DataFrame, path: str) -> None:
     """One directory per annotator; a pass replaces only its own annotators' rows."""
     (
@@ -87,7 +74,7 @@ def parse_vocabulary(documents: DataFrame) -> DataFrame:
                 F.col("e.value.count").alias("n"),
             )
         )
-    names = documents.filter(F.startswith(F.trim("value"), F.lit("["))).select(
+    names = documents.filter(F.startswith(strip("value"), F.lit("["))).select(
         F.posexplode(F.from_json("value", "array<string>")).alias("ordinal", "tag")
     )
     plain = names.select(
@@ -113,15 +100,16 @@ def derive_vocabulary(items: DataFrame, marker: str = MARKER_TAG) -> DataFrame:
 def parse_synonyms(documents: DataFrame) -> DataFrame:
     """Synonym rows (ordinal, canonical, variant) from a JSON object canonical → [variants].
 
-    Keys that start with an underscore are comments. ``ordinal`` follows the order of the file.
+    Keys that start with an underscore are comments. ``ordinal`` follows the order of the file: the
+    canonical's place in the upper, the variant's in the lower 31 bits, as many as an array can hold.
     """
     entries = documents.select(F.from_json("value", "map<string, string>").alias("m")).select(
         F.posexplode(F.map_entries("m")).alias("at", "e")
     ).filter(~F.startswith("e.key", F.lit("_")))
     variants = F.from_json("e.value", "array<string>")
     rows = entries.select("at", F.col("e.key").alias("canonical"), F.posexplode_outer(variants).alias("pos", "variant"))
-    place = F.col("at") * F.lit(100_000) + F.coalesce("pos", F.lit(0))
-    return rows.select(place.cast("int").alias("ordinal"), "canonical", "variant")
+    place = F.col("at").cast("bigint") * F.lit(1 << 31) + F.coalesce("pos", F.lit(0))
+    return rows.select(place.alias("ordinal"), "canonical", "variant")
 
 
 def read_synonyms(spark: SparkSession, path: str) -> DataFrame:

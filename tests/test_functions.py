@@ -97,7 +97,6 @@ def test_scores(value):
     vecs = "a ARRAY<FLOAT>, b ARRAY<FLOAT>"
     assert value(S.cosine(F.col("a"), F.col("b")), vecs, ([3.0, 4.0], [6.0, 8.0])) == pytest.approx(1.0)
     assert value(S.cosine(F.col("a"), F.col("b")), vecs, ([3.0, 4.0], [0.0, 0.0])) == 0
-    assert value(S.branch_score(F.lit(0.5), F.lit(5))) == pytest.approx(0.75)
     assert value(S.boost(F.lit(0.9), F.lit(True), F.lit(True))) == 1.0
     assert value(S.boost(F.lit(0.5), F.lit(None).cast("boolean"), F.lit(True))) == 0.5
     assert value(S.boost(F.lit(0.5), F.lit(True), F.lit(False))) == 0.5

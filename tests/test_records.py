@@ -200,7 +200,51 @@ def test_add_to_set_skips_known_items(spark):
     s = spark.createDataFrame([(1, 0, 7), (1, 1, 8)], "set_id BIGINT, pos INT, item_id BIGINT")
     adds = spark.createDataFrame([(1, 0, 8), (1, 1, 9), (1, 2, 9), (2, 0, 7)], "set_id BIGINT, seq INT, item_id BIGINT")
     got = sorted((r.set_id, r.pos, r.item_id) for r in sets.add_to_set(s, adds).collect())
-    assert got == [(1, 0, 7), (1, 1, 8), (1, 3, 9), (2, 0, 7)]
+    assert got == [(1, 0, 7), (1, 1, 8), (1, 2, 9), (2, 0, 7)]
+    tagged = sets.add_to_set(s, adds).withColumn("tags", F.array(F.lit("t")))
+    pairs = sorted((r.set_id, r.item_id, r.next_id) for r in sets.transitions(tagged).collect())
+    assert pairs == [(1, 7, 8), (1, 8, 9)]
+
+
+def test_synonyms_of_a_long_list_keep_their_order(spark):
+    import json
+
+    from tagweave.sources.tables import parse_synonyms
+
+    names = {f"c{i}": ["v"] if i in (3, 49_999) else [f"v{i}", "w"] for i in range(50_000)}
+    rows = parse_synonyms(spark.createDataFrame([(json.dumps(names),)], "value STRING"))
+    last = rows.filter("variant = 'v'").orderBy(F.desc("ordinal")).first()
+    assert rows.count() == 99_998 and last["canonical"] == "c49999"
+    assert rows.select("ordinal").distinct().count() == 99_998
+    long = parse_synonyms(spark.createDataFrame([(json.dumps({"a": ["x"] * 150_000, "b": ["y"]}),)], "value STRING"))
+    assert long.filter("canonical = 'a'").agg(F.max("ordinal")).first()[0] < long.filter("canonical = 'b'").first()["ordinal"]
+
+
+def test_vector_answers_stay_in_the_category(spark):
+    edges = spark.createDataFrame([(1, 2, 0.5, ["a"])], "src BIGINT, dst BIGINT, score DOUBLE, shared_tags ARRAY<STRING>")
+    seeds = spark.createDataFrame([(1, 1)], "req_id BIGINT, item_id BIGINT")
+    rows = [(2, [1.0, 0.0], "x"), (3, [0.9, 0.1], "z"), (4, [0.0, 1.0], "y")]
+    corpus = spark.createDataFrame(rows, "item_id BIGINT, vec ARRAY<DOUBLE>, category STRING")
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "req_id BIGINT, vec ARRAY<DOUBLE>")
+    lib = spark.createDataFrame([], "rec_id BIGINT, item_id BIGINT, vec ARRAY<DOUBLE>")
+    meta = corpus.select("item_id", "category")
+    for category, want in (("z", [3]), ("q", [])):
+        out = suggest.seed_suggestions(seeds, edges, lib, meta, asked, corpus, "corpus", category)
+        assert [r.item_id for r in out.collect()] == want
+
+
+def test_strip_takes_all_white_space(spark):
+    from tagweave.functions import text as X
+
+    rows = spark.createDataFrame([("\tLove\r",), ("\u00a0a b\x0b",), ("\r\n\t",), (None,)], "v STRING")
+    assert [r[0] for r in rows.select(X.strip("v")).collect()] == ["Love", "a b", "", None]
+
+
+def test_nothing_is_broadcast_on_an_estimate(spark):
+    lines = spark.createDataFrame([(1, "a\nb")], "item_id BIGINT, text STRING")
+    lines = lines.select("item_id", F.explode(F.split("text", "\n")).alias("line"))
+    plan = lines.join(lines.withColumnRenamed("line", "other"), "item_id")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
 
 
 # ---- suggestions -----------------------------------------------------------------------------
@@ -248,6 +292,23 @@ def test_pass_retries_errors_and_orders_flagged_first(spark):
     assert (out.item_id, out.theme, out.tags, out.error, out.constrained) == (1, "th", [], None, False)
 
 
+def test_stored_pass_asks_only_once(spark, tmp_path):
+    items = spark.createDataFrame([(1, 9, "x"), (2, 1, "x")], "item_id BIGINT, page INT, translation STRING")
+    items = items.withColumn("refrain", F.lit(None).cast("struct<translation: string>"))
+    flags = spark.createDataFrame([(1, True)], "item_id BIGINT, flagged BOOLEAN")
+    path, calls = str(tmp_path / "shards"), spark.sparkContext.accumulator(0)
+
+    def answer(text):
+        calls.add(1)
+        return '{"primary_theme": "th", "tags": ["t"]}'
+
+    first = passes.run_pass(items, flags, answer, "stub", path)
+    assert sorted(r.item_id for r in first.collect()) == [1, 2] and first.count() == 2 and calls.value == 2
+    more = items.union(spark.createDataFrame([(3, 1, "x")], "item_id BIGINT, page INT, translation STRING").withColumn("refrain", F.lit(None).cast("struct<translation: string>")))
+    second = passes.run_pass(more, flags, answer, "stub", path, done=tables.read_annotations(spark, path))
+    assert sorted(r.item_id for r in second.collect()) == [1, 2, 3] and calls.value == 3
+
+
 def test_answers_realign_by_index_and_position(spark):
     members = spark.createDataFrame([(1, 1, 10), (1, 2, 11), (2, 1, 20), (2, 2, 21)], "batch_id BIGINT, place INT, item_id BIGINT")
     answers = spark.createDataFrame(
