@@ -274,10 +274,10 @@ def family_flips(spark, sf):
     return audit.family_flips(*B.snapshots(spark, sf), _urgent)
 
 
-@query(sql("flags", "f1", "SELECT item_id FROM flags WHERE item_id NOT IN (SELECT item_id FROM f1)"))
+@query(sql("flags", "f1", "SELECT item_id FROM flags WHERE item_id NOT IN (SELECT item_id FROM f1 WHERE vec IS NOT NULL)"))
 def missing_refs(spark, sf):
-    """Flagged ids without an item."""
-    return audit.missing_refs(B.item_flags(spark, sf), B.tagged_items(spark, sf))
+    """Flagged ids that no item with a vector has."""
+    return audit.missing_refs(B.item_flags(spark, sf), B.tagged_items(spark, sf).filter(F.col("vec").isNotNull()))
 
 
 @query(sql("pre", "post", """SELECT s.item_id, s.theme AS theme_post, array_to_string(s.tags, ',') AS tags_post, pre.theme AS theme_pre, array_to_string(pre.tags, ',') AS tags_pre
