@@ -38,13 +38,14 @@ _LITERAL = 0x110000  # a space sign that stands in the text itself, outside the
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_K1, _K2, _K3 = constants(3, 31)
+_K1, _K3 = constants(2, 31)
 _SLOT_BITS = 20
+FAR = -100.0
 
 
 def uniform(key: np.ndarray, counter: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1) from keys and counters."""
-    bits = mix(mix(key + counter.astype(_U) * _K1) + _K2) >> _U(11)
+    bits = mix(key + counter.astype(_U) * _K1) >> _U(11)
     return (bits.astype(np.float64) + 0.5) / (1 << 53)
 
 
@@ -60,7 +61,15 @@ class _Hashes:
         np.cumsum(mix(codes.astype(_U) + _K3) * np.multiply.accumulate(power)[:n], out=self.sums[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.inverse[start])
+        return _finish(self.sums[end] - self.sums[start], self.inverse[start])
+
+
+def _finish(sums: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+    """Range hash from the difference of sums, its upper bits mixed."""
+    x = sums * inverse
+    x ^= x >> _U(29)
+    x *= _K1
+    return x
 
 
 class Vocabulary:
@@ -148,16 +157,20 @@ class Lattices:
         width = min(vocabulary.longest, longest)
         rows = int(self.at[-1])
         self.log = np.full((rows, width), -np.inf, np.float32)
+        self.cumulative = np.zeros((rows, width), np.float32)
         self.ids = np.full((rows, width), -1, np.int32)
         alpha = np.zeros(rows)
+        ends, inverse = [hashes.sums[start]], [hashes.inverse[start]]
         for e in range(1, longest + 1):
             n = int(active[e])
             rows_e = slice(int(self.at[e]), int(self.at[e]) + n)
             columns = min(width, e)
             weights = np.full((n, columns), -np.inf)
             stop = start[:n] + e
+            ends.append(hashes.sums[stop])
+            inverse.append(hashes.inverse[stop])
             for k in range(1, columns + 1):
-                where, piece = vocabulary.find(hashes(stop - k, stop))
+                where, piece = vocabulary.find(_finish(ends[e] - ends[e - k][:n], inverse[e - k][:n]))
                 if len(where):
                     self.ids[int(self.at[e]) + where, k - 1] = vocabulary.ids[piece]
                     weights[where, k - 1] = alpha[int(self.at[e - k]) + where] + vocabulary.logs[piece]
@@ -167,32 +180,54 @@ class Lattices:
                 before = alpha[int(self.at[e - 1]) : int(self.at[e - 1]) + n]
                 weights[unknown, 0] = before[unknown] + vocabulary.byte_log * _utf8_length(last[unknown])
             top = weights.max(axis=1)
-            total = top + np.log(np.exp(weights - top[:, None]).sum(axis=1))
-            alpha[rows_e] = total
-            self.log[rows_e, :columns] = weights - total[:, None]
+            weights -= top[:, None]
+            share = np.exp(weights.astype(np.float32))
+            total = share.sum(axis=1, dtype=np.float64)
+            alpha[rows_e] = top + np.log(total)
+            self.log[rows_e, :columns] = weights - np.log(total)[:, None]
+            sums = np.cumsum(share, axis=1, dtype=np.float32)
+            # rounding must not let a draw pass the last piece that is possible
+            self.cumulative[rows_e, :columns] = np.where(sums >= sums[:, -1:], 2.0, sums / total[:, None])
+            self.cumulative[rows_e, columns:] = 2.0
         width = int(np.flatnonzero(np.isfinite(self.log).any(axis=0))[-1]) + 1
         self.log, self.ids = self.log[:, :width].copy(), self.ids[:, :width].copy()
-        self.cumulative = np.cumsum(np.exp(self.log), axis=1, dtype=np.float32)
-        # rounding must not let a draw pass the last piece that is possible
-        possible = width - 1 - np.argmax(np.isfinite(self.log[:, ::-1]), axis=1)
-        self.cumulative[np.arange(width)[None, :] >= possible[:, None]] = 2.0
+        self.cumulative = self.cumulative[:, :width].copy()
 
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
-        return 1 + (u[:, None] >= self.cumulative[node]).sum(axis=1)
+        return 1 + np.count_nonzero(u.astype(np.float32)[:, None] >= self.cumulative[node], axis=1)
 
 
 @dataclass
-class Path:
-    """A segmentation in search order: words forward, pieces of a word backward."""
+class Draws:
+    """One segmentation of every word of a slice: words forward, pieces of a word backward."""
 
-    word: np.ndarray  # number of the word in the text
+    word: np.ndarray  # number of the word in the slice
     node: np.ndarray  # row of the lattice at the piece's end
     size: np.ndarray  # characters of the piece
     start: np.ndarray  # first character
     log: np.ndarray
+    first: np.ndarray  # first step of each word
+    ids: np.ndarray | None = None  # piece ids in text order, bytes one by one
+    spot: np.ndarray | None = None  # where each word's ids begin
+
+    def steps(self, lo: int, hi: int) -> list[np.ndarray]:
+        cut = slice(self.first[lo], self.first[hi])
+        return [self.word[cut], self.node[cut], self.size[cut], self.start[cut], self.log[cut]]
+
+
+@dataclass
+class Path:
+    """A segmentation of one text, in the order of the search."""
+
+    word: np.ndarray
+    node: np.ndarray
+    size: np.ndarray
+    start: np.ndarray
+    log: np.ndarray
+    parts: list  # of its ids in text order: (first word, last word, draw) or (word, word + 1, ids)
     value: float = 0.0
     rest: np.ndarray | None = None  # perturbed value of what leaves the path at each step
-    used: tuple = ()  # sizes that earlier paths took at the step where this one left
+    used: tuple = ()  # the step where this path left another, and the sizes taken there before
 
 
 @dataclass
@@ -247,77 +282,59 @@ class Sampler:
         owner = np.repeat(np.arange(len(texts)), np.diff(word_at))
         number = np.arange(len(begins)) - word_at[owner]
         word_key = mix(key[owner] + number.astype(_U) * _K3)
-        draws = [self._draw(lattice, row, ends, word_key, d) for d in range(self.k)]
+        draws = [self._draw(lattice, codes, row, begins, ends, word_key, d) for d in range(self.k)]
+        best = -np.log(-np.log(uniform(key, np.full(len(key), 1 << 60))))
+        first = draws[0].first[word_at]
+        of = np.repeat(np.arange(len(texts)), np.diff(first))
+        rest = _rests(draws[0].log, first[of], best[of], key[of], 0)
         for i in range(len(texts)):
-            lo, hi = word_at[i], word_at[i + 1]
+            lo, hi = int(word_at[i]), int(word_at[i + 1])
             if lo == hi:
                 yield [Sample(np.zeros(0, np.int32), 0.0, 0.0, 0.0)]
                 continue
-            yield self._search(lattice, codes, row, begins, key[i : i + 1], draws, int(lo), int(hi))
+            path = Path(*draws[0].steps(lo, hi), [(lo, hi, 0)], float(best[i]), rest[first[i] : first[i + 1]])
+            yield self._search(lattice, codes, row, begins, key[i : i + 1], draws, path, hi)
 
-    def _draw(self, lattice: Lattices, row: np.ndarray, ends: np.ndarray, key: np.ndarray, d: int):
-        """One draw for every word: (path over all words, first step of each word)."""
-        left = self._lengths(lattice, row).copy()
+    def _draw(self, lattice: Lattices, codes, row, begins, ends, key, d: int) -> Draws:
+        left = ends - begins
         active = np.arange(len(row))
         out, step = [], 0
         while len(active):
             e = left[active]
             node = lattice.at[e] + row[active]
-            u = uniform(key[active], np.full(len(active), step * 64 + d))
-            size = lattice.draw(node, u)
-            out.append((active, node, size, ends[active] - (self._lengths(lattice, row[active]) - e) - size,
-                        lattice.log[node, size - 1]))
-            left[active] -= size
-            active = active[left[active] > 0]
+            size = lattice.draw(node, uniform(key[active], np.full(len(active), step * 64 + d)))
+            left[active] = e - size
+            out.append((active, node, size, begins[active] + e - size, lattice.log[node, size - 1]))
+            active = active[e > size]
             step += 1
         word = np.concatenate([o[0] for o in out])
         order = np.argsort(word, kind="stable")
-        path = Path(*(np.concatenate([o[j] for o in out])[order] for j in range(5)))
-        return path, np.searchsorted(path.word, np.arange(len(row) + 1))
-
-    @staticmethod
-    def _lengths(lattice: Lattices, row: np.ndarray) -> np.ndarray:
-        """Characters of words by their row: the words are sorted, the longest first."""
-        active = np.diff(lattice.at)
-        return len(active) - 1 - np.searchsorted(active[::-1], row, side="right")
-
-    def _rests(self, path: Path, begin: int, key: np.ndarray, turn: int) -> None:
-        """Perturbed values of all that leaves the path from step ``begin`` on."""
-        log = path.log.astype(np.float64)
-        before = np.cumsum(log) - log
-        p = np.exp(log)
-        with np.errstate(divide="ignore"):
-            mass = before + np.log(np.maximum(0.0, 1.0 - p))
-        noise = np.log(-np.log(uniform(key, np.arange(len(log)) + (turn + 1) * (1 << 32))))
-        path.rest = -np.logaddexp(-path.value, noise - mass)
-        path.rest[~np.isfinite(mass)] = -np.inf
-        path.rest[: begin] = -np.inf
-
-    def _search(self, lattice, codes, row, begins, key, draws, lo: int, hi: int) -> list[Sample]:
-        def fresh(d: int, word: int) -> list[np.ndarray]:
-            path, first = draws[d]
-            cut = slice(first[word], first[hi])
-            return [path.word[cut], path.node[cut], path.size[cut], path.start[cut], path.log[cut]]
-
-        best = Path(*fresh(0, lo))
-        best.value = float(-np.log(-np.log(uniform(key, np.array([1 << 60]))[0])))
-        self._rests(best, 0, key, 0)
+        steps = [np.concatenate([o[j] for o in out])[order] for j in range(5)]
+        draws = Draws(*steps, np.searchsorted(steps[0], np.arange(len(row) + 1)))
+        first = draws.first
+        back = np.repeat(first[:-1] + first[1:] - 1, np.diff(first)) - np.arange(len(word))
+        draws.ids, counts = self._ids(lattice, codes, draws.node[back], draws.size[back], draws.start[back])
+        draws.spot = np.concatenate([[0], np.cumsum(counts)])[first]
+        return draws
+
+    def _search(self, lattice, codes, row, begins, key, draws, best: Path, hi: int) -> list[Sample]:
         found = [best]
         while True:
-            tops = [(float(p.rest.max()), i) for i, p in enumerate(found)]
-            value, i = max(tops, key=lambda t: (t[0], -t[1]))
+            tops = [(float(p.rest.max()), -i) for i, p in enumerate(found)]
+            value, i = max(tops)
             if len(found) == self.k or value == -np.inf:
                 break
-            found.append(self._leave(lattice, row, begins, key, found[i], value, len(found), hi, fresh))
+            found.append(self._leave(lattice, codes, row, begins, key, found[-i], value, len(found), hi, draws))
         out = []
         for p in found:
-            log = float(p.log.astype(np.float64).sum())
+            log = float(p.log.sum(dtype=np.float64))
             gap = log - value
             inclusion = 0.0 if value == -np.inf else float(np.log(-np.expm1(-np.exp(gap)))) if gap > -30 else gap
-            out.append(Sample(self._ids(lattice, codes, p), log, p.value, inclusion))
+            ids = [draws[x].ids[draws[x].spot[a] : draws[x].spot[b]] if isinstance(x, int) else x for a, b, x in p.parts]
+            out.append(Sample(np.concatenate(ids), log, p.value, inclusion))
         return out
 
-    def _leave(self, lattice, row, begins, key, parent: Path, value: float, turn: int, hi: int, fresh) -> Path:
+    def _leave(self, lattice, codes, row, begins, key, parent: Path, value: float, turn: int, hi: int, draws) -> Path:
         """The best path among those that leave ``parent`` at its best step."""
         step = int(parent.rest.argmax())
         used = (parent.used if parent.used and parent.used[0] == step else (step,)) + (int(parent.size[step]),)
@@ -340,30 +357,62 @@ class Sampler:
         own = [np.full(len(nodes), word), np.array(nodes), np.array(sizes), np.array(starts),
                lattice.log[nodes, np.array(sizes) - 1]]
         head = [parent.word, parent.node, parent.size, parent.start, parent.log]
-        path = Path(*(np.concatenate([h[:step], o, f]) for h, o, f in zip(head, own, fresh(turn, word + 1))))
-        path.value, path.used = value, used
-        self._rests(path, step + 1, key, turn)
+        steps = [np.concatenate([h[:step], o, f]) for h, o, f in zip(head, own, draws[turn].steps(word + 1, hi))]
+        mine = slice(int(np.searchsorted(steps[0], word)), int(np.searchsorted(steps[0], word + 1)))
+        ids, _ = self._ids(lattice, codes, *(steps[j][mine][::-1] for j in (1, 2, 3)))
+        parts = [(a, min(b, word), x) for a, b, x in parent.parts if a < word]
+        path = Path(*steps, [*parts, (word, word + 1, ids), (word + 1, hi, turn)], value)
+        path.rest = _rests(path.log, np.zeros(len(path.log), np.int64), np.full(1, value), key, turn)
+        path.rest[: step + 1] = -np.inf
         left = sums[-1] - chance[sizes[0] - 1]
         if left > 1e-12:
-            mass = float(path.log[:step].astype(np.float64).sum() + np.log(left))
+            mass = float(path.log[:step].sum(dtype=np.float64) + np.log(left))
             noise = np.log(-np.log(uniform(key, np.array([(1 << 59) + turn]))[0]))
             path.rest[step] = -np.logaddexp(-value, noise - mass)
+        path.used = used
         parent.rest[step] = -np.inf
         return path
 
-    def _ids(self, lattice, codes, path: Path) -> np.ndarray:
-        order = np.argsort(path.start)
-        ids = lattice.ids[path.node[order], path.size[order] - 1]
+    def _ids(self, lattice, codes, node, size, start) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, characters outside the vocabulary byte by byte, and how many each piece has."""
+        ids = lattice.ids[node, size - 1]
+        counts = np.ones(len(ids), np.int64)
         outside = np.flatnonzero(ids < 0)
         if not len(outside):
-            return ids
-        chars = codes[path.start[order][outside]]
+            return ids, counts
+        chars, which = np.unique(codes[start[outside]], return_inverse=True)
         spelled = [SPACE.encode() if c == _LITERAL else chr(c).encode("utf-8", "surrogatepass") for c in chars.tolist()]
-        counts = np.ones(len(ids), np.int64)
-        counts[outside] = [len(s) for s in spelled]
+        counts[outside] = np.array([len(s) for s in spelled])[which]
         out = np.repeat(ids, counts)
-        out[np.repeat(ids < 0, counts)] = self.vocabulary.byte_ids[np.frombuffer(b"".join(spelled), np.uint8)]
-        return out
+        flat = b"".join([spelled[w] for w in which.tolist()])
+        out[np.repeat(ids < 0, counts)] = self.vocabulary.byte_ids[np.frombuffer(flat, np.uint8)]
+        return out, counts
+
+
+def _rests(log: np.ndarray, first: np.ndarray, value: np.ndarray, key: np.ndarray, turn: int) -> np.ndarray:
+    """Perturbed value of all that leaves a path at each step; ``first`` is where its text's path begins.
+
+    Variates lie between -3.7 and 37.5, so steps whose mass is 42 below another's, or below the path's
+    value, cannot come first; past a log mass of FAR they are computed only for texts that need them.
+    """
+    sums = np.concatenate([[0.0], np.cumsum(log, dtype=np.float64)])
+    before = sums[:-1] - sums[first]
+    out, most = np.full(len(log), -np.inf), np.full(len(log) + 1, -np.inf)
+
+    def fill(at: np.ndarray) -> np.ndarray:
+        here = lambda x: x[at] if len(x) > 1 else x
+        with np.errstate(divide="ignore"):
+            mass = before[at] + np.log(-np.expm1(np.minimum(log[at].astype(np.float64), 0.0)))
+            noise = np.log(-np.log(uniform(here(key), at - first[at] + (turn + 1) * (1 << 32))))
+            out[at] = -np.logaddexp(-here(value), noise - mass)
+        return mass
+
+    near = np.flatnonzero(before > FAR)
+    np.maximum.at(most, first[near], fill(near))
+    poor = np.flatnonzero((before <= FAR) & (most[first] < FAR + 46))
+    if len(poor):
+        fill(poor)
+    return out
 
 
 SCHEMA = (
