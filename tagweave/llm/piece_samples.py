@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,7 @@ _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _K1, _K3 = constants(2, 31)
+_STEP, _MASK = int(_K1), (1 << 64) - 1
 _SLOT_BITS = 20
 FAR = -100.0
 
@@ -49,6 +51,17 @@ def uniform(key: np.ndarray, counter: np.ndarray) -> np.ndarray:
     return (bits.astype(np.float64) + 0.5) / (1 << 53)
 
 
+def uniform_one(key: int, counter: int) -> float:
+    """The same for one number, without arrays."""
+    x = (key + counter * _STEP) & _MASK
+    x ^= x >> 30
+    x = (x * 0xBF58476D1CE4E5B9) & _MASK
+    x ^= x >> 27
+    x = (x * 0x94D049BB133111EB) & _MASK
+    x ^= x >> 31
+    return ((x >> 11) + 0.5) / (1 << 53)
+
+
 class _Hashes:
     """Hashes of any range of a code point array."""
 
@@ -98,6 +111,7 @@ class Vocabulary:
         spots = (self.hashes >> _U(64 - _SLOT_BITS)).astype(np.int64)
         self.slot = np.full(1 << _SLOT_BITS, -1, np.int32)
         self.slot[spots[::-1]] = np.arange(len(spots), dtype=np.int32)[::-1]
+        self.taken = self.slot >= 0
         self.run = int(np.bincount(spots).max())
         single = [ord(p) for p, _ in order if len(p) == 1]
         self.known = np.zeros(0x110001, bool)
@@ -108,9 +122,9 @@ class Vocabulary:
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the hashes that are pieces, and the pieces' numbers in hash order."""
-        slot = self.slot[(hashes >> _U(64 - _SLOT_BITS)).astype(np.int64)]
-        maybe = np.flatnonzero(slot >= 0)
-        spot, wanted = slot[maybe], hashes[maybe]
+        ranges = (hashes >> _U(64 - _SLOT_BITS)).view(np.int64)
+        maybe = np.flatnonzero(self.taken[ranges])
+        spot, wanted = self.slot[ranges[maybe]], hashes[maybe]
         place, piece = [], []
         for _ in range(self.run):
             hit = self.hashes[spot] == wanted
@@ -122,8 +136,9 @@ class Vocabulary:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of pieces; the space put before the first word is taken away."""
-        joined = b"".join(map(self.bytes.__getitem__, ids.tolist()))
-        return joined.decode("utf-8", "surrogatepass")[1:]
+        pieces = ids.tolist()
+        found = itemgetter(*pieces)(self.bytes) if len(pieces) > 1 else [self.bytes[i] for i in pieces]
+        return b"".join(found).decode("utf-8", "surrogatepass")[1:]
 
 
 def codes_of(text: str) -> np.ndarray:
@@ -194,7 +209,7 @@ class Lattices:
         self.cumulative = self.cumulative[:, :width].copy()
 
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
-        return 1 + np.count_nonzero(u.astype(np.float32)[:, None] >= self.cumulative[node], axis=1)
+        return 1 + np.count_nonzero(u.astype(np.float32, copy=False)[:, None] >= self.cumulative[node], axis=1)
 
 
 @dataclass
@@ -302,7 +317,8 @@ class Sampler:
         while len(active):
             e = left[active]
             node = lattice.at[e] + row[active]
-            size = lattice.draw(node, uniform(key[active], np.full(len(active), step * 64 + d)))
+            bits = mix(key[active] + np.array([step * 64 + d], _U) * _K1) >> _U(40)
+            size = lattice.draw(node, bits.astype(np.float32) * np.float32(2.0**-24))
             left[active] = e - size
             out.append((active, node, size, begins[active] + e - size, lattice.log[node, size - 1]))
             active = active[e > size]
@@ -339,18 +355,18 @@ class Sampler:
         step = int(parent.rest.argmax())
         used = (parent.used if parent.used and parent.used[0] == step else (step,)) + (int(parent.size[step]),)
         node, word = int(parent.node[step]), int(parent.word[step])
+        seed = int(key[0])
         chance = np.exp(lattice.log[node].astype(np.float64))
         chance[[s - 1 for s in used[1:]]] = 0.0
         sums = np.cumsum(chance)
-        u = uniform(key, np.array([(1 << 61) + turn]))[0] * sums[-1]
-        size = int(np.searchsorted(sums, u, side="right")) + 1
+        size = int(np.searchsorted(sums, uniform_one(seed, (1 << 61) + turn) * sums[-1], side="right")) + 1
         end = int(parent.start[step] + parent.size[step])
         nodes, sizes, starts = [node], [size], [end - size]
         while starts[-1] > begins[word]:  # the rest of the word is an ordinary draw
             e = int(starts[-1] - begins[word])
             node = int(lattice.at[e] + row[word])
-            u = uniform(key, np.array([(1 << 62) + turn * (1 << 32) + len(nodes)]))
-            size = int(lattice.draw(np.array([node]), u)[0])
+            u = uniform_one(seed, (1 << 62) + turn * (1 << 32) + len(nodes))
+            size = 1 + int(np.count_nonzero(lattice.cumulative[node] <= u))
             nodes.append(node)
             sizes.append(size)
             starts.append(starts[-1] - size)
@@ -367,7 +383,7 @@ class Sampler:
         left = sums[-1] - chance[sizes[0] - 1]
         if left > 1e-12:
             mass = float(path.log[:step].sum(dtype=np.float64) + np.log(left))
-            noise = np.log(-np.log(uniform(key, np.array([(1 << 59) + turn]))[0]))
+            noise = np.log(-np.log(uniform_one(seed, (1 << 59) + turn)))
             path.rest[step] = -np.logaddexp(-value, noise - mass)
         path.used = used
         parent.rest[step] = -np.inf
@@ -437,11 +453,11 @@ def sampled(docs: DataFrame, path: str, k: int = SAMPLES, seed: int = SEED) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(model.value, k, seed)
         for batch in batches:
-            ids, keys = batch.column(0), batch.column(0).fill_null(0).to_pylist()
+            ids, keys = batch.column(0).to_pylist(), batch.column(0).fill_null(0).to_pylist()
             texts = [t or "" for t in batch.column(1).to_pylist()]
             rows, chars = [], 0
             for i, found in enumerate(sampler.sample(keys, texts)):
-                rows += [(ids[i].as_py(), nr, s, sampler.vocabulary.decode(s.ids) == texts[i]) for nr, s in enumerate(found)]
+                rows += [(ids[i], nr, s, sampler.vocabulary.decode(s.ids) == texts[i]) for nr, s in enumerate(found)]
                 chars += len(texts[i])
                 if chars > 4 * SLICE_CHARS:
                     yield _sample_rows(rows)

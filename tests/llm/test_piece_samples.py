@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import sentencepiece
 
-from tagweave.llm.piece_samples import Sampler, codes_of, sampled
+from tagweave.llm.piece_samples import Sampler, codes_of, sampled, uniform, uniform_one
 from tagweave.llm.queries import TOKENIZERS
 from tests.llm.conftest import ODD
 
@@ -83,3 +83,10 @@ def test_table(spark, documents):
     assert counts[(1, 0)] == 1 and (1, 1) not in counts and counts[(4, 0)] == 2 and counts[(9, 1)] == 1
     assert all(r["log_inclusion"] <= 1e-9 for r in got)
     assert sampled(documents([]), PATH).collect() == []
+
+
+def test_single_numbers_are_those_of_arrays():
+    keys = np.array([0, 5, (1 << 64) - 3], np.uint64)
+    for counter in (0, 7, 1 << 62):
+        many = uniform(keys, np.full(3, counter))
+        assert many.tolist() == [uniform_one(int(k), counter) for k in keys] and ((many > 0) & (many < 1)).all()
