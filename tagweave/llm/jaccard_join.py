@@ -9,13 +9,16 @@ star and never pairs. *Heavy* classes go to inverted lists of their least freque
 sets share at least one shingle of these prefixes, whatever the order as long as it is the same for
 all. The boundary is the size with the lowest total cost, from the histogram of class sizes.
 
-Classes that meet in some list are verified exactly, cell by cell: classes connected by lists are cut
+Prefixes are a quarter longer than needed to share one shingle, so similar sets share several; a class
+with fewer shingles in lists of others cannot be similar to anything and is dropped before any pair
+is looked at. The classes left are verified exactly, cell by cell: classes connected by lists are cut
 into blocks of a bounded number of shingles, and each pair of blocks that shares a list is one cell.
 A cell counts the intersections of all its pairs and returns a spanning forest of its links.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
@@ -34,10 +37,14 @@ from tagweave.scale import staged
 FREQUENT = 1 << 16
 #: Shingles in a block; a longer document is a block of its own.
 BLOCK_SHINGLES = 1 << 18
-#: So many ids of verified documents are broadcast at most; more are joined by shuffling the texts.
+#: So many ids of copies, or of verified documents, are broadcast at most; more are joined by shuffle.
 BROADCAST_IDS = 500_000
 #: Largest set whose subsets may be listed.
 LIGHT_LIMIT = 24
+#: Rows that a shingle of a verified set is worth: it is read, shipped, sorted and counted.
+CHECK_COST = 4
+#: Rounds in which classes with too few shared shingles are dropped and lists are counted anew.
+PRUNINGS = 2
 _U = np.uint64
 
 
@@ -55,6 +62,16 @@ def prefix_size(a: int, num: int, den: int) -> int:
     return a - -(-num * a // den) + 1
 
 
+def more(a: int, num: int, den: int) -> int:
+    """Shingles added to a prefix; similar sets then share one more than the smaller one's number."""
+    return prefix_size(a, num, den) // 4
+
+
+def needed(a: int, num: int, den: int) -> int:
+    """Shared prefix shingles that a set of size a has if any other is similar."""
+    return 1 + more(partner_sizes(a, num, den)[0], num, den)
+
+
 def subset_sizes(a: int, light: int, num: int, den: int) -> list[int]:
     """Intersections that light partners of a set of size a must reach."""
     sizes = {required(a, b, num, den) for b in partner_sizes(a, num, den) if 0 < b <= light}
@@ -70,7 +87,7 @@ def boundary(counts: dict[int, int], num: int, den: int) -> int:
             if size <= light:
                 cost += n * sum(comb(size, c) for c in subset_sizes(size, light, num, den))
             if size >= -(-num * (light + 1) // den):
-                cost += n * (prefix_size(size, num, den) + size)
+                cost += n * (prefix_size(size, num, den) + more(size, num, den) + CHECK_COST * size)
         if best_cost is None or cost < best_cost:
             best, best_cost = light, cost
     return best
@@ -145,7 +162,7 @@ def _rows(ids: pa.Array, sizes: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> p
 
 
 POSTINGS = (
-    "doc_id BIGINT, n BIGINT, k1 BIGINT, k2 BIGINT, prefix ARRAY<BIGINT>, "
+    "doc_id BIGINT, n BIGINT, need BIGINT, k1 BIGINT, k2 BIGINT, prefix ARRAY<BIGINT>, "
     "subsets ARRAY<BIGINT>, shares ARRAY<INT>"
 )
 
@@ -157,7 +174,7 @@ def _postings(n: int, num: int, den: int, light: int, frequent: np.ndarray, rank
     def prefix(s: np.ndarray, where: np.ndarray, hot: np.ndarray) -> np.ndarray:
         if len(s) < listed:
             return s[:0]
-        p = prefix_size(len(s), num, den)
+        p = prefix_size(len(s), num, den) + more(len(s), num, den)
         rare = s[~hot]
         if len(rare) >= p:
             return rare[:p]
@@ -196,10 +213,12 @@ def _postings(n: int, num: int, den: int, light: int, frequent: np.ndarray, rank
                 pre_list = pa.ListArray.from_arrays(
                     pa.array(ends), pa.array(np.concatenate(pre).view(np.int64))
                 )
+                need = [needed(len(s), num, den) if len(s) else 0 for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, last - first), pa.array(sizes), pa.array(k1), pa.array(k2), pre_list,
-                     pa.array(sub, pa.list_(pa.int64())), pa.array(share, pa.list_(pa.int32()))],
-                    ["doc_id", "n", "k1", "k2", "prefix", "subsets", "shares"],
+                    [ids.slice(first, last - first), pa.array(sizes), pa.array(need, pa.int64()), pa.array(k1),
+                     pa.array(k2), pre_list, pa.array(sub, pa.list_(pa.int64())),
+                     pa.array(share, pa.list_(pa.int32()))],
+                    ["doc_id", "n", "need", "k1", "k2", "prefix", "subsets", "shares"],
                 )
 
     return run
@@ -300,17 +319,19 @@ def near_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
     light = boundary({r["n"]: r["count"] for r in sizes}, num, den)
 
     heads = classes.select("k1", "k2", F.col("doc_id").alias("head"), "node")
-    is_head = ["k1", "k2"]
+    named_by = ["k1", "k2"]
+    copies = staged(
+        rows.where("n > 0").join(heads, named_by).where("NOT doc_id <=> head").select("doc_id", "k1", "k2"), "copies"
+    )
+    small = copies.count() <= BROADCAST_IDS
     listed = docs.mapInArrow(_postings(n, num, den, light, frequent[by_hash], rank), POSTINGS)
     listed = listed.where("size(prefix) > 0 OR size(subsets) > 0")
-    same = (listed["doc_id"].eqNullSafe(heads["head"]) & (listed["k1"] == heads["k1"])) & (
-        listed["k2"] == heads["k2"]
-    )  # with the id in the key, copies spread over tasks
-    listed = listed.join(heads, same)
-    listed = staged(listed.select("node", "n", "prefix", "subsets", "shares"), "listed")
+    listed = listed.join(F.broadcast(copies) if small else copies, ["doc_id", *named_by], "left_anti")
+    listed = listed.withColumn("node", F.coalesce("doc_id", hashed))
+    listed = staged(listed.select("node", "n", "need", "prefix", "subsets", "shares"), "listed")
 
     links = _light_links(listed, num, den)
-    meets = _meeting(listed)
+    meets = _meeting(listed, num, den)
     links = links.union(_heavy_links(docs, heads, meets, n, num, den))
     roots = components(links)
     named = staged(
@@ -319,7 +340,7 @@ def near_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
         ),
         "named",
     )
-    known = rows.join(named, is_head, "left")
+    known = rows.join(named, named_by, "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return known.select(
         "doc_id",
@@ -342,11 +363,34 @@ def _light_links(listed: DataFrame, num: int, den: int) -> DataFrame:
     )
 
 
-def _meeting(listed: DataFrame) -> DataFrame:
-    """Rows of the inverted lists with more than one class: token, node, n, df."""
-    postings = listed.select("node", "n", F.explode("prefix").alias("token"))
+def _meeting(listed: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows of the inverted lists of the classes that may have similar ones: token, node, n, df.
+
+    Lists are split by size: size classes are as wide as similar sizes may differ, and a set is in its
+    own list and the next larger one, so similar sets still meet. ``shingle`` is the list's shingle.
+    """
     df = F.count(F.lit(1)).over(Window.partitionBy("token"))
-    return staged(postings.withColumn("df", df).where("df > 1"), "lists")
+    lists = listed.select("node", "n", "need", F.explode("prefix").alias("token"))
+    lists = staged(lists.withColumn("df", df).where("df > 1"), "lists")
+    width = math.log(den / num) * (1 + 1e-9)
+    size_class = F.floor(F.log("n") / F.lit(width))
+    lists = lists.withColumn("shingle", F.col("token")).withColumn(
+        "class", F.explode(F.array(size_class, size_class + 1))
+    )
+    lists = lists.withColumn("token", F.xxhash64("shingle", "class")).drop("class", "df")
+    lists = staged(lists.withColumn("df", df).where("df > 1"), "lists")
+    for _ in range(PRUNINGS):
+        counts = lists.groupBy("node").agg(F.count_distinct("shingle").alias("met"), F.min("need").alias("least"))
+        able = staged(counts.where("met >= least").select("node"), "able")
+        lists = lists.join(able, "node", "left_semi").drop("df").withColumn("df", df)
+        lists = staged(lists.where("df > 1"), "lists")
+    # Similar classes share ``need`` shingles at least, so each may leave out half of that but one: the
+    # shingles of the longest lists, which tie unlike families together.
+    most = F.max("df").over(Window.partitionBy("node", "shingle"))
+    longest = F.dense_rank().over(Window.partitionBy("node").orderBy(F.desc("most"), "shingle"))
+    lists = lists.withColumn("most", most).withColumn("_nr", longest).where("_nr > (need - 1) DIV 2")
+    lists = lists.select("node", "n", "token").withColumn("df", df)
+    return staged(lists.where("df > 1"), "lists")
 
 
 def _heavy_links(
@@ -394,13 +438,12 @@ def _heavy_links(
         ),
         "sides",
     )
-    wanted = staged(blocks.join(heads, "node"), "wanted")
-    ids = wanted.select("head").distinct()
-    if wanted.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["head"]), "left_semi")
+    deal = blocks.join(sides, "block").join(heads, "node").select("k1", "k2", "head", "node", "cell")
+    deal = staged(deal, "deal")
+    small = deal.count() <= BROADCAST_IDS
+    ids = deal.select("head").distinct()
+    texts = docs.join(F.broadcast(ids) if small else ids, docs["doc_id"].eqNullSafe(ids["head"]), "left_semi")
     sets = texts.mapInArrow(_tokens(n), "doc_id BIGINT, k1 BIGINT, k2 BIGINT, shingles BINARY")
-    sets = sets.join(wanted, ["k1", "k2"]).where("doc_id <=> head").select("node", "block", "shingles")
-    sets = staged(sets, "sets")
-    dealt = sets.join(sides, "block").select("cell", "node", "shingles")
+    dealt = sets.join(F.broadcast(deal) if small else deal, ["k1", "k2"]).where("doc_id <=> head")
+    dealt = dealt.select("cell", "node", "shingles")
     return staged(dealt.groupBy("cell").applyInArrow(_cells(num, den), "a BIGINT, b BIGINT"), "links")

@@ -9,11 +9,17 @@ from tagweave.scale import staged, tune
 
 BATCH_ROWS = 2000
 BATCH_BYTES = 8 << 20
+BROADCAST_FILES = "256k"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Library settings, and Arrow batches small enough for long documents."""
+    """Library settings, and Arrow batches small enough for long documents.
+
+    Joins here read staged tables of a few numbers a row, so their file sizes are a fair measure and
+    small ones are broadcast without a shuffle first.
+    """
     tune(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", BROADCAST_FILES)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
