@@ -65,5 +65,5 @@ def test_cutoffs_need_proof_and_spare_good_documents(spark, documents, labels):
 
 def test_odd_rows_and_no_labels(spark, documents, labels):
     out = Q.judged(documents(ODD), labels([(4, None, 1), (None, 1, 0)])).collect()
-    assert len(out) == len(ODD) and {r["doc_id"] for r in out if r["kept"]} == {6}
+    assert len(out) == len(ODD) and not any(r["kept"] for r in out)  # all short or repeating themselves
     assert Q.judged(documents([]), labels([])).collect() == []
