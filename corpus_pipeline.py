@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -23,18 +23,33 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the least id.
+    """One row of each group of near copies: the one with the least id, then with the least text hash.
 
-    Texts without words are linked with nothing and stay, as do rows without an id, which no group can
-    name. Of rows that repeat an id the one with the least text hash stays.
+    Ids are not names: rows with one id and unlike texts are in different groups. Rows without an id take
+    part and come last in their group. Texts without words are linked with nothing and stay.
     """
     prepare(spark)
-    groups = jaccard_join.near_groups(docs, WORDS, *SIMILAR)
-    heads = groups.where("component_id = doc_id").select("doc_id").distinct()
-    named = docs.join(heads, "doc_id", "left_semi")
-    same_id = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    first = named.withColumn("_nr", F.row_number().over(same_id)).where("_nr = 1").drop("_nr")
-    return first.union(docs.where("doc_id IS NULL"))
+    key = ["_unnamed", "_id", "_h1", "_h2"]
+
+    def keys(h1: Column, h2: Column) -> dict[str, Column]:
+        doc_id = F.col("doc_id").cast("bigint")
+        return dict(zip(key, (doc_id.isNull(), F.coalesce(doc_id, F.lit(0)), h1, h2)))
+
+    rows = jaccard_join.grouped(docs, WORDS, *SIMILAR).where("grp IS NOT NULL")
+    rows = rows.withColumns(keys(F.col("h1"), F.col("h2")))
+    texts = staged(rows.groupBy("grp", *key).agg(F.count(F.lit(1)).alias("_times")), "texts")
+    best = texts.groupBy("grp").agg(F.min(F.struct(*key, "_times")).alias("best"))
+    best = staged(best.select("best.*"), "best")
+    again = best.where("_times > 1").select(*key)
+    lost = staged(texts.select(*key).join(best, key, "left_anti").union(again), "lost")
+    small = lost.count() <= jaccard_join.BROADCAST_IDS
+    named = docs.withColumns(keys(*jaccard_join.text_hashes(F.col("text").cast("string"))))
+    kept = named.join(F.broadcast(lost) if small else lost, key, "left_anti")
+    if not again.isEmpty():  # rows alike in id and text: one of them
+        alike = Window.partitionBy(*key).orderBy(F.xxhash64(*docs.columns))
+        first = F.row_number().over(alike)
+        kept = kept.union(named.join(again, key, "left_semi").withColumn("_nr", first).where("_nr = 1").select(*kept.columns))
+    return kept.select(*docs.columns)
 
 
 def hide_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

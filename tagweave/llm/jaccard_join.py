@@ -25,7 +25,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -43,6 +43,8 @@ BROADCAST_IDS = 500_000
 LIGHT_LIMIT = 24
 #: Rows that a shingle of a verified set is worth: it is read, shipped, sorted and counted.
 CHECK_COST = 4
+#: Numberings of the classes that are tried for one without two equal numbers.
+SEEDS = 16
 #: Rounds in which classes with too few shared shingles are dropped and lists are counted anew.
 PRUNINGS = 2
 _U = np.uint64
@@ -111,7 +113,7 @@ def _keys(flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out[0], out[1]
 
 
-PROFILE = "doc_id BIGINT, n BIGINT, k1 BIGINT, k2 BIGINT, token BIGINT, seen BIGINT"
+PROFILE = "doc_id BIGINT, h1 BIGINT, h2 BIGINT, n BIGINT, k1 BIGINT, k2 BIGINT, token BIGINT, seen BIGINT"
 
 
 def _profile(n: int):
@@ -122,12 +124,12 @@ def _profile(n: int):
         often: list[np.ndarray] = []
         times: list[np.ndarray] = []
         for batch in batches:
-            ids = batch.column(0)
             for first, last, sets in _sets(batch.column(1), n):
                 sizes = np.array([len(s) for s in sets], np.int64)
                 flat = np.concatenate(sets)
                 k1, k2 = _keys(flat, np.concatenate([[0], np.cumsum(sizes)]))
-                yield _rows(ids.slice(first, last - first), sizes, k1, k2)
+                named = [batch.column(i).slice(first, last - first) for i in (0, 2, 3)]
+                yield _rows(named, sizes, k1, k2)
                 u, c = np.unique(flat, return_counts=True)
                 at = (u >> _U(40)).astype(np.int64)
                 total = np.minimum(counters[at].astype(np.int64) + c, 255)
@@ -141,8 +143,8 @@ def _profile(n: int):
             k = len(often[0])
             nulls = pa.nulls(k, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [nulls] * 4 + [pa.array(often[0].view(np.int64)), pa.array(times[0])],
-                ["doc_id", "n", "k1", "k2", "token", "seen"],
+                [nulls] * 6 + [pa.array(often[0].view(np.int64)), pa.array(times[0])],
+                ["doc_id", "h1", "h2", "n", "k1", "k2", "token", "seen"],
             )
 
     return run
@@ -153,11 +155,11 @@ def _summed(tokens: list[np.ndarray], times: list[np.ndarray]) -> tuple[list, li
     return [u], [np.bincount(at, np.concatenate(times), len(u)).astype(np.int64)]
 
 
-def _rows(ids: pa.Array, sizes: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> pa.RecordBatch:
-    nulls = pa.nulls(len(ids), pa.int64())
+def _rows(named: list[pa.Array], sizes: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> pa.RecordBatch:
+    nulls = pa.nulls(len(sizes), pa.int64())
     return pa.RecordBatch.from_arrays(
-        [ids, pa.array(sizes), pa.array(k1), pa.array(k2), nulls, nulls],
-        ["doc_id", "n", "k1", "k2", "token", "seen"],
+        [*named, pa.array(sizes), pa.array(k1), pa.array(k2), nulls, nulls],
+        ["doc_id", "h1", "h2", "n", "k1", "k2", "token", "seen"],
     )
 
 
@@ -286,20 +288,46 @@ def _cells(num: int, den: int):
     return run
 
 
+def text_hashes(text: Column) -> list[Column]:
+    """128 bits that name a text: h1 and h2."""
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2")]
+
+
+def _numbering(classes: DataFrame) -> Column:
+    """A number of 64 bits for each class (k1, k2), no two alike."""
+    for seed in range(SEEDS):
+        node = F.xxhash64(F.lit(seed), "k1", "k2")
+        if classes.groupBy(node.alias("node")).count().where("count > 1").isEmpty():
+            return node
+    raise RuntimeError("more classes than 64 bits can number")
+
+
 def near_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Connected groups of documents with Jaccard similarity of at least num / den.
 
     ``docs`` has doc_id and text; other columns are ignored. A document's set is its distinct
     shingles of ``n`` words, A-Z lower-cased; with fewer words the whole text is one shingle. Null and
     empty texts have no shingles and stay alone. Returns one row per input row: doc_id, n_shingles,
-    component_id, the least doc_id of the group. Rows that repeat count as copies. Null ids take part;
-    a group of null ids only has a null component. Ids from 2^62 up are not supported.
+    component_id, the least doc_id of the group. Rows that repeat count as copies; rows with one id and
+    different texts are linked by their texts only. Null ids take part; a group of null ids only has a
+    null component. Ids from 2^62 up are not supported.
+    """
+    rows = grouped(docs, n, num, den)
+    component = F.when(F.col("component_id") < F.lit(1 << 62), F.col("component_id"))
+    return rows.select("doc_id", "n_shingles", component.alias("component_id"))
+
+
+def grouped(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The rows of ``near_groups`` with h1 and h2, which name the text, and grp, a number of the group.
+
+    A group has a number also where none of its rows has an id; without shingles grp is null.
     """
     spark = prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    profile = staged(docs.mapInArrow(_profile(n), PROFILE), "profile")
-    rows = profile.where("token IS NULL").select("doc_id", "n", "k1", "k2")
+    hashed = docs.select("doc_id", "text", *text_hashes(F.col("text")))
+    profile = staged(hashed.mapInArrow(_profile(n), PROFILE), "profile")
+    rows = profile.where("token IS NULL").select("doc_id", "h1", "h2", "n", "k1", "k2")
     top = (
         profile.where("token IS NOT NULL").groupBy("token").agg(F.sum("seen").alias("seen"))
         .where("seen >= 8").orderBy(F.desc("seen"), "token").limit(FREQUENT).collect()
@@ -308,45 +336,53 @@ def near_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
     by_hash = np.argsort(frequent)
     rank = (len(top) - np.arange(len(top)))[by_hash]  # the rarer first
 
-    hashed = F.col("k1").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
     classes = staged(
-        rows.where("n > 0").groupBy("k1", "k2")
-        .agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id"))
-        .withColumn("node", F.coalesce("doc_id", hashed)),
+        rows.where("n > 0").groupBy("k1", "k2").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id")),
         "classes",
     )
+    node = _numbering(classes)
+    classes = classes.withColumn("node", node)
     sizes = classes.groupBy(F.least("n", F.lit(2 * LIGHT_LIMIT)).alias("n")).count().collect()
     light = boundary({r["n"]: r["count"] for r in sizes}, num, den)
 
     heads = classes.select("k1", "k2", F.col("doc_id").alias("head"), "node")
     named_by = ["k1", "k2"]
-    copies = staged(
-        rows.where("n > 0").join(heads, named_by).where("NOT doc_id <=> head").select("doc_id", "k1", "k2"), "copies"
-    )
+    headed = rows.where("n > 0").join(heads, named_by)
+    copies = staged(headed.where("NOT doc_id <=> head").select("doc_id", "k1", "k2"), "copies")
     small = copies.count() <= BROADCAST_IDS
+    # Rows of a class that have its head's id too, or none like it, are told apart by nothing.
+    repeats = not headed.where("doc_id <=> head").groupBy("node").count().where("count > 1").isEmpty()
     listed = docs.mapInArrow(_postings(n, num, den, light, frequent[by_hash], rank), POSTINGS)
     listed = listed.where("size(prefix) > 0 OR size(subsets) > 0")
-    listed = listed.join(F.broadcast(copies) if small else copies, ["doc_id", *named_by], "left_anti")
-    listed = listed.withColumn("node", F.coalesce("doc_id", hashed))
-    listed = staged(listed.select("node", "n", "need", "prefix", "subsets", "shares"), "listed")
+    keys = [listed["doc_id"].eqNullSafe(copies["doc_id"]), *(listed[k] == copies[k] for k in named_by)]
+    listed = listed.join(F.broadcast(copies) if small else copies, keys, "left_anti")
+    listed = listed.select(node.alias("node"), "n", "need", "prefix", "subsets", "shares")
+    listed = staged(_first(listed, "node") if repeats else listed, "listed")
 
     links = _light_links(listed, num, den)
     meets = _meeting(listed, num, den)
-    links = links.union(_heavy_links(docs, heads, meets, n, num, den))
+    links = links.union(_heavy_links(docs, heads, meets, n, num, den, repeats))
     roots = components(links)
+    least = roots.join(heads, "node").groupBy("root").agg(F.min("head").alias("least"))
+    roots = roots.join(staged(least, "least-ids"), "root")
     named = staged(
         classes.join(roots, "node", "left").select(
-            "k1", "k2", F.coalesce("root", "node").alias("component_id")
+            "k1", "k2", F.coalesce("root", "node").alias("grp"), F.coalesce("least", "doc_id").alias("component_id")
         ),
         "named",
     )
     known = rows.join(named, named_by, "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return known.select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(component < F.lit(1 << 62), component).alias("component_id"),
-    )
+        "doc_id", "h1", "h2", F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("grp")).alias("grp"), component.alias("component_id"),
+    )
+
+
+def _first(rows: DataFrame, *keys: str) -> DataFrame:
+    """One of the rows of each key; they are alike."""
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))
+    return rows.withColumn("_nr", number).where("_nr = 1").drop("_nr")
 
 
 def _light_links(listed: DataFrame, num: int, den: int) -> DataFrame:
@@ -394,7 +430,7 @@ def _meeting(listed: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _heavy_links(
-    docs: DataFrame, heads: DataFrame, meets: DataFrame, n: int, num: int, den: int
+    docs: DataFrame, heads: DataFrame, meets: DataFrame, n: int, num: int, den: int, repeats: bool
 ) -> DataFrame:
     """Exact links among the classes that meet in lists, cell by cell."""
     first = meets.groupBy("token").agg(F.min("node").alias("lead"))
@@ -446,4 +482,5 @@ def _heavy_links(
     sets = texts.mapInArrow(_tokens(n), "doc_id BIGINT, k1 BIGINT, k2 BIGINT, shingles BINARY")
     dealt = sets.join(F.broadcast(deal) if small else deal, ["k1", "k2"]).where("doc_id <=> head")
     dealt = dealt.select("cell", "node", "shingles")
+    dealt = _first(dealt, "cell", "node") if repeats else dealt
     return staged(dealt.groupBy("cell").applyInArrow(_cells(num, den), "a BIGINT, b BIGINT"), "links")

@@ -86,6 +86,17 @@ def test_odd_rows(spark, documents):
     assert result(documents([])) == []
 
 
+def test_one_id_with_unlike_texts_links_nothing(spark, documents, monkeypatch):
+    words = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcdef"]
+    rows = [(1, words[0]), (1, words[1]), (1, words[1]), (2, words[1] + " x"), (3, words[0] + " y"), (1, words[2])]
+    rows += [(None, words[3]), (None, words[3]), (None, words[3] + " z"), (None, words[4]), (4, words[4] + " z")]
+    assert result(documents(rows)) == brute(rows, 5, 80, 100)
+    rows = [(9, text) for _, text in rows[:6]] + [(5, words[2] + " x"), (6, words[0] + " y")]
+    for light in (0, 24):
+        monkeypatch.setattr(J, "boundary", lambda *a: light)
+        assert result(documents(rows), 1, 80, 100) == brute(rows, 1, 80, 100)
+
+
 def test_boundary_follows_cost():
     assert J.boundary({5: 10}, 85, 100) >= 5
     assert 8 <= J.boundary({s: 100 for s in range(1, 49)}, 85, 100) < J.LIGHT_LIMIT

@@ -50,6 +50,15 @@ def test_stages_take_odd_rows(spark, documents):
     assert {r["doc_id"] for r in C.drop_near_copies(spark, documents(ODD), SF).collect()} == {1, 2, 3, 4, 5, 6, None}
 
 
+def test_near_copies_keep_unlike_texts_of_one_id(spark, documents):
+    words = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcdef"]
+    rows = [(7, t) for t in words] + [(7, words[0]), (8, words[1] + " x"), (6, words[2] + " x")]
+    rows += [(None, words[3]), (None, "no id " + words[0][:40]), (None, "no id " + words[0][:40]), (None, None), (None, None)]
+    got = sorted(((r["doc_id"], r["text"]) for r in C.drop_near_copies(spark, documents(rows), SF).collect()), key=str)
+    want = [(7, t) for i, t in enumerate(words) if i != 2] + [(6, words[2] + " x")]
+    assert got == sorted([*want, (None, "no id " + words[0][:40]), (None, None), (None, None)], key=str)
+
+
 def test_whole_run(spark):
     out = C.run(spark, SF)
     assert out.count() > 0 and out.where("NOT round_trip").count() == 0
