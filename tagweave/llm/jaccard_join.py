@@ -310,11 +310,9 @@ def near_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
     empty texts have no shingles and stay alone. Returns one row per input row: doc_id, n_shingles,
     component_id, the least doc_id of the group. Rows that repeat count as copies; rows with one id and
     different texts are linked by their texts only. Null ids take part; a group of null ids only has a
-    null component. Ids from 2^62 up are not supported.
+    null component. Any BIGINT is an id.
     """
-    rows = grouped(docs, n, num, den)
-    component = F.when(F.col("component_id") < F.lit(1 << 62), F.col("component_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"))
+    return grouped(docs, n, num, den).select("doc_id", "n_shingles", "component_id")
 
 
 def grouped(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:

@@ -97,6 +97,14 @@ def test_one_id_with_unlike_texts_links_nothing(spark, documents, monkeypatch):
         assert result(documents(rows), 1, 80, 100) == brute(rows, 1, 80, 100)
 
 
+def test_any_bigint_is_an_id(spark, documents):
+    words = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcd"]
+    top, low = 2**63 - 1, -(2**63)
+    rows = [(top, words[0]), (top - 1, words[0] + " x"), (1 << 62, words[1]), (top - 2, ""), (low, words[2]), (0, words[2] + " x")]
+    rows += [(top - 3, words[3]), (None, words[3]), (-1, "")]
+    assert result(documents(rows)) == brute(rows, 5, 80, 100)
+
+
 def test_boundary_follows_cost():
     assert J.boundary({5: 10}, 85, 100) >= 5
     assert 8 <= J.boundary({s: 100 for s in range(1, 49)}, 85, 100) < J.LIGHT_LIMIT
