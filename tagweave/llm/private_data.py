@@ -43,7 +43,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NUMBER = re.compile(r"(?<![0-9])\(?[0-9](?:[\x20().-]{0,2}[0-9])++")
-_AT_WORD = re.compile(r"(?<![^\s<>(),;:\"])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,64}")
+_AT_WORD = re.compile(r"(?<![^\s<>(),;:\"])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]++")
 _NAME = re.compile(r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]++(?!@)")
 
 
@@ -80,7 +80,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Pattern matches by kind, then start."""
     out = [("email", s, e) for s, e in _emails(text)] if "@" in text else []
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split(".")):
             out.append(("ip", *m.span()))
     for m in _CARD.finditer(text):
         digits = _digits(m[0])

@@ -56,6 +56,16 @@ def test_similar_mentions_are_added_and_others_left():
     assert P.redacted_text(text, NONE).startswith("Call <PHONE> or <PHONE>. Mail <EMAIL>, <EMAIL> there.")
 
 
+def test_long_words_and_numbers_are_whole():
+    name = "jo.96" + "a" * 70
+    suspects = [f"{name}@localhost", "al.77@" + "h" * 90]
+    text = f"Mail {name}@mail.example.com or {suspects[0]} and al.77@mail.example.com or {suspects[1]} please."
+    base, spans = P.all_spans(text, NONE)
+    assert len(base) == 2 and [text[s:e] for _, s, e in spans if (_, s, e) not in base] == suspects
+    assert P.base_spans("0" * 5000 + ".0.0.1") == [("ip", 0, 5006)]
+    P.tokens(text := "a" * 200_000 + "@" + "b" * 200_000 + "@", P.base_spans(text))
+
+
 def test_messages_agree_with_enumeration():
     text = "a +1 724 555 7058 b 724 555 7058 c 111 222 3333"
     found = P.tokens(text, P.base_spans(text))
