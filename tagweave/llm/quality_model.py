@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tagweave.llm.jobs import prepare
 from tagweave.llm.words import IS_SPACE, constants, mix, text_bytes, slices, word_slices
@@ -134,13 +135,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> t
     """Learn from at most ``sample_rows`` labelled documents that are not held out, whole texts.
 
     The features of the sample, not its texts, come to the driver. A document with several labels
-    counts by the lowest. Without labelled rows every score is 0.5.
+    counts by the lowest, and one that comes in several rows by the text with the least hash. Without labelled rows every score is 0.5.
     """
     marks = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
     marks = marks.groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").cast("int").alias("mark"))
     marks = marks.withColumn("_order", F.md5(F.col("_id").cast("string")))
     sample = F.broadcast(marks.orderBy("_order", "_id").limit(sample_rows))
     rows = docs.join(sample, docs["doc_id"] == sample["_id"]).select("_order", "_id", "mark", "text")
+    first = F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64("text"), "text"))
+    rows = rows.withColumn("_nr", first).where("_nr = 1").drop("_nr")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -35,6 +35,16 @@ def test_held_out_accuracy_and_folds(spark, documents, labels):
     assert all(got[i]["score"] == again[i] for i in got)  # held-out labels are never seen
 
 
+def test_a_repeated_id_is_learned_from_once(spark, documents, labels, monkeypatch):
+    rows = [(i, f"some words of document {i}") for i in range(40)]
+    marks = labels([(i, i % 2, 0) for i in range(40)])
+    seen = []
+    monkeypatch.setattr(Q, "train", lambda examples, marked: seen.append((len(examples), marked)) or (np.zeros(Q.ROWS), 0.0))
+    Q.fit(documents(rows), marks)
+    Q.fit(documents(rows + [(1, f"again {i}") for i in range(3000)] + rows[:9]), marks)
+    assert seen[0] == seen[1] and seen[0][0] == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(40))
+
+
 def test_odd_rows(spark, documents, labels):
     got = Q.scored(documents(ODD), labels([(6, 1, 0), (6, 0, 0), (4, None, 0), (None, 1, 0)])).collect()
     assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got)
