@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tagweave.llm import (
+    conversation_repair,
     html_main,
+    importance,
     jaccard_join,
     mixing,
     order_minhash,
@@ -134,3 +136,13 @@ def op9_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op10_quality_model(spark: SparkSession, sf: str) -> DataFrame:
     return quality_model.scored(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query(importance.oracle())
+def op11_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    return importance.ranked(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query(conversation_repair.oracle())
+def op13_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    return conversation_repair.report(conversation_repair.damaged(table(spark, sf, "conversations")))
