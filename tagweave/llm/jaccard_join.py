@@ -11,9 +11,8 @@ all. The boundary is the size with the lowest total cost, from the histogram of
 
 Prefixes are a quarter longer than needed to share one shingle, so similar sets share several; a class
 with fewer shingles in lists of others cannot be similar to anything and is dropped before any pair
-is looked at. The classes left are verified exactly, cell by cell: classes connected by lists are cut
-into blocks of a bounded number of shingles, and each pair of blocks that shares a list is one cell.
-A cell counts the intersections of all its pairs and returns a spanning forest of its links.
+is looked at. The classes left are linked through pivots of their lists and compared by whole sets (see
+``linking``); a pair is left out only if its sets, counted in 512 buckets, cannot share enough.
 """
 
 from __future__ import annotations
@@ -29,24 +28,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tagweave.llm.jobs import components, prepare
-from tagweave.llm.words import mix, shingles, word_slices
-from tagweave.scale import staged
+from tagweave.llm import linking
+from tagweave.llm.jobs import prepare
+from tagweave.llm.words import mix
+from tagweave.scale import STAGED, staged, sweep, unstaged
 
 #: Frequent shingles ordered by their counts; the rest follows by hash, before them.
 FREQUENT = 1 << 16
-#: Shingles in a block; a longer document is a block of its own.
-BLOCK_SHINGLES = 1 << 18
-#: So many ids of copies, or of verified documents, are broadcast at most; more are joined by shuffle.
-BROADCAST_IDS = 500_000
 #: Largest set whose subsets may be listed.
 LIGHT_LIMIT = 24
 #: Rows that a shingle of a verified set is worth: it is read, shipped, sorted and counted.
 CHECK_COST = 4
-#: Numberings of the classes that are tried for one without two equal numbers.
-SEEDS = 16
 #: Rounds in which classes with too few shared shingles are dropped and lists are counted anew.
 PRUNINGS = 2
+#: Counters of a set by which pairs are ruled out.
+BUCKETS = 512
 _U = np.uint64
 
 
@@ -95,24 +91,6 @@ def boundary(counts: dict[int, int], num: int, den: int) -> int:
     return best
 
 
-def _sets(column: pa.Array, n: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
-    for w in word_slices(column, lower=True):
-        b = w.bounds
-        yield w.first, w.last, [
-            np.unique(shingles(w.hashes[b[i] : b[i + 1]], n)) for i in range(w.last - w.first)
-        ]
-
-
-def _keys(flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits that name each set."""
-    out = []
-    for seed in (0x51ED270B, 0x2545F491):
-        sums = np.zeros(len(flat) + 1, _U)
-        np.cumsum(mix(flat ^ _U(seed)), out=sums[1:])
-        out.append((sums[bounds[1:]] - sums[bounds[:-1]]).view(np.int64))
-    return out[0], out[1]
-
-
 PROFILE = "doc_id BIGINT, h1 BIGINT, h2 BIGINT, n BIGINT, k1 BIGINT, k2 BIGINT, token BIGINT, seen BIGINT"
 
 
@@ -124,10 +102,10 @@ def _profile(n: int):
         often: list[np.ndarray] = []
         times: list[np.ndarray] = []
         for batch in batches:
-            for first, last, sets in _sets(batch.column(1), n):
+            for first, last, sets in linking.set_slices(batch.column(1), n):
                 sizes = np.array([len(s) for s in sets], np.int64)
                 flat = np.concatenate(sets)
-                k1, k2 = _keys(flat, np.concatenate([[0], np.cumsum(sizes)]))
+                k1, k2 = linking.set_keys(flat, np.concatenate([[0], np.cumsum(sizes)]))
                 named = [batch.column(i).slice(first, last - first) for i in (0, 2, 3)]
                 yield _rows(named, sizes, k1, k2)
                 u, c = np.unique(flat, return_counts=True)
@@ -164,24 +142,24 @@ def _rows(named: list[pa.Array], sizes: np.ndarray, k1: np.ndarray, k2: np.ndarr
 
 
 POSTINGS = (
-    "doc_id BIGINT, n BIGINT, need BIGINT, k1 BIGINT, k2 BIGINT, prefix ARRAY<BIGINT>, "
+    "doc_id BIGINT, n BIGINT, k1 BIGINT, k2 BIGINT, rare INT, prefix ARRAY<BIGINT>, "
     "subsets ARRAY<BIGINT>, shares ARRAY<INT>"
 )
 
 
 def _postings(n: int, num: int, den: int, light: int, frequent: np.ndarray, rank: np.ndarray):
-    """Prefix shingles of each set, and the subsets that a light set lists."""
+    """Prefix shingles of each set, the ``rare`` ones not among the frequent first, and a light set's subsets."""
     listed = -(-num * (light + 1) // den)
 
-    def prefix(s: np.ndarray, where: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    def prefix(s: np.ndarray, where: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, int]:
         if len(s) < listed:
-            return s[:0]
+            return s[:0], 0
         p = prefix_size(len(s), num, den) + more(len(s), num, den)
         rare = s[~hot]
         if len(rare) >= p:
-            return rare[:p]
+            return rare[:p], p
         common = s[hot][np.argsort(rank[where[hot]], kind="stable")]
-        return np.concatenate([rare, common[: p - len(rare)]])
+        return np.concatenate([rare, common[: p - len(rare)]]), len(rare)
 
     def subsets(s: np.ndarray) -> tuple[list[int], list[int]]:
         keys, shares = [], []
@@ -194,20 +172,22 @@ def _postings(n: int, num: int, den: int, light: int, frequent: np.ndarray, rank
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            for first, last, sets in _sets(batch.column(1), n):
+            for first, last, sets in linking.set_slices(batch.column(1), n):
                 sizes = np.array([len(s) for s in sets], np.int64)
                 bounds = np.concatenate([[0], np.cumsum(sizes)])
                 flat = np.concatenate(sets)
-                k1, k2 = _keys(flat, bounds)
+                k1, k2 = linking.set_keys(flat, bounds)
                 if len(frequent):
                     where = np.minimum(np.searchsorted(frequent, flat), len(frequent) - 1)
                     hot = frequent[where] == flat
                 else:
                     where, hot = np.zeros(len(flat), np.int64), np.zeros(len(flat), bool)
-                pre, sub, share = [], [], []
+                pre, rares, sub, share = [], [], [], []
                 for i, s in enumerate(sets):
                     at = slice(bounds[i], bounds[i + 1])
-                    pre.append(prefix(s, where[at], hot[at]))
+                    first_ones, rare = prefix(s, where[at], hot[at])
+                    pre.append(first_ones)
+                    rares.append(rare)
                     keys, sizes_shared = subsets(s)
                     sub.append(keys)
                     share.append(sizes_shared)
@@ -215,91 +195,38 @@ def _postings(n: int, num: int, den: int, light: int, frequent: np.ndarray, rank
                 pre_list = pa.ListArray.from_arrays(
                     pa.array(ends), pa.array(np.concatenate(pre).view(np.int64))
                 )
-                need = [needed(len(s), num, den) if len(s) else 0 for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, last - first), pa.array(sizes), pa.array(need, pa.int64()), pa.array(k1),
-                     pa.array(k2), pre_list, pa.array(sub, pa.list_(pa.int64())),
+                    [ids.slice(first, last - first), pa.array(sizes), pa.array(k1), pa.array(k2),
+                     pa.array(rares, pa.int32()), pre_list, pa.array(sub, pa.list_(pa.int64())),
                      pa.array(share, pa.list_(pa.int32()))],
-                    ["doc_id", "n", "need", "k1", "k2", "prefix", "subsets", "shares"],
-                )
-
-    return run
-
-
-def _tokens(n: int):
-    """The whole set of each document, as bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0)
-            for first, last, sets in _sets(batch.column(1), n):
-                sizes = np.array([len(s) for s in sets], np.int64)
-                k1, k2 = _keys(np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)]))
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, last - first), pa.array(k1), pa.array(k2),
-                     pa.array([s.tobytes() for s in sets], pa.binary())],
-                    ["doc_id", "k1", "k2", "shingles"],
+                    ["doc_id", "n", "k1", "k2", "rare", "prefix", "subsets", "shares"],
                 )
 
     return run
 
 
-def cell_links(nodes: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> tuple[list, list]:
-    """Spanning forest of the similar pairs among some sets: each node with its tree's first node."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    _, token, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    shared = df[token] > 1
-    token, owner = token[shared], owner[shared]
-    order = np.argsort(token, kind="stable")
-    lists = owner[order]
-    start = np.concatenate([[0], np.cumsum(np.bincount(token, minlength=len(df)))])
-    mine = np.searchsorted(owner, np.arange(len(sets) + 1))
-    parent = np.arange(len(sets))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for i in range(len(sets)):
-        t = token[mine[i] : mine[i + 1]]
-        lengths = start[t + 1] - start[t]
-        if not len(t):
-            continue
-        skip = np.repeat(start[t] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
-        both = np.bincount(lists[skip + np.arange(lengths.sum())], minlength=len(sets))[: i]
-        for j in np.flatnonzero((num + den) * both >= num * (sizes[i] + sizes[:i])):
-            x, y = root(i), root(int(j))
-            parent[max(x, y)] = min(x, y)
-    roots = [root(i) for i in range(len(sets))]
-    ends = [i for i, r in enumerate(roots) if i != r and nodes[i] != nodes[r]]
-    return [int(nodes[i]) for i in ends], [int(nodes[roots[i]]) for i in ends]
-
-
-def _cells(num: int, den: int):
-    def run(group: pa.Table) -> pa.Table:
-        nodes = group.column("node").to_numpy()
-        sets = [np.frombuffer(b.as_buffer(), _U) for b in group.column("shingles")]
-        a, b = cell_links(nodes, sets, num, den)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles of each set fall into each bucket; all 255 if one has more than that."""
+    for batch in batches:
+        sets = [np.frombuffer(x.as_buffer(), _U) for x in batch.column(1)]
+        marks = []
+        for s in sets:
+            counts = np.bincount((s >> _U(40)).astype(np.int64) % BUCKETS, minlength=BUCKETS)
+            marks.append((counts if counts.max() < 255 else np.full(BUCKETS, 255)).astype(np.uint8).tobytes())
+        sizes = pa.array([len(s) for s in sets], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(marks, pa.binary())], ["node", "n", "mark"])
 
-    return run
 
+def sketch_test(num: int, den: int) -> linking.Possible:
+    """Sets that may share enough: in no bucket do two sets share more than the smaller number there."""
 
-def text_hashes(text: Column) -> list[Column]:
-    """128 bits that name a text: h1 and h2."""
-    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2")]
+    def possible(n: int, mark: np.ndarray, ns: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        most = np.minimum(marks, mark).sum(axis=1, dtype=np.int64)
+        uncounted = (marks[:, 0] == 255) | (mark[0] == 255)
+        fits = num * np.maximum(ns, n) <= den * np.minimum(ns, n)
+        return fits & (uncounted | ((num + den) * most >= num * (ns + n)))
 
-
-def _numbering(classes: DataFrame) -> Column:
-    """A number of 64 bits for each class (k1, k2), no two alike."""
-    for seed in range(SEEDS):
-        node = F.xxhash64(F.lit(seed), "k1", "k2")
-        if classes.groupBy(node.alias("node")).count().where("count > 1").isEmpty():
-            return node
-    raise RuntimeError("more classes than 64 bits can number")
+    return possible
 
 
 def near_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -320,10 +247,10 @@ def grouped(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
     A group has a number also where none of its rows has an id; without shingles grp is null.
     """
-    spark = prepare(docs.sparkSession)
+    spark, before = prepare(docs.sparkSession), list(STAGED)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    hashed = docs.select("doc_id", "text", *text_hashes(F.col("text")))
+    hashed = docs.select("doc_id", "text", *linking.text_hashes(F.col("text")))
     profile = staged(hashed.mapInArrow(_profile(n), PROFILE), "profile")
     rows = profile.where("token IS NULL").select("doc_id", "h1", "h2", "n", "k1", "k2")
     top = (
@@ -338,7 +265,7 @@ def grouped(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         rows.where("n > 0").groupBy("k1", "k2").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id")),
         "classes",
     )
-    node = _numbering(classes)
+    node = linking.numbering(classes)
     classes = classes.withColumn("node", node)
     sizes = classes.groupBy(F.least("n", F.lit(2 * LIGHT_LIMIT)).alias("n")).count().collect()
     light = boundary({r["n"]: r["count"] for r in sizes}, num, den)
@@ -347,20 +274,22 @@ def grouped(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     named_by = ["k1", "k2"]
     headed = rows.where("n > 0").join(heads, named_by)
     copies = staged(headed.where("NOT doc_id <=> head").select("doc_id", "k1", "k2"), "copies")
-    small = copies.count() <= BROADCAST_IDS
     # Rows of a class that have its head's id too, or none like it, are told apart by nothing.
     repeats = not headed.where("doc_id <=> head").groupBy("node").count().where("count > 1").isEmpty()
     listed = docs.mapInArrow(_postings(n, num, den, light, frequent[by_hash], rank), POSTINGS)
     listed = listed.where("size(prefix) > 0 OR size(subsets) > 0")
     keys = [listed["doc_id"].eqNullSafe(copies["doc_id"]), *(listed[k] == copies[k] for k in named_by)]
-    listed = listed.join(F.broadcast(copies) if small else copies, keys, "left_anti")
-    listed = listed.select(node.alias("node"), "n", "need", "prefix", "subsets", "shares")
-    listed = staged(_first(listed, "node") if repeats else listed, "listed")
+    listed = listed.join(linking.small(copies), keys, "left_anti")
+    fields = ["n", "rare", "prefix", "subsets", "shares"]
+    listed = listed.select(node.alias("node"), *fields)
+    if repeats:
+        listed = listed.groupBy("node").agg(*[F.first(c).alias(c) for c in fields])
+    listed = staged(listed, "listed")
 
     links = _light_links(listed, num, den)
     meets = _meeting(listed, num, den)
-    links = links.union(_heavy_links(docs, heads, meets, n, num, den, repeats))
-    roots = components(links)
+    links = links.union(_heavy_links(docs, heads, meets, n, num, den))
+    roots = staged(linking.stars(links), "roots")
     least = roots.join(heads, "node").groupBy("root").agg(F.min("head").alias("least"))
     roots = roots.join(staged(least, "least-ids"), "root")
     named = staged(
@@ -369,6 +298,7 @@ def grouped(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         ),
         "named",
     )
+    sweep(spark, before, profile, named)
     known = rows.join(named, named_by, "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return known.select(
@@ -377,12 +307,6 @@ def grouped(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     )
 
 
-def _first(rows: DataFrame, *keys: str) -> DataFrame:
-    """One of the rows of each key; they are alike."""
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))
-    return rows.withColumn("_nr", number).where("_nr = 1").drop("_nr")
-
-
 def _light_links(listed: DataFrame, num: int, den: int) -> DataFrame:
     """Each light class with the smallest class of each of its subsets, where the sizes allow it."""
     subsets = listed.select(
@@ -397,88 +321,59 @@ def _light_links(listed: DataFrame, num: int, den: int) -> DataFrame:
     )
 
 
+def _repeated(lists: DataFrame) -> DataFrame:
+    """Rows of the lists (token) of two sets or more, with their number df.
+
+    Counts are summed within tasks first, and the rows of one long list meet its number in many tasks.
+    """
+    counts = staged(lists.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "df")
+    out = staged(lists.join(linking.small(counts), "token"), "lists")
+    unstaged(counts)
+    return out
+
+
 def _meeting(listed: DataFrame, num: int, den: int) -> DataFrame:
-    """Rows of the inverted lists of the classes that may have similar ones: token, node, n, df.
+    """Rows of the inverted lists of the classes that may have similar ones: token, node.
 
     Lists are split by size: size classes are as wide as similar sizes may differ, and a set is in its
     own list and the next larger one, so similar sets still meet. ``shingle`` is the list's shingle.
+    The lists of frequent shingles, which one task could not hold, are not gathered for the first count.
     """
+    lists = listed.select("node", "n", "rare", F.posexplode("prefix").alias("at", "token"))
     df = F.count(F.lit(1)).over(Window.partitionBy("token"))
-    lists = listed.select("node", "n", "need", F.explode("prefix").alias("token"))
-    lists = staged(lists.withColumn("df", df).where("df > 1"), "lists")
+    rare = lists.where("at < rare").select("node", "n", "token").withColumn("df", df).where("df > 1").drop("df")
     width = math.log(den / num) * (1 + 1e-9)
     size_class = F.floor(F.log("n") / F.lit(width))
-    lists = lists.withColumn("shingle", F.col("token")).withColumn(
-        "class", F.explode(F.array(size_class, size_class + 1))
-    )
-    lists = lists.withColumn("token", F.xxhash64("shingle", "class")).drop("class", "df")
-    lists = staged(lists.withColumn("df", df).where("df > 1"), "lists")
+    lists = rare.union(lists.where("at >= rare").select("node", "n", "token"))
+    lists = lists.select("node", "n", F.col("token").alias("shingle"), F.explode(F.array(size_class, size_class + 1)).alias("class"))
+    lists = staged(lists.select("node", "n", "shingle", F.xxhash64("shingle", "class").alias("token")), "lists")
+    smallest = F.expr(f"({num} * n + {den - 1}) DIV {den}")
+    need = 1 + F.expr(f"(b - ({num} * b + {den - 1}) DIV {den} + 1) DIV 4")
+    last, lists = lists, _repeated(lists)
+    unstaged(last)
     for _ in range(PRUNINGS):
-        counts = lists.groupBy("node").agg(F.count_distinct("shingle").alias("met"), F.min("need").alias("least"))
-        able = staged(counts.where("met >= least").select("node"), "able")
-        lists = lists.join(able, "node", "left_semi").drop("df").withColumn("df", df)
-        lists = staged(lists.where("df > 1"), "lists")
+        counts = lists.groupBy("node").agg(F.count_distinct("shingle").alias("met"), F.min("n").alias("n"))
+        able = counts.withColumn("b", smallest).where(F.col("met") >= need).select("node")
+        able = staged(able, "able")
+        last, lists = lists, _repeated(lists.drop("df").join(linking.small(able), "node", "left_semi"))
+        unstaged(last, able)
     # Similar classes share ``need`` shingles at least, so each may leave out half of that but one: the
     # shingles of the longest lists, which tie unlike families together.
+    own = Window.partitionBy("node")
     most = F.max("df").over(Window.partitionBy("node", "shingle"))
-    longest = F.dense_rank().over(Window.partitionBy("node").orderBy(F.desc("most"), "shingle"))
-    lists = lists.withColumn("most", most).withColumn("_nr", longest).where("_nr > (need - 1) DIV 2")
-    lists = lists.select("node", "n", "token").withColumn("df", df)
-    return staged(lists.where("df > 1"), "lists")
-
-
-def _heavy_links(
-    docs: DataFrame, heads: DataFrame, meets: DataFrame, n: int, num: int, den: int, repeats: bool
-) -> DataFrame:
-    """Exact links among the classes that meet in lists, cell by cell."""
-    first = meets.groupBy("token").agg(F.min("node").alias("lead"))
-    first = staged(first, "first")
-    stars = meets.join(first, "token").select(F.col("node").alias("a"), F.col("lead").alias("b"))
-    groups = components(stars.where("a <> b").distinct())
-    anchored = meets.groupBy("node").agg(
-        F.max("n").alias("n"), F.max(F.struct("df", "token")).alias("anchor")
-    )
-    placed = staged(
-        groups.join(anchored, "node").select(
-            "node", "n", F.col("root").alias("grp"), F.col("anchor.token").alias("anchor")
-        ),
-        "placed",
-    )
-    # A group's bins hold whole anchors; a bin that is too large is cut by node.
-    group_size = staged(placed.groupBy("grp").agg(F.sum("n").alias("total")), "group-size")
-    cuts = F.ceil(F.col("total") / BLOCK_SHINGLES)
-    binned = placed.join(group_size, "grp").withColumn("bin", F.pmod(F.xxhash64("anchor"), cuts)).drop("total")
-    binned = staged(binned, "binned")
-    bin_size = staged(binned.groupBy("grp", "bin").agg(F.sum("n").alias("total")), "bin-size")
-    blocks = binned.join(bin_size, ["grp", "bin"]).select(
-        "node", F.xxhash64("grp", "bin", F.pmod(F.xxhash64("node"), cuts)).alias("block")
-    )
-    blocks = staged(blocks, "blocks")
-    spots = staged(meets.join(blocks, "node").select("token", "block").distinct(), "spots")
-    cells = (
-        spots.join(spots.select("token", F.col("block").alias("other")), "token")
-        .where("block <= other").select("block", "other").distinct()
-    )
-    whole = F.col("block") == F.col("other")
-    # A block that meets others needs no cell of its own.
-    cells = staged(cells, "cells")
-    busy = cells.where(~whole).select(F.explode(F.array("block", "other")).alias("block")).distinct()
-    alone = cells.where(whole).join(busy, "block", "left_anti")
-    cells = cells.where(~whole).select("block", "other").union(alone.select("block", "other"))
-    sides = staged(
-        cells.select(
-            F.xxhash64("block", "other").alias("cell"),
-            F.explode(F.array_distinct(F.array("block", "other"))).alias("block"),
-        ),
-        "sides",
-    )
-    deal = blocks.join(sides, "block").join(heads, "node").select("k1", "k2", "head", "node", "cell")
-    deal = staged(deal, "deal")
-    small = deal.count() <= BROADCAST_IDS
-    ids = deal.select("head").distinct()
-    texts = docs.join(F.broadcast(ids) if small else ids, docs["doc_id"].eqNullSafe(ids["head"]), "left_semi")
-    sets = texts.mapInArrow(_tokens(n), "doc_id BIGINT, k1 BIGINT, k2 BIGINT, shingles BINARY")
-    dealt = sets.join(F.broadcast(deal) if small else deal, ["k1", "k2"]).where("doc_id <=> head")
-    dealt = dealt.select("cell", "node", "shingles")
-    dealt = _first(dealt, "cell", "node") if repeats else dealt
-    return staged(dealt.groupBy("cell").applyInArrow(_cells(num, den), "a BIGINT, b BIGINT"), "links")
+    longest = F.dense_rank().over(own.orderBy(F.desc("most"), "shingle"))
+    trimmed = lists.repartition("node").withColumn("most", most).withColumn("nr", longest)
+    trimmed = trimmed.withColumn("b", smallest).where(F.col("nr") > F.floor((need - 1) / 2))
+    out = _repeated(trimmed.select("node", "token"))
+    unstaged(lists)
+    return out
+
+
+def _heavy_links(docs: DataFrame, heads: DataFrame, meets: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Exact links among the classes that meet in lists."""
+    nodes = staged(meets.select("node").distinct(), "meeting")
+    few = staged(heads.join(linking.small(nodes), "node", "left_semi").select("k1", "k2", "head", "node"), "heads")
+    sets = linking.whole_sets(docs, few, n)
+    marks = staged(sets.select("node", "shingles").mapInArrow(_sketches, "node BIGINT, n BIGINT, mark BINARY"), "marks")
+    hits = meets.select(F.col("token").alias("key"), "node")
+    return linking.connect(hits, marks, sets, sketch_test(num, den), num, den)

@@ -1,11 +1,10 @@
-"""Session settings and small graph helpers shared by the operators of this package."""
+"""Session settings and small helpers shared by the operators of this package."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tagweave.scale import staged, tune
+from tagweave.scale import tune
 
 BATCH_ROWS = 2000
 BATCH_BYTES = 8 << 20
@@ -39,40 +38,3 @@ def unused(columns: list[str], *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
-
-
-def components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """Smallest node reachable from each node of an undirected graph: (node, root).
-
-    ``links`` has BIGINT columns a and b. Every round takes the least label among neighbours, hooks it
-    to the old label's node and jumps to labels of labels, so rounds grow with the logarithm of the
-    longest path. Labels are staged each round; a hub's rows are aggregated before they are shuffled.
-    No links give no rows. Raises if the rounds do not suffice.
-    """
-    both = links.where("a <> b").select("a", "b").union(links.where("a <> b").select("b", "a"))
-    edges = staged(both.distinct(), "edges")
-    labels = staged(
-        edges.groupBy(F.col("a").alias("node")).agg(
-            F.least(F.col("node"), F.min("b")).alias("root"), F.lit(True).alias("moved")
-        ),
-        "labels",
-    )
-    for _ in range(max_rounds):
-        if labels.where("moved").isEmpty():
-            return labels.select("node", "root")
-        heard = edges.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy("a")
-        heard = staged(heard.agg(F.min("root").alias("least")), "heard")
-        own = labels.join(heard.withColumnRenamed("a", "node"), "node")
-        best = F.least("root", "least")
-        offers = own.select("node", best.alias("root")).union(
-            own.where("least < root").select(F.col("root").alias("node"), F.col("least").alias("root"))
-        )
-        hooked = staged(offers.groupBy("node").agg(F.min("root").alias("root")), "hooked")
-        up = hooked.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        jumped = hooked.join(up, "root").select("node", F.least("root", "top").alias("root"))
-        old = labels.select("node", F.col("root").alias("was"))
-        labels = staged(
-            jumped.join(old, "node").select("node", "root", (F.col("root") < F.col("was")).alias("moved")),
-            "labels",
-        )
-    raise RuntimeError("the graph has longer paths than the rounds reach")

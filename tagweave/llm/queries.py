@@ -11,6 +11,7 @@ from tagweave.llm import (
     html_main,
     importance,
     jaccard_join,
+    minhash_dedup,
     mixing,
     order_minhash,
     piece_samples,
@@ -49,6 +50,31 @@ def query(oracle: str | None = None):
     return register
 
 
+def near_oracle(words: int, kept: str = "") -> str:
+    """Comparison SQL of near_groups at a similarity of 0.85."""
+    return rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, list_aggregate(words[i : i + least({words}, len(words)) - 1], 'string_agg', ' ') AS g
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - {words} + 2, 2))) AS i FROM d WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+k AS (SELECT doc_id, hash(list(g ORDER BY g)) AS h FROM s GROUP BY doc_id),
+c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS rep FROM k),
+r AS (SELECT s.* FROM s JOIN c USING (doc_id) WHERE doc_id = rep),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM r a JOIN r b USING (g) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+w AS (
+  WITH RECURSIVE reach(a, b) AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a)
+  SELECT a, least(a, min(b)) AS root FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(w.root, c.rep, d.doc_id) AS component_id{kept}
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN w ON w.a = c.rep
+"""
+
+
 @query(
     r"""
 WITH u AS (
@@ -106,29 +132,7 @@ def op8_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
-@query(
-    r"""
-WITH d AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                    '[^\x20\x09-\x0D]+') AS words
-  FROM documents),
-s AS (
-  SELECT DISTINCT doc_id, list_aggregate(words[i : i + least(4, len(words)) - 1], 'string_agg', ' ') AS g
-  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 2, 2))) AS i FROM d WHERE len(words) > 0)),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-k AS (SELECT doc_id, hash(list(g ORDER BY g)) AS h FROM s GROUP BY doc_id),
-c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS rep FROM k),
-r AS (SELECT s.* FROM s JOIN c USING (doc_id) WHERE doc_id = rep),
-i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM r a JOIN r b USING (g) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
-l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
-e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
-w AS (
-  WITH RECURSIVE reach(a, b) AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a)
-  SELECT a, least(a, min(b)) AS root FROM reach GROUP BY a)
-SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(w.root, c.rep, d.doc_id) AS component_id
-FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN w ON w.a = c.rep
-"""
-)
+@query(near_oracle(4))
 def op9_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_join.near_groups(table(spark, sf, "documents"), n=4, num=85, den=100)
 
@@ -143,6 +147,11 @@ def op11_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
     return importance.ranked(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+@query(near_oracle(3, ", coalesce(w.root, c.rep, d.doc_id) = d.doc_id AS kept"))
+def op12_minhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash_dedup.near_groups(table(spark, sf, "documents"), n=3, num=85, den=100)
+
+
 @query(conversation_repair.oracle())
 def op13_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
     return conversation_repair.report(conversation_repair.damaged(table(spark, sf, "conversations")))

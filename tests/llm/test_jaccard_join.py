@@ -2,10 +2,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tagweave.llm import jaccard_join as J
-from tagweave.llm.jobs import components
+from tagweave.llm import linking
 from tests.llm.conftest import ODD
 
 
@@ -68,8 +69,10 @@ def test_groups_are_those_of_all_pairs(spark, documents, options, monkeypatch):
     want = brute(rows, *options)
     assert result(documents(rows), *options) == want
     if options[0] == 4:
-        monkeypatch.setattr(J, "BLOCK_SHINGLES", 300)  # many blocks and cells
-        monkeypatch.setattr(J, "BROADCAST_IDS", 0)
+        monkeypatch.setattr(linking, "SIDE", 3)  # many cells
+        monkeypatch.setattr(linking, "CELL_ROWS", 10)
+        monkeypatch.setattr(linking, "ROUNDS", 1)
+        monkeypatch.setattr(linking, "BROADCAST_IDS", 0)
         assert result(documents(rows).repartition(5), *options) == want
 
 
@@ -120,19 +123,22 @@ def test_required_and_prefix():
             assert J.needed(a, 85, 100) <= 1 + min(J.more(a, 85, 100), J.more(b, 85, 100))
 
 
-def test_cells_find_every_link():
+def test_sketches_deny_no_similar_pair():
     rng = np.random.default_rng(4)
-    sets = [np.unique(rng.integers(0, 40, 30)).astype(np.uint64) for _ in range(40)]
-    a, b = J.cell_links(np.arange(40), sets, 60, 100)
-    parent = dict(zip(a, b))
-    for i in range(40):
-        for j in range(i):
-            same = len(np.intersect1d(sets[i], sets[j]))
-            if 100 * same >= 60 * (len(sets[i]) + len(sets[j]) - same):
-                assert parent.get(i, i) == parent.get(j, j)
+    sets = [np.unique(rng.integers(0, 60, 40)).astype(np.uint64) << np.uint64(40) for _ in range(60)]
+    sets += [np.arange(200_000, dtype=np.uint64) << np.uint64(40), np.arange(200_010, dtype=np.uint64) << np.uint64(40)]
+    batch = pa.record_batch({"node": list(range(len(sets))), "shingles": [s.tobytes() for s in sets]})
+    (out,) = J._sketches(iter([batch]))
+    ns, marks = out.column(1).to_numpy(), np.stack([np.frombuffer(m.as_py(), np.uint8) for m in out.column(2)])
+    allowed = J.sketch_test(60, 100)
+    for i, a in enumerate(sets):
+        may = allowed(int(ns[i]), marks[i], ns, marks)
+        for j, b in enumerate(sets):
+            same = len(np.intersect1d(a, b))
+            assert may[j] or 100 * same < 60 * (len(a) + len(b) - same)
 
 
-def test_components_of_long_paths(spark):
+def test_stars_of_long_paths(spark):
     links = [(i, i + 1) for i in range(300)] + [(1000, 1001), (2000, 2000)] + [(5000, 5000 + i) for i in range(1, 200)]
-    got = dict(map(tuple, components(spark.createDataFrame(links, "a BIGINT, b BIGINT")).collect()))
+    got = dict(map(tuple, linking.stars(spark.createDataFrame(links, "a BIGINT, b BIGINT")).collect()))
     assert all(got[i] == 0 for i in range(301)) and got[1001] == 1000 and 2000 not in got and got[5199] == 5000

@@ -1,5 +1,7 @@
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as C
 from tagweave.llm import mixing, private_data, quality_rules
 from tagweave.llm.queries import QUERIES
@@ -10,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_queries_are_there():
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
 
 
 def test_each_stage_on_its_own_input(spark):
@@ -59,6 +61,15 @@ def test_near_copies_keep_unlike_texts_of_one_id(spark, documents):
     assert got == sorted([*want, (None, "no id " + words[0][:40]), (None, None), (None, None)], key=str)
 
 
+def test_columns_of_clashing_names_stay(spark, documents):
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "a b c d e f g"), (None, "x y"), (None, "x y")]
+    names = ["_unnamed", "_id", "id", "hash1", "no_id", "times", "best", "grp", "node", "h1", "n_words"]
+    docs = documents(rows).withColumns({c: F.lit("mine") for c in names})
+    out = C.drop_near_copies(spark, docs, SF)
+    assert out.columns == docs.columns and sorted(map(str, (r["doc_id"] for r in out.collect()))) == ["1", "None"]
+    assert all(r[c] == "mine" for r in out.collect() for c in names)
+
+
 def test_whole_run(spark):
     out = C.run(spark, SF)
     assert out.count() > 0 and out.where("NOT round_trip").count() == 0
