@@ -3,25 +3,49 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tagweave.llm import jaccard_join, mixing, piece_samples, private_data, quality_rules
+from tagweave.llm import jaccard_join, linking, mixing, piece_samples, private_data, quality_rules
 from tagweave.llm.jobs import prepare, table
 from tagweave.llm.queries import TOKENIZERS
-from tagweave.scale import staged
+from tagweave.scale import STAGED, remove_staged, staged, unstaged
 
 #: Near copies share at least this part of their five-word shingles.
 WORDS, SIMILAR = 5, (80, 100)
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Tables that the stage run last has staged.
+_scratch: list[str] = []
+
+
+def stage(fn: Stage) -> Stage:
+    """A stage that first removes what the stage before it has staged.
+
+    By the contract of stages that one's result is written by now and has come back as ``docs``.
+    """
+
+    @wraps(fn)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove_staged(spark, _scratch)
+        before = set(STAGED)
+        out = fn(spark, docs, sf_dir)
+        _scratch[:] = [p for p in STAGED if p not in before]
+        return out
+
+    return run_stage
+
+
+@stage
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules; cutoffs are learned from the labels of sf_dir."""
     return quality_rules.kept_rows(docs, table(prepare(spark), sf_dir, "labels"))
 
 
+@stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: the one with the least id, then with the least text hash.
 
@@ -29,46 +53,29 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     part and come last in their group. Texts without words are linked with nothing and stay.
     """
     prepare(spark)
-    key = ["_unnamed", "_id", "_h1", "_h2"]
-
-    def keys(h1: Column, h2: Column) -> dict[str, Column]:
-        doc_id = F.col("doc_id").cast("bigint")
-        return dict(zip(key, (doc_id.isNull(), F.coalesce(doc_id, F.lit(0)), h1, h2)))
-
-    rows = jaccard_join.grouped(docs, WORDS, *SIMILAR).where("grp IS NOT NULL")
-    rows = rows.withColumns(keys(F.col("h1"), F.col("h2")))
-    texts = staged(rows.groupBy("grp", *key).agg(F.count(F.lit(1)).alias("_times")), "texts")
-    best = texts.groupBy("grp").agg(F.min(F.struct(*key, "_times")).alias("best"))
-    best = staged(best.select("best.*"), "best")
-    again = best.where("_times > 1").select(*key)
-    lost = staged(texts.select(*key).join(best, key, "left_anti").union(again), "lost")
-    small = lost.count() <= jaccard_join.BROADCAST_IDS
-    named = docs.withColumns(keys(*jaccard_join.text_hashes(F.col("text").cast("string"))))
-    kept = named.join(F.broadcast(lost) if small else lost, key, "left_anti")
-    if not again.isEmpty():  # rows alike in id and text: one of them
-        alike = Window.partitionBy(*key).orderBy(F.xxhash64(*docs.columns))
-        first = F.row_number().over(alike)
-        kept = kept.union(named.join(again, key, "left_semi").withColumn("_nr", first).where("_nr = 1").select(*kept.columns))
-    return kept.select(*docs.columns)
+    return linking.one_of_each(docs, jaccard_join.grouped(docs, WORDS, *SIMILAR))
 
 
+@stage
 def hide_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents, personal data in their texts replaced by its kind; n_chars follows."""
     hidden = docs.withColumn("text", private_data.redact(prepare(spark), docs))
     return hidden.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return mixing.emitted(docs)
 
 
+@stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled segmentations of every text, as piece ids."""
     return piece_samples.sampled(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("quality rules", keep_good),
     ("near copies", drop_near_copies),
     ("private data", hide_private_data),
@@ -81,7 +88,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
-    docs = table(prepare(spark), sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    docs, last = table(prepare(spark), sf_dir, "documents"), ()
+    for name, run_stage in STAGES:
+        docs = staged(run_stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        unstaged(*last)
+        last = (docs,)
     return docs

@@ -99,7 +99,34 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = staged_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.staged_at = path
+    STAGED.append(path)
+    return table
+
+
+#: Staged tables that are still there, oldest first.
+STAGED: list[str] = []
+
+
+def unstaged(*tables: DataFrame) -> None:
+    """Remove staged tables whose successors are written; nothing lazy may still read them."""
+    for table in tables:
+        remove_staged(table.sparkSession, [table.staged_at])
+
+
+def remove_staged(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        if path in STAGED:
+            STAGED.remove(path)
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def sweep(spark: SparkSession, before: list[str], *keep: DataFrame) -> None:
+    """Remove the tables staged since ``before`` (a copy of STAGED) except those to keep."""
+    kept = {*before, *(t.staged_at for t in keep)}
+    remove_staged(spark, [p for p in STAGED if p not in kept])
 
 
 def chunk_of(position: Column, size: int = CHUNK_LINES) -> Column:
