@@ -41,8 +41,6 @@ LIGHT_LIMIT = 24
 CHECK_COST = 4
 #: Rounds in which classes with too few shared shingles are dropped and lists are counted anew.
 PRUNINGS = 2
-#: Counters of a set by which pairs are ruled out.
-BUCKETS = 512
 _U = np.uint64
 
 
@@ -205,30 +203,6 @@ def _postings(n: int, num: int, den: int, light: int, frequent: np.ndarray, rank
     return run
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many shingles of each set fall into each bucket; all 255 if one has more than that."""
-    for batch in batches:
-        sets = [np.frombuffer(x.as_buffer(), _U) for x in batch.column(1)]
-        marks = []
-        for s in sets:
-            counts = np.bincount((s >> _U(40)).astype(np.int64) % BUCKETS, minlength=BUCKETS)
-            marks.append((counts if counts.max() < 255 else np.full(BUCKETS, 255)).astype(np.uint8).tobytes())
-        sizes = pa.array([len(s) for s in sets], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(marks, pa.binary())], ["node", "n", "mark"])
-
-
-def sketch_test(num: int, den: int) -> linking.Possible:
-    """Sets that may share enough: in no bucket do two sets share more than the smaller number there."""
-
-    def possible(n: int, mark: np.ndarray, ns: np.ndarray, marks: np.ndarray) -> np.ndarray:
-        most = np.minimum(marks, mark).sum(axis=1, dtype=np.int64)
-        uncounted = (marks[:, 0] == 255) | (mark[0] == 255)
-        fits = num * np.maximum(ns, n) <= den * np.minimum(ns, n)
-        return fits & (uncounted | ((num + den) * most >= num * (ns + n)))
-
-    return possible
-
-
 def near_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Connected groups of documents with Jaccard similarity of at least num / den.
 
@@ -374,6 +348,6 @@ def _heavy_links(docs: DataFrame, heads: DataFrame, meets: DataFrame, n: int, nu
     nodes = staged(meets.select("node").distinct(), "meeting")
     few = staged(heads.join(linking.small(nodes), "node", "left_semi").select("k1", "k2", "head", "node"), "heads")
     sets = linking.whole_sets(docs, few, n)
-    marks = staged(sets.select("node", "shingles").mapInArrow(_sketches, "node BIGINT, n BIGINT, mark BINARY"), "marks")
+    marks = staged(linking.sketches(sets), "marks")
     hits = meets.select(F.col("token").alias("key"), "node")
-    return linking.connect(hits, marks, sets, sketch_test(num, den), num, den)
+    return linking.connect(hits, marks, sets, linking.sketch_likeness(num, den), num, den)

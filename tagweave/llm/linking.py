@@ -3,10 +3,11 @@
 Sets that may be similar meet in lists (a band's bucket, a shingle's inverted list). Round by round every
 list that still holds several components names one of its members as pivot; each set is compared with
 the one pivot that it shares most lists with, so a family of copies becomes one component at one
-comparison a set. What then stays apart inside a list, the sets outside of its largest component, is
-compared with all of the list in cells of bounded size: marks of the sets, a few hundred bytes, say which
-pairs can be similar at all, and only these are compared in full. Pairs of one component are never
-looked at again. Every comparison of this module counts a whole intersection.
+comparison a set and round. What then stays apart inside a list, the sets outside of its largest
+component, meets all of the list in cells of bounded size: marks of the sets, less than a kilobyte each,
+say which pairs can be similar at all. First each such set is compared in full with the few likeliest,
+then with all that are left in other components. Pairs of one component are never looked at again, and
+only a count of the whole intersection makes a link.
 """
 
 from __future__ import annotations
@@ -24,7 +25,11 @@ from tagweave.scale import staged, unstaged
 
 _U = np.uint64
 #: Rounds of pivots before the rest is compared in cells.
-ROUNDS = 4
+ROUNDS = 3
+#: Likeliest partners in a cell that a set is compared with before all others.
+TRIES = 8
+#: Counters of a set by which pairs are ruled out.
+BUCKETS = 512
 #: Sets on each side of a cell.
 SIDE = 4096
 #: Rows of short lists that are dealt to one cell, on average.
@@ -34,7 +39,8 @@ BROADCAST_IDS = 500_000
 #: Numberings of the classes that are tried for one without two equal numbers.
 SEEDS = 16
 
-Possible = Callable[[int, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+#: Likeness of a set (size, mark) to several others (sizes, marks); below zero: not similar, whatever the sets.
+Likeness = Callable[[int, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -169,40 +175,67 @@ def stars(links: DataFrame, max_rounds: int = 64) -> DataFrame:
     raise RuntimeError("the graph did not become stars in the rounds given")
 
 
-def _labelled(hits: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return hits.withColumn("comp", F.col("node"))
-    return hits.join(labels, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles of each set fall into each bucket; all 255 if one has more than that."""
+    for batch in batches:
+        sets = [np.frombuffer(x.as_buffer(), _U) for x in batch.column(1)]
+        marks = []
+        for s in sets:
+            counts = np.bincount((s >> _U(40)).astype(np.int64) % BUCKETS, minlength=BUCKETS)
+            marks.append((counts if counts.max() < 255 else np.full(BUCKETS, 255)).astype(np.uint8).tobytes())
+        sizes = pa.array([len(s) for s in sets], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(marks, pa.binary())], ["node", "n", "mark"])
+
+
+def sketches(sets: DataFrame) -> DataFrame:
+    """node, n and mark: the sets' bucket counts."""
+    return sets.select("node", "shingles").mapInArrow(_sketches, "node BIGINT, n BIGINT, mark BINARY")
+
+
+def sketch_likeness(num: int, den: int) -> Likeness:
+    """Bounds from bucket counts: in no bucket do two sets share more than the smaller number there."""
+
+    def likeness(n: int, mark: np.ndarray, ns: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        most = np.minimum(marks, mark).sum(axis=1, dtype=np.int64)
+        uncounted = (marks[:, 0] == 255) | (mark[0] == 255)
+        most = np.where(uncounted, np.minimum(ns, n), most)
+        fits = (num * np.maximum(ns, n) <= den * np.minimum(ns, n)) & ((num + den) * most >= num * (ns + n))
+        return np.where(fits, most / np.maximum(ns + n - most, 1), -1.0)
+
+    return likeness
 
 
 def _rows_of(node: str, marks: DataFrame, suffix: str) -> DataFrame:
     return marks.select(F.col("node").alias(node), F.col("n").alias(f"n_{suffix}"), F.col("mark").alias(f"mark_{suffix}"))
 
 
-def _mark_matrix(column: pa.Array) -> list[np.ndarray]:
+def _marks(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), np.uint8) for x in column]
 
 
-def _worth(possible: Possible):
+def _worth(likeness: Likeness):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_a, n_b = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            a, b = _mark_matrix(batch.column(4)), _mark_matrix(batch.column(5))
-            ok = [bool(possible(int(n_a[i]), a[i], n_b[i : i + 1], b[i][None, :])[0]) for i in range(len(a))]
+            a, b = _marks(batch.column(4)), _marks(batch.column(5))
+            ok = [bool(likeness(int(n_a[i]), a[i], n_b[i : i + 1], b[i][None, :])[0] >= 0) for i in range(len(a))]
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], ["a", "b"])
 
     return run
 
 
-def _cell_pairs(possible: Possible):
-    """Pairs of a cell's lists that can be similar and are in different components, the smaller first."""
+def _cell_pairs(likeness: Likeness, tries: int | None):
+    """Pairs of a cell's lists that can be similar and are in different components, the smaller first.
+
+    ``tries``: so many of the likeliest for each set; None: all.
+    """
 
     def run(group: pa.Table) -> pa.Table:
-        columns = {c: group.column(c).to_numpy() for c in ("key", "row", "col", "node", "comp", "minor", "n")}
-        marks = np.stack(_mark_matrix(group.column("mark").combine_chunks()))
-        order = np.lexsort((columns["minor"], columns["col"], columns["row"], columns["key"]))
-        at = {k: v[order] for k, v in columns.items()}
+        at = {c: group.column(c).to_numpy() for c in ("key", "row", "col", "node", "comp", "minor", "n")}
+        marks = np.stack(_marks(group.column("mark").combine_chunks()))
+        order = np.lexsort((at["minor"], at["col"], at["row"], at["key"]))
+        at = {k: v[order] for k, v in at.items()}
         new = np.any([at[k][1:] != at[k][:-1] for k in ("key", "row", "col")], axis=0)
         bounds = np.concatenate([[0], np.flatnonzero(new) + 1, [len(order)]])
         a, b = [], []
@@ -212,10 +245,14 @@ def _cell_pairs(possible: Possible):
             whole = marks[order[lo:split]]
             for i in range(split, hi):
                 other = np.flatnonzero(comps != at["comp"][i])
-                if len(other):
-                    other = other[possible(int(at["n"][i]), marks[order[i]], sizes[other], whole[other])]
-                    a.append(np.minimum(nodes[other], at["node"][i]))
-                    b.append(np.maximum(nodes[other], at["node"][i]))
+                if not len(other):
+                    continue
+                alike = likeness(int(at["n"][i]), marks[order[i]], sizes[other], whole[other])
+                other, alike = other[alike >= 0], alike[alike >= 0]
+                if tries is not None and len(other) > tries:
+                    other = other[np.argpartition(-alike, tries)[:tries]]
+                a.append(np.minimum(nodes[other], at["node"][i]))
+                b.append(np.maximum(nodes[other], at["node"][i]))
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
         pairs = np.unique(np.stack([a, b]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
         return pa.table({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
@@ -223,83 +260,105 @@ def _cell_pairs(possible: Possible):
     return run
 
 
-def _rest(here: DataFrame, marks: DataFrame, possible: Possible) -> DataFrame:
+def _apart(here: DataFrame, marks: DataFrame, likeness: Likeness, tries: int | None) -> DataFrame:
     """Pairs of lists with several components: those outside a list's largest component against all."""
-    sizes = staged(here.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    sizes = staged(here.groupBy("key", "comp").agg(
+        F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("f1"),
+        F.bit_xor(F.xxhash64(F.lit(3), "node")).alias("f2"),
+    ), "sizes")
     lists = sizes.groupBy("key").agg(
         F.sum("size").alias("m"), F.max(F.struct("size", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"),
-        F.bit_xor(F.xxhash64("comp", "size")).alias("s"),
+        F.bit_xor("f1").alias("f1"), F.bit_xor("f2").alias("f2"),
     ).where("comps > 1")
-    lists = lists.select("key", "m", F.col("top.comp").alias("top"), (F.col("m") - F.col("top.size")).alias("few"))
-    lists = staged(lists, "lists-left")
-    named = here.join(lists.select("key"), "key", "left_semi").groupBy("key").agg(
-        F.bit_xor(F.xxhash64("node")).alias("f1"), F.bit_xor(F.xxhash64(F.lit(3), "node")).alias("f2")
-    )
     # Lists of the same sets give the same pairs: one of them is looked at.
-    first = named.join(lists.select("key", "m"), "key").groupBy("m", "f1", "f2").agg(F.min("key").alias("key"))
-    lists = staged(lists.join(first.select("key"), "key", "left_semi"), "lists-once")
+    lists = lists.groupBy("m", "f1", "f2").agg(F.min(F.struct("key", "top")).alias("l"))
+    few = F.col("m") - F.col("l.top.size")
+    lists = staged(lists.select("l.key", F.col("l.top.comp").alias("top"), "m", few.alias("few")), "lists-apart")
     spread = F.lit(1 + (lists.agg(F.sum("m")).first()[0] or 0) // CELL_ROWS)
     cuts = lists.select(
         "key", "top", F.ceil(F.col("m") / SIDE).alias("cols"), F.ceil(F.col("few") / SIDE).alias("rows")
     )
-    rows = here.join(cuts, "key")
-    minor = F.col("comp") != F.col("top")
-    # Salts of list columns and rows; short lists share cells.
+    rows = here.join(small(cuts), "key")
+    # Salts of a list's columns and rows; short lists share cells.
     part = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(n))
-    counts = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-    whole = rows.select("key", "node", "comp", "cols", "rows", F.lit(0).alias("minor"), part(1, "cols").alias("col"), counts("rows").alias("row"))
-    outer = rows.where(minor).select("key", "node", "comp", "cols", "rows", F.lit(1).alias("minor"), part(2, "rows").alias("row"), counts("cols").alias("col"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    named = ["key", "node", "comp", "cols", "rows"]
+    whole = rows.select(*named, F.lit(0).alias("minor"), part(1, "cols").alias("col"), each("rows").alias("row"))
+    outer = rows.where("comp <> top")
+    outer = outer.select(*named, F.lit(1).alias("minor"), part(2, "rows").alias("row"), each("cols").alias("col"))
     alone = (F.col("cols") > 1) | (F.col("rows") > 1)
     cell = F.when(alone, F.xxhash64("key", "row", "col")).otherwise(F.pmod(F.xxhash64("key"), spread))
     both = whole.unionByName(outer).withColumn("cell", cell).join(marks.select("node", "n", "mark"), "node")
     both = both.select("cell", "key", "row", "col", "node", "comp", "minor", "n", "mark")
-    return both.groupBy("cell").applyInArrow(_cell_pairs(possible), "a BIGINT, b BIGINT").distinct()
+    pairs = both.groupBy("cell").applyInArrow(_cell_pairs(likeness, tries), "a BIGINT, b BIGINT").distinct()
+    out = staged(pairs, "apart")
+    unstaged(sizes, lists)
+    return out
+
+
+def _merged(here: DataFrame, found: DataFrame) -> DataFrame:
+    """``here`` after links between components, (x, y); sets of one component are linked, but two that are
+    linked by a long chain may still stay apart."""
+    bigger, less = F.greatest("x", "y").alias("comp"), F.least("x", "y").alias("y")
+    hooks = staged(found.where("x <> y").select(bigger, less).groupBy("comp").agg(F.min("y").alias("into")), "hooks")
+    for _ in range(2):
+        further = hooks.select(F.col("comp").alias("into"), F.col("into").alias("to"))
+        after = hooks.join(small(further), "into", "left").select("comp", F.coalesce("to", "into").alias("into"))
+        last, hooks = hooks, staged(after, "hooks")
+        unstaged(last)
+    out = here.join(small(hooks), "comp", "left").select("key", "node", F.coalesce("into", "comp").alias("comp"))
+    out = staged(out, "here")
+    unstaged(here, hooks)
+    return out
 
 
 def connect(
-    hits: DataFrame, marks: DataFrame, sets: DataFrame, possible: Possible, num: int, den: int
+    hits: DataFrame, marks: DataFrame, sets: DataFrame, likeness: Likeness, num: int, den: int
 ) -> DataFrame:
     """Links (a, b) that join all similar sets sharing a list: every link's component comes out whole.
 
-    ``hits``: key and node, each once. ``marks``: node, size n and mark, bytes of one length for all.
-    ``sets``: node and shingles. ``possible(n, mark, ns, marks)`` says which of several sets a set may be
-    similar to; it must never deny a similar one. No hits give no links.
+    ``hits``: key and node, each pair once. ``marks``: node, size n and mark, bytes of one length for all.
+    ``sets``: node and shingles. ``likeness`` must never deny a similar pair. No hits give no links.
     """
-    links, labels, tried = None, None, None
+    here = staged(hits.select("key", "node", F.col("node").alias("comp")), "here")
+    links = None
     for number in range(ROUNDS):
-        here = _labelled(hits, labels)
         order = F.col("node") if number == 0 else F.xxhash64(F.lit(number), "node")
         mixed = here.groupBy("key").agg(
             F.min("comp").alias("lo"), F.max("comp").alias("hi"),
             F.min(F.struct(order.alias("o"), "node", "comp")).alias("p"),
         ).where("lo <> hi")
-        mixed = mixed.select("key", F.col("p.node").alias("pivot"), F.col("p.comp").alias("pivot_comp"))
+        mixed = mixed.select("key", F.col("p.node").alias("pivot"), F.col("p.comp").alias("to"))
         mixed = staged(mixed, "mixed")
-        met = here.join(small(mixed), "key").where("comp <> pivot_comp").groupBy("node", "pivot")
+        met = here.join(small(mixed), "key").where("comp <> to").groupBy("node", "pivot", "comp", "to")
         best = met.agg(F.count(F.lit(1)).alias("shared")).groupBy("node")
-        best = best.agg(F.max(F.struct("shared", "pivot")).alias("m"))
-        pairs = best.select(F.col("node").alias("a"), F.col("m.pivot").alias("b"))
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "pairs")
-        marked = pairs.join(_rows_of("b", marks, "b"), "b").join(_rows_of("a", marks, "a"), "a")
+        best = best.agg(F.max(F.struct("shared", "pivot", "comp", "to")).alias("m"))
+        pairs = staged(best.select(F.col("node").alias("a"), F.col("m.pivot").alias("b"), "m.comp", "m.to"), "pairs")
+        marked = pairs.select("a", "b").join(_rows_of("b", marks, "b"), "b").join(_rows_of("a", marks, "a"), "a")
         marked = marked.select("a", "b", "n_a", "n_b", "mark_a", "mark_b")
-        worth = staged(marked.mapInArrow(_worth(possible), "a BIGINT, b BIGINT"), "worth")
-        judged = staged(compared(worth, sets, num, den), "judged")
-        unstaged(mixed, worth)
-        tried = pairs if tried is None else tried.union(pairs)
-        found = judged.where("ok").select("a", "b")
+        worth = staged(marked.mapInArrow(_worth(likeness), "a BIGINT, b BIGINT"), "worth")
+        found = staged(compared(worth, sets, num, den).where("ok").select("a", "b"), "found")
+        links = found if links is None else links.union(found)
+        if not found.isEmpty():
+            of_pair = pairs.select("a", F.col("comp").alias("x"), F.col("to").alias("y"))
+            here = _merged(here, found.join(of_pair, "a"))
+        unstaged(mixed, pairs, worth)
         if found.isEmpty():
             break
-        links = found if links is None else links.union(found)
-        labels = staged(stars(links), "labels")
-    here = staged(_labelled(hits, labels), "here")
-    pairs = _rest(here, marks, possible)
-    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = staged(pairs.join(done, ["a", "b"], "left_anti"), "rest")
-    more = staged(compared(pairs, sets, num, den), "rest-judged").where("ok").select("a", "b")
-    unstaged(here, pairs)
-    return more if links is None else links.union(more)
+    likeliest = _apart(here, marks, likeness, TRIES)
+    if likeliest.isEmpty():
+        return links
+    found = staged(compared(likeliest, sets, num, den).where("ok").select("a", "b"), "found")
+    links = links.union(found)
+    if not found.isEmpty():
+        comps = staged(here.select("node", "comp").distinct(), "comps")
+        ends = found.join(comps.select(F.col("node").alias("a"), F.col("comp").alias("x")), "a")
+        here = _merged(here, ends.join(comps.select(F.col("node").alias("b"), F.col("comp").alias("y")), "b"))
+        unstaged(comps)
+    rest = _apart(here, marks, likeness, None)
+    rest = rest.join(likeliest, ["a", "b"], "left_anti")
+    found = staged(compared(rest, sets, num, den).where("ok").select("a", "b"), "found")
+    return links.union(found)
 
 
 def one_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:

@@ -9,8 +9,9 @@ are alone in all their buckets.
 
 Members of a bucket are not paired. They are linked through pivots (see ``linking``), first by their
 signatures, 16 bits of each minimum: a pair whose agreeing minima lie seven standard deviations below the
-threshold is left out; all others are compared by their full sets, and only that makes a link. Components
-come from alternating large-star and small-star steps.
+threshold is left out, and so is one whose sets, counted in buckets, cannot share enough; all others are
+compared by their full sets, and only that makes a link. Components come from alternating large-star and
+small-star steps.
 
 Odd rows: null texts and texts without words have an empty set and stay alone; with fewer words than a
 shingle has, the whole sequence is one shingle. Repeated rows are copies. Null ids take part; a group of
@@ -96,16 +97,23 @@ def _profile(n: int):
     return run
 
 
-def signature_test(num: int, den: int) -> linking.Possible:
-    """Sets of fitting sizes whose signatures agree often enough."""
-    enough = least_agreement(num, den)
+def signature_likeness(num: int, den: int) -> linking.Likeness:
+    """Share of agreeing minima of sets of fitting sizes; then bucket counts must allow the similarity, too."""
+    enough, counted = least_agreement(num, den), linking.sketch_likeness(num, den)
 
-    def possible(n: int, mark: np.ndarray, ns: np.ndarray, marks: np.ndarray) -> np.ndarray:
-        fits = (num * np.maximum(ns, n) <= den * np.minimum(ns, n)) & (ns > 0)
-        agree = np.count_nonzero(np.ascontiguousarray(marks).view(np.uint16) == mark.view(np.uint16), axis=1)
-        return fits & (agree >= enough)
+    def likeness(n: int, mark: np.ndarray, ns: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        out = np.full(len(ns), -1.0)
+        fits = np.flatnonzero(num * np.maximum(ns, n) <= den * np.minimum(ns, n))
+        own = mark[: 2 * MINIMA].view(np.uint16)
+        for part in np.array_split(fits, 1 + len(fits) // 1024):
+            theirs = np.ascontiguousarray(marks[part, : 2 * MINIMA]).view(np.uint16)
+            agree = np.count_nonzero(theirs == own, axis=1)
+            part, agree = part[agree >= enough], agree[agree >= enough]
+            can = counted(n, mark[2 * MINIMA :], ns[part], marks[part, 2 * MINIMA :]) >= 0
+            out[part[can]] = agree[can] / MINIMA
+        return out
 
-    return possible
+    return likeness
 
 
 def grouped(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -128,12 +136,14 @@ def grouped(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataF
     shared = staged(shared.select("key"), "shared-keys")
     hits = staged(keyed.join(linking.small(shared), "key", "left_semi").distinct(), "hits")
     nodes = staged(hits.select("node").distinct(), "hit-nodes")
-    marks = profile.where("n > 0").select(node.alias("node"), "n", "mark").join(linking.small(nodes), "node", "left_semi")
-    marks = staged(marks.groupBy("node").agg(F.min("n").alias("n"), F.first("mark").alias("mark")), "marks")
-    unstaged(profile, shared)
+    signed = profile.where("n > 0").select(node.alias("node"), "mark").join(linking.small(nodes), "node", "left_semi")
+    signed = signed.groupBy("node").agg(F.first("mark").alias("signature"))
     heads = staged(classes.select("k1", "k2", "head", "node").join(linking.small(nodes), "node", "left_semi"), "heads")
     sets = linking.whole_sets(docs, heads, n)
-    links = linking.connect(hits, marks, sets, signature_test(num, den), num, den)
+    marks = linking.sketches(sets).join(signed, "node").select("node", "n", F.concat("signature", "mark").alias("mark"))
+    marks = staged(marks, "marks")
+    unstaged(profile, shared)
+    links = linking.connect(hits, marks, sets, signature_likeness(num, den), num, den)
     roots = staged(linking.stars(links), "roots")
     least = classes.join(roots, "node").groupBy("root").agg(F.min("head").alias("least"))
     named = classes.join(roots, "node", "left").join(staged(least, "least-ids"), "root", "left")

@@ -21,7 +21,7 @@ def test_groups_are_those_of_all_pairs(spark, documents, options, monkeypatch):
     want = brute(rows, *options)
     assert result(documents(rows), *options) == want
     if options[0] == 3:
-        for name, value in {"SIDE": 3, "CELL_ROWS": 10, "ROUNDS": 1, "BROADCAST_IDS": 0}.items():
+        for name, value in {"SIDE": 3, "CELL_ROWS": 10, "ROUNDS": 1, "TRIES": 1, "BROADCAST_IDS": 0}.items():
             monkeypatch.setattr(linking, name, value)
         assert result(documents(rows).repartition(5), *options) == want
 
@@ -57,6 +57,6 @@ def test_minima_agree_as_often_as_sets_are_similar():
         least = M.minima(np.concatenate([np.unique(a), np.unique(b)]), np.array([0, 1000]))
         agree, want = np.mean(least[:, 0] == least[:, 1]), shared / (2000 - shared)
         assert abs(agree - want) < 4.5 * (want * (1 - want) / M.MINIMA) ** 0.5
-    test = M.signature_test(85, 100)
-    mark = least[:, 0].astype(np.uint16).view(np.uint8)
-    assert test(1000, mark, np.array([1000, 100]), np.stack([mark, mark])).tolist() == [True, False]
+    test = M.signature_likeness(85, 100)
+    mark = np.concatenate([least[:, 0].astype(np.uint16).view(np.uint8), np.full(linking.BUCKETS, 2, np.uint8)])
+    assert test(1000, mark, np.array([1000, 100]), np.stack([mark, mark])).tolist() == [1.0, -1.0]
