@@ -348,6 +348,5 @@ def _heavy_links(docs: DataFrame, heads: DataFrame, meets: DataFrame, n: int, nu
     nodes = staged(meets.select("node").distinct(), "meeting")
     few = staged(heads.join(linking.small(nodes), "node", "left_semi").select("k1", "k2", "head", "node"), "heads")
     sets = linking.whole_sets(docs, few, n)
-    marks = staged(linking.sketches(sets), "marks")
     hits = meets.select(F.col("token").alias("key"), "node")
-    return linking.connect(hits, marks, sets, linking.sketch_likeness(num, den), num, den)
+    return linking.connect(hits, sets, linking.sketch_likeness(num, den), num, den)

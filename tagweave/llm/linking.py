@@ -25,13 +25,13 @@ from tagweave.scale import staged, unstaged
 
 _U = np.uint64
 #: Rounds of pivots before the rest is compared in cells.
-ROUNDS = 3
+ROUNDS = 2
 #: Likeliest partners in a cell that a set is compared with before all others.
 TRIES = 8
 #: Counters of a set by which pairs are ruled out.
 BUCKETS = 512
 #: Sets on each side of a cell.
-SIDE = 4096
+SIDE = 2048
 #: Rows of short lists that are dealt to one cell, on average.
 CELL_ROWS = 40_000
 #: So many keys or ids (8 to 40 bytes each) are broadcast at most; more are joined by shuffle.
@@ -97,7 +97,7 @@ def _tokens(n: int):
 
 
 def whole_sets(docs: DataFrame, heads: DataFrame, n: int) -> DataFrame:
-    """node and shingles (sorted, 8 bytes each) of the classes in ``heads``: k1, k2, head, node.
+    """node, size n, mark (bucket counts) and shingles (sorted, 8 bytes each) of classes: k1, k2, head, node.
 
     Texts are read where their id is a head's. Rows of one class and one id are alike; one is taken, within
     each task first.
@@ -107,7 +107,8 @@ def whole_sets(docs: DataFrame, heads: DataFrame, n: int) -> DataFrame:
     texts = docs.join(few, docs["doc_id"].eqNullSafe(few["head"]), "left_semi")
     sets = texts.mapInArrow(_tokens(n), "doc_id BIGINT, k1 BIGINT, k2 BIGINT, shingles BINARY")
     named = sets.join(small(heads), ["k1", "k2"]).where("doc_id <=> head")
-    out = staged(named.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    one = named.groupBy("node").agg(F.first("shingles").alias("shingles"))
+    out = staged(one.mapInArrow(_sketches, "node BIGINT, n BIGINT, mark BINARY, shingles BINARY"), "sets")
     unstaged(ids)
     return out
 
@@ -121,28 +122,32 @@ def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * shared >= num * (len(a) + len(b) - shared)
 
 
-def _judge(num: int, den: int):
+def _judge(likeness: Likeness, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = (
-                [np.frombuffer(x.as_buffer(), _U) for x in batch.column(i)] for i in (2, 3)
-            )
-            ok = [similar(x, y, num, den) for x, y in zip(left, right)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"]
-            )
+            at = dict(zip(batch.schema.names, batch.columns))
+            sizes = {k: at[f"n_{k}"].to_numpy() for k in "ab"}
+            marks = {k: _marks(at[f"mark_{k}"]) for k in "ab"}
+            ok = []
+            for i in range(batch.num_rows):
+                likely = likeness(int(sizes["a"][i]), marks["a"][i], sizes["b"][i : i + 1], marks["b"][i][None, :])[0]
+                sets = [np.frombuffer(at[f"shingles_{k}"][i].as_buffer(), _U) for k in "ab"]
+                ok.append(bool(likely >= 0 and similar(*sets, num, den)))
+            keep = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([at[c].filter(keep) for c in ("a", "b", "x", "y")], ["a", "b", "x", "y"])
 
     return run
 
 
-def compared(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs a, b with ok, whether their whole sets are similar.
+def compared(pairs: DataFrame, bodies: DataFrame, likeness: Likeness, num: int, den: int) -> DataFrame:
+    """The pairs a, b (of components x, y) that are similar: by their marks first, then by their whole sets.
 
     Narrow pairs meet the set of b first, which may be a pivot of very many, then that of a.
     """
-    right = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
-    both = right.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
-    return both.select("a", "b", "left", "right").mapInArrow(_judge(num, den), "a BIGINT, b BIGINT, ok BOOLEAN")
+    for k in "ba":
+        own = bodies.select(F.col("node").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "mark", "shingles")])
+        pairs = pairs.join(own, k)
+    return pairs.mapInArrow(_judge(likeness, num, den), "a BIGINT, b BIGINT, x BIGINT, y BIGINT")
 
 
 def stars(links: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -166,7 +171,7 @@ def stars(links: DataFrame, max_rounds: int = 64) -> DataFrame:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = staged(large.distinct(), "large")
+        large = staged(large, "large")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small_star = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = staged(small_star.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
@@ -184,12 +189,9 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = np.bincount((s >> _U(40)).astype(np.int64) % BUCKETS, minlength=BUCKETS)
             marks.append((counts if counts.max() < 255 else np.full(BUCKETS, 255)).astype(np.uint8).tobytes())
         sizes = pa.array([len(s) for s in sets], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(marks, pa.binary())], ["node", "n", "mark"])
-
-
-def sketches(sets: DataFrame) -> DataFrame:
-    """node, n and mark: the sets' bucket counts."""
-    return sets.select("node", "shingles").mapInArrow(_sketches, "node BIGINT, n BIGINT, mark BINARY")
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), sizes, pa.array(marks, pa.binary()), batch.column(1)], ["node", "n", "mark", "shingles"]
+        )
 
 
 def sketch_likeness(num: int, den: int) -> Likeness:
@@ -205,30 +207,14 @@ def sketch_likeness(num: int, den: int) -> Likeness:
     return likeness
 
 
-def _rows_of(node: str, marks: DataFrame, suffix: str) -> DataFrame:
-    return marks.select(F.col("node").alias(node), F.col("n").alias(f"n_{suffix}"), F.col("mark").alias(f"mark_{suffix}"))
-
-
 def _marks(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), np.uint8) for x in column]
 
 
-def _worth(likeness: Likeness):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_a, n_b = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            a, b = _marks(batch.column(4)), _marks(batch.column(5))
-            ok = [bool(likeness(int(n_a[i]), a[i], n_b[i : i + 1], b[i][None, :])[0] >= 0) for i in range(len(a))]
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], ["a", "b"])
-
-    return run
-
-
 def _cell_pairs(likeness: Likeness, tries: int | None):
-    """Pairs of a cell's lists that can be similar and are in different components, the smaller first.
+    """Pairs of a cell's lists that can be similar and are in different components x and y.
 
-    ``tries``: so many of the likeliest for each set; None: all.
+    ``tries``: so many of the likeliest for each set, and a row of nulls if there are more; None: all.
     """
 
     def run(group: pa.Table) -> pa.Table:
@@ -238,29 +224,34 @@ def _cell_pairs(likeness: Likeness, tries: int | None):
         at = {k: v[order] for k, v in at.items()}
         new = np.any([at[k][1:] != at[k][:-1] for k in ("key", "row", "col")], axis=0)
         bounds = np.concatenate([[0], np.flatnonzero(new) + 1, [len(order)]])
-        a, b = [], []
+        none = np.zeros((4, 0), np.int64)
+        pairs, more = [none], False
         for lo, hi in zip(bounds[:-1], bounds[1:]):
             split = lo + int(np.count_nonzero(at["minor"][lo:hi] == 0))
             nodes, comps, sizes = (at[k][lo:split] for k in ("node", "comp", "n"))
             whole = marks[order[lo:split]]
             for i in range(split, hi):
-                other = np.flatnonzero(comps != at["comp"][i])
+                node, comp = at["node"][i], at["comp"][i]
+                other = np.flatnonzero(comps != comp)
                 if not len(other):
                     continue
                 alike = likeness(int(at["n"][i]), marks[order[i]], sizes[other], whole[other])
                 other, alike = other[alike >= 0], alike[alike >= 0]
                 if tries is not None and len(other) > tries:
-                    other = other[np.argpartition(-alike, tries)[:tries]]
-                a.append(np.minimum(nodes[other], at["node"][i]))
-                b.append(np.maximum(nodes[other], at["node"][i]))
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        pairs = np.unique(np.stack([a, b]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
+                    other, more = other[np.argpartition(-alike, tries)[:tries]], True
+                theirs, of = nodes[other], comps[other]
+                less = node < theirs
+                pairs.append(np.stack([
+                    np.where(less, node, theirs), np.where(less, theirs, node), np.where(less, comp, of), np.where(less, of, comp)
+                ]))
+        out = np.unique(np.concatenate(pairs, axis=1), axis=1) if len(pairs) > 1 else none
+        nulls = [None] * more
+        return pa.table({c: pa.array([*row.tolist(), *nulls], pa.int64()) for c, row in zip("abxy", out)})
 
     return run
 
 
-def _apart(here: DataFrame, marks: DataFrame, likeness: Likeness, tries: int | None) -> DataFrame:
+def _apart(here: DataFrame, bodies: DataFrame, likeness: Likeness, tries: int | None) -> DataFrame:
     """Pairs of lists with several components: those outside a list's largest component against all."""
     sizes = staged(here.groupBy("key", "comp").agg(
         F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("f1"),
@@ -288,9 +279,9 @@ def _apart(here: DataFrame, marks: DataFrame, likeness: Likeness, tries: int | N
     outer = outer.select(*named, F.lit(1).alias("minor"), part(2, "rows").alias("row"), each("cols").alias("col"))
     alone = (F.col("cols") > 1) | (F.col("rows") > 1)
     cell = F.when(alone, F.xxhash64("key", "row", "col")).otherwise(F.pmod(F.xxhash64("key"), spread))
-    both = whole.unionByName(outer).withColumn("cell", cell).join(marks.select("node", "n", "mark"), "node")
+    both = whole.unionByName(outer).withColumn("cell", cell).join(bodies.select("node", "n", "mark"), "node")
     both = both.select("cell", "key", "row", "col", "node", "comp", "minor", "n", "mark")
-    pairs = both.groupBy("cell").applyInArrow(_cell_pairs(likeness, tries), "a BIGINT, b BIGINT").distinct()
+    pairs = both.groupBy("cell").applyInArrow(_cell_pairs(likeness, tries), "a BIGINT, b BIGINT, x BIGINT, y BIGINT").distinct()
     out = staged(pairs, "apart")
     unstaged(sizes, lists)
     return out
@@ -312,53 +303,41 @@ def _merged(here: DataFrame, found: DataFrame) -> DataFrame:
     return out
 
 
-def connect(
-    hits: DataFrame, marks: DataFrame, sets: DataFrame, likeness: Likeness, num: int, den: int
-) -> DataFrame:
+def connect(hits: DataFrame, bodies: DataFrame, likeness: Likeness, num: int, den: int) -> DataFrame:
     """Links (a, b) that join all similar sets sharing a list: every link's component comes out whole.
 
-    ``hits``: key and node, each pair once. ``marks``: node, size n and mark, bytes of one length for all.
-    ``sets``: node and shingles. ``likeness`` must never deny a similar pair. No hits give no links.
+    ``hits``: key and node, each pair once. ``bodies``: node, size n, mark (bytes of one length for all)
+    and shingles. ``likeness`` must never deny a similar pair. No hits give no links.
     """
     here = staged(hits.select("key", "node", F.col("node").alias("comp")), "here")
-    links = None
     for number in range(ROUNDS):
         order = F.col("node") if number == 0 else F.xxhash64(F.lit(number), "node")
         mixed = here.groupBy("key").agg(
             F.min("comp").alias("lo"), F.max("comp").alias("hi"),
             F.min(F.struct(order.alias("o"), "node", "comp")).alias("p"),
         ).where("lo <> hi")
-        mixed = mixed.select("key", F.col("p.node").alias("pivot"), F.col("p.comp").alias("to"))
-        mixed = staged(mixed, "mixed")
+        mixed = staged(mixed.select("key", F.col("p.node").alias("pivot"), F.col("p.comp").alias("to")), "mixed")
         met = here.join(small(mixed), "key").where("comp <> to").groupBy("node", "pivot", "comp", "to")
         best = met.agg(F.count(F.lit(1)).alias("shared")).groupBy("node")
         best = best.agg(F.max(F.struct("shared", "pivot", "comp", "to")).alias("m"))
-        pairs = staged(best.select(F.col("node").alias("a"), F.col("m.pivot").alias("b"), "m.comp", "m.to"), "pairs")
-        marked = pairs.select("a", "b").join(_rows_of("b", marks, "b"), "b").join(_rows_of("a", marks, "a"), "a")
-        marked = marked.select("a", "b", "n_a", "n_b", "mark_a", "mark_b")
-        worth = staged(marked.mapInArrow(_worth(likeness), "a BIGINT, b BIGINT"), "worth")
-        found = staged(compared(worth, sets, num, den).where("ok").select("a", "b"), "found")
-        links = found if links is None else links.union(found)
-        if not found.isEmpty():
-            of_pair = pairs.select("a", F.col("comp").alias("x"), F.col("to").alias("y"))
-            here = _merged(here, found.join(of_pair, "a"))
-        unstaged(mixed, pairs, worth)
+        pairs = best.select(
+            F.col("node").alias("a"), F.col("m.pivot").alias("b"), F.col("m.comp").alias("x"), F.col("m.to").alias("y")
+        )
+        found = staged(compared(pairs, bodies, likeness, num, den), "found")
+        unstaged(mixed)
         if found.isEmpty():
             break
-    likeliest = _apart(here, marks, likeness, TRIES)
-    if likeliest.isEmpty():
-        return links
-    found = staged(compared(likeliest, sets, num, den).where("ok").select("a", "b"), "found")
-    links = links.union(found)
-    if not found.isEmpty():
-        comps = staged(here.select("node", "comp").distinct(), "comps")
-        ends = found.join(comps.select(F.col("node").alias("a"), F.col("comp").alias("x")), "a")
-        here = _merged(here, ends.join(comps.select(F.col("node").alias("b"), F.col("comp").alias("y")), "b"))
-        unstaged(comps)
-    rest = _apart(here, marks, likeness, None)
-    rest = rest.join(likeliest, ["a", "b"], "left_anti")
-    found = staged(compared(rest, sets, num, den).where("ok").select("a", "b"), "found")
-    return links.union(found)
+        here = _merged(here, found)
+        unstaged(found)
+    likeliest = _apart(here, bodies, likeness, TRIES)
+    found = staged(compared(likeliest.where("a IS NOT NULL"), bodies, likeness, num, den), "found")
+    if not likeliest.where("a IS NULL").isEmpty():
+        here = _merged(here, found)
+        rest = _apart(here, bodies, likeness, None).join(likeliest.select("a", "b"), ["a", "b"], "left_anti")
+        found = staged(compared(rest, bodies, likeness, num, den), "found")
+    # Components so far as stars, and what joins them.
+    links = here.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b")).distinct()
+    return links.union(found.select("a", "b"))
 
 
 def one_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:

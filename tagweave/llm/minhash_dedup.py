@@ -140,10 +140,10 @@ def grouped(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataF
     signed = signed.groupBy("node").agg(F.first("mark").alias("signature"))
     heads = staged(classes.select("k1", "k2", "head", "node").join(linking.small(nodes), "node", "left_semi"), "heads")
     sets = linking.whole_sets(docs, heads, n)
-    marks = linking.sketches(sets).join(signed, "node").select("node", "n", F.concat("signature", "mark").alias("mark"))
-    marks = staged(marks, "marks")
-    unstaged(profile, shared)
-    links = linking.connect(hits, marks, sets, signature_likeness(num, den), num, den)
+    mark = F.concat("signature", "mark").alias("mark")
+    bodies = staged(sets.join(signed, "node").select("node", "n", mark, "shingles"), "bodies")
+    unstaged(profile, shared, sets)
+    links = linking.connect(hits, bodies, signature_likeness(num, den), num, den)
     roots = staged(linking.stars(links), "roots")
     least = classes.join(roots, "node").groupBy("root").agg(F.min("head").alias("least"))
     named = classes.join(roots, "node", "left").join(staged(least, "least-ids"), "root", "left")
