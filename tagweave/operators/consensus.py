@@ -13,6 +13,8 @@ from tagweave.scale import metric_rows
 # Defaults of the vote.
 MIN_VOTES = 2
 CONSENSUS_SOURCE = "multi_llm_consensus_v1"
+#: Synonym rows (two short keys and a spelling each) that are broadcast at most.
+SYNONYM_ROWS = 50_000
 
 
 def synonym_map(synonyms: DataFrame) -> DataFrame:
@@ -111,13 +113,38 @@ def consensus(
 
     Items with too few answers are left out; an item that passes but agrees on nothing gets an
     empty list.
+
+    Annotations are laid out by item once; the gate, the votes and the lists are aggregations over that
+    layout. An answer itself is one more row of its item, without a key, so that items are gated by the
+    same aggregation that counts the votes. Synonyms are broadcast up to SYNONYM_ROWS, beyond that tags
+    meet them by key and are laid out by item afterwards.
     """
-    agreed = votes(annotations, synonyms, lineup).filter(F.col("votes") >= min_votes)
-    ordered = F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("v"), "key", "tag")))
-    lists = agreed.groupBy("item_id").agg(F.transform(ordered, lambda s: s["tag"]).alias("tags"))
-    empty = F.expr("cast(array() as array<string>)")
-    return gate(annotations, min_votes, lineup).join(lists, "item_id", "left").withColumn(
-        "tags", F.coalesce("tags", empty)
+    rows = answered(annotations, lineup).select("item_id", "annotator", "tags")
+    names = synonym_map(synonyms)
+    small = names.limit(SYNONYM_ROWS + 1).count() <= SYNONYM_ROWS
+    if small:
+        names, rows = F.broadcast(names), rows.repartition("item_id")
+    some = F.when(F.size("tags") > 0, F.col("tags")).otherwise(F.array(F.lit(None).cast("string")))
+    spread = rows.select("item_id", "annotator", F.posexplode(some).alias("pos", "tag"))
+    spread = spread.withColumn("tag", X.strip("tag"))
+    # Tags without letters and digits count for nothing, but their annotator has answered.
+    spread = spread.withColumn("raw_key", F.nullif(X.normalize_tag(F.col("tag")), F.lit("")))
+    folded = spread.join(names, "raw_key", "left").withColumn("key", F.coalesce("key", "raw_key"))
+    if not small:
+        folded = folded.repartition("item_id")
+    seen = F.struct(_annotator_order(lineup).alias("who"), F.col("pos"))
+    counted = folded.groupBy("item_id", "key").agg(
+        F.collect_set("annotator").alias("voters"),
+        F.coalesce(F.max("surface"), F.min_by("tag", seen)).alias("tag"),
+    )
+    agreed = F.col("key").isNotNull() & (F.size("voters") >= min_votes)
+    listed = F.when(agreed, F.struct((-F.size("voters")).alias("v"), "key", "tag"))
+    lists = counted.groupBy("item_id").agg(
+        F.sort_array(F.collect_list(listed)).alias("listed"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("voters")))).alias("answers"),
+    )
+    return lists.filter(F.col("answers") >= min_votes).select(
+        "item_id", F.transform("listed", lambda s: s["tag"]).alias("tags")
     )
 
 

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from tagweave import schemas
 from tagweave.functions import text as X
 from tagweave.operators.collection import by_flag
-from tagweave.scale import metric_rows
+from tagweave.scale import metric_rows, staged
 
 # Text limits of a request and the share of items that makes a pass reusable.
 TRANSLATION_CHARS = 1200
@@ -103,6 +103,29 @@ def batched(items: DataFrame, size: int) -> DataFrame:
     )
 
 
+def full_batches(items: DataFrame, size: int, parts: int | None = None) -> DataFrame:
+    """Add batch_id and the 1-based place in the batch; every batch but the last is full.
+
+    Rows are cut into ranges of ids and numbered inside them; the ranges' sizes, one number each, are
+    summed into offsets. Ids must be unique. ``parts`` is the number of ranges (default: that of
+    shuffle partitions).
+    """
+    spark = items.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = items.repartitionByRange(parts, "item_id").withColumn("_part", F.spark_partition_id())
+    ranged = staged(ranged, "batch-ranges")
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy("item_id")) - 1
+    numbered = ranged.withColumn("_at", inside).join(F.broadcast(offsets), "_part")
+    place = F.col("_at") + F.col("_offset")
+    return numbered.select(
+        *items.columns, F.floor(place / F.lit(size)).cast("bigint").alias("batch_id"),
+        (place % F.lit(size) + 1).cast("bigint").alias("place"),
+    )
+
+
 def strip_fence(c: Column) -> Column:
     """Drop a Markdown code fence around an answer."""
     text = X.strip(c)
@@ -249,6 +272,76 @@ def run_pass(
     return stored.filter(F.col("annotator") == annotator)
 
 
+def call_in_batches(
+    members: DataFrame, annotate: Callable[[Sequence[str]], str]
+) -> DataFrame:
+    """(batch_id, answer) from one call per batch; a failing call gives an ``error`` instead."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        answer = error = None
+        try:
+            answer = annotate(group.sort_values("place")["request"].tolist())
+        except Exception as problem:  # one bad call must not fail the other batches
+            error = str(problem)[:ERROR_CHARS]
+        return pd.DataFrame({"batch_id": group["batch_id"].iloc[:1], "answer": [answer], "error": [error]})
+
+    schema = "batch_id long, answer string, error string"
+    return members.select("batch_id", "place", "request").groupBy("batch_id").applyInPandas(run, schema)
+
+
+def run_in_batches(
+    items: DataFrame,
+    annotate: Callable[[Sequence[str]], str],
+    annotator: str,
+    path: str,
+    size: int = 12,
+    by: str = "position",
+    vocabulary: Column | None = None,
+) -> DataFrame:
+    """Annotate all open items in batches, asking again for what came back short, and return the shard.
+
+    Every round numbers what no stored row answers into full batches, asks once per batch, realigns the
+    answers and appends them to the annotator's shard under ``path``. The next round takes the items that
+    are still open in batches of a third of the size, the last round one by one. Rounds are bounded by
+    the logarithm of ``size``; what even a call of its own does not answer is stored as one error row,
+    which a later run replaces by asking again. ``items`` need item_id, translation and refrain.
+    """
+    spark = items.sparkSession
+    shard = f"{path.rstrip('/')}/annotator={annotator}"
+    folders = spark._jvm.org.apache.hadoop.fs.Path(shard)
+    there = folders.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folders)
+    empty = spark.createDataFrame([], schemas.ANNOTATIONS)
+
+    def stored() -> DataFrame:
+        return spark.read.schema(schemas.ANNOTATIONS).parquet(path).filter(F.col("annotator") == annotator)
+
+    done = staged(stored().filter(_succeeded()) if there else empty, "answered")
+    while True:
+        members = full_batches(render_request(pending(items, done), vocabulary), size)
+        members = staged(members.select("item_id", "batch_id", "place", "request", "constrained"), "batches")
+        if members.isEmpty():
+            break
+        answers = staged(call_in_batches(members, annotate), "answers")
+        good, _ = realign(answers.select("batch_id", "answer"), members, by)
+        got = good.join(members.select("item_id", "constrained"), "item_id").select(
+            "item_id", F.lit(annotator).alias("annotator"), "theme", "mood", "summary", "tags",
+            F.lit("").alias("reasoning"), F.lit(None).cast("double").alias("elapsed_s"), "constrained",
+            F.lit(None).cast("string").alias("error"),
+        )
+        got = got.filter(F.col("tags").isNotNull())
+        if size == 1:
+            lost = members.join(got.select("item_id"), "item_id", "left_anti").join(answers.select("batch_id", "error"), "batch_id")
+            failed = lost.select("item_id", F.lit(annotator).alias("annotator"), "constrained", F.coalesce("error", F.lit("unreadable answer")).alias("error"))
+            got = got.unionByName(failed, allowMissingColumns=True)
+        done = staged(done.unionByName(got.select(*done.columns)), "answered")
+        if size == 1:
+            break
+        size = max(1, size // 3)
+    # Answers and what is still open; error rows of earlier rounds or runs do not stay beside them.
+    done.select(*[c for c in done.columns if c != "annotator"]).write.mode("overwrite").parquet(shard)
+    return stored()
+
+
 def embed_texts(
     df: DataFrame, text: str, embed: Callable[[Sequence[str]], Sequence[Sequence[float]]]
 ) -> DataFrame:

@@ -358,6 +358,19 @@ def upserted_vectors(spark, sf):
     return merged.select("item_id", "label", F.round(F.col("vec").getItem(0).cast("double"), 6).alias("x"))
 
 
+@query("""WITH e AS (SELECT vec_id AS item_id, label FROM embeddings), n AS (SELECT item_id, max(v) AS label FROM (
+      SELECT item_id, label + 100 AS v FROM e WHERE label > 3 UNION ALL SELECT item_id, label + 200 FROM e WHERE label > 5) GROUP BY 1)
+    SELECT item_id, coalesce(n.label, e.label)::BIGINT AS label, n.item_id IS NOT NULL AS is_new FROM e LEFT JOIN n USING (item_id)
+    WHERE e.label < 7 OR n.item_id IS NOT NULL""")
+def upserted_repeats(spark, sf):
+    """Ids that come twice in the new rows count once, with their last row."""
+    e = B.table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("label").cast("bigint").alias("label"))
+    old = e.filter("label < 7").withColumn("is_new", F.lit(False))
+    new = e.filter("label > 3").withColumn("label", F.col("label") + 100)
+    new = new.union(e.filter("label > 5").withColumn("label", F.col("label") + 200)).withColumn("is_new", F.lit(True))
+    return incremental.upsert_vectors(old, new, order="label")
+
+
 @query(sql("lib", "SELECT rec_id, title FROM lib WHERE status = 'complete'"))
 def complete_records(spark, sf):
     return incremental.complete_records(B.library(spark, sf)).select("rec_id", "title")
@@ -427,6 +440,18 @@ def request_batches(spark, sf):
     return passes.batched(_order_items(spark, sf).select("item_id"), 12)
 
 
+@query("""WITH p AS (SELECT o_orderkey AS item_id, row_number() OVER (ORDER BY o_orderkey) - 1 AS nr FROM orders WHERE o_orderkey % 3 <> 0)
+    SELECT item_id, nr // 12 AS batch_id, nr % 12 + 1 AS place FROM p""")
+def pending_batches(spark, sf):
+    """Orders that no successful answer covers, in full batches."""
+    items = _order_items(spark, sf).select("item_id", F.lit("text").alias("translation"))
+    key = F.col("item_id")
+    done = items.filter(key % 6 != 1).select(
+        "item_id", F.when(key % 3 == 0, F.array(F.lit("t"))).alias("tags"), F.when(key % 3 != 0, "failed").alias("error")
+    )
+    return passes.full_batches(passes.pending(items, done), 12).select("item_id", "batch_id", "place")
+
+
 def _answers(spark, sf):
     """Answer texts of many kinds: fenced, plain, with a tag list or text, unreadable."""
     o = B.table(spark, sf, "orders")

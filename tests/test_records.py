@@ -63,6 +63,27 @@ def test_latest_wins_and_upsert(spark):
     assert {r.item_id: r.v for r in incremental.upsert_vectors(old, new).collect()} == {1: "a", 2: "B", 3: "C"}
 
 
+def test_upsert_touches_only_its_buckets(spark, tmp_path):
+    path = str(tmp_path / "vectors")
+    rows = spark.createDataFrame([(i, f"v{i}", 0) for i in range(60)], "item_id BIGINT, v STRING, seq INT")
+    incremental.create_bucketed(rows, path, buckets=8)
+
+    def files():
+        return {str(f.relative_to(path)) for f in (tmp_path / "vectors").rglob("*.parquet")}
+
+    before = files()
+    new = [(3, "old", 1), (3, "new", 2), (100, "added", 1)]
+    touched = incremental.upsert_bucketed(spark, path, spark.createDataFrame(new, rows.schema), buckets=8, order="seq")
+    same = lambda names: {f for f in names if int(f.split("/")[0].split("=")[1]) not in touched}
+    assert 1 <= len(touched) <= 2 and same(files()) == same(before) and files() != before
+    got = {r.item_id: r.v for r in spark.read.parquet(path).collect()}
+    assert got == {i: f"v{i}" for i in range(60)} | {3: "new", 100: "added"}
+    assert spark.read.parquet(path).count() == 61
+    assert incremental.upsert_bucketed(spark, path, rows.limit(0), buckets=8) == [] and files() >= same(before)
+    twice = incremental.upsert_vectors(rows.filter("item_id < 5"), spark.createDataFrame(new, rows.schema), order="seq")
+    assert sorted(r.v for r in twice.collect()) == ["added", "new", "v0", "v1", "v2", "v4"]
+
+
 # ---- collection ------------------------------------------------------------------------------
 
 
@@ -328,3 +349,35 @@ def test_hashed_vectors_count_words(spark):
     df = spark.createDataFrame([(1, "a b a"), (2, "")], "item_id BIGINT, text STRING")
     got = {r.item_id: r.vec for r in passes.hashed_vectors(df, "text", 16).collect()}
     assert sum(got[1]) == 3 and len(got[1]) == 16 and 2 not in got
+
+
+def test_full_batches_after_an_anti_join(spark):
+    items = spark.createDataFrame([(i * 97,) for i in range(100) if i % 3], "item_id BIGINT").repartition(9)
+    got = passes.full_batches(items, 12).collect()
+    order = {r.item_id: (r.batch_id, r.place) for r in got}
+    assert [order[i] for i in sorted(order)] == [(k // 12, k % 12 + 1) for k in range(len(order))]
+    assert passes.full_batches(items.limit(0), 12).collect() == []
+
+
+def test_short_batches_are_asked_again(spark, tmp_path):
+    """A stub that answers only two of a batch, and never item 13."""
+
+    def annotate(requests):
+        if len(requests) > 4:
+            raise TimeoutError("too many")
+        if len(requests) == 1 and "text 13;" in requests[0]:
+            raise ValueError("cannot read")
+        keep = requests[:2] if len(requests) > 1 else requests
+        return json.dumps({"results": [{"primary_theme": r.split(";")[0][-2:], "tags": ["t"]} for r in keep]})
+
+    rows = [(i, f"text {i};", None) for i in range(20)]
+    items = spark.createDataFrame(rows, "item_id BIGINT, translation STRING, refrain STRUCT<translation: STRING>")
+    path = str(tmp_path / "shards")
+    first = {r.item_id: r for r in passes.run_in_batches(items, annotate, "stub", path).collect()}
+    assert len(first) == 20 and {i for i, r in first.items() if r.error} == {13}
+    assert all(r.tags == ["t"] for i, r in first.items() if i != 13)
+    # A later run asks for the failed item alone, and its answer takes the place of the error row.
+    asked = lambda requests: json.dumps({"results": [{"primary_theme": "x", "tags": ["late"]}] * len(requests)})
+    again = passes.run_in_batches(items, asked, "stub", path).collect()
+    assert len(again) == 20 and [r.item_id for r in again if r.tags == ["late"]] == [13]
+    assert not any(r.error for r in again)

@@ -182,3 +182,24 @@ def test_family_flips_and_diff(spark):
     assert sorted(r.item_id for r in audit.family_flips(pre, post).collect()) == [1, 2, 3]
     diff = {(r.tag, r.change) for r in audit.taxonomy_diff(pre, post).collect()}
     assert diff == {("Hukam", "dropped"), ("a", "dropped"), ("b", "added"), ("Divine Will", "added"), ("the hukam of", "added")}
+
+
+def test_votes_use_one_layout_of_the_annotations(spark):
+    rows = [(i, a, ["Peace", f"tag {i % 3}"]) for i in range(30) for a in "abc"]
+    annotations = spark.createDataFrame(rows, "item_id BIGINT, annotator STRING, tags ARRAY<STRING>")
+    synonyms = spark.createDataFrame([(0, "Calm", "Peace")], schemas.SYNONYMS)
+    agreed = consensus.consensus(annotations, synonyms)
+    assert all(r.tags == ["Calm", f"tag {r.item_id % 3}"] for r in agreed.collect())
+    plan = agreed._jdf.queryExecution().sparkPlan().toString() + agreed._jdf.queryExecution().executedPlan().toString()
+    by_item = [line for line in plan.splitlines() if "Exchange hashpartitioning(item_id" in line or "REPARTITION" in line]
+    assert len({line.split("plan_id")[0].strip() for line in by_item}) <= 2, by_item
+
+
+def test_many_synonyms_are_not_broadcast(spark, monkeypatch):
+    rows = [(1, "a", ["x", "!"]), (1, "b", ["X"]), (2, "a", ["x"]), (3, "a", []), (3, "b", ["..."]), (4, "a", None)]
+    annotations = spark.createDataFrame(rows, "item_id BIGINT, annotator STRING, tags ARRAY<STRING>")
+    synonyms = spark.createDataFrame([(0, "Sum", "x")], schemas.SYNONYMS)
+    want = {1: ["Sum"], 3: []}
+    assert {r.item_id: r.tags for r in consensus.consensus(annotations, synonyms).collect()} == want
+    monkeypatch.setattr(consensus, "SYNONYM_ROWS", 0)
+    assert {r.item_id: r.tags for r in consensus.consensus(annotations, synonyms).collect()} == want
