@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
 
 from tagweave.functions import text as X
 from tagweave.operators.search import keyword_hits
-from tagweave.scale import metric_rows, top_per
+from tagweave.operators.similarity import Measure, matching_blocks, title_scores
+from tagweave.scale import metric_rows, staged, top_per
 
 # Fields an earlier run hands on, and the limits of the title linkage.
 ENRICHMENT_FIELDS = (
@@ -20,10 +16,6 @@ ENRICHMENT_FIELDS = (
     "secondary_themes", "occasions", "mood", "summary", "match_confidence", "status",
 )
 MIN_TITLE_SCORE = 0.4
-PREFIX_SCORE = 0.85
-PREFIX_CHARS = 12
-WORD_WEIGHT = 0.9
-WORD_MATCH_MIN = 0.7
 MAX_HITS = 30
 MAX_QUERY_RESULTS = 500
 DEFAULT_CONFIDENCE = "Medium"
@@ -77,52 +69,6 @@ def carry_forward(fresh: DataFrame, prior: DataFrame, fields: tuple[str, ...] =
     return joined.select(*[c for c in fresh.columns if c not in used], *carried)
 
 
-def _similarity(title: str, line: str, title_norm: str, line_norm: str, tw: list[str], lw: list[str]) -> float:
-    best = max(
-        SequenceMatcher(None, title, line).ratio(),
-        SequenceMatcher(None, title_norm, line_norm).ratio(),
-    )
-    if line_norm.startswith(title_norm[:PREFIX_CHARS]):
-        best = max(best, PREFIX_SCORE)
-    if len(tw) and len(lw):
-        exact = set(lw)
-        matched = sum(
-            w in exact or any(SequenceMatcher(None, w, x).ratio() > WORD_MATCH_MIN for x in exact)
-            for w in tw
-        )
-        best = max(best, WORD_WEIGHT * matched / len(tw))
-    return best
-
-
-@pandas_udf(DoubleType())
-def _similarity_udf(
-    title: pd.Series, line: pd.Series, title_norm: pd.Series, line_norm: pd.Series,
-    title_words: pd.Series, line_words: pd.Series,
-) -> pd.Series:
-    rows = zip(title, line, title_norm, line_norm, title_words, line_words)
-    return pd.Series([_similarity(*r) for r in rows], dtype="float64")
-
-
-def title_similarity(title: Column, line: Column) -> Column:
-    """How well a line matches a title: the best of four measures, between 0 and 1.
-
-    Matching-block ratio of the cleaned and of the folded texts, a fixed score for a common folded
-    beginning, and the share of title words with an equal or similar word in the line. Cleaning and
-    folding are built-in expressions; only the ratios run in Python, on candidates that passed the
-    keyword join.
-    """
-    clean = X.clean_title(title)
-    text = X.strip(F.lower(F.regexp_replace(line, r"[^a-zA-Z\s]", "")))
-    def words(c: Column) -> Column:
-        kept = F.filter(F.split(c, r"\s+"), lambda w: w != "")
-        return F.transform(kept, X.normalize_translit)
-
-    score = _similarity_udf(
-        clean, text, X.normalize_translit(clean), X.normalize_translit(text), words(clean), words(text)
-    )
-    return F.when(F.coalesce(line, F.lit("")) == "", F.lit(0.0)).otherwise(score)
-
-
 def title_candidates(titles: DataFrame, lines: DataFrame) -> DataFrame:
     """Candidate lines per distinct clean title, from progressively shorter keyword queries.
 
@@ -172,10 +118,14 @@ def best_match(scored: DataFrame, keys: list[str]) -> DataFrame:
     return top_per(scored, keys, order, 1).drop("rank")
 
 
-def link_titles(titles: DataFrame, lines: DataFrame, min_score: float = MIN_TITLE_SCORE) -> DataFrame:
+def link_titles(
+    titles: DataFrame, lines: DataFrame, min_score: float = MIN_TITLE_SCORE, measure: Measure = matching_blocks
+) -> DataFrame:
     """Link each title (rec_id, title) to the item of its best line, or mark it unmatched."""
     cands = title_candidates(titles, lines).join(lines.select("item_id", "line_no", "translit"), ["item_id", "line_no"])
-    scored = cands.withColumn("score", title_similarity(F.col("clean"), F.col("translit")))
+    cands = staged(cands, "title-candidates")
+    scores = title_scores(cands, "clean", "translit", measure)
+    scored = cands.join(scores, ["clean", "translit"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     best = best_match(scored, ["clean"]).filter(F.col("score") >= min_score)
     linked = titles.withColumn("clean", X.clean_title(F.col("title"))).join(
         best.select("clean", "item_id", F.round("score", 2).alias("match_confidence")), "clean", "left"

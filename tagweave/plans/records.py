@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase
+
 from pyspark.sql import functions as F
 
 from tagweave.functions import text as X
-from tagweave.operators import audit, library, search, sets
+from tagweave.operators import audit, library, search, sets, similarity
 from tagweave.plans import bindings as B
 from tagweave.plans.bindings import sql
 from tagweave.plans.registry import query
@@ -135,6 +137,41 @@ def linked_titles(spark, sf):
     return library.link_titles(_titles(spark, sf), B.lines(spark, sf))
 
 
+def _folded(e: str) -> str:
+    """A text with its vowels and doubled letters folded, in SQL."""
+    e = f"trim(lower(regexp_replace({e}, '[^a-zA-Z\\s]', '', 'g')))"
+    steps = [("aa+", "a"), ("ee+", "i"), ("oo+", "u"), ("ai", "e"), ("au", "o")]
+    for pattern, to in [*steps, *[(f"{c}{c}+", c) for c in ascii_lowercase], ("\\s+", " ")]:
+        e = f"regexp_replace({e}, '{pattern}', '{to}', 'g')"
+    return f"trim({e})"
+
+
+EDITS = f"""{CAND},
+    ca AS (SELECT clean, item_id, min(line_no)::BIGINT AS line_no FROM r WHERE o <= 30 GROUP BY 1, 2),
+    cl AS (SELECT clean, item_id, ca.line_no, translit, trim(lower(regexp_replace(translit, '[^a-zA-Z\\s]', '', 'g'))) AS txt FROM ca JOIN lines USING (item_id, line_no)),
+    cf AS (SELECT *, {_folded('clean')} AS tn, {_folded('txt')} AS ln,
+        list_transform(list_filter(regexp_split_to_array(clean, '\\s+'), lambda w: w <> ''), lambda w: {_folded('w')}) AS tw,
+        list_distinct(list_transform(list_filter(regexp_split_to_array(txt, '\\s+'), lambda w: w <> ''), lambda w: {_folded('w')})) AS lw FROM cl),
+    wp AS (SELECT DISTINCT w, x FROM (SELECT unnest(tw) AS w, lw FROM cf), unnest(lw) AS u(x)),
+    wn AS (SELECT w, list(x) AS xs FROM wp WHERE 1.0::DOUBLE - levenshtein(w, x)::DOUBLE / greatest(length(w), length(x), 1)::DOUBLE > 0.7::DOUBLE GROUP BY w),
+    wm AS (SELECT clean, item_id, count(*) AS m FROM (SELECT clean, item_id, unnest(tw) AS w, lw FROM cf) JOIN wn USING (w) WHERE len(list_intersect(xs, lw)) > 0 GROUP BY 1, 2),
+    cs AS (SELECT clean, item_id, line_no, CASE WHEN coalesce(translit, '') = '' THEN 0.0 ELSE greatest(
+        1.0::DOUBLE - levenshtein(clean, txt)::DOUBLE / greatest(length(clean), length(txt), 1)::DOUBLE,
+        1.0::DOUBLE - levenshtein(tn, ln)::DOUBLE / greatest(length(tn), length(ln), 1)::DOUBLE,
+        CASE WHEN starts_with(ln, tn[1:12]) THEN 0.85::DOUBLE ELSE 0 END,
+        CASE WHEN len(tw) > 0 AND len(lw) > 0 THEN 0.9::DOUBLE * coalesce(m, 0) / len(tw) ELSE 0 END) END AS score
+      FROM cf LEFT JOIN wm USING (clean, item_id)),
+    cb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY clean ORDER BY score DESC, item_id, line_no) AS nr FROM cs) WHERE nr = 1 AND score >= 0.4::DOUBLE),
+    ti AS (SELECT item_id AS rec_id, array_to_string(regexp_split_to_array(text, '\\s+')[1:6], ' ') AS title FROM benchmark),
+    tc AS (SELECT *, lower(trim(regexp_replace(regexp_replace(title, '\\(.*?\\)', '', 'g'), '[^a-zA-Z\\s]', '', 'g'))) AS clean FROM ti)"""
+
+
+@query(sql("lines", f"+{EDITS} SELECT rec_id, title, cb.item_id, round(score, 2) AS match_confidence, CASE WHEN cb.item_id IS NULL THEN 'unmatched' ELSE 'pending' END AS status FROM tc LEFT JOIN cb USING (clean)"))
+def linked_titles_by_edits(spark, sf):
+    """Titles linked to the item of their most similar line, measured by edit distances."""
+    return library.link_titles(_titles(spark, sf), B.lines(spark, sf), measure=similarity.edit_ratio)
+
+
 # ---- sets ------------------------------------------------------------------------------------
 
 

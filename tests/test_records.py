@@ -1,11 +1,13 @@
 import json
 import random
+import re
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
 from tagweave import schemas
-from tagweave.operators import collection, graph, library, passes, search, sets, suggest
+from tagweave.operators import collection, graph, library, passes, search, sets, similarity, suggest
 from tagweave.sources import incremental, tables
 
 
@@ -134,14 +136,46 @@ def test_titles_link_through_shorter_queries(spark):
     assert got[5] == (3, "pending")
 
 
-def test_title_similarity_measures(value):
-    def sim(a, b):
-        return value(library.title_similarity(F.col("a"), F.col("b")), "a STRING, b STRING", (a, b))
-
-    assert sim("tera naam", "tera naam") == 1.0
-    assert sim("teraa naam karee", "tera nam kari chananathia man urasa") >= 0.85
-    assert sim("anything", "") == 0.0
-    assert sim("tera naam", "zzz") < 0.4
+def _plain_score(title, line, ratio):
+    """The title score of one pair by loops."""
+    def fold(t):
+        t = re.sub(r"[^a-zA-Z\s]", "", t).lower().strip()
+        for pattern, repl in (("aa+", "a"), ("ee+", "i"), ("oo+", "u"), ("ai", "e"), ("au", "o"), (r"(.)\1+", r"\1"), (r"\s+", " ")):
+            t = re.sub(pattern, repl, t)
+        return t.strip()
+
+    text = re.sub(r"[^a-zA-Z\s]", "", line).lower().strip()
+    scores = [ratio(title, text), ratio(fold(title), fold(text)), 0.85 if fold(text).startswith(fold(title)[:12]) else 0.0]
+    tw, lw = [fold(w) for w in title.split()], {fold(w) for w in text.split()}
+    if tw and lw:
+        scores.append(0.9 * sum(any(w == x or ratio(w, x) > 0.7 for x in lw) for w in tw) / len(tw))
+    return max(scores)
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return 1.0 - row[-1] / max(len(a), len(b), 1)
+
+
+def test_title_scores_are_those_of_all_measures(spark):
+    rnd = random.Random(8)
+    words = ["tera", "teraa", "naam", "nam", "karee", "kari", "chan", "channaa", "aaoo", "man", "urasa", "zz"]
+    make = lambda n: " ".join(rnd.choice(words) for _ in range(rnd.randint(1, n)))
+    rows = [(make(4), make(9).title() + rnd.choice(["", " 12.", "!"])) for _ in range(120)]
+    rows += [("tera naam", "tera naam"), ("x", "!!"), ("tera naam", "zzz"), ("anything", ""), ("anything", None)]
+    df = spark.createDataFrame(rows, "clean STRING, line STRING")
+    blocks = lambda a, b: SequenceMatcher(None, a, b).ratio()
+    for measure, plain in ((similarity.matching_blocks, blocks), (similarity.edit_ratio, _edits)):
+        got = {(r.clean, r.line): r.score for r in similarity.title_scores(df, "clean", "line", measure).collect()}
+        want = {(t, x): _plain_score(t, x, plain) for t, x in rows if x}
+        assert got.keys() == want.keys()
+        assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    bound = df.filter("line <> ''").select("*", similarity.ratio_bound(F.col("clean"), F.lower("line")).alias("b")).collect()
+    assert all(r.b >= blocks(r.clean, r.line.lower()) - 1e-9 and r.b >= _edits(r.clean, r.line.lower()) - 1e-9 for r in bound)
 
 
 def test_library_search_filters(spark):
