@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from tagweave.llm.jobs import prepare
 
-SKIPPED = frozenset("head script style template noscript textarea select button svg math iframe object canvas audio video".split())
+SKIPPED = frozenset("head script style template noscript textarea select button svg iframe object canvas audio video".split())
+#: Of these, elements that the next block ends if they were left open.
+LEFT_OPEN = frozenset("head select svg object canvas audio video".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td "
@@ -37,6 +39,10 @@ BAD_WORDS = frozenset(
     "recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored "
     "subscribe subscription tags toolbar topbar tracking widget widgets".split()
 )
+#: Bad words that say nothing on an article or main element, where they tell its features or topics.
+FEATURES = frozenset("byline footer header legal login meta modal nav notice notices search share sharing sidebar social tags tracking".split())
+#: Beginnings of class names that tell what stands beside the element, not what it is.
+_BESIDE = re.compile(r"(?:has|with|without|no)[-_]")
 GOOD_WORDS = frozenset("article articlebody content entry main post story text".split())
 #: Classifier: weights of a block's features; above 0 is content.
 WEIGHTS = {"bias": -0.4, "bad": -6.0, "good": 3.0, "links": -3.0, "length": 0.35, "sentence": 0.8, "prose": 0.6, "rights": -2.0}
@@ -79,9 +85,9 @@ class _Blocks(HTMLParser):
         if self.skipping:
             if tag in SKIPPED and tag not in VOID:
                 self.skipping += tag == self.skip_tag
-            if not (self.skip_tag == "head" and tag in BLOCK):
+            if not (self.skip_tag in LEFT_OPEN and tag in BLOCK):
                 return
-            self.skipping = 0  # a body began without the head's end
+            self.skipping = 0  # the element was not closed
         if tag in SKIPPED:
             if tag != "button":
                 self.skip_tag, self.skipping = tag, 1
@@ -100,7 +106,10 @@ class _Blocks(HTMLParser):
         for name, value in attrs:
             if name in ("class", "id", "role", "itemprop") and value:
                 for part in re.split(r"[\s]+", value.lower()):
-                    words.update(_WORDS.findall(part))
+                    if not _BESIDE.match(part):
+                        words.update(_WORDS.findall(part))
+        if tag in GOOD_TAGS:
+            words -= FEATURES
         hidden = any(n == "hidden" or (n == "style" and v and "display:none" in v.replace(" ", "").lower()) for n, v in attrs)
         bad += (tag in BAD_TAGS or tag == "button") + bool(words & BAD_WORDS and tag not in ("html", "body")) + hidden
         good += (tag in GOOD_TAGS) + bool(words & GOOD_WORDS)

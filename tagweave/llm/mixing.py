@@ -62,8 +62,8 @@ def mixed(
     Uses doc_id, source and text; other columns pass through (their names must not start with
     ``mix_``). A null text has no words and a null id sorts as empty text. Equal rows are separate
     documents. A source without words has target 0 and gives no copies. The order within a source is
-    by size class (a fifth wide), then by a hash of the id, so results depend on neither partitions
-    nor run. Rows are numbered in groups by class and ``digits`` hex digits of the hash; the groups'
+    by size class (a fifth wide), then by hashes of the id and the text, so results depend on neither
+    partitions nor run. Rows are numbered in groups by class and ``digits`` hex digits of the hash; the groups'
     sizes are summed afterwards, so no source is gathered in one task.
     """
     prepare(docs.sparkSession)
@@ -81,6 +81,7 @@ def mixed(
     rows = rows.withColumns(
         {
             "mix_hash": hashed,
+            "mix_text": F.xxhash64("text"),
             "mix_class": F.floor(F.log2(F.col("mix_size") + 1.0) * 4).cast("bigint"),
             "mix_slice": F.substring(hashed, 1, digits),
         }
@@ -89,7 +90,7 @@ def mixed(
     before = Window.partitionBy("mix_key").orderBy("mix_class", "mix_slice")
     offset = F.sum("mix_n").over(before.rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select(*group, F.coalesce(offset, F.lit(0)).alias("mix_before"))
-    within = Window.partitionBy(*group).orderBy("mix_size", "mix_hash")
+    within = Window.partitionBy(*group).orderBy("mix_size", "mix_hash", "mix_text")
     ranked = rows.withColumn("mix_rank", F.row_number().over(within)).join(offsets, group)
 
     ratio = F.when(F.col("mix_total") > 0, F.col("mix_target") / F.col("mix_total")).otherwise(F.lit(0.0))
@@ -99,7 +100,7 @@ def mixed(
     crossed = F.floor(position * ratio + start) - F.floor((position - 1.0) * ratio + start)
     copies = F.least(crossed, F.lit(repeats)).cast("bigint")
     return ranked.withColumn("mix_copies", copies).drop(
-        "mix_key", "mix_hash", "mix_class", "mix_slice", "mix_rank", "mix_before"
+        "mix_key", "mix_hash", "mix_text", "mix_class", "mix_slice", "mix_rank", "mix_before"
     )
 
 

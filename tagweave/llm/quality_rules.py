@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tagweave.llm.jobs import prepare
+from tagweave.llm.jobs import prepare, unused
 from tagweave.scale import staged
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -197,9 +197,10 @@ def kept_rows(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     Rows meet their verdict by id and text hash, so rows that share an id are judged one by one.
     """
     verdicts = judged(docs, labels, **options).where("kept")
-    keys = verdicts.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    own_id, own_key = unused(docs.columns, "id", "key")
+    keys = verdicts.select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key)).distinct()
     text_key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key == F.col("_key"))
+    same = F.col("doc_id").eqNullSafe(F.col(own_id)) & (text_key == F.col(own_key))
     return docs.join(keys, same, "left_semi")
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tagweave.llm import (
@@ -23,7 +25,8 @@ from tagweave.llm import (
 )
 from tagweave.llm.jobs import prepare, table
 
-TOKENIZERS = "/opt/tokenizers"
+#: Folder of the public tokenizers' files.
+TOKENIZERS = str(Path(public_tokenizers.path("byte_bpe_50k.json")).parent)
 URL_RULES = (
     url_filter.Rule("com", "/", "allow"),
     url_filter.Rule("example.com", "/en/", "block"),

@@ -18,6 +18,29 @@ def test_main_text():
     assert main_text("<p>An open paragraph with several words, and no end") == "An open paragraph with several words, and no end"
 
 
+PROSE = "<h1>A title</h1>" + "<p>This is a sentence of the article, and it goes on for a while.</p>" * 6
+CLEAN = "\n".join(["A title", *["This is a sentence of the article, and it goes on for a while."] * 6])
+
+
+def test_names_of_wrappers_do_not_empty_the_article():
+    for page in (
+        f"<body><div class='content has-sidebar'><article>{PROSE}</article></div></body>",
+        f"<body><div id='page' class='with-header'><article>{PROSE}</article></div></body>",
+        f"<body><article class='post tags-news social'>{PROSE}</article></body>",
+    ):
+        assert main_text(page) == CLEAN, page
+    comments = "<div class='comments'><article class='comment'><p>I liked this very much, thank you for it all.</p></article></div>"
+    assert main_text(f"<body><article>{PROSE}</article>{comments}</body>") == CLEAN
+
+
+def test_open_elements_end_at_the_next_block():
+    for tag in ("svg", "select", "object", "canvas"):
+        assert main_text(f"<body><article><{tag}><g>drawn{PROSE}</article></body>") == CLEAN, tag
+    assert main_text("<article><p>We know that <math><mi>x</mi></math> is larger than that, in any case.</p></article>") == (
+        "We know that x is larger than that, in any case."
+    )
+
+
 def test_long_and_broken_pages():
     long = "<article>" + "<p>A sentence of the article, which is long.</p>" * 3000 + "</article>"
     assert main_text(long).count("\n") == 2999

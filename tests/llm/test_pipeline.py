@@ -63,11 +63,12 @@ def test_near_copies_keep_unlike_texts_of_one_id(spark, documents):
 
 def test_columns_of_clashing_names_stay(spark, documents):
     rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "a b c d e f g"), (None, "x y"), (None, "x y")]
-    names = ["_unnamed", "_id", "id", "hash1", "no_id", "times", "best", "grp", "node", "h1", "n_words"]
+    names = ["key", "_key", "_unnamed", "_id", "id", "hash1", "no_id", "times", "best", "grp", "node", "h1", "n_words"]
     docs = documents(rows).withColumns({c: F.lit("mine") for c in names})
     out = C.drop_near_copies(spark, docs, SF)
     assert out.columns == docs.columns and sorted(map(str, (r["doc_id"] for r in out.collect()))) == ["1", "None"]
     assert all(r[c] == "mine" for r in out.collect() for c in names)
+    assert C.keep_good(spark, docs, SF).columns == docs.columns
 
 
 def test_whole_run(spark):
