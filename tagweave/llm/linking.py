@@ -334,7 +334,8 @@ def connect(hits: DataFrame, bodies: DataFrame, likeness: Likeness, num: int, de
     if not likeliest.where("a IS NULL").isEmpty():
         here = _merged(here, found)
         rest = _apart(here, bodies, likeness, None).join(likeliest.select("a", "b"), ["a", "b"], "left_anti")
-        found = staged(compared(rest, bodies, likeness, num, den), "found")
+        # A component hooks onto one other at a time, so the likeliest links stay links of their own.
+        found = found.union(staged(compared(rest, bodies, likeness, num, den), "found"))
     # Components so far as stars, and what joins them.
     links = here.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b")).distinct()
     return links.union(found.select("a", "b"))
