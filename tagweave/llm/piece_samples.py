@@ -2,7 +2,7 @@
 
 Every text has a lattice: nodes between characters, edges for the vocabulary's pieces, and byte pieces
 for characters outside it. Pieces never cross the beginning of a word, so the lattice of a text is the
-chain of its words' lattices. A forward pass over the distinct words of a slice gives the probability
+chain of its words' lattices. A forward pass over the distinct new words of a slice gives the probability
 of each piece that ends at a node; drawing backwards from each word's end gives exact samples.
 
 Top-k without replacement: give every segmentation its log probability plus a Gumbel variate; the k
@@ -33,6 +33,9 @@ from tagweave.llm.words import constants, mix
 SAMPLES = 2
 SEED = 29
 SLICE_CHARS = 1 << 19
+#: Nodes of words whose lattices a task keeps from slice to slice, at about 200 bytes each.
+KEPT_ROWS = 1 << 20
+_STRIP = 1 << 15
 SPACE = "▁"
 _SPACE = ord(SPACE)
 _LITERAL = 0x110000  # a space sign that stands in the text itself, outside the vocabulary
@@ -136,9 +139,13 @@ class Vocabulary:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of pieces; the space put before the first word is taken away."""
+        return self.spelled(ids).decode("utf-8", "surrogatepass")
+
+    def spelled(self, ids: np.ndarray) -> bytes:
+        """The same in UTF-8."""
         pieces = ids.tolist()
         found = itemgetter(*pieces)(self.bytes) if len(pieces) > 1 else [self.bytes[i] for i in pieces]
-        return b"".join(found).decode("utf-8", "surrogatepass")[1:]
+        return b"".join(found)[1:]
 
 
 def codes_of(text: str) -> np.ndarray:
@@ -159,57 +166,102 @@ def _utf8_length(codes: np.ndarray) -> np.ndarray:
 
 
 class Lattices:
-    """Backward transition probabilities of all nodes of some distinct words, the longest first.
+    """Backward transition probabilities of all nodes of distinct words, kept for the slices to come.
 
-    Node e of word u is row ``at[e] + u``. Column L - 1 is the piece of L characters that ends there.
+    Node e of a word is row ``base + e``. Column L - 1 is the piece of L characters that ends there.
+    Words are kept until KEPT_ROWS nodes are; words beyond live for one slice.
     """
 
-    def __init__(self, vocabulary: Vocabulary, codes: np.ndarray, start: np.ndarray, end: np.ndarray):
-        hashes, size = _Hashes(codes), end - start
-        longest = int(size[0])
-        active = np.searchsorted(-size, -np.arange(longest + 1), side="right")  # words with length >= e
-        self.at = np.concatenate([[0], np.cumsum(active)])
-        width = min(vocabulary.longest, longest)
-        rows = int(self.at[-1])
-        self.log = np.full((rows, width), -np.inf, np.float32)
-        self.cumulative = np.zeros((rows, width), np.float32)
-        self.ids = np.full((rows, width), -1, np.int32)
-        alpha = np.zeros(rows)
-        ends, inverse = [hashes.sums[start]], [hashes.inverse[start]]
-        for e in range(1, longest + 1):
-            n = int(active[e])
-            rows_e = slice(int(self.at[e]), int(self.at[e]) + n)
-            columns = min(width, e)
-            weights = np.full((n, columns), -np.inf)
-            stop = start[:n] + e
-            ends.append(hashes.sums[stop])
-            inverse.append(hashes.inverse[stop])
-            for k in range(1, columns + 1):
-                where, piece = vocabulary.find(_finish(ends[e] - ends[e - k][:n], inverse[e - k][:n]))
-                if len(where):
-                    self.ids[int(self.at[e]) + where, k - 1] = vocabulary.ids[piece]
-                    weights[where, k - 1] = alpha[int(self.at[e - k]) + where] + vocabulary.logs[piece]
-            last = codes[stop - 1]
-            unknown = np.flatnonzero(~vocabulary.known[last])
-            if len(unknown):
-                before = alpha[int(self.at[e - 1]) : int(self.at[e - 1]) + n]
-                weights[unknown, 0] = before[unknown] + vocabulary.byte_log * _utf8_length(last[unknown])
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.width = -(-vocabulary.longest // 8) * 8  # draws count in eights
+        self.kept = 0
+        self.hashes, self.bases = np.zeros(0, _U), np.zeros(0, np.int64)
+        self.log = np.zeros((0, self.width), np.float32)
+        self.cumulative, self.ids = self.log.copy(), np.zeros((0, self.width), np.int32)
+
+    def words(self, codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Base of each word, for use until the next call."""
+        ranges = _Hashes(codes)
+        hashes = ranges(start, end)
+        out = np.full(len(hashes), -1, np.int64)
+        if len(self.hashes):
+            spot = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            out = np.where(self.hashes[spot] == hashes, self.bases[spot], out)
+        missing = np.flatnonzero(out < 0)
+        if not len(missing):
+            return out
+        new, first, which = np.unique(hashes[missing], return_index=True, return_inverse=True)
+        begin = start[missing][first]
+        size = end[missing][first] - begin
+        order = np.argsort(-size, kind="stable")
+        ends = self.kept + np.cumsum(size + 1)
+        base = ends - size - 1
+        self._room(int(ends[-1]))
+        self._build(ranges, codes, begin[order], size[order], base[order])
+        out[missing] = base[which]
+        n = int(np.searchsorted(ends, KEPT_ROWS, side="right"))
+        if n:
+            self.kept = int(ends[n - 1])
+            hashes, bases = np.append(self.hashes, new[:n]), np.append(self.bases, base[:n])
+            order = np.argsort(hashes)
+            self.hashes, self.bases = hashes[order], bases[order]
+        return out
+
+    def _room(self, rows: int) -> None:
+        """Rows up to ``rows`` exist, and those after the kept ones are blank."""
+        if rows > len(self.log) or len(self.log) > 2 * max(rows, KEPT_ROWS):
+            size = max(rows, min(2 * len(self.log), KEPT_ROWS))
+            for name in ("log", "cumulative", "ids"):
+                old = getattr(self, name)
+                new = np.empty((size, self.width), old.dtype)
+                new[: self.kept] = old[: self.kept]
+                setattr(self, name, new)
+        self.log[self.kept : rows] = -np.inf
+        self.cumulative[self.kept : rows] = 2.0
+        self.ids[self.kept : rows] = -1
+
+    def _build(self, hashes: _Hashes, codes: np.ndarray, start: np.ndarray, size: np.ndarray, base: np.ndarray) -> None:
+        """Fill the rows of some words, the longest first."""
+        word = np.repeat(np.arange(len(size)), size)
+        place = 1 + np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
+        row, stop = base[word] + place, start[word] + place
+        for at in range(0, len(row), _STRIP):
+            strip = slice(at, at + _STRIP)
+            row_s, stop_s, place_s = row[strip], stop[strip], place[strip]
+            for k in range(1, min(self.width, int(place_s.max())) + 1):
+                if k > 1:
+                    long = place_s >= k
+                    row_s, stop_s, place_s = row_s[long], stop_s[long], place_s[long]
+                where, piece = self.vocabulary.find(hashes(stop_s - k, stop_s))
+                self.ids[row_s[where], k - 1] = self.vocabulary.ids[piece]
+                self.log[row_s[where], k - 1] = self.vocabulary.logs[piece]
+        unknown = np.flatnonzero(~self.vocabulary.known[codes[stop - 1]])
+        self.log[row[unknown], 0] = self.vocabulary.byte_log * _utf8_length(codes[stop[unknown] - 1])
+        alpha = np.zeros(int(base.max() + size[base.argmax()]) + 1 - self.kept)
+        active = np.searchsorted(-size, -np.arange(int(size[0]) + 1), side="right")  # words with size >= e
+        for e in range(1, int(size[0]) + 1):
+            rows = base[: int(active[e])] + e
+            columns = min(self.width, e)
+            weights = self.log[rows, :columns] + alpha[(rows - self.kept)[:, None] - np.arange(1, columns + 1)]
             top = weights.max(axis=1)
             weights -= top[:, None]
             share = np.exp(weights.astype(np.float32))
             total = share.sum(axis=1, dtype=np.float64)
-            alpha[rows_e] = top + np.log(total)
-            self.log[rows_e, :columns] = weights - np.log(total)[:, None]
+            norm = np.log(total)
+            alpha[rows - self.kept] = top + norm
+            self.log[rows, :columns] = weights - norm[:, None]
             sums = np.cumsum(share, axis=1, dtype=np.float32)
             # rounding must not let a draw pass the last piece that is possible
-            self.cumulative[rows_e, :columns] = np.where(sums >= sums[:, -1:], 2.0, sums / total[:, None])
-            self.cumulative[rows_e, columns:] = 2.0
-        width = int(np.flatnonzero(np.isfinite(self.log).any(axis=0))[-1]) + 1
-        self.log, self.ids = self.log[:, :width].copy(), self.ids[:, :width].copy()
-        self.cumulative = self.cumulative[:, :width].copy()
+            self.cumulative[rows, :columns] = np.where(sums >= sums[:, -1:], 2.0, sums / total[:, None])
 
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
-        return 1 + np.count_nonzero(u.astype(np.float32, copy=False)[:, None] >= self.cumulative[node], axis=1)
+        """Size of the piece drawn at each node: one more than the sums that ``u`` has reached."""
+        reached = (self.cumulative.take(node, axis=0) <= u[:, None]).view(_U)
+        eights = reached[:, 0].copy()
+        for column in range(1, reached.shape[1]):
+            eights += reached[:, column]
+        return 1 + ((eights * _U(0x0101010101010101)) >> _U(56)).view(np.int64)
 
 
 @dataclass
@@ -256,6 +308,7 @@ class Sample:
 class Sampler:
     def __init__(self, model: bytes, k: int = SAMPLES, seed: int = SEED):
         self.vocabulary, self.k, self.seed = Vocabulary(model), k, _U(seed)
+        self.lattices = Lattices(self.vocabulary)
 
     def words(self, codes: np.ndarray) -> np.ndarray:
         """Beginnings of words: a run of spaces starts one, characters outside the vocabulary are one."""
@@ -285,19 +338,14 @@ class Sampler:
         begins = self.words(codes)
         begins = np.union1d(begins, bounds[:-1][np.diff(bounds) > 0])
         ends = np.append(begins[1:], len(codes))
-        _, first, which = np.unique(_Hashes(codes)(begins, ends), return_index=True, return_inverse=True)
-        size = (ends - begins)[first]
-        order = np.argsort(-size, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        lattice = Lattices(self.vocabulary, codes, begins[first][order], ends[first][order])
-        row = rank[which]
+        lattice = self.lattices
+        base = lattice.words(codes, begins, ends)
         word_at = np.searchsorted(begins, bounds)
         key = mix(np.array(keys, np.int64).view(_U) ^ mix(np.array([self.seed])))
         owner = np.repeat(np.arange(len(texts)), np.diff(word_at))
         number = np.arange(len(begins)) - word_at[owner]
         word_key = mix(key[owner] + number.astype(_U) * _K3)
-        draws = [self._draw(lattice, codes, row, begins, ends, word_key, d) for d in range(self.k)]
+        draws = [self._draw(lattice, codes, base, begins, ends, word_key, d) for d in range(self.k)]
         best = -np.log(-np.log(uniform(key, np.full(len(key), 1 << 60))))
         first = draws[0].first[word_at]
         of = np.repeat(np.arange(len(texts)), np.diff(first))
@@ -308,39 +356,42 @@ class Sampler:
                 yield [Sample(np.zeros(0, np.int32), 0.0, 0.0, 0.0)]
                 continue
             path = Path(*draws[0].steps(lo, hi), [(lo, hi, 0)], float(best[i]), rest[first[i] : first[i + 1]])
-            yield self._search(lattice, codes, row, begins, key[i : i + 1], draws, path, hi)
+            yield self._search(lattice, codes, base, begins, key[i : i + 1], draws, path, hi)
 
-    def _draw(self, lattice: Lattices, codes, row, begins, ends, key, d: int) -> Draws:
+    def _draw(self, lattice: Lattices, codes, base, begins, ends, key, d: int) -> Draws:
         left = ends - begins
-        active = np.arange(len(row))
-        out, step = [], 0
+        active = np.arange(len(base))
+        out, counts = [], np.zeros(len(base), np.int64)
         while len(active):
-            e = left[active]
-            node = lattice.at[e] + row[active]
+            step = len(out)
+            node = base[active] + left[active]
             bits = mix(key[active] + np.array([step * 64 + d], _U) * _K1) >> _U(40)
             size = lattice.draw(node, bits.astype(np.float32) * np.float32(2.0**-24))
-            left[active] = e - size
-            out.append((active, node, size, begins[active] + e - size, lattice.log[node, size - 1]))
-            active = active[e > size]
-            step += 1
-        word = np.concatenate([o[0] for o in out])
-        order = np.argsort(word, kind="stable")
-        steps = [np.concatenate([o[j] for o in out])[order] for j in range(5)]
-        draws = Draws(*steps, np.searchsorted(steps[0], np.arange(len(row) + 1)))
+            out.append((active, node, size))
+            left[active] -= size
+            counts[active] = step + 1
+            active = active[left[active] > 0]
+        first = np.concatenate([[0], np.cumsum(counts)])
+        word = np.repeat(np.arange(len(base)), counts)
+        node, size = np.empty(len(word), np.int64), np.empty(len(word), np.int64)
+        for step, (active, nodes, sizes) in enumerate(out):
+            at = first[active] + step
+            node[at], size[at] = nodes, sizes
+        draws = Draws(word, node, size, (begins - base)[word] + node - size, lattice.log[node, size - 1], first)
         first = draws.first
         back = np.repeat(first[:-1] + first[1:] - 1, np.diff(first)) - np.arange(len(word))
         draws.ids, counts = self._ids(lattice, codes, draws.node[back], draws.size[back], draws.start[back])
         draws.spot = np.concatenate([[0], np.cumsum(counts)])[first]
         return draws
 
-    def _search(self, lattice, codes, row, begins, key, draws, best: Path, hi: int) -> list[Sample]:
+    def _search(self, lattice, codes, base, begins, key, draws, best: Path, hi: int) -> list[Sample]:
         found = [best]
         while True:
             tops = [(float(p.rest.max()), -i) for i, p in enumerate(found)]
             value, i = max(tops)
             if len(found) == self.k or value == -np.inf:
                 break
-            found.append(self._leave(lattice, codes, row, begins, key, found[-i], value, len(found), hi, draws))
+            found.append(self._leave(lattice, codes, base, begins, key, found[-i], value, len(found), hi, draws))
         out = []
         for p in found:
             log = float(p.log.sum(dtype=np.float64))
@@ -350,7 +401,7 @@ class Sampler:
             out.append(Sample(np.concatenate(ids), log, p.value, inclusion))
         return out
 
-    def _leave(self, lattice, codes, row, begins, key, parent: Path, value: float, turn: int, hi: int, draws) -> Path:
+    def _leave(self, lattice, codes, base, begins, key, parent: Path, value: float, turn: int, hi: int, draws) -> Path:
         """The best path among those that leave ``parent`` at its best step."""
         step = int(parent.rest.argmax())
         used = (parent.used if parent.used and parent.used[0] == step else (step,)) + (int(parent.size[step]),)
@@ -364,7 +415,7 @@ class Sampler:
         nodes, sizes, starts = [node], [size], [end - size]
         while starts[-1] > begins[word]:  # the rest of the word is an ordinary draw
             e = int(starts[-1] - begins[word])
-            node = int(lattice.at[e] + row[word])
+            node = int(base[word]) + e
             u = uniform_one(seed, (1 << 62) + turn * (1 << 32) + len(nodes))
             size = 1 + int(np.count_nonzero(lattice.cumulative[node] <= u))
             nodes.append(node)
@@ -457,7 +508,8 @@ def sampled(docs: DataFrame, path: str, k: int = SAMPLES, seed: int = SEED) -> D
             texts = [t or "" for t in batch.column(1).to_pylist()]
             rows, chars = [], 0
             for i, found in enumerate(sampler.sample(keys, texts)):
-                rows += [(ids[i], nr, s, sampler.vocabulary.decode(s.ids) == texts[i]) for nr, s in enumerate(found)]
+                text = texts[i].encode("utf-8", "surrogatepass")
+                rows += [(ids[i], nr, s, sampler.vocabulary.spelled(s.ids) == text) for nr, s in enumerate(found)]
                 chars += len(texts[i])
                 if chars > 4 * SLICE_CHARS:
                     yield _sample_rows(rows)
