@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from operator import itemgetter
 
 import numpy as np
@@ -43,7 +44,6 @@ _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _K1, _K3 = constants(2, 31)
-_STEP, _MASK = int(_K1), (1 << 64) - 1
 _SLOT_BITS = 20
 FAR = -100.0
 
@@ -54,17 +54,6 @@ def uniform(key: np.ndarray, counter: np.ndarray) -> np.ndarray:
     return (bits.astype(np.float64) + 0.5) / (1 << 53)
 
 
-def uniform_one(key: int, counter: int) -> float:
-    """The same for one number, without arrays."""
-    x = (key + counter * _STEP) & _MASK
-    x ^= x >> 30
-    x = (x * 0xBF58476D1CE4E5B9) & _MASK
-    x ^= x >> 27
-    x = (x * 0x94D049BB133111EB) & _MASK
-    x ^= x >> 31
-    return ((x >> 11) + 0.5) / (1 << 53)
-
-
 class _Hashes:
     """Hashes of any range of a code point array."""
 
@@ -277,24 +266,35 @@ class Draws:
     ids: np.ndarray | None = None  # piece ids in text order, bytes one by one
     spot: np.ndarray | None = None  # where each word's ids begin
 
-    def steps(self, lo: int, hi: int) -> list[np.ndarray]:
-        cut = slice(self.first[lo], self.first[hi])
-        return [self.word[cut], self.node[cut], self.size[cut], self.start[cut], self.log[cut]]
-
 
 @dataclass
-class Path:
-    """A segmentation of one text, in the order of the search."""
-
-    word: np.ndarray
-    node: np.ndarray
-    size: np.ndarray
-    start: np.ndarray
-    log: np.ndarray
-    parts: list  # of its ids in text order: (first word, last word, draw) or (word, word + 1, ids)
-    value: float = 0.0
-    rest: np.ndarray | None = None  # perturbed value of what leaves the path at each step
-    used: tuple = ()  # the step where this path left another, and the sizes taken there before
+class Paths:
+    """One segmentation of each text of a slice, or none, in the order of the search."""
+
+    steps: list  # word, node, size, start and log of every piece
+    first: np.ndarray  # first step of each text, and the end
+    rest: np.ndarray  # perturbed value of what leaves the path at each step
+    value: np.ndarray
+    parts: list  # for each text its ids in text order: (first word, last word, draw) or (word, word + 1, ids)
+    turned: np.ndarray  # the step where the text's path left another
+    taken: np.ndarray  # by text, the sizes taken at that step before
+
+    def tops(self) -> tuple[np.ndarray, np.ndarray]:
+        """The largest rest of each text and its first step; -inf for a text without a path."""
+        some = np.flatnonzero(np.diff(self.first))
+        most, at = np.full(len(self.value), -np.inf), np.zeros(len(self.value), np.int64)
+        if len(some):
+            most[some] = np.maximum.reduceat(self.rest, self.first[some])
+            of = np.repeat(np.arange(len(self.value)), np.diff(self.first))
+            hit = np.flatnonzero(self.rest == most[of])[::-1]
+            at[of[hit]] = hit
+        return most, at
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of some ranges, one range after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(start - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 @dataclass
@@ -346,17 +346,10 @@ class Sampler:
         number = np.arange(len(begins)) - word_at[owner]
         word_key = mix(key[owner] + number.astype(_U) * _K3)
         draws = [self._draw(lattice, codes, base, begins, ends, word_key, d) for d in range(self.k)]
-        best = -np.log(-np.log(uniform(key, np.full(len(key), 1 << 60))))
-        first = draws[0].first[word_at]
-        of = np.repeat(np.arange(len(texts)), np.diff(first))
-        rest = _rests(draws[0].log, first[of], best[of], key[of], 0)
+        some = np.flatnonzero(np.diff(word_at))  # texts with words
+        found = dict(zip(some.tolist(), self._search(codes, base, begins, key[some], draws, word_at[some], word_at[some + 1])))
         for i in range(len(texts)):
-            lo, hi = int(word_at[i]), int(word_at[i + 1])
-            if lo == hi:
-                yield [Sample(np.zeros(0, np.int32), 0.0, 0.0, 0.0)]
-                continue
-            path = Path(*draws[0].steps(lo, hi), [(lo, hi, 0)], float(best[i]), rest[first[i] : first[i + 1]])
-            yield self._search(lattice, codes, base, begins, key[i : i + 1], draws, path, hi)
+            yield found.get(i) or [Sample(np.zeros(0, np.int32), 0.0, 0.0, 0.0)]
 
     def _draw(self, lattice: Lattices, codes, base, begins, ends, key, d: int) -> Draws:
         left = ends - begins
@@ -384,61 +377,119 @@ class Sampler:
         draws.spot = np.concatenate([[0], np.cumsum(counts)])[first]
         return draws
 
-    def _search(self, lattice, codes, base, begins, key, draws, best: Path, hi: int) -> list[Sample]:
-        found = [best]
+    def _search(self, codes, base, begins, key, draws, lo, hi) -> list[list[Sample]]:
+        """The search in all texts at once; words ``lo`` to ``hi`` are those of a text."""
+        n, one = len(lo), draws[0]
+        steps = [one.word, one.node, one.size, one.start, one.log]
+        first = np.append(one.first[lo], one.first[hi[-1]])
+        value = -np.log(-np.log(uniform(key, np.full(n, 1 << 60))))
+        parts = [[(a, b, 0)] for a, b in zip(lo.tolist(), hi.tolist())]
+        of = np.repeat(np.arange(n), np.diff(first))
+        rest = _rests(one.log, first[of], value[of], key[of], 0)
+        paths = [Paths(steps, first, rest, value, parts, np.full(n, -1), np.zeros((n, self.lattices.width), bool))]
         while True:
-            tops = [(float(p.rest.max()), -i) for i, p in enumerate(found)]
-            value, i = max(tops)
-            if len(found) == self.k or value == -np.inf:
+            tops = [p.tops() for p in paths]
+            values = np.stack([most for most, _ in tops])
+            source = values.argmax(axis=0)  # of equal values the earliest path
+            value = values.max(axis=0)
+            if len(paths) == self.k or not np.isfinite(value).any():
                 break
-            found.append(self._leave(lattice, codes, base, begins, key, found[-i], value, len(found), hi, draws))
+            at = np.stack([at for _, at in tops])[source, np.arange(n)]
+            paths.append(self._leave(codes, base, begins, key, paths, source, at, value, hi, draws[len(paths)]))
+        sums = []
+        for p in paths:
+            total = np.concatenate([[0.0], np.cumsum(p.steps[4], dtype=np.float64)])[p.first]
+            sums.append(np.diff(total))
+        logs = np.stack(sums)
+        with np.errstate(over="ignore"):
+            gap = logs - value
+            inclusion = np.where(gap > -30, np.log(-np.expm1(-np.exp(np.clip(gap, -31, 700)))), gap)
+        inclusion[:, value == -np.inf] = 0.0
         out = []
-        for p in found:
-            log = float(p.log.sum(dtype=np.float64))
-            gap = log - value
-            inclusion = 0.0 if value == -np.inf else float(np.log(-np.expm1(-np.exp(gap)))) if gap > -30 else gap
-            ids = [draws[x].ids[draws[x].spot[a] : draws[x].spot[b]] if isinstance(x, int) else x for a, b, x in p.parts]
-            out.append(Sample(np.concatenate(ids), log, p.value, inclusion))
+        for i in range(n):
+            mine = [(turn, p) for turn, p in enumerate(paths) if p.parts[i]]
+            samples = []
+            for turn, p in mine:
+                ids = [draws[x].ids[draws[x].spot[a] : draws[x].spot[b]] if isinstance(x, int) else x for a, b, x in p.parts[i]]
+                samples.append(Sample(np.concatenate(ids), float(logs[turn, i]), float(p.value[i]), float(inclusion[turn, i])))
+            out.append(samples)
         return out
 
-    def _leave(self, lattice, codes, base, begins, key, parent: Path, value: float, turn: int, hi: int, draws) -> Path:
-        """The best path among those that leave ``parent`` at its best step."""
-        step = int(parent.rest.argmax())
-        used = (parent.used if parent.used and parent.used[0] == step else (step,)) + (int(parent.size[step]),)
-        node, word = int(parent.node[step]), int(parent.word[step])
-        seed = int(key[0])
-        chance = np.exp(lattice.log[node].astype(np.float64))
-        chance[[s - 1 for s in used[1:]]] = 0.0
-        sums = np.cumsum(chance)
-        size = int(np.searchsorted(sums, uniform_one(seed, (1 << 61) + turn) * sums[-1], side="right")) + 1
-        end = int(parent.start[step] + parent.size[step])
-        nodes, sizes, starts = [node], [size], [end - size]
-        while starts[-1] > begins[word]:  # the rest of the word is an ordinary draw
-            e = int(starts[-1] - begins[word])
-            node = int(base[word]) + e
-            u = uniform_one(seed, (1 << 62) + turn * (1 << 32) + len(nodes))
-            size = 1 + int(np.count_nonzero(lattice.cumulative[node] <= u))
-            nodes.append(node)
-            sizes.append(size)
-            starts.append(starts[-1] - size)
-        own = [np.full(len(nodes), word), np.array(nodes), np.array(sizes), np.array(starts),
-               lattice.log[nodes, np.array(sizes) - 1]]
-        head = [parent.word, parent.node, parent.size, parent.start, parent.log]
-        steps = [np.concatenate([h[:step], o, f]) for h, o, f in zip(head, own, draws[turn].steps(word + 1, hi))]
-        mine = slice(int(np.searchsorted(steps[0], word)), int(np.searchsorted(steps[0], word + 1)))
-        ids, _ = self._ids(lattice, codes, *(steps[j][mine][::-1] for j in (1, 2, 3)))
-        parts = [(a, min(b, word), x) for a, b, x in parent.parts if a < word]
-        path = Path(*steps, [*parts, (word, word + 1, ids), (word + 1, hi, turn)], value)
-        path.rest = _rests(path.log, np.zeros(len(path.log), np.int64), np.full(1, value), key, turn)
-        path.rest[: step + 1] = -np.inf
-        left = sums[-1] - chance[sizes[0] - 1]
-        if left > 1e-12:
-            mass = float(path.log[:step].sum(dtype=np.float64) + np.log(left))
-            noise = np.log(-np.log(uniform_one(seed, (1 << 59) + turn)))
-            path.rest[step] = -np.logaddexp(-value, noise - mass)
-        path.used = used
-        parent.rest[step] = -np.inf
-        return path
+    def _leave(self, codes, base, begins, key, paths: list[Paths], source, at, value, hi, draw: Draws) -> Paths:
+        """For each text the best path among those that leave path ``source`` at its step ``at``."""
+        lattice, turn, n = self.lattices, len(paths), len(value)
+        live = np.flatnonzero(np.isfinite(value))
+        source, at, seed = source[live], at[live], key[live]
+        offset = np.cumsum([0] + [len(p.rest) for p in paths])
+        bank = [np.concatenate([p.steps[j] for p in paths]) for j in range(5)]
+        begin = np.stack([p.first[:-1] for p in paths])[source, live]  # of the text in its parent
+        there = offset[source] + at
+        step = at - begin
+        word, node, size = (bank[j][there] for j in range(3))
+        taken = np.stack([p.taken[live] for p in paths])[source, np.arange(len(live))]
+        taken &= (np.stack([p.turned[live] for p in paths])[source, np.arange(len(live))] == step)[:, None]
+        taken[np.arange(len(live)), size - 1] = True
+        chance = np.where(taken, 0.0, np.exp(lattice.log[node].astype(np.float64)))
+        sums = np.cumsum(chance, axis=1)
+        counter = lambda c: np.full(len(live), c, _U)
+        u = uniform(seed, counter((1 << 61) + turn))
+        end = bank[3][there] + size
+        size = 1 + np.count_nonzero(sums <= (u * sums[:, -1])[:, None], axis=1)
+        left = sums[:, -1] - chance[np.arange(len(live)), size - 1]
+        own, active, start = [(np.arange(len(live)), node, size, end - size)], np.arange(len(live)), end - size
+        counts = np.ones(len(live), np.int64)
+        while True:  # the rest of the word is an ordinary draw
+            active = active[start[active] > begins[word[active]]]
+            if not len(active):
+                break
+            node = base[word[active]] + start[active] - begins[word[active]]
+            u = uniform(seed[active], counter((1 << 62) + turn * (1 << 32) + len(own))[: len(active)])
+            size = lattice.draw(node, u.astype(np.float32))
+            start[active] -= size
+            counts[active] += 1
+            own.append((active, node, size, start[active]))
+        after = draw.first[word + 1]
+        size_after = draw.first[hi[live]] - after
+        sizes = step + counts + size_after
+        ends = np.cumsum(sizes)
+        head, tail = _ranges(ends - sizes, step), _ranges(ends - size_after, size_after)
+        parent, following = _ranges(there - step, step), _ranges(after, size_after)
+        steps = []
+        for old, more in zip(bank, (draw.word, draw.node, draw.size, draw.start, draw.log)):
+            new = np.empty(int(ends[-1]), old.dtype)
+            new[head], new[tail] = old[parent], more[following]
+            steps.append(new)
+        for turned, (which, *own_steps) in enumerate(own):
+            spot = (ends - sizes + step)[which] + turned
+            steps[0][spot] = word[which]
+            for j, x in enumerate(own_steps, 1):
+                steps[j][spot] = x
+            steps[4][spot] = lattice.log[own_steps[0], own_steps[1] - 1]
+        of = np.repeat(np.arange(len(live)), sizes)
+        rest = _rests(steps[4], (ends - sizes)[of], value[live][of], seed[of], turn)
+        rest[_ranges(ends - sizes, step + 1)] = -np.inf
+        total = np.concatenate([[0.0], np.cumsum(steps[4], dtype=np.float64)])
+        more = np.flatnonzero(left > 1e-12)
+        spot = (ends - sizes + step)[more]
+        mass = total[spot] - total[(ends - sizes)[more]] + np.log(left[more])
+        noise = np.log(-np.log(uniform(seed[more], counter((1 << 59) + turn)[: len(more)])))
+        rest[spot] = -np.logaddexp(-value[live][more], noise - mass)
+        for i, p in enumerate(paths):
+            p.rest[at[source == i]] = -np.inf
+        # ids of the words that changed, from their first piece
+        pieces = np.bincount(of[steps[0] == word[of]], minlength=len(live))
+        back = np.repeat(ends - size_after - 1, pieces) - _ranges(np.zeros(len(live), np.int64), pieces)
+        ids, lengths = self._ids(lattice, codes, steps[1][back], steps[2][back], steps[3][back])
+        cuts = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(pieces)])].tolist()
+        parts: list = [[] for _ in range(n)]
+        for j, (i, p, w) in enumerate(zip(live.tolist(), source.tolist(), word.tolist())):
+            before = [(a, min(b, w), x) for a, b, x in paths[p].parts[i] if a < w]
+            parts[i] = [*before, (w, w + 1, ids[cuts[j] : cuts[j + 1]]), (w + 1, int(hi[i]), turn)]
+        first = np.zeros(n + 1, np.int64)
+        first[live + 1] = sizes
+        turned, took = np.full(n, -1), np.zeros((n, lattice.width), bool)
+        turned[live], took[live] = step, taken
+        return Paths(steps, np.cumsum(first), rest, value, parts, turned, took)
 
     def _ids(self, lattice, codes, node, size, start) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces, characters outside the vocabulary byte by byte, and how many each piece has."""
@@ -456,6 +507,12 @@ class Sampler:
         return out, counts
 
 
+@lru_cache(maxsize=1)
+def _sampler(model: bytes, k: int, seed: int) -> Sampler:
+    """One sampler for all tasks of a worker process; what it keeps changes no result."""
+    return Sampler(model, k, seed)
+
+
 def _rests(log: np.ndarray, first: np.ndarray, value: np.ndarray, key: np.ndarray, turn: int) -> np.ndarray:
     """Perturbed value of all that leaves a path at each step; ``first`` is where its text's path begins.
 
@@ -502,7 +559,7 @@ def sampled(docs: DataFrame, path: str, k: int = SAMPLES, seed: int = SEED) -> D
         model = spark.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(model.value, k, seed)
+        sampler = _sampler(model.value, k, seed)
         for batch in batches:
             ids, keys = batch.column(0).to_pylist(), batch.column(0).fill_null(0).to_pylist()
             texts = [t or "" for t in batch.column(1).to_pylist()]

@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 import sentencepiece
 
-from tagweave.llm.piece_samples import Sampler, codes_of, sampled, uniform, uniform_one
+from tagweave.llm.piece_samples import Sampler, codes_of, sampled, uniform
 from tagweave.llm.queries import TOKENIZERS
+from tagweave.llm.words import constants
 from tests.llm.conftest import ODD
 
 PATH = f"{TOKENIZERS}/piece_bpe_32k.model"
@@ -85,8 +86,42 @@ def test_table(spark, documents):
     assert sampled(documents([]), PATH).collect() == []
 
 
+def uniform_one(key, counter):
+    """The same number without arrays."""
+    mask = (1 << 64) - 1
+    v = (key + counter * int(constants(2, 31)[0])) & mask
+    v = ((v ^ (v >> 30)) * 0xBF58476D1CE4E5B9) & mask
+    v = ((v ^ (v >> 27)) * 0x94D049BB133111EB) & mask
+    return (((v ^ (v >> 31)) >> 11) + 0.5) / (1 << 53)
+
+
 def test_single_numbers_are_those_of_arrays():
     keys = np.array([0, 5, (1 << 64) - 3], np.uint64)
     for counter in (0, 7, 1 << 62):
         many = uniform(keys, np.full(3, counter))
         assert many.tolist() == [uniform_one(int(k), counter) for k in keys] and ((many > 0) & (many < 1)).all()
+
+
+def test_kept_words_and_slices_change_nothing(monkeypatch):
+    from tagweave.llm import piece_samples
+
+    model = open(PATH, "rb").read()
+    rng = np.random.default_rng(4)
+    words = ["".join(map(chr, rng.integers(97, 123, rng.integers(1, 12)))) for _ in range(60)]
+    texts = ["", *(" ".join(rng.choice(words, rng.integers(1, 40))) for _ in range(50)), "日本 \U0001f600", "", "a"]
+    keys = list(range(len(texts)))
+    flat = lambda found: [[(s.ids.tolist(), round(s.log, 6), round(s.log_inclusion, 4)) for s in f] for f in found]
+    whole = flat(Sampler(model, k=4).sample(keys, texts))
+    assert any(len(f) == 4 for f in whole) and len(whole[0]) == len(whole[-2]) == 1
+    for kept, chars in ((0, 300), (50, 300), (1 << 20, 300), (50, 1)):
+        monkeypatch.setattr(piece_samples, "KEPT_ROWS", kept)
+        monkeypatch.setattr(piece_samples, "SLICE_CHARS", chars)
+        sampler = Sampler(model, k=4)
+        for _ in range(2):
+            assert flat(sampler.sample(keys, texts)) == whole
+
+
+def test_long_text_without_a_space(sampler):
+    text = "".join(map(chr, np.random.default_rng(5).integers(97, 123, 30_000)))
+    (found,) = sampler.sample([1], [text])
+    assert len(found) == 3 and all(sampler.vocabulary.decode(s.ids) == text for s in found)
