@@ -31,24 +31,32 @@ class Rule:
 class RuleTrie:
     """Longest match: more host labels first, then the longer path; block wins between equal rules.
 
-    A node is [labels, segments, tails]: child nodes by the next host label, child nodes by the next
-    whole path segment, and the rules that end here as (rest of a segment, rule).
+    A node is [labels, segments, tails, lengths]: child nodes by the next host label, child nodes by the
+    next whole path segment, the rules that end here by the rest of their last segment, and the lengths
+    of these rests, longest first. A segment is looked up once for each of the lengths.
     """
 
     def __init__(self, rules: Iterable[Rule]):
-        self.root: list = [{}, {}, []]
+        self.root = self._node()
         rules = sorted(set(rules), key=lambda r: r.verdict != "block")
         if len(rules) > MAX_RULES:
             raise ValueError(f"more than {MAX_RULES} rules")
+        ends = {}
         for rule in rules:
             node = self.root
             for label in reversed(rule.host.split(".")) if rule.host else ():
-                node = node[0].setdefault(label, [{}, {}, []])
+                node = node[0].setdefault(label, self._node())
             *whole, tail = rule.path.split("/")
             for segment in whole:
-                node = node[1].setdefault(segment, [{}, {}, []])
-            node[2].append((tail, rule))
-            node[2].sort(key=lambda t: -len(t[0]))
+                node = node[1].setdefault(segment, self._node())
+            node[2].setdefault(tail, rule)
+            ends[id(node)] = node
+        for node in ends.values():
+            node[3] = sorted({len(tail) for tail in node[2]}, reverse=True)
+
+    @staticmethod
+    def _node() -> list:
+        return [{}, {}, {}, ()]
 
     def match(self, host: str, path: str) -> Rule | None:
         nodes = [self.root]
@@ -62,7 +70,11 @@ class RuleTrie:
             found, depth = None, 0
             while True:
                 here = segments[depth]
-                found = next((r for tail, r in node[2] if here.startswith(tail)), found)
+                for n in node[3]:
+                    rule = node[2].get(here[:n]) if n <= len(here) else None
+                    if rule is not None:
+                        found = rule
+                        break
                 node = node[1].get(here) if depth + 1 < len(segments) else None
                 if node is None:
                     break

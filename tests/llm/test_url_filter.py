@@ -1,4 +1,5 @@
 import itertools
+import time
 
 from tagweave.llm.queries import URL_RULES
 from tagweave.llm.url_filter import Rule, RuleTrie, judge_urls
@@ -25,6 +26,17 @@ def test_trie_matches_a_scan_of_all_rules():
         assert trie.match(host, path) == brute(rules, host, path), (host, path)
 
 
+def test_many_rules_under_one_host():
+    rules = [Rule("a.com", f"/x{i}", "block") for i in range(100_000)] + [Rule("a.com", "/x", "allow")]
+    began = time.process_time()
+    trie = RuleTrie(rules)
+    for i in range(0, 100_000, 7):
+        assert trie.match("b.a.com", f"/x{i}").path == f"/x{i}"
+    assert trie.match("a.com", "/xy").verdict == "allow" and trie.match("a.com", "/y") is None
+    assert trie.match("a.com", "/x99999zz/t").path == "/x99999"
+    assert time.process_time() - began < 20
+
+
 def test_verdicts(spark):
     pages = spark.createDataFrame([(i, u, "h", "x") for i, u in enumerate(URLS)], "page_id INT, url STRING, html STRING, host STRING")
     rows = {r["page_id"]: r for r in judge_urls(pages, URL_RULES).collect()}
