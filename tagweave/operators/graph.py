@@ -154,8 +154,18 @@ def similarity_graph(
     ``items`` needs item_id, tags and vec (an array, null when the item has no vector). Scores are
     rounded to six digits before ranking; ties prefer core over branch, then the lower id.
     """
+    return pooled_edges(items, pool_topk(tag_candidates(items, marker, block_rows)), marker, k_max, per_tag_min)
+
+
+def pooled_edges(
+    items: DataFrame,
+    pooled: DataFrame,
+    marker: str = X.MARKER_TAG,
+    k_max: int = S.K_MAX,
+    per_tag_min: int = S.PER_TAG_MIN,
+) -> DataFrame:
+    """The edges of ``similarity_graph`` from candidate pools that are there already."""
     tags = _connected(items, marker).select("item_id", "tags")
-    pooled = pool_topk(tag_candidates(items, marker, block_rows))
     edges = finalize_edges(allocate_slots(pooled, k_max, per_tag_min), k_max)
     src = tags.select(F.col("item_id").alias("src"), F.col("tags").alias("src_tags"))
     dst = tags.select(F.col("item_id").alias("dst"), F.col("tags").alias("dst_tags"))
@@ -189,11 +199,14 @@ def item_meta(items: DataFrame, marker: str = X.MARKER_TAG) -> DataFrame:
     )
 
 
-def graph_stats(items: DataFrame, edges: DataFrame, marker: str = X.MARKER_TAG) -> DataFrame:
+def graph_stats(
+    items: DataFrame, edges: DataFrame, marker: str = X.MARKER_TAG, pooled: DataFrame | None = None
+) -> DataFrame:
     """Graph statistics as (metric, value) rows.
 
     Vector hits and misses are pair counts taken from per-tag sizes, (n·(n−1) ordered pairs per
-    tag), not from enumerated pairs.
+    tag), not from enumerated pairs. With the candidate pools, the (item, tag) pairs without any
+    candidate are counted, too.
     """
     tagged = items.filter(F.size(F.coalesce("tags", F.array().cast("array<string>"))) > 0)
     of_items = metric_rows(
@@ -226,13 +239,20 @@ def graph_stats(items: DataFrame, edges: DataFrame, marker: str = X.MARKER_TAG)
     of_edges = metric_rows(
         degree, {"mean_degree": F.round(F.avg(F.coalesce("degree", F.lit(0))), 1)}
     )
-    return of_items.unionByName(of_tags).unionByName(of_edges)
+    stats = of_items.unionByName(of_tags).unionByName(of_edges)
+    if pooled is None:
+        return stats
+    empty = empty_clusters(items, pooled, marker)
+    return stats.unionByName(metric_rows(empty, {"empty_clusters": F.count(F.lit(1))}))
 
 
-def empty_clusters(items: DataFrame, pooled: DataFrame, marker: str = X.MARKER_TAG) -> DataFrame:
-    """(item, tag) pairs for which no candidate passed the score thresholds."""
+def empty_clusters(
+    items: DataFrame, pooled: DataFrame, marker: str = X.MARKER_TAG, least: float | None = None
+) -> DataFrame:
+    """(item, tag) pairs for which no candidate passed the score thresholds, or none scores ``least``."""
     keys = item_tags(items, marker).select(F.col("item_id").alias("src"), "tag")
-    return keys.join(pooled.select("src", "tag").distinct(), ["src", "tag"], "left_anti")
+    good = pooled if least is None else pooled.filter(F.col("score") >= least)
+    return keys.join(good.select("src", "tag").distinct(), ["src", "tag"], "left_anti")
 
 
 def diversity_metrics(edges: DataFrame, items: DataFrame, marker: str = X.MARKER_TAG) -> DataFrame:
@@ -271,7 +291,7 @@ class GraphBundle:
 
 def build_bundle(items: DataFrame, marker: str = X.MARKER_TAG) -> GraphBundle:
     """All graph tables of a corpus; ``items`` carries the metadata columns and ``vec``."""
-    edges = similarity_graph(items, marker)
-    return GraphBundle(
-        edges, tag_index(item_tags(items, marker)), item_meta(items, marker), graph_stats(items, edges, marker)
-    )
+    pooled = pool_topk(tag_candidates(items, marker))
+    edges = pooled_edges(items, pooled, marker)
+    stats = graph_stats(items, edges, marker, pooled)
+    return GraphBundle(edges, tag_index(item_tags(items, marker)), item_meta(items, marker), stats)

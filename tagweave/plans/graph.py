@@ -14,6 +14,8 @@ from tagweave.scale import durable, staged, staged_path
 from tagweave.sources import tables
 
 R6 = "round({}, 6)"
+#: Best candidate scores below this make a cluster weak.
+WEAK_BELOW = 0.75
 
 
 def _join(c: str) -> str:
@@ -58,17 +60,19 @@ def slot_allocation(spark, sf):
     return graph.allocate_slots(pooled).drop("pool_rank", "n_tags")
 
 
-@query(sql("f1", "ts", "edges", """+ vts AS (SELECT tag, count(*) AS n, count(vec) AS v FROM it JOIN f1 USING (item_id) GROUP BY 1)
+@query(sql("f1", "ts", "pooled", "edges", """+ vts AS (SELECT tag, count(*) AS n, count(vec) AS v FROM it JOIN f1 USING (item_id) GROUP BY 1)
     SELECT 'items' AS metric, count(*)::DOUBLE AS value FROM f1 WHERE len(tags) > 0
     UNION ALL SELECT 'markers', count(*)::DOUBLE FROM f1 WHERE list_contains(tags, 'Repertoire')
     UNION ALL SELECT 'tags', count(*)::DOUBLE FROM ts
     UNION ALL SELECT 'items_per_tag', round(avg(n), 1) FROM ts
     UNION ALL SELECT 'vector_hits', sum(v * (v - 1))::DOUBLE FROM vts
     UNION ALL SELECT 'vector_misses', sum(n * (n - 1) - v * (v - 1))::DOUBLE FROM vts
-    UNION ALL SELECT 'mean_degree', round((SELECT count(*) FROM edges) / (SELECT count(*) FROM f1 WHERE len(tags) > 0)::DOUBLE, 1)"""))
+    UNION ALL SELECT 'mean_degree', round((SELECT count(*) FROM edges) / (SELECT count(*) FROM f1 WHERE len(tags) > 0)::DOUBLE, 1)
+    UNION ALL SELECT 'empty_clusters', count(*)::DOUBLE FROM it WHERE (item_id, tag) NOT IN (SELECT (src, tag) FROM pooled)"""))
 def graph_stats(spark, sf):
     items = B.tagged_items(spark, sf)
-    return graph.graph_stats(items, graph.similarity_graph(items))
+    pooled = graph.pool_topk(graph.tag_candidates(items))
+    return graph.graph_stats(items, graph.pooled_edges(items, pooled), pooled=pooled)
 
 
 @query(sql("it", "pooled", "SELECT item_id AS src, tag FROM it WHERE (item_id, tag) NOT IN (SELECT (src, tag) FROM pooled)"))
@@ -77,6 +81,14 @@ def empty_clusters(spark, sf):
     return graph.empty_clusters(items, graph.pool_topk(graph.tag_candidates(items)))
 
 
+@query(sql("it", "pooled", f"""SELECT item_id AS src, tag FROM it
+    WHERE (item_id, tag) NOT IN (SELECT (src, tag) FROM pooled WHERE score >= {WEAK_BELOW})"""))
+def weak_clusters(spark, sf):
+    """(item, tag) pairs whose best candidate scores below a bound."""
+    items = B.tagged_items(spark, sf)
+    return graph.empty_clusters(items, graph.pool_topk(graph.tag_candidates(items)), least=WEAK_BELOW)
+
+
 @query(sql("edges", "nt", """+ x AS (SELECT src, list_filter(b.tags, lambda t: NOT list_contains(a.tags, t)) AS fresh, len(shared_tags) = a.nt AS red
       FROM edges JOIN nt a ON a.item_id = src JOIN nt b ON b.item_id = dst),
     y AS (SELECT src, len(list_distinct(flatten(list(fresh)))) AS d, count(*) FILTER (WHERE red) AS r, count(*) AS n FROM x GROUP BY 1)
@@ -94,7 +106,7 @@ def item_meta(spark, sf):
 
 @query(sql("edges", "f1", """+ g AS (SELECT category, count(*) AS n FROM f1 GROUP BY 1)
     SELECT 'edges' AS part, count(*) AS n FROM edges UNION ALL SELECT 'tag_index', count(*) FROM it
-    UNION ALL SELECT 'item_meta', count(*) FROM f1 UNION ALL SELECT 'graph_stats', 7"""))
+    UNION ALL SELECT 'item_meta', count(*) FROM f1 UNION ALL SELECT 'graph_stats', 8"""))
 def saved_graph(spark, sf):
     """Write all graph tables to the shared folder, read them back and count them."""
     path = staged_path(spark, "graph")

@@ -136,6 +136,26 @@ def test_stats(items, rows):
             by_tag[t].append(r[2] is not None)
     hits = sum(sum(v) * (sum(v) - 1) for v in by_tag.values())
     assert stats["vector_hits"] == hits
+    assert "empty_clusters" not in stats
+
+
+def test_empty_clusters_are_counted(items, rows, spark):
+    alone = spark.createDataFrame([(10**6, ["only here", "Repertoire"], None)], items.select("item_id", "tags", "vec").schema)
+    more = items.select("item_id", "tags", "vec").unionByName(alone)
+    pooled = graph.pool_topk(graph.tag_candidates(more))
+    best = {}
+    for r in pooled.collect():
+        best[(r.src, r.tag)] = max(r.score, best.get((r.src, r.tag), 0))
+    pairs = {(r.item_id, r.tag) for r in graph.item_tags(more).collect()}
+    found = {tuple(r) for r in graph.empty_clusters(more, pooled).collect()}
+    assert (10**6, "only here") in found and found == pairs - set(best)
+    bound = sorted(best.values())[len(best) // 2]
+    weak = {tuple(r) for r in graph.empty_clusters(more, pooled, least=bound).collect()}
+    assert weak == {p for p in pairs if best.get(p, -1) < bound} and len(weak) > len(found)
+    stats = {r.metric: r.value for r in graph.graph_stats(more, graph.pooled_edges(more, pooled), pooled=pooled).collect()}
+    assert stats["empty_clusters"] == len(found)
+    same = lambda e: sorted(map(tuple, e.select("src", "dst", "score", "rank").collect()))
+    assert same(graph.pooled_edges(more, pooled)) == same(graph.similarity_graph(more))
 
 
 def test_item_meta_hides_the_marker(items):
