@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tagweave.functions import scores as S
 from tagweave.functions.text import first_present
-from tagweave.operators import blocks
+from tagweave.operators import blocks, regions
 from tagweave.scale import top_per
 
 
@@ -47,9 +47,13 @@ def knn(
     where: Sequence[str] = (),
     exclude: DataFrame | None = None,
     block_rows: int = 4 * blocks.BLOCK_ROWS,
+    region_rows: int = regions.REGION_ROWS,
 ) -> DataFrame:
     """The ``n`` nearest corpus rows of each query by cosine distance: exact, block by block.
 
+    Without ``where``, a corpus of more than one region (``region_rows``) is searched region by region, and
+    only the regions that can hold an answer are visited (see ``regions``); the answers are the same.
+
     ``queries`` has query_id and vec, ``corpus`` item_id and vec. ``where`` names columns that both
     sides carry and that must be equal; they become the grouping of the blocks, so a predicate
     prunes the work. ``exclude`` lists (query_id, item_id) pairs that may not be answers; each query
@@ -66,6 +70,9 @@ def knn(
         q = q.join(extra, "id", "left")
         fetch = F.lit(n) + F.coalesce("_extra", F.lit(0))
     q = q.select("id", "vec", *keys, fetch.cast("int").alias("fetch"))
+    rows = 0 if keys else c.count()
+    if rows > region_rows:
+        return regions.knn(q, c, rows, n, exclude, block_rows, region_rows)
     c = c.withColumn("fetch", F.lit(0))
     cells = blocks.grid_cells(q, c, keys, "id", block_rows)
     found = cells.groupBy(*keys, "cell_a", "cell_b").applyInPandas(

@@ -265,9 +265,20 @@ def _embeddings(spark, sf):
     )
 
 
-@query(f"""WITH {UNIT}, d AS (SELECT a.item_id AS query_id, b.item_id, round(1.0 - list_dot_product(a.vec, b.vec) / (a.norm * b.norm), 6) AS distance
+NEAREST = f"""WITH {UNIT}, d AS (SELECT a.item_id AS query_id, b.item_id, round(1.0 - list_dot_product(a.vec, b.vec) / (a.norm * b.norm), 6) AS distance
       FROM u a JOIN u b ON a.item_id <> b.item_id)
-    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, item_id) AS rank FROM d) WHERE rank <= 10""")
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, item_id) AS rank FROM d) WHERE rank <= 10"""
+
+
+@query(NEAREST)
+def vector_knn_regions(spark, sf):
+    """The same answers region by region, with regions as small as these tables need to have several."""
+    e = _embeddings(spark, sf)
+    q = e.select(F.col("item_id").alias("query_id"), "vec")
+    return vectors.knn(q, e, 10, exclude=q.select("query_id", F.col("query_id").alias("item_id")), region_rows=50)
+
+
+@query(NEAREST)
 def vector_knn(spark, sf):
     """Ten nearest vectors of every vector, itself left out."""
     e = _embeddings(spark, sf)

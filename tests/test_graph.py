@@ -3,10 +3,11 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tagweave.operators import clusters, graph, vectors
+from tagweave.operators import clusters, graph, regions, vectors
 from tagweave.scale import tune
 
 SCHEMA = (
@@ -163,12 +164,14 @@ def test_item_meta_hides_the_marker(items):
     assert row.is_marker and "Repertoire" not in row.tags
 
 
-@pytest.mark.parametrize("block_rows", [9, 4096])
-def test_knn_is_exact_with_exclusions(items, rows, block_rows):
+@pytest.mark.parametrize("block_rows, region_rows", [(9, 4096), (4096, 4096), (4096, 10), (7, 10), (16, 100)])
+def test_knn_is_exact_with_exclusions(items, rows, block_rows, region_rows):
+    """Block by block, and region by region."""
     q = items.select(F.col("item_id").alias("query_id"), "vec")
     exclude = q.select("query_id", F.explode(F.array(F.col("query_id"), (F.col("query_id") + 1) % 160)).alias("item_id"))
     got = defaultdict(list)
-    for r in vectors.knn(q, items, 4, exclude=exclude, block_rows=block_rows).orderBy("rank").collect():
+    found = vectors.knn(q, items, 4, exclude=exclude, block_rows=block_rows, region_rows=region_rows)
+    for r in found.orderBy("rank").collect():
         got[r.query_id].append(r.item_id)
     usable = [r for r in rows if r[2] is not None]
     for i, _, v, *_ in usable:
@@ -182,6 +185,55 @@ def test_self_query_has_distance_zero(items):
     assert best.item_id == 5 and best.distance == 0.0
 
 
+def planted(spark, n=4000, clusters=40, dim=16):
+    """Vectors around centres far apart, a third of all around the first; some zero vectors and copies."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(clusters, dim))
+    own = np.where(rng.random(n) < 1 / 3, 0, rng.integers(0, clusters, n))
+    vecs = centres[own] + 0.02 * rng.normal(size=(n, dim))
+    vecs[::500] = 0.0
+    vecs[7::400] = vecs[7]
+    return vecs, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "id BIGINT, vec ARRAY<DOUBLE>")
+
+
+def test_regions_visit_a_small_part_of_all_pairs(spark):
+    vecs, corpus = planted(spark)
+    queries = corpus.filter("id % 5 = 1").withColumn("fetch", F.lit(6))
+    _, known = regions.build(corpus, len(vecs), 40)
+    assert known.size.sum() == len(vecs) and known.size[-1] == 8
+    first = [r for r in regions.visits(queries, known, rest=False).select("id", "region").collect()]
+    unit = np.divide(vecs, np.linalg.norm(vecs, axis=1, keepdims=True), out=np.zeros_like(vecs), where=vecs.any(axis=1, keepdims=True))
+    distance = np.round(1 - unit @ unit.T, 6)
+    limits = [(i, float(np.sort(distance[i])[5])) for i in range(len(vecs))]
+    limited = queries.join(spark.createDataFrame(limits, "id BIGINT, limit DOUBLE"), "id")
+    second = [r for r in regions.visits(limited, known, rest=True).select("id", "region").collect()]
+    compared = sum(int(known.size[r.region]) for r in first + second)
+    # A query around the first centre has a third of all rows that are as near as its answers.
+    assert compared < 0.25 * 800 * len(vecs)
+    assert len(set(map(tuple, first + second))) == len(first) + len(second)
+    got = defaultdict(list)
+    for r in regions.knn(queries, corpus, len(vecs), 6, block_rows=150, region_rows=40).orderBy("rank").collect():
+        got[r.query_id].append((r.item_id, r.distance))
+    assert len(got) == 800
+    for i, found in got.items():
+        want = np.lexsort((np.arange(len(vecs)), distance[i]))[:6]
+        assert [j for j, _ in found] == want.tolist() and [d for _, d in found] == pytest.approx(distance[i][want])
+
+
+def test_zero_queries_and_odd_tables(spark):
+    _, corpus = planted(spark, 60, 3)
+    zero = spark.createDataFrame([(1, [0.0] * 16), (2, None)], "query_id BIGINT, vec ARRAY<DOUBLE>")
+    items = corpus.withColumnRenamed("id", "item_id")
+    found = vectors.knn(zero, items, 3, region_rows=5).orderBy("rank").collect()
+    assert [(r.query_id, r.item_id, r.distance) for r in found] == [(1, 0, 1.0), (1, 1, 1.0), (1, 2, 1.0)]
+    nothing = items.withColumn("vec", F.array(*[F.lit(0.0)] * 16))
+    q = items.filter("item_id = 9").select(F.col("item_id").alias("query_id"), "vec")
+    assert [r.item_id for r in vectors.knn(q, nothing, 2, region_rows=5).orderBy("rank").collect()] == [0, 1]
+    assert vectors.knn(q, items.filter("false"), 2, region_rows=5).isEmpty()
+    assert vectors.knn(q.filter("false"), items, 2, region_rows=5).isEmpty()
+    assert vectors.knn(q, items, 100, region_rows=5).count() == 60
+
+
 def test_predicate_restricts_answers(items):
     e = items.withColumn("kind", F.col("item_id") % 2)
     q = e.select(F.col("item_id").alias("query_id"), "vec", "kind")
