@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagweave.scale import attach_to_key
+
 BLOCK_ROWS = 4096
 STRIP_ROWS = 256
 
@@ -43,12 +45,13 @@ def pair_cells(
 
     ``members`` holds (id, key) pairs, ``payload`` the wide columns per id. A row of block b goes to
     the cells (min(b, o), max(b, o)) for every block o, so each unordered pair of blocks meets
-    exactly once. Group sizes are joined to the narrow pairs; the payload moves once by id and once
-    to its cells.
+    exactly once. Sizes of the groups of several blocks are joined to the narrow pairs, salted; the payload
+    moves once by id and once to its cells.
     """
     sizes = members.groupBy(key).agg(_block_count(F.count(F.lit(1)), block_rows).alias("n_blocks"))
     placed = (
-        members.join(sizes, key)
+        attach_to_key(members, sizes.filter("n_blocks > 1"), [key], id_col, "left")
+        .withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1)))
         .withColumn("block", _own_block(id_col, "n_blocks"))
         .join(payload, id_col)
         .withColumn("other", F.explode(F.expr("sequence(0, n_blocks - 1)")))
@@ -83,7 +86,7 @@ def grid_cells(
 
     if keys:
         sizes = counts(queries, "n_query").join(counts(corpus, "n_corpus"), list(keys))
-        narrow = both.select(id_col, "is_query", *keys).join(sizes, list(keys)).drop(*keys)
+        narrow = attach_to_key(both.select(id_col, "is_query", *keys), sizes, list(keys), id_col).drop(*keys)
         sized = both.join(narrow, [id_col, "is_query"])
     else:
         sized = both.withColumn("n_query", counts(queries, "n").scalar()).withColumn(

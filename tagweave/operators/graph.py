@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from tagweave.functions import scores as S
 from tagweave.functions import text as X
 from tagweave.operators import blocks
-from tagweave.scale import metric_rows, top_per
+from tagweave.scale import attach_to_key, metric_rows, top_per
 
 
 def item_tags(items: DataFrame, marker: str = X.MARKER_TAG) -> DataFrame:
@@ -32,7 +32,7 @@ def tag_index(tags: DataFrame) -> DataFrame:
     Kept as rows, sorted within tags on write, because one tag may hold a large share of all items
     and must not become a single array.
     """
-    return tags.join(tag_sizes(tags), "tag").select("tag", "item_id", "n")
+    return attach_to_key(tags, tag_sizes(tags), ["tag"], "item_id").select("tag", "item_id", "n")
 
 
 def _connected(items: DataFrame, marker: str) -> DataFrame:

@@ -24,6 +24,8 @@ from tagweave.scale import staged, top_per, unstaged
 #: Rows of a region that the number of pivots aims at, and the most pivots, which travel to every task.
 REGION_ROWS = 4096
 MAX_PIVOTS = 1024
+#: A corpus of fewer regions is compared block by block; two passes would cost more than they spare.
+MIN_REGIONS = 8
 #: Rows read for each pivot; pivots are picked among them, each far from those before.
 SAMPLE_PER_PIVOT = 8
 #: Bounds give way by this much, more than rounding of distances and of angles can amount to.

@@ -51,8 +51,8 @@ def knn(
 ) -> DataFrame:
     """The ``n`` nearest corpus rows of each query by cosine distance: exact, block by block.
 
-    Without ``where``, a corpus of more than one region (``region_rows``) is searched region by region, and
-    only the regions that can hold an answer are visited (see ``regions``); the answers are the same.
+    Without ``where``, a corpus of more than a few regions of ``region_rows`` is searched region by region,
+    and only the regions that can hold an answer are visited (see ``regions``); the answers are the same.
 
     ``queries`` has query_id and vec, ``corpus`` item_id and vec. ``where`` names columns that both
     sides carry and that must be equal; they become the grouping of the blocks, so a predicate
@@ -71,7 +71,7 @@ def knn(
         fetch = F.lit(n) + F.coalesce("_extra", F.lit(0))
     q = q.select("id", "vec", *keys, fetch.cast("int").alias("fetch"))
     rows = 0 if keys else c.count()
-    if rows > region_rows:
+    if rows > regions.MIN_REGIONS * region_rows:
         return regions.knn(q, c, rows, n, exclude, block_rows, region_rows)
     c = c.withColumn("fetch", F.lit(0))
     cells = blocks.grid_cells(q, c, keys, "id", block_rows)

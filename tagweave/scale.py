@@ -148,6 +148,24 @@ def attach_to_lines(
     return keyed.join(spread, ["item_id", "_chunk"], "left").drop("_chunk")
 
 
+#: Places over which the rows of one key meet what is known of the key.
+SALTS = 64
+
+
+def attach_to_key(
+    rows: DataFrame, per_key: DataFrame, keys: list[str], id_col: str, how: str = "inner", salts: int = SALTS
+) -> DataFrame:
+    """Join a narrow one-row-per-key table to its rows without one task per key.
+
+    The key's row is repeated ``salts`` times and rows go by their ids' hashes, so a key of a third of all
+    rows is spread. An aggregated side cannot be left to the skew rule: it splits only sides that are
+    shuffled for the join itself.
+    """
+    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(F.lit(23), id_col), F.lit(salts)).cast("int"))
+    return salted.join(per_key.withColumn("_salt", copies), [*keys, "_salt"], how).drop("_salt")
+
+
 def positions(
     df: DataFrame, keys: list[str], bucket: Column, order: list[Column], name: str = "pos"
 ) -> DataFrame:

@@ -123,6 +123,29 @@ def test_cells_of_one_hot_tag_spread_over_tasks(spark):
     assert sizes[0] < 400 and sizes[1] == 40 * 41 // 2
 
 
+def test_rows_of_a_hot_tag_meet_its_size_in_many_tasks(spark):
+    n = 9000
+    tag = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), F.col("id") % 2000))
+    tags = spark.range(n).select(F.col("id").alias("item_id"), tag.alias("tag"))
+    changed = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in changed}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        placed = graph.tag_index(tags).withColumn("task", F.spark_partition_id())
+        per_task = [r[1] for r in placed.filter("tag = 'hot'").groupBy("task").agg(F.count("*")).collect()]
+        assert sum(per_task) == n // 3 and max(per_task) < n // 3 / 4
+        plan = graph.tag_index(tags)._jdf.queryExecution().executedPlan().toString()
+        assert "_salt" in plan.split("Join", 1)[1].split("\n")[0]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = {(r.tag, r.item_id) for r in tags.collect()}
+    got = graph.tag_index(tags).collect()
+    assert len(got) == n and {(r.tag, r.item_id) for r in got} == want
+    assert all(r.n == n // 3 for r in got if r.tag == "hot")
+
+
 def test_stats(items, rows):
     edges = graph.similarity_graph(items)
     stats = {r.metric: r.value for r in graph.graph_stats(items, edges).collect()}
@@ -164,7 +187,7 @@ def test_item_meta_hides_the_marker(items):
     assert row.is_marker and "Repertoire" not in row.tags
 
 
-@pytest.mark.parametrize("block_rows, region_rows", [(9, 4096), (4096, 4096), (4096, 10), (7, 10), (16, 100)])
+@pytest.mark.parametrize("block_rows, region_rows", [(9, 4096), (4096, 4096), (4096, 10), (7, 10), (16, 100), (16, 19)])
 def test_knn_is_exact_with_exclusions(items, rows, block_rows, region_rows):
     """Block by block, and region by region."""
     q = items.select(F.col("item_id").alias("query_id"), "vec")
