@@ -42,6 +42,32 @@ def _connected(items: DataFrame, marker: str) -> DataFrame:
 
 
 _CANDIDATE = "src long, tag string, core boolean, dst long, score double, n_tags int"
+_KIND_CANDIDATE = "kind string, plain boolean, tag string, core boolean, dst long, score double"
+#: Items of a kind that its lists hold: a branch pool, which also is the core pool and an item itself.
+KIND_IDS = max(S.POOL_PER_TAG, S.CORE_PER_TAG + 1)
+
+
+def _scored(n_shared: np.ndarray, mine: np.ndarray, theirs: np.ndarray, cos: np.ndarray | float) -> list[tuple]:
+    """(core, rounded score, kept, candidates per tag) of core and of branch pairs."""
+    core = n_shared == mine
+    core_score = S.TAG_WEIGHT * (n_shared / (mine + theirs - n_shared)) + S.VECTOR_WEIGHT * cos
+    bonus = np.minimum((theirs - n_shared) * S.BRANCH_NEW_TAG_BONUS, S.BRANCH_BONUS_CAP)
+    branch_score = cos * S.BRANCH_VECTOR_WEIGHT + bonus + S.BRANCH_BASE
+    return [
+        (is_core, np.round(score, S.ROUND_DIGITS), keep, k)
+        for is_core, score, keep, k in (
+            (True, core_score, core & (core_score > S.CORE_MIN), S.CORE_PER_TAG),
+            (False, branch_score, ~core & (branch_score > S.BRANCH_MIN), S.POOL_PER_TAG),
+        )
+    ]
+
+
+def _sides(pdf: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(source rows, target rows) of a cell: both ways, or all rows against each other."""
+    if pdf["cell_a"].iat[0] == pdf["cell_b"].iat[0]:
+        return [(np.arange(len(pdf)), np.arange(len(pdf)))]
+    a, b = (np.flatnonzero(pdf["block"].to_numpy() == pdf[c].iat[0]) for c in ("cell_a", "cell_b"))
+    return [(a, b), (b, a)] if len(a) and len(b) else []
 
 
 def _cell_candidates(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -50,31 +76,15 @@ def _cell_candidates(pdf: pd.DataFrame) -> pd.DataFrame:
     ids = pdf["item_id"].to_numpy()
     n_tags = pdf["tags"].map(len).to_numpy(dtype=float)
     unit = blocks.unit_rows(pdf["vec"])
-    block = pdf["block"].to_numpy()
-    everyone = np.arange(len(pdf))
-    sides = [(everyone, everyone)]
-    if pdf["cell_a"].iat[0] != pdf["cell_b"].iat[0]:
-        a, b = (np.flatnonzero(block == pdf[c].iat[0]) for c in ("cell_a", "cell_b"))
-        sides = [(a, b), (b, a)] if len(a) and len(b) else []
-
     parts = []
-    for src, dst in sides:
+    for src, dst in _sides(pdf):
         shared = blocks.SharedTags(pdf["tags"], src, dst)
         for low, high in blocks.strips(len(src)):
             rows = src[low:high]
-            n_shared, cos = shared.strip(low, high), unit[rows] @ unit[dst].T
-            mine, theirs = n_tags[rows][:, None], n_tags[dst][None, :]
-            other, core = ids[rows][:, None] != ids[dst][None, :], n_shared == mine
-            jac = n_shared / (mine + theirs - n_shared)
-            core_score = S.TAG_WEIGHT * jac + S.VECTOR_WEIGHT * cos
-            bonus = np.minimum((theirs - n_shared) * S.BRANCH_NEW_TAG_BONUS, S.BRANCH_BONUS_CAP)
-            branch_score = cos * S.BRANCH_VECTOR_WEIGHT + bonus + S.BRANCH_BASE
-            for is_core, score, keep, k in (
-                (True, core_score, other & core & (core_score > S.CORE_MIN), S.CORE_PER_TAG),
-                (False, branch_score, other & ~core & (branch_score > S.BRANCH_MIN), S.POOL_PER_TAG),
-            ):
-                score = np.round(score, S.ROUND_DIGITS)
-                r, c = blocks.best_per_row(score, keep, k)
+            other = ids[rows][:, None] != ids[dst][None, :]
+            pairs = shared.strip(low, high), n_tags[rows][:, None], n_tags[dst][None, :], unit[rows] @ unit[dst].T
+            for is_core, score, keep, k in _scored(*pairs):
+                r, c = blocks.best_per_row(score, other & keep, k)
                 parts.append(
                     pd.DataFrame(
                         {
@@ -91,20 +101,137 @@ def _cell_candidates(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(parts, ignore_index=True).assign(tag=pdf["tag"].iat[0])
 
 
+def _kind_candidates(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Best candidates of the kinds of one (tag, block pair) cell where vectors count for nothing.
+
+    Twice: for the items without a vector, whom any item may answer, and for those with one, whom here
+    only items without one answer. A kind's best ids are among the lists of as many best kinds, ordered
+    by their least ids.
+    """
+    kinds, parts = pdf["kind"].to_numpy(), []
+    n_tags = pdf["tags"].map(len).to_numpy(dtype=float)
+    for plain, asks, lists in ((True, "asks_plain", "ids"), (False, "asks_vec", "plain_ids")):
+        size = pdf[lists].map(len).to_numpy()
+        least = np.array([v[0] if n else 0 for v, n in zip(pdf[lists], size, strict=True)])
+        asking = pdf[asks].to_numpy(dtype=bool)
+        for src, dst in _sides(pdf):
+            src, dst = src[asking[src]], dst[size[dst] > 0]
+            dst = dst[np.argsort(least[dst], kind="stable")]
+            if not len(src) or not len(dst):
+                continue
+            shared = blocks.SharedTags(pdf["tags"], src, dst)
+            for low, high in blocks.strips(len(src)):
+                rows = src[low:high]
+                pairs = shared.strip(low, high), n_tags[rows][:, None], n_tags[dst][None, :], 0.0
+                for is_core, score, keep, k in _scored(*pairs):
+                    k += is_core  # an item may find itself
+                    r, c = blocks.best_per_row(score, keep, k)
+                    if not len(r):
+                        continue
+                    listed = pdf[lists].to_numpy()[dst[c]]
+                    n = size[dst[c]]
+                    row, points = np.repeat(r, n), np.repeat(score[r, c], n)
+                    found = np.concatenate(listed)
+                    order = np.lexsort((found, -points, row))
+                    row, points, found = row[order], points[order], found[order]
+                    first = np.arange(len(row)) - np.searchsorted(row, row) < k
+                    parts.append(
+                        pd.DataFrame(
+                            {
+                                "kind": kinds[rows][row[first]],
+                                "plain": plain,
+                                "core": is_core,
+                                "dst": found[first],
+                                "score": points[first],
+                            }
+                        )
+                    )
+    if not parts:
+        return pd.DataFrame(columns=["kind", "plain", "tag", "core", "dst", "score"])
+    return pd.concat(parts, ignore_index=True).assign(tag=pdf["tag"].iat[0])
+
+
+def _least_ids(rows: DataFrame, name: str) -> DataFrame:
+    """The least ids of every kind, in order."""
+    least = top_per(rows.select("kind", "item_id"), ["kind"], [F.asc("item_id")], KIND_IDS)
+    return least.groupBy("kind").agg(F.sort_array(F.collect_list("item_id")).alias(name))
+
+
+def _kinds(items: DataFrame, marker: str) -> DataFrame:
+    """Connected items with their kind: items of the same tags are of one kind; ``plain`` ones lack a vector."""
+    return _connected(items, marker).withColumn("kind", F.to_json("tags")).withColumn("plain", F.col("vec").isNull())
+
+
+def kind_candidates(rows: DataFrame, block_rows: int) -> DataFrame:
+    """Best candidates of every kind and tag among items for which vectors count for nothing."""
+    kinds = (
+        rows.groupBy("kind").agg(
+            F.first("tags").alias("tags"),
+            F.bool_or("plain").alias("asks_plain"), F.bool_or(~F.col("plain")).alias("asks_vec"),
+        )
+        .join(_least_ids(rows, "ids"), "kind")
+        .join(_least_ids(rows.filter("plain"), "plain_ids"), "kind", "left")
+        .withColumn("plain_ids", F.coalesce("plain_ids", F.expr("cast(array() as array<bigint>)")))
+    )
+    members = rows.groupBy("kind").agg(F.first("tags").alias("tags")).select("kind", F.explode("tags").alias("tag"))
+    cells = blocks.pair_cells(members, kinds, "tag", "kind", block_rows)
+    found = cells.groupBy("tag", "cell_a", "cell_b").applyInPandas(_kind_candidates, _KIND_CANDIDATE)
+    best = top_per(
+        found, ["kind", "plain", "tag", "core"], [F.desc("score"), F.asc("dst")], KIND_IDS, "_place"
+    )
+    return best.drop("_place")
+
+
+def stand_ins(items: DataFrame, marker: str = X.MARKER_TAG) -> DataFrame:
+    """(item_id, src): items without a vector whose candidates are those of another item of their tags.
+
+    Such items differ at most in that each leaves itself out, and only the first of a kind are in its own
+    lists. So the first other item of a kind without a vector stands in for all the others.
+    """
+    rows = _kinds(items, marker).select("item_id", "kind", "plain")
+    listed = top_per(rows, ["kind"], [F.asc("item_id")], KIND_IDS).select("item_id")
+    alike = rows.filter("plain").join(listed, "item_id", "left_anti").select("item_id", "kind")
+    first = alike.groupBy("kind").agg(F.min("item_id").alias("src"))
+    return attach_to_key(alike, first, ["kind"], "item_id").filter("item_id <> src").select("item_id", "src")
+
+
+def for_all(per_src: DataFrame, standing: DataFrame) -> DataFrame:
+    """Rows of every item, those of items that others stand in for included."""
+    copies = per_src.join(standing, "src").drop("src").withColumnRenamed("item_id", "src")
+    return per_src.unionByName(copies)
+
+
 def tag_candidates(
-    items: DataFrame, marker: str = X.MARKER_TAG, block_rows: int = blocks.BLOCK_ROWS
+    items: DataFrame,
+    marker: str = X.MARKER_TAG,
+    block_rows: int = blocks.BLOCK_ROWS,
+    standing: DataFrame | None = None,
 ) -> DataFrame:
     """Best core and branch candidates per (item, tag), before the pools are cut.
 
-    Core candidates share all of the item's tags, branch candidates only some. Tags are split into
-    bounded blocks (see ``blocks``), so a tag carried by a third of all items runs as many cells.
+    Core candidates share all of the item's tags, branch candidates only some. Pairs of items with
+    vectors are compared in bounded blocks (see ``blocks``), so a tag carried by a third of all items runs as
+    many cells. All other pairs score by their tags alone: there, kinds of items are compared instead of items.
+    Items in ``standing`` (see ``stand_ins``) are left out as sources.
     The result is laid out by item, which every later step of the graph reuses.
     """
-    rows = _connected(items, marker)
-    members = rows.select("item_id", F.explode("tags").alias("tag"))
-    cells = blocks.pair_cells(members, rows, "tag", "item_id", block_rows)
+    rows = _kinds(items, marker)
+    with_vec = rows.filter(~F.col("plain")).select("item_id", "tags", "vec")
+    members = with_vec.select("item_id", F.explode("tags").alias("tag"))
+    cells = blocks.pair_cells(members, with_vec, "tag", "item_id", block_rows)
     found = cells.groupBy("tag", "cell_a", "cell_b").applyInPandas(_cell_candidates, _CANDIDATE)
-    return found.repartition("src")
+    narrow = rows.select("item_id", "tags", "kind", "plain")
+    sources = narrow.select(F.col("item_id").alias("src"), "kind", "plain", F.size("tags").alias("n_tags"))
+    if standing is not None:
+        sources = sources.join(standing.select(F.col("item_id").alias("src")), "src", "left_anti")
+    by_kind = sources.join(kind_candidates(narrow, block_rows), ["kind", "plain"]).filter("src <> dst")
+    return found.unionByName(by_kind.select(*found.columns)).repartition("src")
+
+
+def candidate_pools(items: DataFrame, marker: str = X.MARKER_TAG, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
+    """The pools of every (item, tag)."""
+    standing = stand_ins(items, marker)
+    return for_all(pool_topk(tag_candidates(items, marker, block_rows, standing)), standing)
 
 
 def pool_topk(candidates: DataFrame) -> DataFrame:
@@ -154,7 +281,9 @@ def similarity_graph(
     ``items`` needs item_id, tags and vec (an array, null when the item has no vector). Scores are
     rounded to six digits before ranking; ties prefer core over branch, then the lower id.
     """
-    return pooled_edges(items, pool_topk(tag_candidates(items, marker, block_rows)), marker, k_max, per_tag_min)
+    standing = stand_ins(items, marker)
+    pooled = pool_topk(tag_candidates(items, marker, block_rows, standing))
+    return for_all(pooled_edges(items, pooled, marker, k_max, per_tag_min), standing)
 
 
 def pooled_edges(
@@ -291,7 +420,7 @@ class GraphBundle:
 
 def build_bundle(items: DataFrame, marker: str = X.MARKER_TAG) -> GraphBundle:
     """All graph tables of a corpus; ``items`` carries the metadata columns and ``vec``."""
-    pooled = pool_topk(tag_candidates(items, marker))
-    edges = pooled_edges(items, pooled, marker)
+    pooled = candidate_pools(items, marker)
+    edges = similarity_graph(items, marker)
     stats = graph_stats(items, edges, marker, pooled)
     return GraphBundle(edges, tag_index(item_tags(items, marker)), item_meta(items, marker), stats)

@@ -51,12 +51,12 @@ def edge_similarities(spark, sf):
 @query(sql("pooled", "SELECT src, tag, core, dst, score, pool_rank FROM pooled"))
 def candidate_pools(spark, sf):
     """Core and branch pools per (item, tag)."""
-    return graph.pool_topk(graph.tag_candidates(B.tagged_items(spark, sf))).drop("n_tags")
+    return graph.candidate_pools(B.tagged_items(spark, sf)).drop("n_tags")
 
 
 @query(sql("slotted", "SELECT src, tag, core, dst, score, slot FROM slotted"))
 def slot_allocation(spark, sf):
-    pooled = graph.pool_topk(graph.tag_candidates(B.tagged_items(spark, sf)))
+    pooled = graph.candidate_pools(B.tagged_items(spark, sf))
     return graph.allocate_slots(pooled).drop("pool_rank", "n_tags")
 
 
@@ -71,14 +71,13 @@ def slot_allocation(spark, sf):
     UNION ALL SELECT 'empty_clusters', count(*)::DOUBLE FROM it WHERE (item_id, tag) NOT IN (SELECT (src, tag) FROM pooled)"""))
 def graph_stats(spark, sf):
     items = B.tagged_items(spark, sf)
-    pooled = graph.pool_topk(graph.tag_candidates(items))
-    return graph.graph_stats(items, graph.pooled_edges(items, pooled), pooled=pooled)
+    return graph.graph_stats(items, graph.similarity_graph(items), pooled=graph.candidate_pools(items))
 
 
 @query(sql("it", "pooled", "SELECT item_id AS src, tag FROM it WHERE (item_id, tag) NOT IN (SELECT (src, tag) FROM pooled)"))
 def empty_clusters(spark, sf):
     items = B.tagged_items(spark, sf)
-    return graph.empty_clusters(items, graph.pool_topk(graph.tag_candidates(items)))
+    return graph.empty_clusters(items, graph.candidate_pools(items))
 
 
 @query(sql("it", "pooled", f"""SELECT item_id AS src, tag FROM it
@@ -86,7 +85,7 @@ def empty_clusters(spark, sf):
 def weak_clusters(spark, sf):
     """(item, tag) pairs whose best candidate scores below a bound."""
     items = B.tagged_items(spark, sf)
-    return graph.empty_clusters(items, graph.pool_topk(graph.tag_candidates(items)), least=WEAK_BELOW)
+    return graph.empty_clusters(items, graph.candidate_pools(items), least=WEAK_BELOW)
 
 
 @query(sql("edges", "nt", """+ x AS (SELECT src, list_filter(b.tags, lambda t: NOT list_contains(a.tags, t)) AS fresh, len(shared_tags) = a.nt AS red

@@ -335,3 +335,20 @@ def test_score_range_uses_raw_scores_and_upper_median(spark):
 
 def test_tune_is_idempotent(spark):
     assert tune(tune(spark)) is spark
+
+
+@pytest.mark.parametrize("block_rows", [5, 4096])
+def test_items_without_vectors_are_compared_by_kind(spark, monkeypatch, block_rows):
+    """The cells see kinds and items with vectors, not all items; the edges are those of the plain loop."""
+    rng = random.Random(3)
+    sets = [rng.sample("abcdefg", rng.choice([1, 2, 3, 5])) for _ in range(9)]
+    rows = [
+        (i, rng.choice(sets), [rng.gauss(0, 1) for _ in range(4)] if i % 10 == 9 else None, "", "", "", "", 0, "", "", "")
+        for i in range(400)
+    ]
+    many, seen = spark.createDataFrame(rows, SCHEMA), []
+    cells = graph.blocks.pair_cells
+    monkeypatch.setattr(graph.blocks, "pair_cells", lambda m, p, *a: seen.append(p.count()) or cells(m, p, *a))
+    got = collected(graph.similarity_graph(many, block_rows=block_rows))
+    assert got == brute_force(rows)
+    assert sorted(seen) == [len({tuple(sorted(s)) for s in sets}), 40]
