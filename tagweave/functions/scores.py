@@ -64,20 +64,25 @@ def distance_to_score(distance: Column) -> Column:
     return _clamp(1 - F.coalesce(distance, F.lit(DEFAULT_DISTANCE)), 0.0, 1.0)
 
 
+def _tenths(c: Column) -> Column:
+    """Rounded to one digit, half away from zero, as SQL does it: 3.4499999999999997, which is 0.345 * 10, counts as 3.45."""
+    return F.round(c * 10) / 10
+
+
 def graph_connection_score(score: Column, shared_tags: Column) -> Column:
     """1–10 display score of a graph suggestion: base plus a bonus per distinct shared tag."""
     bonus = F.least(F.size(F.array_distinct(shared_tags)) * F.lit(0.3), F.lit(1.0))
-    return F.round(_clamp(score * 9 + bonus, 1.0, 10.0), 1)
+    return _tenths(_clamp(score * 9 + bonus, 1.0, 10.0))
 
 
 def vector_connection_score(distance: Column) -> Column:
     """1–10 display score of a vector suggestion."""
-    return F.round(_clamp((1 - F.coalesce(distance, F.lit(DEFAULT_DISTANCE))) * 10, 1.0, 10.0), 1)
+    return _tenths(_clamp((1 - F.coalesce(distance, F.lit(DEFAULT_DISTANCE))) * 10, 1.0, 10.0))
 
 
 def relevance(distance: Column) -> Column:
     """Occasion relevance on a 0–10 scale, not clamped."""
-    return F.round((1 - F.coalesce(distance, F.lit(DEFAULT_DISTANCE))) * 10, 1)
+    return _tenths((1 - F.coalesce(distance, F.lit(DEFAULT_DISTANCE))) * 10)
 
 
 def connection_text(shared_tags: Column) -> Column:

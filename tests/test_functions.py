@@ -113,6 +113,13 @@ def test_only_a_missing_distance_takes_the_default(value):
     assert value(S.relevance(none)) == 5.0
 
 
+def test_display_scores_round_as_the_sql_does(value):
+    # 0.345 * 10 and 0.335 * 10 lie a hair below 3.45 and 3.35 as doubles; SQL rounds ten times as much.
+    assert value(S.vector_connection_score(F.lit(0.655))) == 3.5
+    assert value(S.vector_connection_score(F.lit(0.665))) == 3.4
+    assert value(S.relevance(F.lit(0.655))) == 3.5
+
+
 def test_graph_connection_score(value):
     tags = F.array(F.lit("a"), F.lit("a"), F.lit("b"))
     assert value(S.graph_connection_score(F.lit(0.5), tags)) == 5.1
