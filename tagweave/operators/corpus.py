@@ -143,8 +143,12 @@ def first_content_line(
     heading_words: Sequence[str] = X.HEADING_WORDS,
     delimiter: str = X.DELIMITER,
     digits: str = X.NATIVE_DIGITS,
+    numbers: bool = False,
 ) -> DataFrame:
-    """First line per item that is no blank, skip line, invocation or heading; numbers stripped."""
+    """First line per item that is no blank, skip line, invocation or heading.
+
+    Its trailing line number goes, unless ``numbers`` are to stay: in prose "version 3." is no line number.
+    """
     clean = X.strip("body")
     skipped = (
         (clean == "")
@@ -154,7 +158,7 @@ def first_content_line(
     )
     line = F.min_by(clean, F.col("line_no")).alias("line")
     firsts = lines.filter(~skipped).groupBy("item_id").agg(line)
-    return firsts.withColumn("line", X.strip_trailing_number(F.col("line"), delimiter, digits))
+    return firsts if numbers else firsts.withColumn("line", X.strip_trailing_number(F.col("line"), delimiter, digits))
 
 
 def first_untitled_line(

@@ -1,4 +1,5 @@
 import json
+import tempfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,6 +90,17 @@ def test_content_lines_and_display_repair(spark):
     assert counts == {"changed": 2, "unchanged": 1}  # item 1 was fixed twice, counted once
 
 
+def test_numbers_of_prose_stay_in_content_lines(spark):
+    from tagweave.plans import corpora
+
+    lines_of = {1: "Licensed under CC BY-NC 4.0.", 2: "Et.\nGNU General Public License, version 3.", 3: "A line of prose 12 "}
+    docs = spark.createDataFrame([(i, t, "en", "web") for i, t in lines_of.items()], "doc_id BIGINT, text STRING, lang STRING, source STRING")
+    with tempfile.TemporaryDirectory() as sf:
+        docs.write.parquet(f"{sf}/documents.parquet")
+        got = {r.item_id: r.line for r in corpora.first_content_line(spark, sf).collect()}
+    assert got == {i: t.split("\n")[-1].strip() for i, t in lines_of.items()}
+
+
 def test_title_display_prefers_the_refrain(spark):
     items = spark.createDataFrame([(1, "ਆਸਾ ਮਹਲਾ ੫"), (2, "ਆਸਾ ਮਹਲਾ ੫"), (3, "ਤੇਰਾ ਨਾਮੁ ਕਰੀ ਚਨਣਾਠੀਆ")], "item_id BIGINT, display STRING")
     spans = spark.createDataFrame([(1, "ਮਨ ਮੇਰੇ ਸੁਖ ਸਹਜ ਸੇਤੀ\nx"), (2, "ਆਸਾ\ny")], "item_id BIGINT, body STRING")
