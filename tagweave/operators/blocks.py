@@ -19,6 +19,8 @@ from tagweave.scale import attach_to_key
 
 BLOCK_ROWS = 4096
 STRIP_ROWS = 256
+#: Tasks for cells, at least, for each core; those without a cell cost nothing.
+CELL_TASKS = 8
 
 
 def _block_count(n: Column, block_rows: int) -> Column:
@@ -33,9 +35,13 @@ def _by_cell(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Lay rows out by cell.
 
     Explicit, because grouping alone would accept rows already laid out by the group key, which
-    puts all cells of a large group into one task.
+    puts all cells of a large group into one task. Into a fixed number of tasks, because adaptive execution
+    would join partitions by their bytes, and a few MB of rows are minutes of work.
     """
-    return df.repartition(*keys, "cell_a", "cell_b")
+    spark = df.sparkSession
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(shuffled, CELL_TASKS * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys, "cell_a", "cell_b")
 
 
 def pair_cells(
@@ -120,39 +126,35 @@ def unit_rows(vectors: pd.Series) -> np.ndarray:
     return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 
 
-class SharedTags:
-    """Counts the tags that rows of a cell have in common, strip by strip.
+#: Tags of a cell that are counted by a matrix product; rarer ones go by lists of their rows.
+DENSE_TAGS = 256
 
-    Works on lists of rows per tag, not on a rows × tags matrix, because a cell may see any number
-    of rare tags.
-    """
 
-    def __init__(self, tags: pd.Series, src: np.ndarray, dst: np.ndarray) -> None:
-        sizes = tags.map(len).to_numpy()
-        row = np.repeat(np.arange(len(tags)), sizes)
-        code, _ = pd.factorize(np.concatenate([np.asarray(t, dtype=object) for t in tags]))
-        self.src_row, self.src_code = self._side(row, code, src, len(tags))
-        cols, codes = self._side(row, code, dst, len(tags))
-        order = np.argsort(codes, kind="stable")
-        self.dst_col, self.dst_code = cols[order], codes[order]
-        self.width = len(dst)
-
-    @staticmethod
-    def _side(row: np.ndarray, code: np.ndarray, index: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        place = np.full(n, -1)
-        place[index] = np.arange(len(index))
-        mine = place[row] >= 0
-        return place[row][mine], code[mine]
-
-    def strip(self, low: int, high: int) -> np.ndarray:
-        """Shared tag counts of source rows ``low`` to ``high`` against all target rows."""
-        out = np.zeros((high - low, self.width))
-        first, last = np.searchsorted(self.src_row, [low, high])
-        rows, codes = self.src_row[first:last] - low, self.src_code[first:last]
-        for c in np.unique(codes):
-            left, right = np.searchsorted(self.dst_code, [c, c + 1])
-            out[np.ix_(rows[codes == c], self.dst_col[left:right])] += 1
+def shared_counts(tags: pd.Series, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """Numbers of tags that source rows and target rows of a cell have in common.
+
+    A rows x tags matrix holds the most frequent tags only, because a cell may see any number of rare ones.
+    """
+    sizes = tags.map(len).to_numpy()
+    row = np.repeat(np.arange(len(tags)), sizes)
+    code, names = pd.factorize(np.concatenate([np.asarray(t, dtype=object) for t in tags]))
+    often = np.argsort(-np.bincount(code), kind="stable")[:DENSE_TAGS]
+    column = np.full(len(names), -1)
+    column[often] = np.arange(len(often))
+    dense = column[code] >= 0
+    has = np.zeros((len(tags), len(often)), dtype=np.float32)
+    has[row[dense], column[code[dense]]] = 1
+    out = (has[src] @ has[dst].T).astype(np.int32)
+    if dense.all():
         return out
+    place = np.full((2, len(tags)), -1)
+    place[0, src], place[1, dst] = np.arange(len(src)), np.arange(len(dst))
+    rare = np.flatnonzero(~dense)
+    rare = rare[np.argsort(code[rare], kind="stable")]
+    for rows in np.split(row[rare], np.flatnonzero(np.diff(code[rare])) + 1):
+        mine, theirs = (p[rows][p[rows] >= 0] for p in place)
+        out[np.ix_(mine, theirs)] += 1
+    return out
 
 
 def strips(n: int, size: int = STRIP_ROWS) -> list[tuple[int, int]]:
@@ -172,3 +174,20 @@ def best_per_row(scores: np.ndarray, keep: np.ndarray, k: int) -> tuple[np.ndarr
     rows, cols = rows[order], cols[order]
     place = np.arange(len(rows)) - np.searchsorted(rows, rows)
     return rows[place < k], cols[place < k]
+
+
+def least_per_row(cost: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's ``k`` lowest costs, lowest first, of costs that differ within a row.
+
+    Costs above the number of columns mean none.
+    """
+    width = cost.shape[1]
+    if k < width:
+        cols = np.argpartition(cost, k - 1, axis=1)[:, :k]
+    else:
+        cols = np.broadcast_to(np.arange(width), cost.shape)
+    chosen = np.take_along_axis(cost, cols, axis=1)
+    order = np.argsort(chosen, axis=1)
+    cols, chosen = np.take_along_axis(cols, order, axis=1), np.take_along_axis(chosen, order, axis=1)
+    rows, at = np.nonzero(chosen < width)
+    return rows, cols[rows, at]

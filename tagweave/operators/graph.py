@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -13,7 +15,7 @@ from pyspark.sql.window import Window
 from tagweave.functions import scores as S
 from tagweave.functions import text as X
 from tagweave.operators import blocks
-from tagweave.scale import attach_to_key, metric_rows, top_per
+from tagweave.scale import attach_to_key, metric_rows, staged, top_per
 
 
 def item_tags(items: DataFrame, marker: str = X.MARKER_TAG) -> DataFrame:
@@ -70,29 +72,107 @@ def _sides(pdf: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(a, b), (b, a)] if len(a) and len(b) else []
 
 
+#: Rows of a strip: its scores stay in a core's cache.
+CELL_STRIP = 64
+#: Pairs of a row that are scored in full to find a bound for all others.
+FIRST_LOOK = 24
+#: Scores are rounded before they are ranked; a bound leaves room for that.
+ROUNDING = 2 * 10.0**-S.ROUND_DIGITS
+
+
+class _Side:
+    """One side of a cell: sources against targets, tags compared once for items of the same tags."""
+
+    def __init__(self, pdf: pd.DataFrame, unit: np.ndarray, src: np.ndarray, dst: np.ndarray) -> None:
+        ids = pdf["item_id"].to_numpy()
+        self.src_ids, self.dst_ids, self.src_unit, self.dst_unit = ids[src], ids[dst], unit[src], unit[dst].T.copy()
+        kind, kinds = pd.factorize(pdf["tags"].map(tuple))
+        tags = pd.Series(kinds).map(list)
+        n_tags = tags.map(len).to_numpy(dtype=float)
+        src_kinds, self.src_kind = np.unique(kind[src], return_inverse=True)
+        dst_kinds, self.dst_kind = np.unique(kind[dst], return_inverse=True)
+        self.n_shared = blocks.shared_counts(tags, src_kinds, dst_kinds)
+        self.mine, self.theirs = n_tags[src_kinds], n_tags[dst_kinds]
+        self.by_kind = np.argsort(self.dst_kind, kind="stable")
+        self.n_of_kind = np.bincount(self.dst_kind, minlength=len(dst_kinds))
+        self.first_of_kind = np.cumsum(self.n_of_kind) - self.n_of_kind
+        bonus = np.minimum((self.theirs - 1) * S.BRANCH_NEW_TAG_BONUS, S.BRANCH_BONUS_CAP)
+        self.most = (bonus + S.BRANCH_BASE)[self.dst_kind]
+        self.same = np.isin(self.src_ids, self.dst_ids).any()
+
+    def core_pairs(self, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, column) of targets that have all tags of the strip's rows."""
+        row, kind = np.nonzero(self.n_shared[kinds] == self.mine[kinds][:, None])
+        n = self.n_of_kind[kind]
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first_of_kind[kind], n)
+        return np.repeat(row, n), self.by_kind[place]
+
+    def best(self, low: int, high: int) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray]]:
+        """(core, row, column, score) of the best candidates of source rows ``low`` to ``high``.
+
+        Any other tag than the cell's that is shared lowers a branch score, so the score with that tag only
+        bounds it. A first look at the highest bounds gives a score that as many candidates reach as are
+        wanted; only pairs whose bound reaches it, too, are scored.
+        """
+        kinds = self.src_kind[low:high]
+        cos = self.src_unit[low:high] @ self.dst_unit
+        width = cos.shape[1]
+
+        def scored(at: np.ndarray, core: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Flat places of kept pairs among ``at``, their rows and scores."""
+            row, col = np.divmod(at, width)
+            k = kinds[row], self.dst_kind[col]
+            _, score, keep, _ = _scored(self.n_shared[k], self.mine[k[0]], self.theirs[k[1]], cos.ravel()[at])[not core]
+            if self.same:
+                keep &= self.src_ids[low:high][row] != self.dst_ids[col]
+            return at[keep], row[keep], score[keep]
+
+        def first(at: np.ndarray, row: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+            order = np.lexsort((at, -score, row))
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            return at[order][place < k], score[order][place < k]
+
+        row, col = self.core_pairs(kinds)
+        core_at = np.sort(row * width + col)
+        at, score = first(*scored(core_at, True), S.CORE_PER_TAG)
+        yield True, at // width, at % width, score
+
+        bound = cos * S.BRANCH_VECTOR_WEIGHT
+        bound += self.most
+        bound.ravel()[core_at] = -np.inf
+        if self.same:
+            bound[self.src_ids[low:high][:, None] == self.dst_ids[None, :]] = -np.inf
+        reach = np.full(high - low, S.BRANCH_MIN - ROUNDING)
+        if width > FIRST_LOOK:
+            look = np.partition(bound, width - FIRST_LOOK, axis=1)[:, width - FIRST_LOOK]
+            look = np.maximum(look, reach)
+            at, row, score = scored(np.flatnonzero(bound >= look[:, None]), False)
+            order = np.lexsort((-score, row))
+            row, score = row[order], score[order]
+            last = np.arange(len(row)) - np.searchsorted(row, row) == S.POOL_PER_TAG - 1
+            reach[row[last]] = np.maximum(reach[row[last]], score[last] - ROUNDING)
+        at, score = first(*scored(np.flatnonzero(bound >= reach[:, None]), False), S.POOL_PER_TAG)
+        yield False, at // width, at % width, score
+
+
 def _cell_candidates(pdf: pd.DataFrame) -> pd.DataFrame:
     """Best core and branch candidates of every row of one (tag, block pair) cell."""
     pdf = pdf.sort_values("item_id").reset_index(drop=True)
-    ids = pdf["item_id"].to_numpy()
-    n_tags = pdf["tags"].map(len).to_numpy(dtype=float)
     unit = blocks.unit_rows(pdf["vec"])
+    n_tags = pdf["tags"].map(len).to_numpy()
     parts = []
     for src, dst in _sides(pdf):
-        shared = blocks.SharedTags(pdf["tags"], src, dst)
-        for low, high in blocks.strips(len(src)):
-            rows = src[low:high]
-            other = ids[rows][:, None] != ids[dst][None, :]
-            pairs = shared.strip(low, high), n_tags[rows][:, None], n_tags[dst][None, :], unit[rows] @ unit[dst].T
-            for is_core, score, keep, k in _scored(*pairs):
-                r, c = blocks.best_per_row(score, other & keep, k)
+        side = _Side(pdf, unit, src, dst)
+        for low, high in blocks.strips(len(src), CELL_STRIP):
+            for is_core, r, c, score in side.best(low, high):
                 parts.append(
                     pd.DataFrame(
                         {
-                            "src": ids[rows][r],
+                            "src": side.src_ids[low + r],
                             "core": is_core,
-                            "dst": ids[dst][c],
-                            "score": score[r, c],
-                            "n_tags": n_tags[rows][r].astype(int),
+                            "dst": side.dst_ids[c],
+                            "score": score,
+                            "n_tags": n_tags[src[low + r]],
                         }
                     )
                 )
@@ -106,46 +186,64 @@ def _kind_candidates(pdf: pd.DataFrame) -> pd.DataFrame:
 
     Twice: for the items without a vector, whom any item may answer, and for those with one, whom here
     only items without one answer. A kind's best ids are among the lists of as many best kinds, ordered
-    by their least ids.
+    by their least ids. Scores depend on three counts, so they are looked up by them.
     """
     kinds, parts = pdf["kind"].to_numpy(), []
-    n_tags = pdf["tags"].map(len).to_numpy(dtype=float)
-    for plain, asks, lists in ((True, "asks_plain", "ids"), (False, "asks_vec", "plain_ids")):
-        size = pdf[lists].map(len).to_numpy()
-        least = np.array([v[0] if n else 0 for v, n in zip(pdf[lists], size, strict=True)])
-        asking = pdf[asks].to_numpy(dtype=bool)
-        for src, dst in _sides(pdf):
-            src, dst = src[asking[src]], dst[size[dst] > 0]
-            dst = dst[np.argsort(least[dst], kind="stable")]
-            if not len(src) or not len(dst):
+    n_tags = pdf["tags"].map(len).to_numpy()
+    counts = np.arange(n_tags.max() + 1)
+    points = 10**S.ROUND_DIGITS
+
+    @cache
+    def by_counts(mine: int) -> list[tuple]:
+        """(core, points or -1 by shared and their number of tags, candidates per tag) of a row with ``mine`` tags."""
+        grid = counts[:, None], float(mine), np.maximum(counts, 1)[None, :], 0.0
+        with np.errstate(divide="ignore"):
+            return [(c, np.where(keep, np.rint(score * points), -1).ravel(), k) for c, score, keep, k in _scored(*grid)]
+
+    for src, dst in _sides(pdf):
+        n_shared = blocks.shared_counts(pdf["tags"], src, dst)
+        n_shared *= len(counts)
+        n_shared += n_tags[dst].astype(n_shared.dtype)
+        for plain, asks, lists in ((True, "asks_plain", "ids"), (False, "asks_vec", "plain_ids")):
+            size = pdf[lists].map(len).to_numpy()[dst]
+            asking, listing = np.flatnonzero(pdf[asks].to_numpy(dtype=bool)[src]), np.flatnonzero(size > 0)
+            if not len(asking) or not len(listing):
                 continue
-            shared = blocks.SharedTags(pdf["tags"], src, dst)
-            for low, high in blocks.strips(len(src)):
-                rows = src[low:high]
-                pairs = shared.strip(low, high), n_tags[rows][:, None], n_tags[dst][None, :], 0.0
-                for is_core, score, keep, k in _scored(*pairs):
-                    k += is_core  # an item may find itself
-                    r, c = blocks.best_per_row(score, keep, k)
-                    if not len(r):
-                        continue
-                    listed = pdf[lists].to_numpy()[dst[c]]
-                    n = size[dst[c]]
-                    row, points = np.repeat(r, n), np.repeat(score[r, c], n)
-                    found = np.concatenate(listed)
-                    order = np.lexsort((found, -points, row))
-                    row, points, found = row[order], points[order], found[order]
-                    first = np.arange(len(row)) - np.searchsorted(row, row) < k
-                    parts.append(
-                        pd.DataFrame(
-                            {
-                                "kind": kinds[rows][row[first]],
-                                "plain": plain,
-                                "core": is_core,
-                                "dst": found[first],
-                                "score": points[first],
-                            }
+            listed = pdf[lists].to_numpy()[dst[listing]]
+            order = np.argsort([v[0] for v in listed], kind="stable")
+            listed, size, listing = listed[order], size[listing[order]], listing[order]
+            asking = asking[np.argsort(n_tags[src[asking]], kind="stable")]
+            at = np.arange(len(listing))
+            for low, high in blocks.strips(len(asking), CELL_STRIP):
+                of = n_tags[src[asking[low:high]]]
+                for mine in np.unique(of):
+                    rows = asking[low:high][of == mine]
+                    places = n_shared[rows][:, listing]
+                    for is_core, score, k in by_counts(int(mine)):
+                        k += is_core  # an item may find itself
+                        cost = score[places]
+                        cost *= -len(at)
+                        cost += at
+                        r, c = blocks.least_per_row(cost, k)
+                        if not len(r):
+                            continue
+                        n = size[c]
+                        row, worth = np.repeat(r, n), np.repeat(score[places[r, c]] / points, n)
+                        found = np.concatenate(listed[c])
+                        order = np.lexsort((found, -worth, row))
+                        row, worth, found = row[order], worth[order], found[order]
+                        first = np.arange(len(row)) - np.searchsorted(row, row) < k
+                        parts.append(
+                            pd.DataFrame(
+                                {
+                                    "kind": kinds[src[rows[row[first]]]],
+                                    "plain": plain,
+                                    "core": is_core,
+                                    "dst": found[first],
+                                    "score": worth[first],
+                                }
+                            )
                         )
-                    )
     if not parts:
         return pd.DataFrame(columns=["kind", "plain", "tag", "core", "dst", "score"])
     return pd.concat(parts, ignore_index=True).assign(tag=pdf["tag"].iat[0])
@@ -173,7 +271,8 @@ def kind_candidates(rows: DataFrame, block_rows: int) -> DataFrame:
         .join(_least_ids(rows.filter("plain"), "plain_ids"), "kind", "left")
         .withColumn("plain_ids", F.coalesce("plain_ids", F.expr("cast(array() as array<bigint>)")))
     )
-    members = rows.groupBy("kind").agg(F.first("tags").alias("tags")).select("kind", F.explode("tags").alias("tag"))
+    kinds = staged(kinds, "kinds")
+    members = kinds.select("kind", F.explode("tags").alias("tag"))
     cells = blocks.pair_cells(members, kinds, "tag", "kind", block_rows)
     found = cells.groupBy("tag", "cell_a", "cell_b").applyInPandas(_kind_candidates, _KIND_CANDIDATE)
     best = top_per(
@@ -188,7 +287,11 @@ def stand_ins(items: DataFrame, marker: str = X.MARKER_TAG) -> DataFrame:
     Such items differ at most in that each leaves itself out, and only the first of a kind are in its own
     lists. So the first other item of a kind without a vector stands in for all the others.
     """
-    rows = _kinds(items, marker).select("item_id", "kind", "plain")
+    return _stand_ins(_kinds(items, marker))
+
+
+def _stand_ins(kinds: DataFrame) -> DataFrame:
+    rows = kinds.select("item_id", "kind", "plain")
     listed = top_per(rows, ["kind"], [F.asc("item_id")], KIND_IDS).select("item_id")
     alike = rows.filter("plain").join(listed, "item_id", "left_anti").select("item_id", "kind")
     first = alike.groupBy("kind").agg(F.min("item_id").alias("src"))
@@ -215,7 +318,10 @@ def tag_candidates(
     Items in ``standing`` (see ``stand_ins``) are left out as sources.
     The result is laid out by item, which every later step of the graph reuses.
     """
-    rows = _kinds(items, marker)
+    return _tag_candidates(_kinds(items, marker), block_rows, standing)
+
+
+def _tag_candidates(rows: DataFrame, block_rows: int, standing: DataFrame | None) -> DataFrame:
     with_vec = rows.filter(~F.col("plain")).select("item_id", "tags", "vec")
     members = with_vec.select("item_id", F.explode("tags").alias("tag"))
     cells = blocks.pair_cells(members, with_vec, "tag", "item_id", block_rows)
@@ -228,10 +334,32 @@ def tag_candidates(
     return found.unionByName(by_kind.select(*found.columns)).repartition("src")
 
 
+@dataclass
+class Candidates:
+    """What edges and pools of a graph are made from: pools of items that no other stands in for."""
+
+    rows: DataFrame
+    standing: DataFrame
+    pooled: DataFrame
+
+    def pools(self) -> DataFrame:
+        """The pools of every (item, tag)."""
+        return for_all(self.pooled, self.standing)
+
+    def edges(self, k_max: int = S.K_MAX, per_tag_min: int = S.PER_TAG_MIN) -> DataFrame:
+        return for_all(_pooled_edges(self.rows.select("item_id", "tags"), self.pooled, k_max, per_tag_min), self.standing)
+
+
+def candidates(items: DataFrame, marker: str = X.MARKER_TAG, block_rows: int = blocks.BLOCK_ROWS) -> Candidates:
+    """Pools of a graph; what several of its steps read is derived from the items once and staged."""
+    rows = staged(_kinds(items, marker), "connected")
+    standing = staged(_stand_ins(rows), "stand-ins")
+    return Candidates(rows, standing, pool_topk(_tag_candidates(rows, block_rows, standing)))
+
+
 def candidate_pools(items: DataFrame, marker: str = X.MARKER_TAG, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
     """The pools of every (item, tag)."""
-    standing = stand_ins(items, marker)
-    return for_all(pool_topk(tag_candidates(items, marker, block_rows, standing)), standing)
+    return candidates(items, marker, block_rows).pools()
 
 
 def pool_topk(candidates: DataFrame) -> DataFrame:
@@ -281,9 +409,7 @@ def similarity_graph(
     ``items`` needs item_id, tags and vec (an array, null when the item has no vector). Scores are
     rounded to six digits before ranking; ties prefer core over branch, then the lower id.
     """
-    standing = stand_ins(items, marker)
-    pooled = pool_topk(tag_candidates(items, marker, block_rows, standing))
-    return for_all(pooled_edges(items, pooled, marker, k_max, per_tag_min), standing)
+    return candidates(items, marker, block_rows).edges(k_max, per_tag_min)
 
 
 def pooled_edges(
@@ -294,7 +420,10 @@ def pooled_edges(
     per_tag_min: int = S.PER_TAG_MIN,
 ) -> DataFrame:
     """The edges of ``similarity_graph`` from candidate pools that are there already."""
-    tags = _connected(items, marker).select("item_id", "tags")
+    return _pooled_edges(_connected(items, marker).select("item_id", "tags"), pooled, k_max, per_tag_min)
+
+
+def _pooled_edges(tags: DataFrame, pooled: DataFrame, k_max: int, per_tag_min: int) -> DataFrame:
     edges = finalize_edges(allocate_slots(pooled, k_max, per_tag_min), k_max)
     src = tags.select(F.col("item_id").alias("src"), F.col("tags").alias("src_tags"))
     dst = tags.select(F.col("item_id").alias("dst"), F.col("tags").alias("dst_tags"))
@@ -420,7 +549,8 @@ class GraphBundle:
 
 def build_bundle(items: DataFrame, marker: str = X.MARKER_TAG) -> GraphBundle:
     """All graph tables of a corpus; ``items`` carries the metadata columns and ``vec``."""
-    pooled = candidate_pools(items, marker)
-    edges = similarity_graph(items, marker)
-    stats = graph_stats(items, edges, marker, pooled)
+    found = candidates(items, marker)
+    found.pooled = staged(found.pooled, "pools")
+    edges = staged(found.edges(), "edges")
+    stats = graph_stats(items, edges, marker, found.pools())
     return GraphBundle(edges, tag_index(item_tags(items, marker)), item_meta(items, marker), stats)

@@ -71,7 +71,9 @@ def slot_allocation(spark, sf):
     UNION ALL SELECT 'empty_clusters', count(*)::DOUBLE FROM it WHERE (item_id, tag) NOT IN (SELECT (src, tag) FROM pooled)"""))
 def graph_stats(spark, sf):
     items = B.tagged_items(spark, sf)
-    return graph.graph_stats(items, graph.similarity_graph(items), pooled=graph.candidate_pools(items))
+    found = graph.candidates(items)
+    found.pooled = staged(found.pooled, "pools")
+    return graph.graph_stats(items, found.edges(), pooled=found.pools())
 
 
 @query(sql("it", "pooled", "SELECT item_id AS src, tag FROM it WHERE (item_id, tag) NOT IN (SELECT (src, tag) FROM pooled)"))

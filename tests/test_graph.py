@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -352,3 +353,46 @@ def test_items_without_vectors_are_compared_by_kind(spark, monkeypatch, block_ro
     got = collected(graph.similarity_graph(many, block_rows=block_rows))
     assert got == brute_force(rows)
     assert sorted(seen) == [len({tuple(sorted(s)) for s in sets}), 40]
+
+
+def test_cells_of_few_bytes_are_many_tasks(spark):
+    """Adaptive execution joins partitions by their bytes, of which a cell has few for its work."""
+    rows = spark.range(400).select(F.col("id").alias("item_id"), F.lit("t").alias("tag"))
+    cells = graph.blocks.pair_cells(rows, rows.select("item_id"), "tag", "item_id", 20)
+    tasks = cells.withColumn("task", F.spark_partition_id()).select("task").distinct().count()
+    assert tasks > 20
+
+
+def test_shared_counts_with_more_tags_than_the_matrix_holds(monkeypatch):
+    rng = np.random.default_rng(5)
+    tags = pd.Series([sorted({f"t{x}" for x in rng.zipf(1.3, 6) % 500}) for _ in range(120)])
+    src, dst = np.arange(0, 120, 2), np.arange(0, 120, 3)
+    want = [[len(set(tags[a]) & set(tags[b])) for b in dst] for a in src]
+    for columns in (256, 7):
+        monkeypatch.setattr(graph.blocks, "DENSE_TAGS", columns)
+        assert graph.blocks.shared_counts(tags, src, dst).tolist() == want
+
+
+def test_rows_of_a_cell_are_scored_in_full_only_where_a_bound_allows(monkeypatch):
+    """The best of each row, as a comparison of all pairs finds them, from a part of the pairs."""
+    rng = np.random.default_rng(6)
+    n = 400
+    tags = [["t", *sorted({f"u{x}" for x in rng.integers(0, 6, rng.integers(0, 4))})] for _ in range(n)]
+    vec = rng.normal(size=(n, 16))
+    pdf = pd.DataFrame({"item_id": np.arange(n), "tags": tags, "vec": list(vec), "tag": "t"})
+    pdf = pdf.assign(block=pdf["item_id"] % 2, cell_a=0, cell_b=1)
+    unit, scored, seen = graph.blocks.unit_rows(pdf["vec"]), graph._scored, []
+    want = set()
+    for i in range(n):
+        found = []
+        for j in range(1 - i % 2, n, 2):
+            shared = len(set(tags[i]) & set(tags[j]))
+            of = scored(np.array(shared), np.array(len(tags[i])), np.array(len(tags[j])), unit[i] @ unit[j])
+            found += [(core, float(-s), j, k) for core, s, keep, k in of if keep]
+        for side in (True, False):
+            best = sorted(x for x in found if x[0] == side)
+            want |= {(i, side, j, round(-s, 6)) for _, s, j, k in best[: best[0][3]]} if best else set()
+    monkeypatch.setattr(graph, "_scored", lambda *a: seen.append(np.size(a[0])) or scored(*a))
+    got = graph._cell_candidates(pdf)
+    assert {(r.src, r.core, r.dst, round(r.score, 6)) for r in got.itertuples()} == want
+    assert sum(seen) < n * n / 2 * 0.8
