@@ -39,8 +39,6 @@ FREQUENT = 1 << 16
 LIGHT_LIMIT = 24
 #: Rows that a shingle of a verified set is worth: it is read, shipped, sorted and counted.
 CHECK_COST = 4
-#: Rounds in which classes with too few shared shingles are dropped and lists are counted anew.
-PRUNINGS = 2
 _U = np.uint64
 
 
@@ -307,7 +305,7 @@ def _repeated(lists: DataFrame) -> DataFrame:
 
 
 def _meeting(listed: DataFrame, num: int, den: int) -> DataFrame:
-    """Rows of the inverted lists of the classes that may have similar ones: token, node.
+    """Inverted lists of the classes that may have similar ones, alike ones once: key, node, weight.
 
     Lists are split by size: size classes are as wide as similar sizes may differ, and a set is in its
     own list and the next larger one, so similar sets still meet. ``shingle`` is the list's shingle.
@@ -325,20 +323,18 @@ def _meeting(listed: DataFrame, num: int, den: int) -> DataFrame:
     need = 1 + F.expr(f"(b - ({num} * b + {den - 1}) DIV {den} + 1) DIV 4")
     last, lists = lists, _repeated(lists)
     unstaged(last)
-    for _ in range(PRUNINGS):
-        counts = lists.groupBy("node").agg(F.count_distinct("shingle").alias("met"), F.min("n").alias("n"))
-        able = counts.withColumn("b", smallest).where(F.col("met") >= need).select("node")
-        able = staged(able, "able")
-        last, lists = lists, _repeated(lists.drop("df").join(linking.small(able), "node", "left_semi"))
-        unstaged(last, able)
-    # Similar classes share ``need`` shingles at least, so each may leave out half of that but one: the
-    # shingles of the longest lists, which tie unlike families together.
+    # A class that meets others in fewer than ``need`` shingles is like none of them. Similar classes share
+    # ``need`` at least, so each of the others may leave out half of that but one: the shingles of the
+    # longest lists, which tie unlike families together. All of it goes over one layout by class.
     own = Window.partitionBy("node")
     most = F.max("df").over(Window.partitionBy("node", "shingle"))
     longest = F.dense_rank().over(own.orderBy(F.desc("most"), "shingle"))
     trimmed = lists.repartition("node").withColumn("most", most).withColumn("nr", longest)
-    trimmed = trimmed.withColumn("b", smallest).where(F.col("nr") > F.floor((need - 1) / 2))
-    out = _repeated(trimmed.select("node", "token"))
+    trimmed = trimmed.withColumn("met", F.max("nr").over(own)).withColumn("b", smallest).withColumn("need", need)
+    trimmed = trimmed.where((F.col("met") >= F.col("need")) & (F.col("nr") > F.floor((F.col("need") - 1) / 2)))
+    last, lists = lists, staged(trimmed.select("node", "token"), "lists")
+    unstaged(last)
+    out = linking.distinct_lists(lists.withColumnRenamed("token", "key"))
     unstaged(lists)
     return out
 
@@ -348,5 +344,4 @@ def _heavy_links(docs: DataFrame, heads: DataFrame, meets: DataFrame, n: int, nu
     nodes = staged(meets.select("node").distinct(), "meeting")
     few = staged(heads.join(linking.small(nodes), "node", "left_semi").select("k1", "k2", "head", "node"), "heads")
     sets = linking.whole_sets(docs, few, n)
-    hits = meets.select(F.col("token").alias("key"), "node")
-    return linking.connect(hits, sets, linking.sketch_likeness(num, den), num, den)
+    return linking.connect(meets, sets, linking.sketch_likeness(num, den), num, den)

@@ -254,8 +254,7 @@ def _cell_pairs(likeness: Likeness, tries: int | None):
 def _apart(here: DataFrame, bodies: DataFrame, likeness: Likeness, tries: int | None) -> DataFrame:
     """Pairs of lists with several components: those outside a list's largest component against all."""
     sizes = staged(here.groupBy("key", "comp").agg(
-        F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("f1"),
-        F.bit_xor(F.xxhash64(F.lit(3), "node")).alias("f2"),
+        F.count(F.lit(1)).alias("size"), *_fingerprints(),
     ), "sizes")
     lists = sizes.groupBy("key").agg(
         F.sum("size").alias("m"), F.max(F.struct("size", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"),
@@ -297,19 +296,41 @@ def _merged(here: DataFrame, found: DataFrame) -> DataFrame:
         after = hooks.join(small(further), "into", "left").select("comp", F.coalesce("to", "into").alias("into"))
         last, hooks = hooks, staged(after, "hooks")
         unstaged(last)
-    out = here.join(small(hooks), "comp", "left").select("key", "node", F.coalesce("into", "comp").alias("comp"))
+    out = here.join(small(hooks), "comp", "left").select(
+        "key", "node", "weight", F.coalesce("into", "comp").alias("comp")
+    )
     out = staged(out, "here")
     unstaged(here, hooks)
     return out
 
 
+def _fingerprints() -> list[Column]:
+    """128 bits that name the sets of a list."""
+    return [F.bit_xor(F.xxhash64("node")).alias("f1"), F.bit_xor(F.xxhash64(F.lit(3), "node")).alias("f2")]
+
+
+def distinct_lists(lists: DataFrame) -> DataFrame:
+    """Lists (a staged table: key, node, each pair once) of two sets or more; of those of the same sets only one.
+
+    Copies share hundreds of shingles and so as many lists. ``weight`` is the number of lists that one stands for.
+    """
+    named = lists.groupBy("key").agg(F.count(F.lit(1)).alias("m"), *_fingerprints()).where("m > 1")
+    one = named.groupBy("m", "f1", "f2").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("weight"))
+    one = staged(one.select("key", "weight"), "distinct-lists")
+    out = staged(lists.join(small(one), "key").select("key", "node", "weight"), "lists")
+    unstaged(one)
+    return out
+
+
 def connect(hits: DataFrame, bodies: DataFrame, likeness: Likeness, num: int, den: int) -> DataFrame:
     """Links (a, b) that join all similar sets sharing a list: every link's component comes out whole.
 
-    ``hits``: key and node, each pair once. ``bodies``: node, size n, mark (bytes of one length for all)
-    and shingles. ``likeness`` must never deny a similar pair. No hits give no links.
+    ``hits``: key and node, each pair once, and the list's weight, 1 where there is none. ``bodies``: node,
+    size n, mark (bytes of one length for all) and shingles. ``likeness`` must never deny a similar pair. No
+    hits give no links.
     """
-    here = staged(hits.select("key", "node", F.col("node").alias("comp")), "here")
+    weight = F.col("weight") if "weight" in hits.columns else F.lit(1)
+    here = staged(hits.select("key", "node", weight.alias("weight"), F.col("node").alias("comp")), "here")
     for number in range(ROUNDS):
         order = F.col("node") if number == 0 else F.xxhash64(F.lit(number), "node")
         mixed = here.groupBy("key").agg(
@@ -318,7 +339,7 @@ def connect(hits: DataFrame, bodies: DataFrame, likeness: Likeness, num: int, de
         ).where("lo <> hi")
         mixed = staged(mixed.select("key", F.col("p.node").alias("pivot"), F.col("p.comp").alias("to")), "mixed")
         met = here.join(small(mixed), "key").where("comp <> to").groupBy("node", "pivot", "comp", "to")
-        best = met.agg(F.count(F.lit(1)).alias("shared")).groupBy("node")
+        best = met.agg(F.sum("weight").alias("shared")).groupBy("node")
         best = best.agg(F.max(F.struct("shared", "pivot", "comp", "to")).alias("m"))
         pairs = best.select(
             F.col("node").alias("a"), F.col("m.pivot").alias("b"), F.col("m.comp").alias("x"), F.col("m.to").alias("y")

@@ -124,6 +124,18 @@ def test_required_and_prefix():
             assert J.needed(a, 85, 100) <= 1 + min(J.more(a, 85, 100), J.more(b, 85, 100))
 
 
+def test_lists_of_the_same_sets_are_one(spark):
+    """Copies share many shingles; their lists are one. A class that shares one shingle with others meets none."""
+    shared = {1: range(20), 2: range(20), 3: range(50, 70), 4: range(50, 70), 5: range(50, 70), 6: [7]}
+    rows = [(node, 100, 20, list(tokens)) for node, tokens in shared.items()]
+    listed = spark.createDataFrame(rows, "node BIGINT, n BIGINT, rare INT, prefix ARRAY<BIGINT>")
+    lists = {}
+    for r in J._meeting(listed, 80, 100).collect():
+        lists.setdefault((r["key"], r["weight"]), []).append(r["node"])
+    # In two size classes each, without two of the shingles.
+    assert sorted((sorted(v), k[1]) for k, v in lists.items()) == [([1, 2], 36), ([3, 4, 5], 36)]
+
+
 def test_sketches_deny_no_similar_pair():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 60, 40)).astype(np.uint64) << np.uint64(40) for _ in range(60)]
