@@ -25,6 +25,7 @@ from operator import itemgetter
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ SAMPLES = 2
 SEED = 29
 SLICE_CHARS = 1 << 19
 #: Nodes of words whose lattices a task keeps from slice to slice, at about 200 bytes each.
-KEPT_ROWS = 1 << 20
+KEPT_ROWS = 1 << 19
 _STRIP = 1 << 15
 SPACE = "▁"
 _SPACE = ord(SPACE)
@@ -154,6 +155,12 @@ def _utf8_length(codes: np.ndarray) -> np.ndarray:
     )
 
 
+@lru_cache(maxsize=1)
+def _vocabulary(model: bytes) -> Vocabulary:
+    """One vocabulary for all tasks of a worker process."""
+    return Vocabulary(model)
+
+
 class Lattices:
     """Backward transition probabilities of all nodes of distinct words, kept for the slices to come.
 
@@ -307,7 +314,7 @@ class Sample:
 
 class Sampler:
     def __init__(self, model: bytes, k: int = SAMPLES, seed: int = SEED):
-        self.vocabulary, self.k, self.seed = Vocabulary(model), k, _U(seed)
+        self.vocabulary, self.k, self.seed = _vocabulary(model), k, _U(seed)
         self.lattices = Lattices(self.vocabulary)
 
     def words(self, codes: np.ndarray) -> np.ndarray:
@@ -507,12 +514,6 @@ class Sampler:
         return out, counts
 
 
-@lru_cache(maxsize=1)
-def _sampler(model: bytes, k: int, seed: int) -> Sampler:
-    """One sampler for all tasks of a worker process; what it keeps changes no result."""
-    return Sampler(model, k, seed)
-
-
 def _rests(log: np.ndarray, first: np.ndarray, value: np.ndarray, key: np.ndarray, turn: int) -> np.ndarray:
     """Perturbed value of all that leaves a path at each step; ``first`` is where its text's path begins.
 
@@ -544,22 +545,11 @@ SCHEMA = (
 )
 
 
-def sampled(docs: DataFrame, path: str, k: int = SAMPLES, seed: int = SEED) -> DataFrame:
-    """Up to ``k`` distinct segmentations of every whole text, one row each.
-
-    doc_id; nr from 0, by falling perturbed value; piece ids; log probability; perturbed value;
-    log of the chance that the segmentation exceeds the threshold (the next value), its inclusion
-    score; whether decoding the ids gives the text back. Samples depend on doc_id (null: 0), text and
-    seed alone. An empty or null text has one segmentation without pieces, a text with fewer than k
-    segmentations gives them all, with inclusion log 0. Other columns are ignored; rows that repeat
-    give equal rows. ``path`` is a SentencePiece model with byte pieces, read on the driver.
-    """
-    spark = prepare(docs.sparkSession)
-    with open(path, "rb") as f:
-        model = spark.sparkContext.broadcast(f.read())
+def _task(model: Broadcast, k: int, seed: int):
+    """Samples of a task's texts. Its lattices end with it: worker processes go on to other work, at memory of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = _sampler(model.value, k, seed)
+        sampler = Sampler(model.value, k, seed)
         for batch in batches:
             ids, keys = batch.column(0).to_pylist(), batch.column(0).fill_null(0).to_pylist()
             texts = [t or "" for t in batch.column(1).to_pylist()]
@@ -574,8 +564,25 @@ def sampled(docs: DataFrame, path: str, k: int = SAMPLES, seed: int = SEED) -> D
             if rows:
                 yield _sample_rows(rows)
 
+    return run
+
+
+def sampled(docs: DataFrame, path: str, k: int = SAMPLES, seed: int = SEED) -> DataFrame:
+    """Up to ``k`` distinct segmentations of every whole text, one row each.
+
+    doc_id; nr from 0, by falling perturbed value; piece ids; log probability; perturbed value;
+    log of the chance that the segmentation exceeds the threshold (the next value), its inclusion
+    score; whether decoding the ids gives the text back. Samples depend on doc_id (null: 0), text and
+    seed alone. An empty or null text has one segmentation without pieces, a text with fewer than k
+    segmentations gives them all, with inclusion log 0. Other columns are ignored; rows that repeat
+    give equal rows. ``path`` is a SentencePiece model with byte pieces, read on the driver.
+    """
+    spark = prepare(docs.sparkSession)
+    with open(path, "rb") as f:
+        model = spark.sparkContext.broadcast(f.read())
+
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(_task(model, k, seed), SCHEMA)
 
 
 def _sample_rows(rows: list[tuple]) -> pa.RecordBatch:

@@ -1,9 +1,14 @@
+import gc
+import weakref
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 
+from tagweave.llm import piece_samples as P
 from tagweave.llm.piece_samples import Sampler, codes_of, sampled, uniform
 from tagweave.llm.queries import TOKENIZERS
 from tagweave.llm.words import constants
@@ -125,3 +130,21 @@ def test_long_text_without_a_space(sampler):
     text = "".join(map(chr, np.random.default_rng(5).integers(97, 123, 30_000)))
     (found,) = sampler.sample([1], [text])
     assert len(found) == 3 and all(sampler.vocabulary.decode(s.ids) == text for s in found)
+
+
+def test_lattices_end_with_their_task(monkeypatch):
+    """Worker processes are used again, by other operators too; what one task keeps must not stay with them."""
+    made = []
+
+    class Watched(P.Lattices):
+        def __init__(self, *args):
+            super().__init__(*args)
+            made.append(weakref.ref(self))
+
+    monkeypatch.setattr(P, "Lattices", Watched)
+    model = SimpleNamespace(value=open(PATH, "rb").read())
+    batch = pa.record_batch({"doc_id": [1, 2], "text": ["some words of a text", "words"]})
+    run = P._task(model, 2, 29)
+    assert sum(b.num_rows for b in run(iter([batch]))) == 4
+    gc.collect()
+    assert len(made) == 1 and made[0]() is None
