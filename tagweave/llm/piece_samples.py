@@ -38,6 +38,8 @@ SLICE_CHARS = 1 << 19
 #: Nodes of words whose lattices a task keeps from slice to slice, at about 200 bytes each.
 KEPT_ROWS = 1 << 19
 _STRIP = 1 << 15
+#: Input splits of one task at most, which share its lattices.
+SPLITS = 3
 SPACE = "▁"
 _SPACE = ord(SPACE)
 _LITERAL = 0x110000  # a space sign that stands in the text itself, outside the vocabulary
@@ -218,38 +220,53 @@ class Lattices:
         self.ids[self.kept : rows] = -1
 
     def _build(self, hashes: _Hashes, codes: np.ndarray, start: np.ndarray, size: np.ndarray, base: np.ndarray) -> None:
-        """Fill the rows of some words, the longest first."""
+        """Fill the rows of some words, the longest first, about _STRIP rows at a time."""
+        ends, low = np.cumsum(size), 0
+        while low < len(size):
+            high = max(low + 1, int(np.searchsorted(ends, ends[low] - size[low] + _STRIP, side="right")))
+            self._fill(hashes, codes, start[low:high], size[low:high], base[low:high])
+            low = high
+
+    def _fill(self, hashes: _Hashes, codes: np.ndarray, start: np.ndarray, size: np.ndarray, base: np.ndarray) -> None:
+        """Nodes e of all words are one level, its pieces in rows by length; words long enough for it come first."""
         word = np.repeat(np.arange(len(size)), size)
         place = 1 + np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
         row, stop = base[word] + place, start[word] + place
-        for at in range(0, len(row), _STRIP):
-            strip = slice(at, at + _STRIP)
-            row_s, stop_s, place_s = row[strip], stop[strip], place[strip]
-            for k in range(1, min(self.width, int(place_s.max())) + 1):
-                if k > 1:
-                    long = place_s >= k
-                    row_s, stop_s, place_s = row_s[long], stop_s[long], place_s[long]
-                where, piece = self.vocabulary.find(hashes(stop_s - k, stop_s))
-                self.ids[row_s[where], k - 1] = self.vocabulary.ids[piece]
-                self.log[row_s[where], k - 1] = self.vocabulary.logs[piece]
-        unknown = np.flatnonzero(~self.vocabulary.known[codes[stop - 1]])
-        self.log[row[unknown], 0] = self.vocabulary.byte_log * _utf8_length(codes[stop[unknown] - 1])
-        alpha = np.zeros(int(base.max() + size[base.argmax()]) + 1 - self.kept)
         active = np.searchsorted(-size, -np.arange(int(size[0]) + 1), side="right")  # words with size >= e
-        for e in range(1, int(size[0]) + 1):
-            rows = base[: int(active[e])] + e
-            columns = min(self.width, e)
-            weights = self.log[rows, :columns] + alpha[(rows - self.kept)[:, None] - np.arange(1, columns + 1)]
-            top = weights.max(axis=1)
-            weights -= top[:, None]
+        cells = active * np.minimum(np.arange(len(active)), self.width)
+        first = np.cumsum(cells) - cells
+        log = np.full(int(cells.sum()), -np.inf, np.float32)
+        spot, step = first[place] + word, active[place]
+        unknown = np.flatnonzero(~self.vocabulary.known[codes[stop - 1]])
+        log[spot[unknown]] = self.vocabulary.byte_log * _utf8_length(codes[stop[unknown] - 1])
+        for k in range(1, min(self.width, int(size[0])) + 1):
+            if k > 1:
+                long = np.flatnonzero(place >= k)
+                row, stop, place, spot, step = (x[long] for x in (row, stop, place, spot, step))
+            where, piece = self.vocabulary.find(hashes(stop - k, stop))
+            self.ids[row[where], k - 1] = self.vocabulary.ids[piece]
+            log[spot[where] + (k - 1) * step[where]] = self.vocabulary.logs[piece]
+        # log masses of the nodes before a level, the last one first
+        mass, at = np.zeros((2 * self.width, len(size))), 2 * self.width - 1
+        for e in range(1, len(active)):
+            n, columns = int(active[e]), min(self.width, e)
+            weights = log[first[e] : first[e] + cells[e]].reshape(columns, n) + mass[at : at + columns, :n]
+            top = weights.max(axis=0)
+            weights -= top
             share = np.exp(weights.astype(np.float32))
-            total = share.sum(axis=1, dtype=np.float64)
+            total = share.sum(axis=0, dtype=np.float64)
             norm = np.log(total)
-            alpha[rows - self.kept] = top + norm
-            self.log[rows, :columns] = weights - norm[:, None]
-            sums = np.cumsum(share, axis=1, dtype=np.float32)
+            if not at:
+                mass[self.width :] = mass[: self.width]
+                at = self.width
+            at -= 1
+            mass[at, :n] = top + norm
+            weights -= norm
+            rows = base[:n] + e
+            self.log[rows, :columns] = weights.T
+            sums = np.cumsum(share, axis=0, dtype=np.float32)
             # rounding must not let a draw pass the last piece that is possible
-            self.cumulative[rows, :columns] = np.where(sums >= sums[:, -1:], 2.0, sums / total[:, None])
+            self.cumulative[rows, :columns] = np.where(sums >= sums[-1], 2.0, sums / total).T
 
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """Size of the piece drawn at each node: one more than the sums that ``u`` has reached."""
@@ -567,6 +584,12 @@ def _task(model: Broadcast, k: int, seed: int):
     return run
 
 
+def _gathered(rows: DataFrame) -> DataFrame:
+    """Rows in tasks of up to SPLITS splits, without a shuffle; two tasks a core stay."""
+    splits, cores = rows.rdd.getNumPartitions(), rows.sparkSession.sparkContext.defaultParallelism
+    return rows.coalesce(max(2 * cores, -(-splits // SPLITS)))
+
+
 def sampled(docs: DataFrame, path: str, k: int = SAMPLES, seed: int = SEED) -> DataFrame:
     """Up to ``k`` distinct segmentations of every whole text, one row each.
 
@@ -582,7 +605,7 @@ def sampled(docs: DataFrame, path: str, k: int = SAMPLES, seed: int = SEED) -> D
         model = spark.sparkContext.broadcast(f.read())
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_task(model, k, seed), SCHEMA)
+    return _gathered(rows).mapInArrow(_task(model, k, seed), SCHEMA)
 
 
 def _sample_rows(rows: list[tuple]) -> pa.RecordBatch:

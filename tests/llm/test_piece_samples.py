@@ -148,3 +148,24 @@ def test_lattices_end_with_their_task(monkeypatch):
     assert sum(b.num_rows for b in run(iter([batch]))) == 4
     gc.collect()
     assert len(made) == 1 and made[0]() is None
+
+
+def test_splits_share_a_task(spark):
+    """Each task builds lattices of its own, so many small splits go through fewer tasks, but never too few."""
+    cores = spark.sparkContext.defaultParallelism
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('some words ', id) AS text")
+    many = sampled(docs.repartition(9 * cores), PATH)
+    assert many.rdd.getNumPartitions() == 3 * cores
+    assert sampled(docs.repartition(2 * cores), PATH).rdd.getNumPartitions() == 2 * cores
+    assert many.select("doc_id").distinct().count() == 400
+
+
+def test_lattices_do_not_depend_on_words_beside(monkeypatch, sampler):
+    """Words filled together, whatever their lengths, have the lattices they have alone."""
+    texts = ["a", "words", "x" * 70, "ab" * 300, "wörter 日本 of", "some more words here"]
+    flat = lambda found: [[(s.ids.tolist(), s.log) for s in one] for one in found]
+    keys = list(range(len(texts)))
+    whole = flat(sampler.sample(keys, texts))
+    for strip in (1, 40):
+        monkeypatch.setattr(P, "_STRIP", strip)
+        assert flat(Sampler(open(PATH, "rb").read(), k=3).sample(keys, texts)) == whole
