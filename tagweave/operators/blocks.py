@@ -12,6 +12,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ def _own_block(id_col: str, n: str) -> Column:
     return F.expr(f"pmod(xxhash64({id_col}), {n})").cast("int")
 
 
-def _by_cell(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+def by_cell(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Lay rows out by cell.
 
     Explicit, because grouping alone would accept rows already laid out by the group key, which
@@ -69,7 +71,7 @@ def pair_cells(
         F.least("block", "other").alias("cell_a"),
         F.greatest("block", "other").alias("cell_b"),
     )
-    return _by_cell(cells, [key])
+    return by_cell(cells, [key])
 
 
 def grid_cells(
@@ -109,7 +111,7 @@ def grid_cells(
         F.when(is_query, F.col("own")).otherwise(F.col("other")).alias("cell_a"),
         F.when(is_query, F.col("other")).otherwise(F.col("own")).alias("cell_b"),
     )
-    return _by_cell(cells, keys)
+    return by_cell(cells, keys)
 
 
 # ---- numpy helpers used inside one cell ------------------------------------------------------
@@ -122,6 +124,19 @@ def unit_rows(vectors: pd.Series) -> np.ndarray:
     for i, v in enumerate(vectors):
         if v is not None:
             rows[i] = v
+    return _unit(rows)
+
+
+def unit_matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """``unit_rows`` of an Arrow column."""
+    lists = vectors.combine_chunks()
+    size = pc.unique(pc.list_value_length(lists))
+    if len(size) != 1 or not size[0].as_py():
+        return unit_rows(lists.to_pandas())
+    return _unit(lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(lists), -1))
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(rows, axis=1, keepdims=True)
     return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 
@@ -162,6 +177,14 @@ def strips(n: int, size: int = STRIP_ROWS) -> list[tuple[int, int]]:
     return [(low, min(low + size, n)) for low in range(0, n, size)]
 
 
+def true_places(mask: np.ndarray) -> np.ndarray:
+    """Flat places of a mask's few true values; eight are looked at together."""
+    flat = mask.ravel()
+    whole = len(flat) // 8 * 8
+    some = (np.flatnonzero(flat[:whole].view(np.int64))[:, None] * 8 + np.arange(8)).ravel()
+    return np.concatenate([some[flat[some]], whole + np.flatnonzero(flat[whole:])])
+
+
 def best_per_row(scores: np.ndarray, keep: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of each row's ``k`` best kept scores; equal scores go to the lower column."""
     cost = np.where(keep, -scores, np.inf)

@@ -6,14 +6,19 @@ its distance to every row of that region. A first pass compares each query with
 gives the distance that an answer must not exceed; a second one visits the other regions whose bound does
 not exceed it. On clustered vectors that is a small part of all pairs; on vectors without any structure the
 bounds say nothing and every region is visited. Results are those of comparing all pairs in either case.
+Neighbouring regions share shelves, whose rows and visitors meet in bounded cells; a vector is copied once for
+each block that it meets, however many regions there are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -111,16 +116,14 @@ def build(corpus: DataFrame, rows: int, region_rows: int = REGION_ROWS) -> tuple
     return placed, Regions(pivots, size, near, far)
 
 
-def visits(queries: DataFrame, regions: Regions, rest: bool) -> DataFrame:
-    """Queries (vec and fetch) once for each region that they visit.
+def _going(regions: Regions, rest: bool) -> Callable[[pd.Series, pd.Series, pd.Series], Iterator[np.ndarray]]:
+    """By query and region: whether the query visits it; a strip of queries at a time.
 
-    First the regions around a query; for the ``rest`` a column ``limit`` has the distance that rows must not
-    exceed (null: any), and regions visited at first are left out.
+    First the regions around a query; for the ``rest`` a limit has the distance that rows must not exceed
+    (null: any), and regions visited at first are left out.
     """
 
-    @F.pandas_udf("array<int>")
-    def where(vec: pd.Series, fetch: pd.Series, limit: pd.Series) -> pd.Series:
-        out = []
+    def going(vec: pd.Series, fetch: pd.Series, limit: pd.Series) -> Iterator[np.ndarray]:
         for low, high in blocks.strips(len(vec)):
             angle, least = regions.bounds(blocks.unit_rows(vec.iloc[low:high]))
             # Zero vectors come last among the regions around a query.
@@ -129,61 +132,204 @@ def visits(queries: DataFrame, regions: Regions, rest: bool) -> DataFrame:
             if rest:
                 most = limit.iloc[low:high].astype(float).fillna(np.inf).to_numpy()
                 go = ~go & (regions.size > 0) & (least <= most[:, None] + SLACK)
-            out.extend(np.flatnonzero(row).tolist() for row in go)
+            yield go
+
+    return going
+
+
+def _limited(queries: DataFrame, rest: bool) -> DataFrame:
+    return queries.withColumn("limit", F.col("limit") if rest else F.lit(None).cast("double"))
+
+
+def visits(queries: DataFrame, regions: Regions, rest: bool) -> DataFrame:
+    """Queries (vec and fetch, for the ``rest`` limit) once for each region that they visit."""
+    going = _going(regions, rest)
+
+    @F.pandas_udf("array<int>")
+    def where(vec: pd.Series, fetch: pd.Series, limit: pd.Series) -> pd.Series:
+        return pd.Series([np.flatnonzero(row).tolist() for go in going(vec, fetch, limit) for row in go])
+
+    return _limited(queries, rest).withColumn("region", F.explode(where("vec", "fetch", "limit")))
+
+
+@dataclass(frozen=True)
+class Shelves:
+    """Regions next to each other share a shelf, so a query's vector travels once a shelf, not once a region.
+
+    By region its ``shelf`` and its ``place`` there; by shelf the number of ``rows``.
+    """
+
+    shelf: np.ndarray
+    place: np.ndarray
+    rows: np.ndarray
+
+    @classmethod
+    def of(cls, regions: Regions, shelf_rows: int) -> Shelves:
+        """Fills shelves up to ``shelf_rows`` rows, each region followed by the nearest one that is left."""
+        near = regions.pivots @ regions.pivots.T
+        order, left = [], np.ones(len(near), dtype=bool)
+        while left.any():
+            order.append(int(np.where(left, near[order[-1]], -np.inf).argmax()) if order else 0)
+            left[order[-1]] = False
+        shelf, place = np.zeros((2, len(regions.size)), dtype=np.int64)
+        rows = [0]
+        n_there = 0
+        for region in [*order, len(near)]:
+            if rows[-1] and rows[-1] + regions.size[region] > shelf_rows:
+                rows.append(0)
+                n_there = 0
+            shelf[region], place[region] = len(rows) - 1, n_there
+            rows[-1] += int(regions.size[region])
+            n_there += 1
+        return cls(shelf, place, np.array(rows))
+
+
+def _shelf_visits(queries: DataFrame, regions: Regions, shelves: Shelves, rest: bool) -> DataFrame:
+    """Queries once for each shelf that they visit; ``places`` has a bit for each place of the shelf."""
+    going = _going(regions, rest)
+    order = np.lexsort((shelves.place, shelves.shelf))
+    ends = np.searchsorted(shelves.shelf[order], np.arange(len(shelves.rows)), side="right")
+
+    @F.pandas_udf("array<binary>")
+    def where(vec: pd.Series, fetch: pd.Series, limit: pd.Series) -> pd.Series:
+        out = []
+        for go in going(vec, fetch, limit):
+            on = np.split(go[:, order], ends[:-1], axis=1)
+            bits = [np.packbits(x, axis=1) for x in on]
+            some = [x.any(axis=1) for x in on]
+            out.extend([b[i].tobytes() if s[i] else None for b, s in zip(bits, some)] for i in range(len(go)))
         return pd.Series(out)
 
-    limit = F.col("limit") if rest else F.lit(None).cast("double")
-    return queries.withColumn("limit", limit).withColumn("region", F.explode(where("vec", "fetch", "limit")))
+    gone = _limited(queries, rest).withColumn("to", where("vec", "fetch", "limit"))
+    return gone.select("id", "vec", "fetch", "limit", F.posexplode("to").alias("shelf", "places")).filter("places is not null")
+
+
+#: Rows of a shelf and of a block of its visitors, at most; fewer while the corpus has less than eight such shelves.
+SHELF_ROWS = 1 << 16
+#: Columns of a strip of a cell, and its numbers in all.
+STRIP_COLUMNS = 4096
+STRIP_AREA = 1 << 22
+#: Candidates that are compared in full at a time.
+FULL_ROWS = 1 << 16
+POINTS = 10**S.ROUND_DIGITS
+#: More points than a distance has.
+NO_LIMIT = (1 << 21) - 1
+
 
+class _Nearest:
+    """Each query's nearest rows so far, and the points that a row may have to be among them.
 
-def _answers(cell: pd.DataFrame) -> pd.DataFrame:
-    """Each query's nearest rows of one cell, as many as it fetches and none beyond its limit."""
-    left, right = cell[cell["is_query"]], cell[~cell["is_query"]].sort_values("id")
-    if left.empty or right.empty:
-        return pd.DataFrame({"query_id": [], "item_id": [], "distance": []})
-    mine, theirs = blocks.unit_rows(left["vec"]), blocks.unit_rows(right["vec"]).T
-    fetch, limit = left["fetch"].to_numpy(), left["limit"].astype(float).fillna(np.inf).to_numpy()
-    query_ids, item_ids = left["id"].to_numpy(), right["id"].to_numpy()
+    A row is one number: query, points and row of the corpus by id, in this order.
+    """
+
+    def __init__(self, fetch: np.ndarray, most: np.ndarray, n_items: int) -> None:
+        self.fetch, self.most, self.n_items = fetch, most, n_items
+        self.rows, self.new, self.n_new = np.zeros(0, dtype=np.int64), [], 0
+
+    def add(self, query: np.ndarray, points: np.ndarray, item: np.ndarray) -> None:
+        some = points <= self.most[query]
+        self.new.append(((query[some] << 21) + points[some]) * self.n_items + item[some])
+        self.n_new += len(self.new[-1])
+        # Limits lag behind a little, and rows are sorted a few times only.
+        if self.n_new > len(self.rows) + FULL_ROWS:
+            self.settle()
+
+    def parts(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        query_points, item = np.divmod(rows, self.n_items)
+        return query_points >> 21, query_points & NO_LIMIT, item
+
+    def settle(self) -> None:
+        rows = np.sort(np.concatenate([self.rows, *self.new]))
+        query, points, _ = self.parts(rows)
+        kept = np.arange(len(rows)) - np.searchsorted(query, query) < self.fetch[query]
+        self.rows, self.new, self.n_new = rows[kept], [], 0
+        query, points = query[kept], points[kept]
+        n = np.bincount(query, minlength=len(self.fetch))
+        full = np.flatnonzero((n >= self.fetch) & (n > 0))
+        self.most[full] = np.minimum(self.most[full], points[np.cumsum(n)[full] - 1])
+
+
+def _answers(cell: pa.Table) -> pa.Table:
+    """Each query's nearest rows of one cell, as many as it fetches and none beyond its limit.
+
+    Rows are compared in single precision; those that can be answers are compared in full.
+    """
+    is_query = cell["is_query"]
+    left, right = cell.filter(is_query), cell.filter(pc.invert(is_query))
     # Queries that fetch alike go together: one that excludes many rows costs the others nothing.
-    order = np.argsort(fetch, kind="stable")
-    parts = []
-    for low, high in blocks.strips(len(order)):
-        at = order[low:high]
-        distance = np.round(1.0 - mine[at] @ theirs, S.ROUND_DIGITS) + 0.0  # no negative zero
-        rows, cols = blocks.best_per_row(-distance, distance <= limit[at, None], int(fetch[at].max()))
-        own = np.arange(len(rows)) - np.searchsorted(rows, rows) < fetch[at][rows]
-        rows, cols = rows[own], cols[own]
-        parts.append(pd.DataFrame({
-            "query_id": query_ids[at][rows], "item_id": item_ids[cols], "distance": distance[rows, cols]
-        }))
-    return pd.concat(parts, ignore_index=True)
-
-
-def _compared(visiting: DataFrame, placed: DataFrame, regions: Regions, block_rows: int) -> DataFrame:
-    """Answers of the regions visited. Rows and visitors of a region are dealt to blocks, a cell has one of each.
-
-    Numbers of blocks are known by region, at most one row for each pivot, so no row meets them by shuffle.
+    left = left.sort_by("fetch")
+    right = right.take(pc.sort_indices(right["id"], null_placement="at_start"))
+    out = {"query_id": left["id"].slice(0, 0), "item_id": right["id"].slice(0, 0), "distance": pa.array([], pa.float64())}
+    if not len(left) or not len(right):
+        return pa.table(out)
+    mine, theirs = blocks.unit_matrix(left["vec"]), blocks.unit_matrix(right["vec"])
+    if not (usable := np.isfinite(theirs).all(axis=1)).all():
+        right, theirs = right.filter(pa.array(usable)), theirs[usable]
+    place = right["place"].to_numpy()
+    by_place = np.argsort(place, kind="stable")
+    place = place[by_place]
+    rough, others = mine.astype(np.float32), theirs[by_place].astype(np.float32)
+    room = (mine.shape[1] + 8) * 2.0**-23  # what single precision can be wrong by
+    limit = left["limit"].to_numpy()
+    most = np.where(np.isnan(limit), NO_LIMIT, np.rint(np.nan_to_num(limit) * POINTS)).astype(np.int64)
+    best = _Nearest(left["fetch"].to_numpy().astype(np.int64), most, len(right))
+    places = left["places"].combine_chunks()
+    bits = np.frombuffer(b"".join(places.to_pylist()), dtype=np.uint8).reshape(len(left), -1)
+    for here in np.unique(place):
+        asking = np.flatnonzero(bits[:, here // 8] & (128 >> here % 8))
+        first, last = np.searchsorted(place, (here, here + 1))
+        for c in range(first, last, STRIP_COLUMNS):
+            columns = slice(c, min(c + STRIP_COLUMNS, last))
+            width = columns.stop - c
+            for low, high in blocks.strips(len(asking), max(blocks.STRIP_ROWS, STRIP_AREA // width)):
+                at = asking[low:high]
+                near = rough[at] @ others[columns].T
+                reach = 1 - (best.most[at] + 0.5) / POINTS - room
+                k = int(best.fetch[at].max())
+                free = np.flatnonzero(best.most[at] == NO_LIMIT)
+                if len(free) and k < width:
+                    # Rows of as many points may have a lower id.
+                    kth = np.partition(near[free], width - k, axis=1)[:, width - k]
+                    reach[free] = np.maximum(reach[free], kth - 2 * room - 2 / POINTS)
+                row, column = np.divmod(blocks.true_places(near >= reach.astype(np.float32)[:, None]), width)
+                for i in range(0, len(row), FULL_ROWS):
+                    query, item = at[row[i : i + FULL_ROWS]], by_place[c + column[i : i + FULL_ROWS]]
+                    distance = 1.0 - np.einsum("ij,ij->i", mine[query], theirs[item])
+                    best.add(query, np.maximum(np.rint(distance * POINTS), 0).astype(np.int64), item)
+    best.settle()
+    query, points, item = best.parts(best.rows)
+    out = {"query_id": left["id"].take(pa.array(query)), "item_id": right["id"].take(pa.array(item)), "distance": points / POINTS}
+    return pa.table(out)
+
+
+def _compared(visiting: DataFrame, placed: DataFrame, shelves: Shelves, block_rows: int) -> DataFrame:
+    """Answers of the shelves visited. Rows and visitors of a shelf are dealt to blocks, a cell has one of each.
+
+    Numbers of blocks are known by shelf, at most one for each pivot, so no row meets them by shuffle.
     """
-    spark = placed.sparkSession
-    coming = dict(visiting.groupBy("region").count().collect())
+    coming = dict(visiting.groupBy("shelf").count().collect())
     if not coming:
-        return spark.createDataFrame([], ANSWER)
-    plan = [(r, -(-n // block_rows), -(-int(regions.size[r]) // block_rows)) for r, n in coming.items()]
-    plan = F.broadcast(spark.createDataFrame(plan, "region int, n_query int, n_corpus int"))
+        return placed.sparkSession.createDataFrame([], ANSWER)
+    n_query = [-(-coming.get(s, 0) // block_rows) for s in range(len(shelves.rows))]
+    n_corpus = [max(1, -(-int(n) // block_rows)) for n in shelves.rows]
 
     def dealt(df: DataFrame, is_query: bool) -> DataFrame:
-        own, other = ("n_query", "n_corpus") if is_query else ("n_corpus", "n_query")
-        cells = (F.expr(f"pmod(xxhash64(id), {own})").cast("int"), F.explode(F.expr(f"sequence(0, {other} - 1)")))
+        own, other = (n_query, n_corpus) if is_query else (n_corpus, n_query)
+        own, other = (F.get(F.lit(x), F.col("shelf")) for x in (own, other))
+        cells = (F.pmod(F.xxhash64("id"), own).cast("int"), F.explode(F.sequence(F.lit(0), other - 1)))
         names = ("cell_a", "cell_b") if is_query else ("cell_b", "cell_a")
-        return df.join(plan, "region").select(
-            "region", "id", "vec", "fetch", "limit", F.lit(is_query).alias("is_query"),
+        return df.filter(other > 0).select(
+            "shelf", "id", "vec", "fetch", "limit", "places", "place", F.lit(is_query).alias("is_query"),
             cells[0].alias(names[0]), cells[1].alias(names[1]),
         )
 
-    corpus = placed.withColumns({"fetch": F.lit(0), "limit": F.lit(None).cast("double")})
-    both = dealt(visiting, True).unionByName(dealt(corpus, False))
-    cells = both.repartition("region", "cell_a", "cell_b").groupBy("region", "cell_a", "cell_b")
-    return cells.applyInPandas(_answers, ANSWER)
+    corpus = placed.withColumns({
+        "shelf": F.get(F.lit(shelves.shelf.tolist()), F.col("region")),
+        "place": F.get(F.lit(shelves.place.tolist()), F.col("region")),
+        "fetch": F.lit(0), "limit": F.lit(None).cast("double"), "places": F.lit(None).cast("binary"),
+    })
+    both = dealt(visiting.withColumn("place", F.lit(0)), True).unionByName(dealt(corpus, False))
+    return blocks.by_cell(both, ["shelf"]).groupBy("shelf", "cell_a", "cell_b").applyInArrow(_answers, ANSWER)
 
 
 def knn(
@@ -192,7 +338,7 @@ def knn(
     rows: int,
     n: int,
     exclude: DataFrame | None = None,
-    block_rows: int = 4 * blocks.BLOCK_ROWS,
+    block_rows: int | None = None,
     region_rows: int = REGION_ROWS,
 ) -> DataFrame:
     """The ``n`` nearest rows of each query: query_id, item_id, distance, rank.
@@ -202,18 +348,20 @@ def knn(
     """
     queries = staged(queries, "queries")
     placed, regions = build(corpus, rows, region_rows)
+    block_rows = block_rows or max(4 * blocks.BLOCK_ROWS, min(SHELF_ROWS, rows // 8))
+    shelves = Shelves.of(regions, block_rows)
 
-    def answers(visiting: DataFrame) -> DataFrame:
-        found = _compared(visiting, placed, regions, block_rows)
+    def answers(queries: DataFrame, rest: bool) -> DataFrame:
+        found = _compared(_shelf_visits(queries, regions, shelves, rest), placed, shelves, block_rows)
         if exclude is not None:
             found = found.join(exclude, ["query_id", "item_id"], "left_anti")
         return top_per(found, ["query_id"], [F.asc("distance"), F.asc("item_id")], n).drop("rank")
 
-    first = staged(answers(visits(queries, regions, rest=False)), "first")
+    first = staged(answers(queries, rest=False), "first")
     limits = first.groupBy(F.col("query_id").alias("id")).agg(
         F.when(F.count(F.lit(1)) >= n, F.max("distance")).alias("limit")
     )
     limited = staged(queries.join(limits, "id", "left"), "limited")
-    second = staged(answers(visits(limited, regions, rest=True)), "second")
+    second = staged(answers(limited, rest=True), "second")
     unstaged(queries, placed, limited)
     return top_per(first.unionByName(second), ["query_id"], [F.asc("distance"), F.asc("item_id")], n)

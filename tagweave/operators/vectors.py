@@ -46,7 +46,7 @@ def knn(
     n: int,
     where: Sequence[str] = (),
     exclude: DataFrame | None = None,
-    block_rows: int = 4 * blocks.BLOCK_ROWS,
+    block_rows: int | None = None,
     region_rows: int = regions.REGION_ROWS,
 ) -> DataFrame:
     """The ``n`` nearest corpus rows of each query by cosine distance: exact, block by block.
@@ -59,7 +59,9 @@ def knn(
     prunes the work. ``exclude`` lists (query_id, item_id) pairs that may not be answers; each query
     fetches that many more rows, so the answer stays exact. Rows without a vector take no part.
     """
-    vec = F.col("vec").cast("array<double>").alias("vec")
+    # Vectors of single precision travel as they are; arithmetic is double.
+    single = dict(queries.dtypes)["vec"] == dict(corpus.dtypes)["vec"] == "array<float>"
+    vec = F.col("vec").cast("array<float>" if single else "array<double>").alias("vec")
     q = queries.filter(F.col("vec").isNotNull()).select(F.col("query_id").alias("id"), vec, *where)
     c = corpus.filter(F.col("vec").isNotNull()).select(F.col("item_id").alias("id"), vec, *where)
     keys = list(where)
@@ -74,7 +76,7 @@ def knn(
     if rows > regions.MIN_REGIONS * region_rows:
         return regions.knn(q, c, rows, n, exclude, block_rows, region_rows)
     c = c.withColumn("fetch", F.lit(0))
-    cells = blocks.grid_cells(q, c, keys, "id", block_rows)
+    cells = blocks.grid_cells(q, c, keys, "id", block_rows or 4 * blocks.BLOCK_ROWS)
     found = cells.groupBy(*keys, "cell_a", "cell_b").applyInPandas(
         _nearest, "query_id long, item_id long, distance double"
     )
