@@ -214,3 +214,66 @@ def least_per_row(cost: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     cols, chosen = np.take_along_axis(cols, order, axis=1), np.take_along_axis(chosen, order, axis=1)
     rows, at = np.nonzero(chosen < width)
     return rows, cols[rows, at]
+
+
+#: Pairs that are compared in full at a time.
+FULL_ROWS = 1 << 16
+#: More points than a pair has.
+MOST_POINTS = (1 << 21) - 1
+
+
+def single_error(unit: np.ndarray) -> float:
+    """What the product of two unit rows can be wrong by in single precision."""
+    return (unit.shape[1] + 8) * 2.0**-23
+
+
+class FirstRows:
+    """Each row's columns of fewest points so far, ``fetch`` at most, and the points that others may have at ``most``.
+
+    A pair is one number: row, points and column, in this order; equal points go to the lower column.
+    """
+
+    def __init__(self, fetch: np.ndarray, most: np.ndarray, n_columns: int) -> None:
+        self.fetch, self.most, self.n_columns = fetch, most, n_columns
+        self.pairs, self.new, self.n_new = np.zeros(0, dtype=np.int64), [], 0
+
+    def add(self, row: np.ndarray, points: np.ndarray, column: np.ndarray) -> None:
+        some = points <= self.most[row]
+        self.new.append(((row[some] << 21) + points[some]) * self.n_columns + column[some])
+        self.n_new += len(self.new[-1])
+        # Limits lag behind a little, and pairs are sorted a few times only.
+        if self.n_new > len(self.pairs) + FULL_ROWS:
+            self.settle()
+
+    def parts(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row_points, column = np.divmod(pairs, self.n_columns)
+        return row_points >> 21, row_points & MOST_POINTS, column
+
+    def settle(self) -> None:
+        pairs = np.sort(np.concatenate([self.pairs, *self.new]))
+        row, points, _ = self.parts(pairs)
+        kept = np.arange(len(pairs)) - np.searchsorted(row, row) < self.fetch[row]
+        self.pairs, self.new, self.n_new = pairs[kept], [], 0
+        row, points = row[kept], points[kept]
+        n = np.bincount(row, minlength=len(self.fetch))
+        full = np.flatnonzero((n >= self.fetch) & (n > 0))
+        self.most[full] = np.minimum(self.most[full], points[np.cumsum(n)[full] - 1])
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, points and columns, by row and points."""
+        self.settle()
+        return self.parts(self.pairs)
+
+
+def tag_bits(tags: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tags of a cell's rows: (row, code) pairs and, as bits of each row, the tags that several rows have."""
+    row = np.repeat(np.arange(len(tags)), tags.map(len).to_numpy())
+    code, names = pd.factorize(np.concatenate([np.asarray(t, dtype=object) for t in tags]))
+    shared = np.flatnonzero(np.bincount(code, minlength=len(names)) > 1)
+    place = np.full(len(names), -1)
+    place[shared] = np.arange(len(shared))
+    bits = np.zeros((len(tags), max(1, -(-len(shared) // 64))), dtype=np.uint64)
+    some = place[code] >= 0
+    at = place[code[some]]
+    np.bitwise_or.at(bits, (row[some], at // 64), np.uint64(1) << (at % 64).astype(np.uint64))
+    return row, code, bits

@@ -43,6 +43,8 @@ def _connected(items: DataFrame, marker: str) -> DataFrame:
     return items.select("item_id", tags.alias("tags"), "vec").filter(F.size("tags") > 0)
 
 
+#: Rows of a block of items with vectors; kinds meet in blocks of ``blocks.BLOCK_ROWS``.
+VECTOR_ROWS = 1 << 15
 _CANDIDATE = "src long, tag string, core boolean, dst long, score double, n_tags int"
 _KIND_CANDIDATE = "kind string, plain boolean, tag string, core boolean, dst long, score double"
 #: Items of a kind that its lists hold: a branch pool, which also is the core pool and an item itself.
@@ -72,110 +74,138 @@ def _sides(pdf: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(a, b), (b, a)] if len(a) and len(b) else []
 
 
-#: Rows of a strip: its scores stay in a core's cache.
+#: Rows of a strip of kinds: its scores stay in a core's cache.
 CELL_STRIP = 64
+#: Rows and columns of a strip of vectors.
+VECTOR_STRIP, VECTOR_COLUMNS = 1024, 4096
 #: Pairs of a row that are scored in full to find a bound for all others.
 FIRST_LOOK = 24
 #: Scores are rounded before they are ranked; a bound leaves room for that.
 ROUNDING = 2 * 10.0**-S.ROUND_DIGITS
+#: Points of no score at all: pairs go by the points that their score lacks, fewest first.
+POINTS = 10**S.ROUND_DIGITS
+NO_SCORE = 2 * POINTS
 
 
 class _Side:
-    """One side of a cell: sources against targets, tags compared once for items of the same tags."""
+    """One side of a cell: sources against targets, in order of their ids."""
 
     def __init__(self, pdf: pd.DataFrame, unit: np.ndarray, src: np.ndarray, dst: np.ndarray) -> None:
         ids = pdf["item_id"].to_numpy()
-        self.src_ids, self.dst_ids, self.src_unit, self.dst_unit = ids[src], ids[dst], unit[src], unit[dst].T.copy()
-        kind, kinds = pd.factorize(pdf["tags"].map(tuple))
-        tags = pd.Series(kinds).map(list)
-        n_tags = tags.map(len).to_numpy(dtype=float)
-        src_kinds, self.src_kind = np.unique(kind[src], return_inverse=True)
-        dst_kinds, self.dst_kind = np.unique(kind[dst], return_inverse=True)
-        self.n_shared = blocks.shared_counts(tags, src_kinds, dst_kinds)
-        self.mine, self.theirs = n_tags[src_kinds], n_tags[dst_kinds]
-        self.by_kind = np.argsort(self.dst_kind, kind="stable")
-        self.n_of_kind = np.bincount(self.dst_kind, minlength=len(dst_kinds))
-        self.first_of_kind = np.cumsum(self.n_of_kind) - self.n_of_kind
-        bonus = np.minimum((self.theirs - 1) * S.BRANCH_NEW_TAG_BONUS, S.BRANCH_BONUS_CAP)
-        self.most = (bonus + S.BRANCH_BASE)[self.dst_kind]
-        self.same = np.isin(self.src_ids, self.dst_ids).any()
-
-    def core_pairs(self, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, column) of targets that have all tags of the strip's rows."""
-        row, kind = np.nonzero(self.n_shared[kinds] == self.mine[kinds][:, None])
-        n = self.n_of_kind[kind]
-        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first_of_kind[kind], n)
-        return np.repeat(row, n), self.by_kind[place]
-
-    def best(self, low: int, high: int) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray]]:
-        """(core, row, column, score) of the best candidates of source rows ``low`` to ``high``.
+        self.src_ids, self.dst_ids, self.src_unit, self.dst_unit = ids[src], ids[dst], unit[src], unit[dst]
+        self.rough, self.others = self.src_unit.astype(np.float32), self.dst_unit.astype(np.float32)
+        self.room = blocks.single_error(unit)
+        row, code, bits = blocks.tag_bits(pdf["tags"])
+        self.src_bits, self.dst_bits = bits[src], bits[dst]
+        n_tags = pdf["tags"].map(len).to_numpy(dtype=float)
+        self.mine, self.theirs = n_tags[src], n_tags[dst]
+        self.kind = pd.factorize(pdf["tags"].map(tuple))[0][src]
+        # Targets by tag, and the tags of each source.
+        at = np.full(len(pdf), -1)
+        at[dst] = np.arange(len(dst))
+        on = at[row] >= 0
+        order = np.argsort(code[on], kind="stable")
+        self.with_tag = np.split(at[row[on]][order], np.cumsum(np.bincount(code, weights=on).astype(int))[:-1])
+        self.codes = np.split(code, np.cumsum(n_tags.astype(int))[:-1])
+        self.src = src
+        # How often a source may find itself.
+        self.own = int(np.unique(self.dst_ids, return_counts=True)[1].max()) if np.isin(self.src_ids, self.dst_ids).any() else 0
+        self.finite = np.isfinite(unit).all()
+
+    def add(self, best: blocks.FirstRows, row: np.ndarray, col: np.ndarray, core: bool) -> None:
+        """Score pairs in full and add those that are kept."""
+        for i in range(0, len(row), blocks.FULL_ROWS):
+            r, c = row[i : i + blocks.FULL_ROWS], col[i : i + blocks.FULL_ROWS]
+            cos = np.einsum("ij,ij->i", self.src_unit[r], self.dst_unit[c])
+            n_shared = np.bitwise_count(self.src_bits[r] & self.dst_bits[c]).sum(axis=1)
+            _, score, keep, _ = _scored(n_shared.astype(float), self.mine[r], self.theirs[c], cos)[not core]
+            keep &= self.src_ids[r] != self.dst_ids[c]
+            best.add(r[keep], NO_SCORE - np.rint(score[keep] * POINTS).astype(np.int64), c[keep])
+
+    def first(self, k: int, least: float) -> blocks.FirstRows:
+        most = np.full(len(self.src), NO_SCORE - int(least * POINTS))
+        return blocks.FirstRows(np.full(len(self.src), k), most, len(self.dst_ids))
+
+    def reach(self, best: blocks.FirstRows, row: np.ndarray) -> np.ndarray:
+        """The bound that a row's pairs must reach."""
+        return (NO_SCORE - best.most[row]) / POINTS - ROUNDING - self.room
+
+    def ranked(self, bound: np.ndarray) -> np.ndarray:
+        """Pairs of vectors that are not finite have no score."""
+        return bound if self.finite else np.where(np.isnan(bound), np.float32(-np.inf), bound)
+
+    def core(self) -> blocks.FirstRows:
+        """Best targets that have all tags of a source, found once for sources of the same tags."""
+        best = self.first(S.CORE_PER_TAG, S.CORE_MIN)
+        k = S.CORE_PER_TAG + self.own
+        order = np.argsort(self.kind, kind="stable")
+        for alike in np.split(order, np.flatnonzero(np.diff(self.kind[order])) + 1):
+            bits = self.src_bits[alike[0]]
+            lists = [self.with_tag[c] for c in self.codes[self.src[alike[0]]]]
+            shortest = min(lists, key=len)
+            targets = shortest[((self.dst_bits[shortest] & bits) == bits).all(axis=1)] if all(map(len, lists)) else shortest[:0]
+            for low, high in blocks.strips(len(alike) if len(targets) else 0, max(1, VECTOR_STRIP * VECTOR_COLUMNS // max(1, len(targets)))):
+                row = alike[low:high]
+                near = self.ranked(self.rough[row] @ self.others[targets].T)
+                near *= np.float32(S.VECTOR_WEIGHT)
+                near += (S.TAG_WEIGHT * self.mine[row[0]] / self.theirs[targets]).astype(np.float32)
+                reach = self.reach(best, row)
+                if len(targets) > k:
+                    kth = np.partition(near, len(targets) - k, axis=1)[:, len(targets) - k]
+                    reach = np.maximum(reach, kth - 2 * self.room - ROUNDING)
+                r, c = np.divmod(blocks.true_places(near >= reach.astype(np.float32)[:, None]), len(targets))
+                self.add(best, row[r], targets[c], True)
+        return best
+
+    def branch(self) -> blocks.FirstRows:
+        """Best targets that have some tags of a source.
 
         Any other tag than the cell's that is shared lowers a branch score, so the score with that tag only
         bounds it. A first look at the highest bounds gives a score that as many candidates reach as are
         wanted; only pairs whose bound reaches it, too, are scored.
         """
-        kinds = self.src_kind[low:high]
-        cos = self.src_unit[low:high] @ self.dst_unit
-        width = cos.shape[1]
-
-        def scored(at: np.ndarray, core: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            """Flat places of kept pairs among ``at``, their rows and scores."""
-            row, col = np.divmod(at, width)
-            k = kinds[row], self.dst_kind[col]
-            _, score, keep, _ = _scored(self.n_shared[k], self.mine[k[0]], self.theirs[k[1]], cos.ravel()[at])[not core]
-            if self.same:
-                keep &= self.src_ids[low:high][row] != self.dst_ids[col]
-            return at[keep], row[keep], score[keep]
-
-        def first(at: np.ndarray, row: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-            order = np.lexsort((at, -score, row))
-            place = np.arange(len(row)) - np.searchsorted(row, row)
-            return at[order][place < k], score[order][place < k]
-
-        row, col = self.core_pairs(kinds)
-        core_at = np.sort(row * width + col)
-        at, score = first(*scored(core_at, True), S.CORE_PER_TAG)
-        yield True, at // width, at % width, score
-
-        bound = cos * S.BRANCH_VECTOR_WEIGHT
-        bound += self.most
-        bound.ravel()[core_at] = -np.inf
-        if self.same:
-            bound[self.src_ids[low:high][:, None] == self.dst_ids[None, :]] = -np.inf
-        reach = np.full(high - low, S.BRANCH_MIN - ROUNDING)
-        if width > FIRST_LOOK:
-            look = np.partition(bound, width - FIRST_LOOK, axis=1)[:, width - FIRST_LOOK]
-            look = np.maximum(look, reach)
-            at, row, score = scored(np.flatnonzero(bound >= look[:, None]), False)
-            order = np.lexsort((-score, row))
-            row, score = row[order], score[order]
-            last = np.arange(len(row)) - np.searchsorted(row, row) == S.POOL_PER_TAG - 1
-            reach[row[last]] = np.maximum(reach[row[last]], score[last] - ROUNDING)
-        at, score = first(*scored(np.flatnonzero(bound >= reach[:, None]), False), S.POOL_PER_TAG)
-        yield False, at // width, at % width, score
+        best = self.first(S.POOL_PER_TAG, S.BRANCH_MIN)
+        bonus = np.minimum((self.theirs - 1) * S.BRANCH_NEW_TAG_BONUS, S.BRANCH_BONUS_CAP) + S.BRANCH_BASE
+        # The bonus is one more number of the targets' vectors.
+        mine = np.hstack([self.rough, np.ones((len(self.rough), 1), dtype=np.float32)])
+        theirs = np.hstack([self.others * np.float32(S.BRANCH_VECTOR_WEIGHT), bonus.astype(np.float32)[:, None]]).T
+        for low, high in blocks.strips(len(mine), VECTOR_STRIP):
+            row = np.arange(low, high)
+            for start, end in blocks.strips(theirs.shape[1], VECTOR_COLUMNS):
+                bound, width = self.ranked(mine[low:high] @ theirs[:, start:end]), end - start
+                reach = self.reach(best, row)
+                if not start and width > FIRST_LOOK:
+                    look = np.partition(bound, width - FIRST_LOOK, axis=1)[:, width - FIRST_LOOK]
+                    at = blocks.true_places(bound >= np.maximum(look, reach.astype(np.float32))[:, None])
+                    self.add(best, low + at // width, at % width, False)
+                    best.settle()
+                    bound.ravel()[at] = -np.inf
+                    reach = self.reach(best, row)
+                at = blocks.true_places(bound >= reach.astype(np.float32)[:, None])
+                self.add(best, low + at // width, start + at % width, False)
+        return best
 
 
 def _cell_candidates(pdf: pd.DataFrame) -> pd.DataFrame:
     """Best core and branch candidates of every row of one (tag, block pair) cell."""
     pdf = pdf.sort_values("item_id").reset_index(drop=True)
     unit = blocks.unit_rows(pdf["vec"])
-    n_tags = pdf["tags"].map(len).to_numpy()
     parts = []
     for src, dst in _sides(pdf):
         side = _Side(pdf, unit, src, dst)
-        for low, high in blocks.strips(len(src), CELL_STRIP):
-            for is_core, r, c, score in side.best(low, high):
-                parts.append(
-                    pd.DataFrame(
-                        {
-                            "src": side.src_ids[low + r],
-                            "core": is_core,
-                            "dst": side.dst_ids[c],
-                            "score": score,
-                            "n_tags": n_tags[src[low + r]],
-                        }
-                    )
+        for is_core, best in ((True, side.core()), (False, side.branch())):
+            r, points, c = best.found()
+            parts.append(
+                pd.DataFrame(
+                    {
+                        "src": side.src_ids[r],
+                        "core": is_core,
+                        "dst": side.dst_ids[c],
+                        "score": (NO_SCORE - points) / POINTS,
+                        "n_tags": side.mine[r].astype(int),
+                    }
                 )
+            )
     if not parts:
         return pd.DataFrame(columns=["src", "tag", "core", "dst", "score", "n_tags"])
     return pd.concat(parts, ignore_index=True).assign(tag=pdf["tag"].iat[0])
@@ -299,7 +329,8 @@ def _stand_ins(kinds: DataFrame) -> DataFrame:
 
 
 def for_all(per_src: DataFrame, standing: DataFrame) -> DataFrame:
-    """Rows of every item, those of items that others stand in for included."""
+    """Rows of every item, those of items that others stand in for included. Reads ``per_src`` twice, so stages it."""
+    per_src = per_src if hasattr(per_src, "staged_at") else staged(per_src, "per-src")
     copies = per_src.join(standing, "src").drop("src").withColumnRenamed("item_id", "src")
     return per_src.unionByName(copies)
 
@@ -307,7 +338,7 @@ def for_all(per_src: DataFrame, standing: DataFrame) -> DataFrame:
 def tag_candidates(
     items: DataFrame,
     marker: str = X.MARKER_TAG,
-    block_rows: int = blocks.BLOCK_ROWS,
+    block_rows: int | None = None,
     standing: DataFrame | None = None,
 ) -> DataFrame:
     """Best core and branch candidates per (item, tag), before the pools are cut.
@@ -321,16 +352,16 @@ def tag_candidates(
     return _tag_candidates(_kinds(items, marker), block_rows, standing)
 
 
-def _tag_candidates(rows: DataFrame, block_rows: int, standing: DataFrame | None) -> DataFrame:
+def _tag_candidates(rows: DataFrame, block_rows: int | None, standing: DataFrame | None) -> DataFrame:
     with_vec = rows.filter(~F.col("plain")).select("item_id", "tags", "vec")
     members = with_vec.select("item_id", F.explode("tags").alias("tag"))
-    cells = blocks.pair_cells(members, with_vec, "tag", "item_id", block_rows)
+    cells = blocks.pair_cells(members, with_vec, "tag", "item_id", block_rows or VECTOR_ROWS)
     found = cells.groupBy("tag", "cell_a", "cell_b").applyInPandas(_cell_candidates, _CANDIDATE)
     narrow = rows.select("item_id", "tags", "kind", "plain")
     sources = narrow.select(F.col("item_id").alias("src"), "kind", "plain", F.size("tags").alias("n_tags"))
     if standing is not None:
         sources = sources.join(standing.select(F.col("item_id").alias("src")), "src", "left_anti")
-    by_kind = sources.join(kind_candidates(narrow, block_rows), ["kind", "plain"]).filter("src <> dst")
+    by_kind = sources.join(kind_candidates(narrow, block_rows or blocks.BLOCK_ROWS), ["kind", "plain"]).filter("src <> dst")
     return found.unionByName(by_kind.select(*found.columns)).repartition("src")
 
 
@@ -350,14 +381,14 @@ class Candidates:
         return for_all(_pooled_edges(self.rows.select("item_id", "tags"), self.pooled, k_max, per_tag_min), self.standing)
 
 
-def candidates(items: DataFrame, marker: str = X.MARKER_TAG, block_rows: int = blocks.BLOCK_ROWS) -> Candidates:
+def candidates(items: DataFrame, marker: str = X.MARKER_TAG, block_rows: int | None = None) -> Candidates:
     """Pools of a graph; what several of its steps read is derived from the items once and staged."""
     rows = staged(_kinds(items, marker), "connected")
     standing = staged(_stand_ins(rows), "stand-ins")
     return Candidates(rows, standing, pool_topk(_tag_candidates(rows, block_rows, standing)))
 
 
-def candidate_pools(items: DataFrame, marker: str = X.MARKER_TAG, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
+def candidate_pools(items: DataFrame, marker: str = X.MARKER_TAG, block_rows: int | None = None) -> DataFrame:
     """The pools of every (item, tag)."""
     return candidates(items, marker, block_rows).pools()
 
@@ -402,7 +433,7 @@ def similarity_graph(
     marker: str = X.MARKER_TAG,
     k_max: int = S.K_MAX,
     per_tag_min: int = S.PER_TAG_MIN,
-    block_rows: int = blocks.BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Edges (src, dst, score, shared_tags, rank) of the tag-balanced graph.
 

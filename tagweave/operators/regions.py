@@ -209,46 +209,7 @@ SHELF_ROWS = 1 << 16
 #: Columns of a strip of a cell, and its numbers in all.
 STRIP_COLUMNS = 4096
 STRIP_AREA = 1 << 22
-#: Candidates that are compared in full at a time.
-FULL_ROWS = 1 << 16
 POINTS = 10**S.ROUND_DIGITS
-#: More points than a distance has.
-NO_LIMIT = (1 << 21) - 1
-
-
-class _Nearest:
-    """Each query's nearest rows so far, and the points that a row may have to be among them.
-
-    A row is one number: query, points and row of the corpus by id, in this order.
-    """
-
-    def __init__(self, fetch: np.ndarray, most: np.ndarray, n_items: int) -> None:
-        self.fetch, self.most, self.n_items = fetch, most, n_items
-        self.rows, self.new, self.n_new = np.zeros(0, dtype=np.int64), [], 0
-
-    def add(self, query: np.ndarray, points: np.ndarray, item: np.ndarray) -> None:
-        some = points <= self.most[query]
-        self.new.append(((query[some] << 21) + points[some]) * self.n_items + item[some])
-        self.n_new += len(self.new[-1])
-        # Limits lag behind a little, and rows are sorted a few times only.
-        if self.n_new > len(self.rows) + FULL_ROWS:
-            self.settle()
-
-    def parts(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        query_points, item = np.divmod(rows, self.n_items)
-        return query_points >> 21, query_points & NO_LIMIT, item
-
-    def settle(self) -> None:
-        rows = np.sort(np.concatenate([self.rows, *self.new]))
-        query, points, _ = self.parts(rows)
-        kept = np.arange(len(rows)) - np.searchsorted(query, query) < self.fetch[query]
-        self.rows, self.new, self.n_new = rows[kept], [], 0
-        query, points = query[kept], points[kept]
-        n = np.bincount(query, minlength=len(self.fetch))
-        full = np.flatnonzero((n >= self.fetch) & (n > 0))
-        self.most[full] = np.minimum(self.most[full], points[np.cumsum(n)[full] - 1])
-
-
 def _answers(cell: pa.Table) -> pa.Table:
     """Each query's nearest rows of one cell, as many as it fetches and none beyond its limit.
 
@@ -269,10 +230,10 @@ def _answers(cell: pa.Table) -> pa.Table:
     by_place = np.argsort(place, kind="stable")
     place = place[by_place]
     rough, others = mine.astype(np.float32), theirs[by_place].astype(np.float32)
-    room = (mine.shape[1] + 8) * 2.0**-23  # what single precision can be wrong by
+    room = blocks.single_error(mine)
     limit = left["limit"].to_numpy()
-    most = np.where(np.isnan(limit), NO_LIMIT, np.rint(np.nan_to_num(limit) * POINTS)).astype(np.int64)
-    best = _Nearest(left["fetch"].to_numpy().astype(np.int64), most, len(right))
+    most = np.where(np.isnan(limit), blocks.MOST_POINTS, np.rint(np.nan_to_num(limit) * POINTS)).astype(np.int64)
+    best = blocks.FirstRows(left["fetch"].to_numpy().astype(np.int64), most, len(right))
     places = left["places"].combine_chunks()
     bits = np.frombuffer(b"".join(places.to_pylist()), dtype=np.uint8).reshape(len(left), -1)
     for here in np.unique(place):
@@ -286,18 +247,17 @@ def _answers(cell: pa.Table) -> pa.Table:
                 near = rough[at] @ others[columns].T
                 reach = 1 - (best.most[at] + 0.5) / POINTS - room
                 k = int(best.fetch[at].max())
-                free = np.flatnonzero(best.most[at] == NO_LIMIT)
+                free = np.flatnonzero(best.most[at] == blocks.MOST_POINTS)
                 if len(free) and k < width:
                     # Rows of as many points may have a lower id.
                     kth = np.partition(near[free], width - k, axis=1)[:, width - k]
                     reach[free] = np.maximum(reach[free], kth - 2 * room - 2 / POINTS)
                 row, column = np.divmod(blocks.true_places(near >= reach.astype(np.float32)[:, None]), width)
-                for i in range(0, len(row), FULL_ROWS):
-                    query, item = at[row[i : i + FULL_ROWS]], by_place[c + column[i : i + FULL_ROWS]]
+                for i in range(0, len(row), blocks.FULL_ROWS):
+                    query, item = at[row[i : i + blocks.FULL_ROWS]], by_place[c + column[i : i + blocks.FULL_ROWS]]
                     distance = 1.0 - np.einsum("ij,ij->i", mine[query], theirs[item])
                     best.add(query, np.maximum(np.rint(distance * POINTS), 0).astype(np.int64), item)
-    best.settle()
-    query, points, item = best.parts(best.rows)
+    query, points, item = best.found()
     out = {"query_id": left["id"].take(pa.array(query)), "item_id": right["id"].take(pa.array(item)), "distance": points / POINTS}
     return pa.table(out)
 

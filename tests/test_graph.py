@@ -416,3 +416,34 @@ def test_rows_of_a_cell_are_scored_in_full_only_where_a_bound_allows(monkeypatch
     got = graph._cell_candidates(pdf)
     assert {(r.src, r.core, r.dst, round(r.score, 6)) for r in got.itertuples()} == want
     assert sum(seen) < n * n / 2 * 0.8
+
+
+def test_vector_cells_strip_by_strip_equal_all_pairs(monkeypatch):
+    """Also with an id that several rows have, and with vectors of which some are zero or missing."""
+    rng = np.random.default_rng(7)
+    n = 300
+    tags = [["t", *sorted({f"u{x}" for x in rng.integers(0, 5, rng.integers(0, 4))})] for _ in range(n)]
+    vec = [None if i % 29 == 0 else v * (i % 31 > 0) for i, v in enumerate(rng.integers(-2, 3, size=(n, 6)).astype(float))]
+    ids = np.where(np.arange(n) % 50 < 3, np.arange(n) // 50 * 50, np.arange(n))
+    pdf = pd.DataFrame({"item_id": ids, "tags": tags, "vec": vec, "tag": "t", "block": 0, "cell_a": 0, "cell_b": 0})
+    unit, want = graph.blocks.unit_rows(pdf["vec"]), []
+    for i in range(n):
+        found = {True: [], False: []}
+        for j in np.flatnonzero(ids != ids[i]):
+            shared = len(set(tags[i]) & set(tags[j]))
+            of = graph._scored(np.array(shared), np.array(len(tags[i])), np.array(len(tags[j])), unit[i] @ unit[j])
+            for core, s, keep, _ in of:
+                if keep:
+                    found[core].append((-float(s), int(ids[j])))
+        for core, k in ((True, 4), (False, 8)):
+            want += [(int(ids[i]), core, j, round(-s, 6)) for s, j in sorted(found[core])[:k]]
+    monkeypatch.setattr(graph, "VECTOR_STRIP", 70)
+    monkeypatch.setattr(graph, "VECTOR_COLUMNS", 40)
+    got = graph._cell_candidates(pdf)
+    assert sorted((r.src, r.core, r.dst, round(r.score, 6)) for r in got.itertuples()) == sorted(want)
+
+
+def test_cells_run_once_for_items_and_those_they_stand_in_for(items):
+    """Pools and edges are read twice; what is read must be a table, not the cells."""
+    for df in (graph.candidate_pools(items), graph.similarity_graph(items)):
+        assert "FlatMapGroups" not in df._jdf.queryExecution().executedPlan().toString()
