@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tagweave.functions import scores as S
 from tagweave.functions import text as X
 from tagweave.operators.vectors import knn, matching
-from tagweave.scale import top_per
+from tagweave.scale import attach_to_key, staged, top_per
 
 # Result sizes.
 MAX_RESULTS = 10
@@ -16,38 +16,99 @@ VECTOR_FETCH = 20
 THEME_TAGS = 5
 OCCASION_COUNT = 10
 
+#: Seeds of a request whose neighbours one task may merge.
+PART_SEEDS = 4096
+#: Seeds whose neighbours a task merges.
+TASK_SEEDS = 1 << 14
+#: Neighbours of a seed that give a bound for all others.
+FIRST_LOOK = 3
+
+
+def _lists(edges: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct seeds (req_id, src, parts), and of each seed its neighbours, best first, as one row, staged.
+
+    Every seed has a bounded number of edges. Sets of tags are listed once each; ``place`` is that of an edge's.
+    """
+    seed = staged(seeds.select("req_id", F.col("item_id").alias("src")).filter("src is not null").distinct(), "seeds")
+    lists = (
+        edges.join(seed.select("src").distinct(), "src", "left_semi")
+        .groupBy("src")
+        .agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("lack"), "dst", "score", "shared_tags"))).alias("n"))
+        .withColumn("sets", F.array_distinct(F.transform("n", lambda e: e["shared_tags"])))
+    )
+    place = F.transform("n", lambda e: F.struct(
+        e["dst"].alias("dst"), e["score"].alias("score"),
+        F.array_position("sets", e["shared_tags"]).cast("int").alias("place"),
+    ))
+    many = seed.groupBy("req_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(PART_SEEDS)).cast("int").alias("parts")).filter("parts > 1")
+    dealt = attach_to_key(seed, many, ["req_id"], "src", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    return staged(dealt, "dealt"), staged(lists.select("src", place.alias("n"), "sets"), "neighbours")
 
-def merge_seeds(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Neighbours of all seeds of a request: best score, union of shared tags.
 
-    ``seeds``: req_id, item_id. Every seed has a bounded number of edges.
+def _merged(seed: DataFrame, lists: DataFrame, without_seeds: bool, kept: str = "n") -> DataFrame:
+    """(req_id, dst, score, shared_tags) of requests whose seeds have these neighbours.
+
+    A seed's neighbours travel to the request as one row and are laid out by request and part there; a request of
+    many seeds has several parts, each for some of the neighbours. ``kept`` has those that are merged at
+    all. Lists without sets of tags give none.
     """
-    seed = seeds.select("req_id", F.col("item_id").alias("src")).distinct()
-    tags = F.array_distinct(F.flatten(F.collect_list("shared_tags")))
-    return (
-        edges.join(seed, "src")
-        .groupBy("req_id", "dst")
-        .agg(F.max("score").alias("score"), F.sort_array(tags).alias("shared_tags"))
+    # A request's seed is a neighbour at place 0; without a request nothing is left out.
+    dst = lists.schema["n"].dataType.elementType["dst"].dataType.simpleString()
+    itself = f"struct(cast(src as {dst}) as dst, cast(null as double) as score, 0 as place)"
+    itself = f"filter(array({itself}), e -> {'req_id is not null' if without_seeds else 'false'})"
+    joined = seed.join(lists, "src", "left").withColumn("n", F.expr(kept)).withColumn("n", F.expr(f"concat(coalesce(n, filter({itself}, e -> false)), {itself})"))
+    parted = joined.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn(
+        "n", F.expr("if(parts = 1, n, filter(n, e -> pmod(xxhash64(e.dst), parts) = part))")
+    )
+    # A fixed number of tasks: rows that hold many neighbours look few, and merging them sorts them in memory.
+    n_tasks = max(int(seed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-seed.count() // TASK_SEEDS))
+    sets = ["sets"] if "sets" in lists.columns else []
+    rows = parted.select("req_id", "part", "n", *sets).repartition(n_tasks, "req_id", "part")
+    each = rows.select("req_id", "part", *sets, F.inline("n")).select(
+        "req_id", "part", "dst", "score", (F.coalesce("place", F.lit(1)) == 0).alias("seed"),
+        *[F.get(c, F.nullif("place", F.lit(0)) - 1).alias("tags") for c in sets],
     )
+    merged = each.groupBy("req_id", "part", "dst").agg(
+        F.max("score").alias("score"), F.bool_or("seed").alias("seed"),
+        *[F.sort_array(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("shared_tags") for _ in sets],
+    )
+    return merged.filter("not seed").drop("part", "seed")
+
+
+def merge_seeds(edges: DataFrame, seeds: DataFrame, without_seeds: bool = False) -> DataFrame:
+    """Neighbours of all seeds of a request: best score, union of shared tags.
+
+    ``seeds``: req_id, item_id. A request's seeds are left out while merging if asked for, which spares the
+    join of ``exclude``.
+    """
+    return _merged(*_lists(edges, seeds), without_seeds)
 
 
 def top_from_seeds(edges: DataFrame, seeds: DataFrame, n: int = MAX_RESULTS) -> DataFrame:
     """Best neighbours of each seed set, seeds left out, with display score and explanation.
 
-    Ranks on scores alone and collects shared tags only for the winners, so the wide arrays of all
-    other candidates are never grouped. Reads ``edges`` twice; give it a saved graph.
+    The best few neighbours of every seed give a score that ``n`` answers of a request reach. Neighbours that reach
+    it are ranked on scores alone, and tags are collected for the winners only.
     """
-    seed = seeds.select("req_id", F.col("item_id").alias("src")).distinct()
-    joined = edges.select("src", "dst", "score", "shared_tags").join(seed, "src")
-    scored = exclude(joined.groupBy("req_id", "dst").agg(F.max("score").alias("score")), seeds)
-    best = top_per(scored, ["req_id"], [F.desc("score"), F.asc("dst")], n)
-    tags = F.sort_array(F.array_distinct(F.flatten(F.collect_list("shared_tags"))))
-    merged = (
-        joined.drop("score").join(best, ["req_id", "dst"])
-        .groupBy("req_id", "dst", "score", "rank")
-        .agg(tags.alias("shared_tags"))
-    )
-    return _described(merged)
+    seed, lists = _lists(edges, seeds)
+    bare, order = lists.select("src", "n"), [F.desc("score"), F.asc("dst")]
+    few = _merged(seed, bare.withColumn("n", F.slice("n", 1, FIRST_LOOK)), True)
+    least = top_per(few, ["req_id"], order, n).groupBy("req_id").agg(F.when(F.count("score") >= n, F.min("score")).alias("least"))
+    asked = seed.join(staged(least, "least"), "req_id", "left")
+    best = top_per(_merged(asked, bare, True, "if(least is null, n, filter(n, e -> e.score >= least))"), ["req_id"], order, n)
+    wins = staged(best.groupBy("req_id").agg(F.collect_list("dst").alias("wins")), "wins")
+    # Requests without an id meet nothing by it, so all of their neighbours are merged.
+    asked = seed.join(wins, "req_id", "left").filter("wins is not null or req_id is null")
+    return top_suggestions(_merged(asked, lists, True, "if(wins is null, n, filter(n, e -> array_contains(wins, e.dst)))"), n)
+
+
+def answering(
+    edges: DataFrame, source: str, library: DataFrame, meta: DataFrame, category: str | None = None
+) -> DataFrame:
+    """Edges to items that ``filter_source`` keeps: others need not be merged."""
+    own = edges.select("dst").distinct()
+    kept = filter_source(own, source, library, meta, category).select("dst")
+    return edges if source != "library" and category is None else edges.join(kept, "dst", "left_semi")
 
 
 def exclude(cands: DataFrame, listed: DataFrame, item: str = "dst") -> DataFrame:
@@ -194,7 +255,7 @@ def seed_suggestions(
 
     The category holds for either way; with one, ``corpus`` and ``library`` carry a category column.
     """
-    cands = exclude(merge_seeds(edges, seeds), seeds)
+    cands = merge_seeds(answering(edges, source, library, meta, category), seeds, without_seeds=True)
     graph = top_suggestions(filter_source(cands, source, library, meta, category), n).select(
         "req_id", F.col("dst").alias("item_id"), "rank", "connection_score", "explanation",
         F.lit("graph").alias("method"),

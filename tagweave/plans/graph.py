@@ -344,8 +344,7 @@ def merged_seed_neighbours(spark, sf):
 @query(sql("edges", "+" + MERGED_SQL + "," + TOP_SQL.format(source="cand") + " SELECT req_id, dst, score, rank, connection_score, explanation FROM shown"))
 def seed_suggestions(spark, sf):
     """Ten best neighbours per seed set with display score and explanation."""
-    edges = staged(B.edge_rows(spark, sf), "edges")
-    return suggest.top_from_seeds(edges, _seeds(spark, sf)).drop("shared_tags")
+    return suggest.top_from_seeds(B.edge_rows(spark, sf), _seeds(spark, sf)).drop("shared_tags")
 
 
 LIB_SQL = """linked AS (SELECT item_id AS dst, max(rec_id) AS rec_id FROM lib WHERE item_id IS NOT NULL GROUP BY 1),

@@ -319,6 +319,36 @@ def test_seed_merge_and_fallback(spark):
     assert [(r.dst, r.rec_id) for r in own] == [(3, 50)]
 
 
+@pytest.mark.parametrize("part", [3, 4096])
+def test_seeds_merge_in_parts_and_only_what_can_answer(spark, monkeypatch, part):
+    """Also for a request of many seeds, one without an id and seeds without neighbours or an id."""
+    monkeypatch.setattr(suggest, "PART_SEEDS", part)
+    rng = random.Random(4)
+    near = {(s, d): (rng.randint(1, 30) / 30, rng.sample("abcde", rng.randint(1, 3))) for s in range(40) for d in rng.sample(range(60), 12)}
+    edges = spark.createDataFrame(
+        [(s, d, *e) for (s, d), e in near.items()], "src BIGINT, dst BIGINT, score DOUBLE, shared_tags ARRAY<STRING>"
+    )
+    asked = [(r, rng.randrange(45)) for r in [0] * 30 + [*range(1, 9)] * 3 + [None] * 3] + [(9, 44), (1, None)]
+    seeds = spark.createDataFrame(asked, "req_id BIGINT, item_id BIGINT")
+    want = {}
+    for r, s in set(asked):
+        for (src, d), (score, tags) in near.items():
+            if src == s and (r is None or (r, d) not in asked):
+                old = want.setdefault((r, d), (0, set()))
+                want[r, d] = max(old[0], score), old[1] | set(tags)
+    got = suggest.merge_seeds(edges, seeds, without_seeds=True)
+    assert {(x.req_id, x.dst): (x.score, set(x.shared_tags)) for x in got.collect()} == want
+    assert suggest.exclude(suggest.merge_seeds(edges, seeds), seeds).exceptAll(got).isEmpty()
+    best = [(x.req_id, x["rank"], x.dst, x.score, set(x.shared_tags)) for x in suggest.top_from_seeds(edges, seeds, 4).collect()]
+    key = lambda r: -1 if r is None else r
+    ranked = {r: sorted((-s, d, t) for (q, d), (s, t) in want.items() if q == r)[:4] for r, _ in want}
+    assert sorted(best, key=lambda x: (key(x[0]), x[1])) == [
+        (r, i, d, -s, t) for r in sorted(ranked, key=key) for i, (s, d, t) in enumerate(ranked[r], 1)
+    ]
+    kept = suggest.answering(edges, "library", spark.createDataFrame([(5, 7)], "rec_id BIGINT, item_id BIGINT"), edges)
+    assert {(x.src, x.dst) for x in kept.collect()} == {e for e in near if e[1] == 7}
+
+
 def test_query_text_falls_back_to_translations(spark):
     schema = "req_id INT, pos INT, seed_line STRING, theme STRING, secondary_themes ARRAY<STRING>, mood STRING, summary STRING, translation STRING"
     rows = [(1, 1, None, "T2", None, None, "s2", "x"), (1, 0, "line", "T1", ["u"], "m", None, "x"), (2, 0, "", None, None, None, None, "y" * 400)]
