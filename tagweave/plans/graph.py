@@ -365,8 +365,7 @@ def library_suggestions(spark, sf):
     tr AS (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY n DESC, tag) AS o FROM tc)
     SELECT req_id, 'Themes: ' || array_to_string(list(tag ORDER BY o), ', ') AS summary FROM tr WHERE o <= 5 GROUP BY 1"""))
 def theme_summary(spark, sf):
-    edges = staged(B.edge_rows(spark, sf), "edges")
-    return suggest.theme_summary(suggest.top_from_seeds(edges, _seeds(spark, sf)))
+    return suggest.theme_summary(suggest.top_from_seeds(B.edge_rows(spark, sf), _seeds(spark, sf)))
 
 
 VEC_SQL = f"""WITH {UNIT}, rq AS (SELECT item_id AS req_id, vec, norm, item_id AS seed FROM u),
