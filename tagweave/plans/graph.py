@@ -338,7 +338,7 @@ TOP_SQL = """best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r
 @query(sql("edges", "+" + MERGED_SQL + " SELECT req_id, dst, score, array_to_string(shared_tags, ',') AS shared_tags FROM cand"))
 def merged_seed_neighbours(spark, sf):
     seeds = _seeds(spark, sf)
-    return suggest.exclude(suggest.merge_seeds(B.edge_rows(spark, sf), seeds), seeds)
+    return suggest.merge_seeds(B.edge_rows(spark, sf), seeds, without_seeds=True)
 
 
 @query(sql("edges", "+" + MERGED_SQL + "," + TOP_SQL.format(source="cand") + " SELECT req_id, dst, score, rank, connection_score, explanation FROM shown"))
