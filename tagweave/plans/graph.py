@@ -355,8 +355,9 @@ LIB_SQL = """linked AS (SELECT item_id AS dst, max(rec_id) AS rec_id FROM lib WH
 def library_suggestions(spark, sf):
     """Suggestions restricted to items of one category that the library holds."""
     seeds, items = _seeds(spark, sf), B.tagged_items(spark, sf)
-    cands = suggest.exclude(suggest.merge_seeds(B.edge_rows(spark, sf), seeds), seeds)
-    own = suggest.filter_source(cands, "library", B.library(spark, sf), items, "Brand#1")
+    source = "library", B.library(spark, sf), items, "Brand#1"
+    edges = suggest.answering(B.edge_rows(spark, sf), *source)
+    own = suggest.filter_source(suggest.merge_seeds(edges, seeds, without_seeds=True), *source)
     return suggest.top_suggestions(own).select("req_id", "dst", "rec_id", "rank", "connection_score")
 
 
